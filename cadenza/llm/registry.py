@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import jaccard_join, packing
+from cadenza.llm import decontaminate, jaccard_join, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
     "op10_best_two_fit_packing": packing.op10_best_two_fit_packing,
 }
