@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import decontaminate, jaccard_join, packing
+from cadenza.llm import decontaminate, jaccard_join, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
+    "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
     "op10_best_two_fit_packing": packing.op10_best_two_fit_packing,
 }
