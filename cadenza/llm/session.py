@@ -35,3 +35,22 @@ def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def value_at_rank(df: DataFrame, column: str, rows: int) -> int:
+    """The smallest value v of the positive count ``column`` such that at most ``rows`` rows have v or more.
+
+    Reads a histogram whose bins are exact to 4096 and then 64 to each doubling, so the driver gets
+    a bounded table; past 4096 v is the lower end of a bin.
+    """
+    wide = (F.lit(4096) + F.floor((F.log2(column) - 12) * 64)).cast("long")
+    bins = df.groupBy(F.when(F.col(column) <= 4096, F.col(column)).otherwise(wide).alias("bin")).count().collect()
+    seen, least = 0, None
+    for r in sorted(bins, key=lambda r: -r.bin):
+        if seen + r["count"] > rows:
+            break
+        seen += r["count"]
+        least = r.bin
+    if least is None:
+        return 1 << 62
+    return least if least <= 4096 else int(2 ** (12 + (least - 4096) / 64)) + 1
