@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.components import connected_components
-from cadenza.llm.session import broadcast_up_to, cut, table
+from cadenza.llm.session import broadcast_up_to, cut, table, value_at_rank
 from cadenza.llm.textkit import BLANK_SEPARATED, Words, set_id, shingle_sets, text_slices
 
 SHINGLE = 5
@@ -57,7 +57,7 @@ def shingle_ids(docs: DataFrame) -> DataFrame:
 
 
 def frequent_shingles(docs: DataFrame, keep: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """The (at most ``keep``) shingles found most often at least three times among neighbouring documents, sorted, with ranks by count."""
+    """At most ``keep`` shingles with their counts, of those found at least three times among neighbouring documents the most frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -82,7 +82,8 @@ def frequent_shingles(docs: DataFrame, keep: int = FREQUENT) -> tuple[np.ndarray
                     held, size, seen = [], 0, set()
         yield from flush()
 
-    found = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(keep).toPandas()
+    totals = cut(docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    found = totals.filter(F.col("n") >= value_at_rank(totals, "n", keep)).toPandas()  # at most `keep` rows
     grams, counts = found["gram"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
     order = np.argsort(grams)
     return grams[order], counts[order]
@@ -183,7 +184,9 @@ def candidate_edges(index: DataFrame, longest: int = LIST) -> DataFrame:
 
     found = index.repartition("gram").sortWithinPartitions("gram", "n").mapInArrow(pairs, "a long, b long, na int, nb int, pa int, pb int, star boolean")
     met = found.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max("star").alias("star"))
-    possible = F.col("met") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    # beyond the last shared place, or beyond the prefix that ends first, nothing is known to differ
+    beyond = F.greatest(*(F.expr(f"(3 * {n} + 3) div 4 - 1") for n in ("na", "nb")))
+    possible = F.col("met") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"), beyond)
     return met.filter(F.col("star") | (7 * possible >= 3 * (F.col("na") + F.col("nb")))).select("a", "b")
 
 
