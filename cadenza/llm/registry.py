@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import decontaminate, jaccard_join, packing, quality, token_counts
+from cadenza.llm import decontaminate, fingerprints, jaccard_join, packing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
     "op2_token_counts": token_counts.op2_token_counts,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_quality_classifier": quality.op6_quality_classifier,
