@@ -14,12 +14,11 @@ rows of one id are ordered by text; an empty table gives no rows; extra columns
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.session import table
+from cadenza.llm.spans import let
 
 K = 128
 SHINGLE = 5
@@ -28,11 +27,6 @@ ROWS_PER_BUCKET = 512
 MAX_BUCKETS = 1 << 14
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, with ``value`` computed once: within a lambda an expression would be computed for every element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def word_hashes(text: Column) -> Column:
     """64-bit hashes of the lower-cased words between white space."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \\t\\n\\x0B\\f\\r]+")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import decontaminate, fingerprints, jaccard_join, packing, quality, token_counts
+from cadenza.llm import decontaminate, fingerprints, jaccard_join, licenses, packing, pii, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_ngram_jaccard_join": jaccard_join.op7_ngram_jaccard_join,
+    "op8_license_scans": licenses.op8_license_scans,
+    "op9_pii": pii.op9_pii,
     "op10_best_two_fit_packing": packing.op10_best_two_fit_packing,
 }
 
