@@ -1,23 +1,58 @@
-"""The corpus pipeline: stages applied in turn to ``documents``."""
+"""The corpus pipeline: stages applied in turn to ``documents``.
+
+Every stage takes (spark, docs, sf_dir). All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import packing
+from cadenza.llm import decontaminate, jaccard_join, line_dedup, packing, quality
+from cadenza.llm.session import cut, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.reject_low_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of alike lines one stays; documents left without any line go."""
+    return line_dedup.without_repeated_lines(docs)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicate documents the one of smallest id stays."""
+    return jaccard_join.keep_one_of_each(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go; lesser hits are taken out of the text."""
+    return decontaminate.remove_hits(docs, table(spark, sf_dir, "benchmark"))
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of every document that is left, with its place in a sequence."""
     return packing.pack(docs)
 
 
-STAGES = [("best_fit_packing", pack)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_deduplication),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
 
+#: Tokenising, learning and component search are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over ``documents``; each result is materialised before the next stage reads it more than once."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs)
     return docs
