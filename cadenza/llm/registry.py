@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import decontaminate, fingerprints, jaccard_join, licenses, line_dedup, packing, pii, quality, token_counts
+from cadenza.llm import decontaminate, fingerprints, jaccard_join, licenses, line_dedup, lm_scoring, packing, pii, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_lm_scoring": lm_scoring.op3_lm_scoring,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_benchmark_decontamination": decontaminate.op5_benchmark_decontamination,
     "op6_quality_classifier": quality.op6_quality_classifier,
