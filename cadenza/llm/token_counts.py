@@ -28,7 +28,7 @@ from cadenza.llm.textkit import spans_hash
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
-FREQUENT = 1 << 20
+FREQUENT = 1 << 18
 _FLUSH = 400_000
 
 
