@@ -1,0 +1,335 @@
+"""Queries for sources, sinks, windows, predicates, stitching, sessions and timing."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cadenza.functions import scalars as S
+from cadenza.operators import sessions, stitch, timing, windows
+from cadenza.plans.base import WORDS, query, table, values, words
+
+GAP = 160  # ms, for the invented word times
+DUCK_JOIN = "CASE WHEN {i} = 0 OR {w} IN ('.', ',', '!', '?', ';', ':', '%', ')', ']', '}}', '''') OR starts_with({w}, '''') OR starts_with({w}, '’') THEN {w} ELSE ' ' || {w} END"
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").withColumnRenamed("doc_id", "stream_id")
+
+
+# --- windows ---------------------------------------------------------------------------
+@query("win_hop", """SELECT doc_id AS stream_id, k AS window_seq, k * 80 AS start_sample, 100 AS n_samples, false AS is_final
+FROM (SELECT doc_id, unnest(range(CASE WHEN n_chars < 100 THEN 0 ELSE (n_chars - 100) // 80 + 1 END)) AS k FROM documents)""")
+def win_hop(spark: SparkSession, d: str) -> DataFrame:
+    return windows.hop_windows(_docs(spark, d).select("stream_id", "n_chars"), "n_chars", 100, 20).filter("not is_final").drop("n_chars")
+
+
+@query("win_tail", """SELECT doc_id AS stream_id, f AS window_seq, f * 80 AS start_sample, n_chars - f * 80 AS n_samples
+FROM (SELECT doc_id, n_chars, CASE WHEN n_chars < 100 THEN 0 ELSE (n_chars - 100) // 80 + 1 END AS f FROM documents) WHERE n_chars - f * 80 >= 30""")
+def win_tail(spark: SparkSession, d: str) -> DataFrame:
+    return windows.hop_windows(_docs(spark, d).select("stream_id", "n_chars"), "n_chars", 100, 20, 30).filter("is_final").drop("n_chars", "is_final")
+
+
+@query("win_samples", """SELECT vec_id, k AS window_seq, k * 12 AS start_sample, list_sum(list_transform(embedding[k * 12 + 1 : least(k * 12 + 16, 64)], lambda x: CAST(round(x * 1000) AS BIGINT))) AS total
+FROM (SELECT vec_id, embedding, unnest(range(6)) AS k FROM embeddings) WHERE k < 5 OR 64 - 60 >= 2""")
+def win_samples(spark: SparkSession, d: str) -> DataFrame:
+    rows = windows.hop_windows(table(spark, d, "embeddings").select("vec_id", "embedding", F.size("embedding").cast("long").alias("n")), "n", 16, 4, 2)
+    total = F.aggregate("window", F.lit(0).cast("long"), lambda a, x: a + F.round(x * 1000).cast("long"))
+    return windows.window_samples(rows, "embedding").select("vec_id", "window_seq", "start_sample", total.alias("total"))
+
+
+@query("win_secs", "SELECT event_id, CAST(round(greatest(value - 100, 0) * 16000) AS BIGINT) AS n, greatest(CAST(round(greatest(value - 100, 0) * 16000) AS BIGINT), 1) AS at_least_one FROM events")
+def win_secs(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("value") - 100
+    return table(spark, d, "events").select("event_id", S.seconds_to_samples(s).alias("n"), S.seconds_to_samples(s, 1).alias("at_least_one"))
+
+
+@query("win_ms", "SELECT doc_id, CAST(round(n_chars / 16000 * 1000) AS BIGINT) AS ms, CAST(0 AS BIGINT) AS no_rate FROM documents")
+def win_ms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", S.samples_to_ms(F.col("n_chars")).alias("ms"), S.samples_to_ms(F.col("n_chars"), 0).alias("no_rate"))
+
+
+@query("win_slot", "SELECT conv_id, turn, k AS slot, substring(text, k * 64 + 1, 64) AS part FROM (SELECT *, unnest(range((length(text) + 63) // 64)) AS k FROM conversations)")
+def win_slot(spark: SparkSession, d: str) -> DataFrame:
+    return windows.slices(table(spark, d, "conversations"), "text", 64).select("conv_id", "turn", "slot", "part")
+
+
+@query("win_fft", "SELECT doc_id, unnest(list_transform(range(n_chars // 160), lambda k: k * 160)) AS frame_start FROM documents")
+def win_fft(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.explode(windows.frame_starts(F.col("n_chars"), 160)).alias("frame_start"))
+
+
+@query("win_seg60", "SELECT user_id, epoch_ms(ts) // 60000 AS segment, count(*) AS n FROM events GROUP BY ALL")
+def win_seg60(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("user_id", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 60).alias("segment")).agg(F.count("*").alias("n"))
+
+
+# --- predicates and projections ----------------------------------------------------------
+@query("flt_speech", """SELECT user_id, min(ts_ms) AS started_ms FROM (SELECT user_id, event_id, value, sum(100) OVER (PARTITION BY user_id ORDER BY ts, event_id) - 100 AS ts_ms FROM events) WHERE value >= 400 GROUP BY user_id""")
+def flt_speech(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, d, "events").withColumn("ts_ms", F.sum(F.lit(100).cast("long")).over(w) - 100)
+    return rows.filter("value >= 400").groupBy("user_id").agg(F.min("ts_ms").alias("started_ms"))
+
+
+@query("flt_blank", f"WITH {WORDS} SELECT stream_id, count(*) AS n FROM w WHERE trim(word) <> '' GROUP BY 1")
+def flt_blank(spark: SparkSession, d: str) -> DataFrame:
+    return words(spark, d).filter(F.trim("word") != "").groupBy("stream_id").agg(F.count("*").alias("n"))
+
+
+@query("flt_stable", f"WITH {WORDS} SELECT stream_id, pos FROM w WHERE end_ms - (pos // 10) * 3000 <= 2400")
+def flt_stable(spark: SparkSession, d: str) -> DataFrame:
+    return words(spark, d).filter(F.col("end_ms") - F.expr("pos div 10") * 3000 <= 2400).select("stream_id", "pos")
+
+
+@query("flt_jsonreq", "SELECT * FROM (VALUES ('application/json', true), ('Application/JSON; charset=utf-8', true), ('audio/wav', false), ('application/vnd.x+json', true), ('text/json', false)) t(content_type, rejected)")
+def flt_jsonreq(spark: SparkSession, d: str) -> DataFrame:
+    rows = values(spark, "content_type string", ("application/json",), ("Application/JSON; charset=utf-8",), ("audio/wav",), ("application/vnd.x+json",), ("text/json",))
+    return rows.withColumn("rejected", S.is_json_request(F.col("content_type")))
+
+
+@query("flt_role", "SELECT s_suppkey, CASE WHEN w LIKE '%decode%' THEN 'processing' WHEN w LIKE '%response%' OR w LIKE '%gpu%' OR w LIKE '%worker%' THEN 'response' END AS role FROM (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'gpu-decoder-' WHEN 1 THEN 'gpu-' WHEN 2 THEN 'my-worker-' ELSE 'node-' END || s_suppkey AS w FROM supplier)")
+def flt_role(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.expr("CASE s_suppkey % 4 WHEN 0 THEN 'GPU-Decoder-' WHEN 1 THEN 'gpu-' WHEN 2 THEN ' My-Worker-' ELSE 'node-' END"), F.col("s_suppkey").cast("string"))
+    return table(spark, d, "supplier").select("s_suppkey", S.worker_role(name).alias("role"))
+
+
+@query("flt_wants", "SELECT event_id, (event_id % 2 = 0) OR (event_id % 3 = 0) OR (event_id % 5 = 0) OR (event_id % 7 = 0) AS wants FROM events")
+def flt_wants(spark: SparkSession, d: str) -> DataFrame:
+    on = [F.col("event_id") % k == 0 for k in (2, 3, 5, 7)]  # timestamps, words, utterances, paragraphs
+    return table(spark, d, "events").select("event_id", (on[0] | on[1] | on[2] | on[3]).alias("wants"))
+
+
+@query("prj_wordsec", f"WITH {WORDS} SELECT stream_id, pos, start_ms / 1000.0 AS start_s, end_ms / 1000.0 AS end_s, 0.0::DOUBLE AS confidence FROM w".replace("1000.0", "1000::DOUBLE"))
+def prj_wordsec(spark: SparkSession, d: str) -> DataFrame:
+    return words(spark, d).select("stream_id", "pos", (F.col("start_ms") / 1000).alias("start_s"), (F.col("end_ms") / 1000).alias("end_s"), F.lit(0.0).alias("confidence"))
+
+
+@query("prj_abs", f"WITH {WORDS} SELECT stream_id, pos, start_ms + 5000 AS abs_start, end_ms + 5000 AS abs_end FROM w")
+def prj_abs(spark: SparkSession, d: str) -> DataFrame:
+    offset = S.samples_to_ms(F.lit(80_000))
+    return words(spark, d).select("stream_id", "pos", (F.col("start_ms") + offset).alias("abs_start"), (F.col("end_ms") + offset).alias("abs_end"))
+
+
+@query("val_seq", f"WITH {WORDS}, x AS (SELECT *, lag(end_ms) OVER (PARTITION BY stream_id ORDER BY pos) AS before FROM w) SELECT stream_id, count(*) AS violations FROM x WHERE NOT (start_ms < end_ms) OR start_ms < coalesce(before, 0) GROUP BY 1")
+def val_seq(spark: SparkSession, d: str) -> DataFrame:
+    before = F.lag("end_ms").over(Window.partitionBy("stream_id").orderBy("pos"))
+    rows = words(spark, d).withColumn("before", before)
+    return rows.filter(~(F.col("start_ms") < F.col("end_ms")) | (F.col("start_ms") < F.coalesce("before", F.lit(0)))).groupBy("stream_id").agg(F.count("*").alias("violations"))
+
+
+@query("val_anchor", f"WITH {WORDS}, x AS (SELECT *, lag(end_ms) OVER (PARTITION BY stream_id ORDER BY pos) AS before FROM w WHERE pos % 3 = 0) SELECT stream_id, bool_and(start_ms >= coalesce(before, 0)) AS ordered FROM x GROUP BY 1")
+def val_anchor(spark: SparkSession, d: str) -> DataFrame:
+    rows = words(spark, d).filter("pos % 3 = 0")
+    before = F.lag("end_ms").over(Window.partitionBy("stream_id").orderBy("pos"))
+    return rows.withColumn("ok", F.col("start_ms") >= F.coalesce(before, F.lit(0))).groupBy("stream_id").agg(F.bool_and("ok").alias("ordered"))
+
+
+# --- stitching ---------------------------------------------------------------------------
+@query("stt_clamp", f"""WITH {WORDS}, k AS (SELECT *, CASE WHEN pos = 0 THEN end_ms ELSE greatest(end_ms, start_ms + 1) - pos END AS k FROM w),
+e AS (SELECT *, pos + max(k) OVER (PARTITION BY stream_id ORDER BY pos) AS e FROM k)
+SELECT stream_id, pos, greatest(start_ms, coalesce(lag(e) OVER (PARTITION BY stream_id ORDER BY pos), start_ms)) AS start_ms, e AS end_ms FROM e""")
+def stt_clamp(spark: SparkSession, d: str) -> DataFrame:
+    return stitch.clamp(words(spark, d)).select("stream_id", "pos", "start_ms", "end_ms")
+
+
+def _windowed_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words of ``conversations`` seen in windows of 10 words every 8, with jitter where windows overlap."""
+    rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"), F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("pos", "word"))
+    seen = rows.withColumn("k", F.explode(F.filter(F.array(F.expr("pos div 8"), F.expr("pos div 8 - 1")), lambda k: (k >= 0))))
+    seen = seen.filter("pos - k * 8 < 10").withColumn("stitch_end_ms", F.expr("pos * 100L + 80 + k * (stream_id % 40)"))
+    return seen.select("stream_id", F.col("k").alias("window_seq"), F.col("pos").cast("long").alias("pos"), "word", F.expr("pos * 100L").alias("start_ms"), F.col("stitch_end_ms").alias("end_ms"), F.expr("pos * 100L").alias("stitch_start_ms"), "stitch_end_ms", F.lit(True).alias("stable"))
+
+
+@query("stt_commit", r"""WITH s AS (SELECT conv_id * 1000 + turn AS stream_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM (SELECT *, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws FROM conversations)),
+x AS (SELECT stream_id, k, pos, word, pos * 100 AS s, pos * 100 + 80 + k * (stream_id % 40) AS e FROM (SELECT *, unnest([pos // 8, pos // 8 - 1]) AS k FROM s) WHERE k >= 0 AND pos - k * 8 < 10),
+g AS (SELECT stream_id, list({'st': e, 'en': e, 'o': [{'word': word, 's': s, 'e': e}]} ORDER BY k, pos) AS items FROM x GROUP BY 1),
+f AS (SELECT stream_id, list_reduce(items, lambda a, b: CASE WHEN b.st <= a.st + 25 THEN a ELSE {'st': b.st, 'en': greatest(b.en, greatest(b.o[1].s, a.en) + 1), 'o': list_concat(a.o, [{'word': b.o[1].word, 's': greatest(b.o[1].s, a.en), 'e': greatest(b.en, greatest(b.o[1].s, a.en) + 1)}])} END).o AS o FROM g)
+SELECT stream_id, unnest(range(len(o))) AS "index", unnest(list_transform(o, lambda q: q.word)) AS word, unnest(list_transform(o, lambda q: q.s)) AS start_ms, unnest(list_transform(o, lambda q: q.e)) AS end_ms FROM f""")
+def stt_commit(spark: SparkSession, d: str) -> DataFrame:
+    return stitch.commit(_windowed_words(spark, d)).select("stream_id", "index", "word", "start_ms", "end_ms")
+
+
+@query("stt_preview", f"""WITH {WORDS}, l AS (SELECT stream_id, max(CASE WHEN pos % 20 < 12 AND pos < 20 THEN pos END) AS p FROM w GROUP BY 1),
+c AS (SELECT w.stream_id, w.end_ms AS cut FROM w JOIN l ON w.stream_id = l.stream_id AND w.pos = l.p),
+u AS (SELECT stream_id, 0 AS part, pos, start_ms, end_ms FROM w WHERE pos < 12 UNION ALL SELECT w.stream_id, 1, pos, start_ms, end_ms FROM w LEFT JOIN c USING (stream_id) WHERE pos >= 10 AND pos < 24 AND (cut IS NULL OR end_ms > cut + 25)),
+n AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY part, pos) - 1 AS i FROM u), k AS (SELECT *, CASE WHEN i = 0 THEN end_ms ELSE greatest(end_ms, start_ms + 1) - i END AS k FROM n),
+e AS (SELECT *, i + max(k) OVER (PARTITION BY stream_id ORDER BY i) AS e FROM k)
+SELECT stream_id, pos, greatest(start_ms, coalesce(lag(e) OVER (PARTITION BY stream_id ORDER BY i), start_ms)) AS start_ms, e AS end_ms FROM e""")
+def stt_preview(spark: SparkSession, d: str) -> DataFrame:
+    rows = words(spark, d).withColumn("stitch_end_ms", F.col("end_ms"))
+    return stitch.preview(rows.filter("pos < 12"), rows.filter("pos >= 10 and pos < 24")).select("stream_id", "pos", "start_ms", "end_ms")
+
+
+@query("stt_fragdedup", "WITH x AS (SELECT user_id, event_id, ts, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT user_id, event_id, event_type FROM x WHERE b IS NULL OR b <> event_type")
+def stt_fragdedup(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").withColumn("stream_id", F.col("user_id")).withColumn("seq", F.struct("ts", "event_id"))
+    return stitch.drop_repeated_fragments(rows, "event_type").select("user_id", "event_id", "event_type")
+
+
+@query("stt_fragmerge")
+def stt_fragmerge(spark: SparkSession, d: str) -> DataFrame:
+    return stitch.merge_fragments(table(spark, d, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), "text"))
+
+
+@query("stt_sidets", f"""WITH {WORDS}, o AS (SELECT * FROM w WHERE pos < 30), s AS (SELECT stream_id, pos, CASE WHEN stream_id % 3 = 0 AND pos = 1 THEN word || 'x' ELSE word END AS word, start_ms + 7 AS s, end_ms + 9 AS e FROM o),
+j AS (SELECT o.*, s.s, s.e, min(CASE WHEN o.word = s.word THEN 1 ELSE 0 END) OVER (PARTITION BY o.stream_id) = 1 AS applied FROM o JOIN s USING (stream_id, pos))
+SELECT stream_id, pos, word, CASE WHEN applied THEN s ELSE start_ms END AS start_ms, CASE WHEN applied THEN e ELSE end_ms END AS end_ms, start_ms AS stitch_start_ms, end_ms AS stitch_end_ms, applied FROM j""")
+def stt_sidets(spark: SparkSession, d: str) -> DataFrame:
+    own = words(spark, d).filter("pos < 30")
+    side = own.withColumn("word", F.expr("CASE WHEN stream_id % 3 = 0 AND pos = 1 THEN concat(word, 'x') ELSE word END")).withColumn("start_ms", F.col("start_ms") + 7).withColumn("end_ms", F.col("end_ms") + 9)
+    return stitch.side_times(own, side)
+
+
+# --- sessions ------------------------------------------------------------------------------
+_UTT = f"""{WORDS}, b AS (SELECT *, lag(end_ms) OVER o AS le, lag(word) OVER o AS lw FROM w WINDOW o AS (PARTITION BY stream_id ORDER BY pos)),
+m AS (SELECT *, sum(CASE WHEN le IS NULL OR greatest(start_ms - le, 0) >= {GAP} OR regexp_matches(lw, '[.!?]$') THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY pos) AS utterance FROM b),
+p AS (SELECT *, row_number() OVER (PARTITION BY stream_id, utterance ORDER BY pos) - 1 AS i FROM m),
+u AS (SELECT stream_id, utterance::BIGINT AS utterance, printf('utt-%04d', utterance::INT) AS id, arg_min(start_ms, pos) AS start_ms, arg_max(end_ms, pos) AS end_ms, count(*) AS n_words, string_agg({DUCK_JOIN.format(i='i', w='word')}, '' ORDER BY pos) AS transcript FROM p GROUP BY stream_id, p.utterance)"""
+
+
+@query("ses_utt", f"WITH {_UTT} SELECT * FROM u")
+def ses_utt(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.utterances(words(spark, d), GAP)
+
+
+@query("flagship_utterances", f"WITH {_UTT} SELECT stream_id, id, start_ms, end_ms, transcript FROM u")
+def flagship_utterances(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.utterances(words(spark, d), GAP).select("stream_id", "id", "start_ms", "end_ms", "transcript")
+
+
+@query("ses_gaps", """WITH x AS (SELECT user_id, event_id, ts, epoch_ms(ts) AS s, epoch_ms(ts) + CAST(round(value * 1000) AS BIGINT) AS e FROM events),
+b AS (SELECT *, lag(e) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS le FROM x), m AS (SELECT *, sum(CASE WHEN le IS NULL OR greatest(s - le, 0) >= 21600000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM b)
+SELECT user_id, session::BIGINT AS session, count(*) AS n, min(s) AS start_ms FROM m GROUP BY ALL""")
+def ses_gaps(spark: SparkSession, d: str) -> DataFrame:
+    start = F.unix_millis(F.col("ts").cast("timestamp"))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("stream_id"), F.struct("ts", "event_id").alias("pos"), start.alias("start_ms"), (start + F.round(F.col("value") * 1000).cast("long")).alias("end_ms"), F.lit("x").alias("word"))
+    return sessions.boundaries(rows, 21_600_000).groupBy(F.col("stream_id").alias("user_id"), F.col("utterance").alias("session")).agg(F.count("*").alias("n"), F.min("start_ms").alias("start_ms"))
+
+
+@query("ses_empty", f"""WITH {_UTT} SELECT stream_id, utterance, id, start_ms, end_ms, n_words FROM u WHERE stream_id % 5 <> 0
+UNION ALL SELECT doc_id, 1, 'utt-0001', 0, 60 * n_chars, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) FROM documents WHERE doc_id % 5 = 0 AND trim(text) <> ''""")
+def ses_empty(spark: SparkSession, d: str) -> DataFrame:
+    found = sessions.utterances(words(spark, d), GAP).filter("stream_id % 5 <> 0")
+    streams = _docs(spark, d).select("stream_id", F.col("text").alias("transcript"), (F.col("n_chars") * 60).alias("duration_ms"))
+    return sessions.with_silent_streams(found, streams).drop("transcript")
+
+
+@query("ses_stream", f"WITH {_UTT} SELECT stream_id, utterance, start_ms, end_ms FROM (SELECT *, max(utterance) OVER (PARTITION BY stream_id) AS l FROM u) WHERE utterance < l")
+def ses_stream(spark: SparkSession, d: str) -> DataFrame:
+    rows = words(spark, d).withColumn("stitch_start_ms", F.col("start_ms")).withColumn("stitch_end_ms", F.col("end_ms"))
+    return sessions.auto_segments(rows, GAP).select("stream_id", "utterance", "start_ms", "end_ms")
+
+
+@query("ses_para", f"WITH {_UTT} SELECT stream_id, sum(n_words)::BIGINT AS num_words, min(start_ms) AS start_ms, arg_max(end_ms, utterance) AS end_ms, count(*) AS n_sentences, string_agg(transcript, ' ' ORDER BY utterance) AS transcript FROM u GROUP BY 1")
+def ses_para(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.paragraphs(sessions.utterances(words(spark, d), GAP))
+
+
+@query("ses_resp")
+def ses_resp(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.response(words(spark, d), GAP)
+
+
+@query("ses_join", f"WITH {WORDS} SELECT stream_id, string_agg({DUCK_JOIN.format(i='pos', w='word')}, '' ORDER BY pos) AS transcript FROM w GROUP BY 1")
+def ses_join(spark: SparkSession, d: str) -> DataFrame:
+    ws = words(spark, d).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("ws"))
+    return ws.select("stream_id", S.join_words(F.transform("ws", lambda x: x["word"])).alias("transcript"))
+
+
+@query("ses_fallback", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE trim(source) END AS transcript FROM documents")
+def ses_fallback(spark: SparkSession, d: str) -> DataFrame:
+    joined = F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("")
+    return table(spark, d, "documents").select("doc_id", F.coalesce(F.nullif(joined, F.lit("")), F.trim("source")).alias("transcript"))
+
+
+@query("ses_sent", f"WITH {WORDS} SELECT stream_id, sum(CASE WHEN regexp_matches(word, '[.!?]$') THEN 1 ELSE 0 END)::BIGINT AS n FROM w GROUP BY 1")
+def ses_sent(spark: SparkSession, d: str) -> DataFrame:
+    return words(spark, d).groupBy("stream_id").agg(F.count_if(S.ends_sentence(F.col("word"))).alias("n"))
+
+
+# --- timing --------------------------------------------------------------------------------
+_SPANS = r"""sp AS (SELECT stream_id, pos, word, sum(g + n) OVER (PARTITION BY stream_id ORDER BY pos) AS "end", sum(g + n) OVER (PARTITION BY stream_id ORDER BY pos) - n AS start
+FROM (SELECT doc_id AS stream_id, unnest(range(len(ws))) AS pos, unnest(ws) AS word, unnest(list_transform(ws, lambda x: strlen(x))) AS n, unnest(list_transform(gs[1:len(ws)], lambda x: strlen(x))) AS g
+FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS ws, string_split_regex(text, '\S+') AS gs FROM documents)))"""
+
+
+@query("tim_spans", f'WITH {_SPANS} SELECT stream_id, pos, word, start::BIGINT AS start, "end"::BIGINT AS "end" FROM sp')
+def tim_spans(spark: SparkSession, d: str) -> DataFrame:
+    return timing.word_spans(_docs(spark, d).select("stream_id", "text"))
+
+
+@query("tim_overlap", f"""WITH {_SPANS} SELECT sp.stream_id, pos, ("start" // 5)::BIGINT AS first_token, (("end" - 1) // 5)::BIGINT AS last_token FROM sp""")
+def tim_overlap(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    n = F.octet_length("text")
+    tokens = docs.filter(n > 0).select("stream_id", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(n / 5) - 1)).alias("token")).select("stream_id", "token", (F.col("token") * 5).alias("start"), (F.col("token") * 5 + 5).alias("end"))
+    return timing.overlap_bounds(timing.word_spans(docs.select("stream_id", "text")), tokens).select("stream_id", "pos", "first_token", "last_token")
+
+
+_PROP = f"""{_SPANS}, q AS (SELECT sp.stream_id, pos, start, "end", strlen(text) AS l, (n_chars + 3) // 4 AS t, 60 * n_chars AS d FROM sp JOIN documents ON doc_id = stream_id),
+pr AS (SELECT *, least(start * t // l, t - 1) AS f, least(greatest(("end" * t + l - 1) // l, least(start * t // l, t - 1) + 1), t) AS z FROM q)"""
+
+
+def _estimable(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    spans = timing.word_spans(docs.select("stream_id", "text"))
+    facts = docs.select("stream_id", F.octet_length("text").cast("long").alias("length"), F.expr("(n_chars + 3) div 4").alias("tokens"), (F.col("n_chars") * 60).alias("duration_ms"))
+    return spans.join(facts, "stream_id")
+
+
+@query("tim_prop", f"WITH {_PROP} SELECT stream_id, pos, f::BIGINT AS first, z::BIGINT AS last FROM pr")
+def tim_prop(spark: SparkSession, d: str) -> DataFrame:
+    first, last = timing.proportional_bounds(F.col("start"), F.col("end"), F.col("length"), F.col("tokens"))
+    return _estimable(spark, d).select("stream_id", "pos", first.alias("first"), last.alias("last"))
+
+
+@query("tim_est", f"""WITH {_PROP}, t AS (SELECT *, least(CAST(round(f / t * d) AS BIGINT), d) AS s, least(CAST(round(z / t * d) AS BIGINT), d) AS e FROM pr),
+x AS (SELECT *, least(d, pos + max(greatest(e, s + 1) - pos) OVER (PARTITION BY stream_id ORDER BY pos)) AS en FROM t)
+SELECT stream_id, pos, least(greatest(s, coalesce(lag(en) OVER (PARTITION BY stream_id ORDER BY pos), 0)), en)::BIGINT AS start_ms, en::BIGINT AS end_ms FROM x""")
+def tim_est(spark: SparkSession, d: str) -> DataFrame:
+    return timing.estimate(_estimable(spark, d)).select("stream_id", "pos", "start_ms", "end_ms")
+
+
+@query("tim_tok2ms", "SELECT event_id, least(CAST(round((event_id % 100) / 100 * user_id) AS BIGINT), user_id) AS ms FROM events")
+def tim_tok2ms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", S.token_to_ms(F.col("event_id") % 100, F.lit(100), F.col("user_id")).alias("ms"))
+
+
+@query("tim_tokspan", f"""WITH {WORDS}, x AS (SELECT stream_id, pos, CASE WHEN pos % 4 = 3 THEN pos * 5 - 6 ELSE pos * 5 + 3 END AS l FROM w), y AS (SELECT *, coalesce(max(l) OVER (PARTITION BY stream_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM x)
+SELECT stream_id, pos AS token, s AS start, l AS "end" FROM y WHERE l > s""")
+def tim_tokspan(spark: SparkSession, d: str) -> DataFrame:
+    rows = words(spark, d).select("stream_id", F.col("pos").alias("token"), F.expr("CASE WHEN pos % 4 = 3 THEN pos * 5 - 6 ELSE pos * 5 + 3 END").alias("length"))
+    return timing.token_spans(rows)
+
+
+@query("tim_frame2ms", "SELECT doc_id, least(greatest(CAST(round(n_chars * 160 * 8 * 1000.0::DOUBLE / 16000 - 69) AS BIGINT), 0), 250000) AS ms FROM documents")
+def tim_frame2ms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", S.frame_to_ms(F.col("n_chars"), 160, 8, 16_000, F.lit(-69), F.lit(250_000).cast("long")).alias("ms"))
+
+
+@query("tim_interp", "SELECT event_id, CASE WHEN user_id <= 40 THEN 40 ELSE 40 + (user_id - 40) * (event_id % 7) // 7 END AS ms FROM events")
+def tim_interp(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", S.interpolate_ms(F.lit(40).cast("long"), F.col("user_id"), F.col("event_id") % 7, F.lit(7)).alias("ms"))
+
+
+@query("tim_remap", "SELECT event_id, 1000 + (least(greatest(event_id % 500, 100), 400) - 100) * (user_id + 10) // 300 AS ms FROM events")
+def tim_remap(spark: SparkSession, d: str) -> DataFrame:
+    c = lambda v: F.lit(v).cast("long")
+    return table(spark, d, "events").select("event_id", S.remap_ms(F.col("event_id") % 500, c(100), c(400), c(1000), F.col("user_id") + 1010).alias("ms"))
+
+
+@query("tim_offset", "SELECT event_id, least(greatest(user_id - 69, 0), 50) AS ms FROM events")
+def tim_offset(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", S.offset_ms(F.col("user_id"), F.lit(-69), F.lit(50).cast("long")).alias("ms"))
+
+
+@query("tim_wordframes", f"""WITH {WORDS}, x AS (SELECT stream_id, pos, pos * 2 AS ts, pos * 2 + 2 AS te FROM w WHERE pos < 20), fr AS (SELECT stream_id, unnest(range(40)) AS token FROM (SELECT DISTINCT stream_id FROM x)),
+g AS (SELECT x.stream_id, x.pos, ts, te, min(token * 3 + 1) AS f, max(token * 3 + 2) AS l FROM x LEFT JOIN fr ON fr.stream_id = x.stream_id AND token >= ts AND token < te AND token % 4 < 3 AND x.pos % 5 <> 4 GROUP BY ALL),
+h AS (SELECT *, coalesce(f, least((ts + te) // 2 * 125 // 40, 124)) AS f2, coalesce(l, coalesce(f, least((ts + te) // 2 * 125 // 40, 124))) AS l2 FROM g),
+k AS (SELECT *, lead(f2) OVER (PARTITION BY stream_id ORDER BY pos) AS nx FROM h)
+SELECT stream_id, pos, least(greatest(CAST(round(f2 * 1280000::DOUBLE / 16000) AS BIGINT), 0), 10000) AS start_ms, least(greatest(CAST(round(CASE WHEN nx > f2 THEN nx ELSE l2 + 1 END * 1280000::DOUBLE / 16000) AS BIGINT), 0), 10000) AS end_ms FROM k""")
+def tim_wordframes(spark: SparkSession, d: str) -> DataFrame:
+    ws = words(spark, d).filter("pos < 20").select("stream_id", "pos", (F.col("pos") * 2).alias("token_start"), (F.col("pos") * 2 + 2).alias("token_end"), F.lit(40).cast("long").alias("n_tokens"), F.lit(10_000).cast("long").alias("duration"))
+    frames = ws.filter("pos % 5 <> 4").select("stream_id", F.explode(F.array("token_start", F.col("token_start") + 1)).alias("token")).filter("token % 4 < 3").select("stream_id", "token", (F.col("token") * 3 + 1).alias("first"), (F.col("token") * 3 + 2).alias("last"))
+    return timing.words_from_frames(ws, frames, 125, "n_tokens", "duration").select("stream_id", "pos", "start_ms", "end_ms")

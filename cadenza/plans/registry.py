@@ -1,10 +1,8 @@
-"""Queries over the supplied tables, one per operator, and their DuckDB SQL."""
+"""All queries of the engine itself and their DuckDB SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from cadenza.plans import reference_a  # noqa: F401  registers its queries
+from cadenza.plans.base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
