@@ -59,7 +59,7 @@ def win_fft(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.explode(windows.frame_starts(F.col("n_chars"), 160)).alias("frame_start"))
 
 
-@query("win_seg60", "SELECT user_id, epoch_ms(ts) // 60000 AS segment, count(*) AS n FROM events GROUP BY ALL")
+@query("win_seg60", "SELECT user_id, epoch_us(ts) // 60000000 AS segment, count(*) AS n FROM events GROUP BY ALL")
 def win_seg60(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 60).alias("segment")).agg(F.count("*").alias("n"))
 
@@ -198,7 +198,7 @@ def flagship_utterances(spark: SparkSession, d: str) -> DataFrame:
     return sessions.utterances(words(spark, d), GAP).select("stream_id", "id", "start_ms", "end_ms", "transcript")
 
 
-@query("ses_gaps", """WITH x AS (SELECT user_id, event_id, ts, epoch_ms(ts) AS s, epoch_ms(ts) + CAST(round(value * 1000) AS BIGINT) AS e FROM events),
+@query("ses_gaps", """WITH x AS (SELECT user_id, event_id, ts, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + CAST(round(value * 1000) AS BIGINT) AS e FROM events),
 b AS (SELECT *, lag(e) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS le FROM x), m AS (SELECT *, sum(CASE WHEN le IS NULL OR greatest(s - le, 0) >= 21600000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM b)
 SELECT user_id, session::BIGINT AS session, count(*) AS n, min(s) AS start_ms FROM m GROUP BY ALL""")
 def ses_gaps(spark: SparkSession, d: str) -> DataFrame:

@@ -1,0 +1,403 @@
+"""Queries for sources, sinks, scalars, aggregates and alignment."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cadenza.functions import frontend
+from cadenza.functions import scalars as S
+from cadenza.operators import align, metrics
+from cadenza.plans.base import WORDS, query, table, values, words
+from cadenza.sources import sinks, streams
+
+
+# --- sources -------------------------------------------------------------------------------
+@query("src_valid", "SELECT * FROM (VALUES ('f32le', 16000, 1, true), ('f32le', 8000, 1, false), ('s16le', 16000, 1, false), ('f32le', 16000, 2, false)) t(encoding, rate, channels, ok)")
+def src_valid(spark: SparkSession, d: str) -> DataFrame:
+    rows = values(spark, "encoding string, rate int, channels int", ("f32le", 16000, 1), ("f32le", 8000, 1), ("s16le", 16000, 1), ("f32le", 16000, 2))
+    return rows.withColumn("ok", streams.valid_head(F.col("encoding"), F.col("rate"), F.col("channels")))
+
+
+@query("src_f32le", "SELECT vec_id, 64 AS n, true AS same FROM embeddings")
+def src_f32le(spark: SparkSession, d: str) -> DataFrame:
+    rows = sinks.encode_samples(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding")
+    return streams.decode_samples(rows, "body").select("vec_id", F.size("samples").alias("n"), (F.col("samples") == F.col("embedding").cast("array<float>")).alias("same"))
+
+
+@query("snk_f32le", "SELECT vec_id, 256 AS n_bytes FROM embeddings")
+def snk_f32le(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.encode_samples(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding").select("vec_id", F.length("body").alias("n_bytes"))
+
+
+@query("src_codec", "SELECT o_orderkey, list_transform([o_orderkey % 100, o_custkey % 100], lambda x: ((x + 32 * 256)::DOUBLE / 32768)) AS samples FROM orders")
+def src_codec(spark: SparkSession, d: str) -> DataFrame:
+    two = lambda c: F.concat(F.char((F.col(c) % 100).cast("int")), F.lit(" "))
+    rows = table(spark, d, "orders").select("o_orderkey", F.concat(two("o_orderkey"), two("o_custkey")).cast("binary").alias("body"))
+    return streams.decode_samples(rows, "body", encoding="linear16").select("o_orderkey", F.col("samples").cast("array<double>").alias("samples"))
+
+
+@query("src_jsonref", "SELECT conv_id::VARCHAR AS key, 0 AS pos, role AS word, turn::DOUBLE AS start, turn + 0.5::DOUBLE AS \"end\" FROM conversations WHERE turn = 0 UNION ALL SELECT conv_id::VARCHAR, 1, 'x', 1.5::DOUBLE, 2.5::DOUBLE FROM conversations WHERE turn = 0")
+def src_jsonref(spark: SparkSession, d: str) -> DataFrame:
+    first = table(spark, d, "conversations").filter("turn = 0")
+    text = F.format_string('{"%d":{"word_segments":[{"word":"%s","start":%d.0,"end":%d.5},{"word":"x","start":1.5,"end":2.5}]}}', "conv_id", "role", "turn", "turn")
+    return streams.alignments(first.select(text.alias("json")), "json")
+
+
+@query("src_jsonkey", "SELECT event_id, props->>'k' AS value FROM events")
+def src_jsonkey(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", streams.lookup(F.col("props"), "k").alias("value"))
+
+
+@query("src_opts", """SELECT * FROM (VALUES
+('a', true, true, true, true, true, 2, 1.5, 250, 8000, 'linear16', 'fr', 'nova'), ('b', false, false, false, false, false, 1, 0.8, NULL, NULL, NULL, NULL, NULL), ('c', false, false, false, false, false, 1, 0.8, NULL, NULL, NULL, NULL, NULL),
+('d', false, false, false, false, false, 3, 0.8, NULL, NULL, NULL, NULL, NULL), ('e', false, false, false, true, true, 1, 0.8, NULL, NULL, NULL, 'de', NULL))
+t(name, utterances, paragraphs, interim_results, timestamps, words, channels, utt_split, endpointing, sample_rate, encoding, language, model)""".replace("1.5,", "1.5::DOUBLE,").replace("0.8,", "0.8::DOUBLE,"))
+def src_opts(spark: SparkSession, d: str) -> DataFrame:
+    rows = values(spark, "name string, uri string, headers map<string,string>",
+        ("a", "/v1/listen?utterances=true&paragraphs=1&utt_split=1.5&language=fr&model=nova&timestamps=true&interim_results=true&encoding=linear16&sample_rate=8000&channels=2&endpointing=250", {}),
+        ("b", "/v1/listen?timestamps=true", {"timestamps": "false"}),
+        ("c", "/v1/listen", {}),
+        ("d", "/v1/listen?channels=2&channels=3&channels=x&endpointing=-1&encoding=opus&words=true", {"words": "maybe"}),
+        ("e", "/v1/listen?timestamps=YES&language=de", {"words": "true"}),
+    )
+    o = rows.select("name", streams.listen_options(F.col("uri"), F.col("headers")).alias("o"))
+    return o.select("name", *(F.col(f"o.{c}").alias(c) for c in ("utterances", "paragraphs", "interim_results", "timestamps", "words", "channels", "utt_split", "endpointing", "sample_rate", "encoding", "language", "model")))
+
+
+@query("src_query_values", "SELECT page_id, k, regexp_extract(url, '[?&]' || k || '=([^&#]*)', 1) AS v FROM pages, (VALUES ('page'), ('ref')) t(k) WHERE regexp_matches(url, '[?&]' || k || '=')")
+def src_query_values(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "pages").select("page_id", F.explode(streams.query_values(F.col("url"))).alias("p"))
+    return rows.select("page_id", "p.k", "p.v").filter(F.col("k").isin("page", "ref"))
+
+
+@query("src_reqid", "SELECT event_id, CASE WHEN user_id - 20 > 0 THEN user_id - 20 WHEN event_id > 0 THEN event_id END AS request_id FROM events")
+def src_reqid(spark: SparkSession, d: str) -> DataFrame:
+    second = F.concat(F.lit(" "), F.col("event_id").cast("string"))
+    return table(spark, d, "events").select("event_id", streams.request_id((F.col("user_id") - 20).cast("string"), second).alias("request_id"))
+
+
+@query("src_vocab", "SELECT n_nationkey AS id, '▁' || n_name AS piece FROM nation")
+def src_vocab(spark: SparkSession, d: str) -> DataFrame:
+    whole = table(spark, d, "nation").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("n_nationkey").cast("string"), F.concat(F.lit("▁"), F.col("n_name"))))) ).alias("json"))
+    return streams.vocabulary(whole, "json")
+
+
+# --- sinks ---------------------------------------------------------------------------------
+@query("snk_stage", """SELECT conv_id * 1000 + turn AS stream_id, 0 AS seq, 'head' AS kind, NULL AS part FROM conversations UNION ALL
+SELECT conv_id * 1000 + turn, k + 1, 'body', substring(text, k * 100 + 1, 100) FROM (SELECT *, unnest(range((length(text) + 99) // 100)) AS k FROM conversations) UNION ALL
+SELECT conv_id * 1000 + turn, (length(text) + 99) // 100 + 1, 'end', NULL FROM conversations""")
+def snk_stage(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.staged(table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"), "text"), "text", 100)
+
+
+@query("snk_ndjson", "SELECT to_json({'conv_id': conv_id, 'turn': turn, 'role': role})::VARCHAR AS value FROM conversations")
+def snk_ndjson(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.ndjson(table(spark, d, "conversations"), "conv_id", "turn", "role")
+
+
+@query("snk_ws", r"""WITH a AS (SELECT conv_id, string_agg(text || chr(13) || chr(10) || chr(10), '' ORDER BY turn) AS t FROM conversations GROUP BY 1),
+l AS (SELECT conv_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '\r$', '')), lambda x: x <> '') AS ls FROM a) SELECT conv_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM l""")
+def snk_ws(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.lines(table(spark, d, "conversations").withColumn("text", F.concat("text", F.lit("\r\n\n"))), "conv_id", "turn", "text")
+
+
+@query("snk_json", "SELECT o_orderkey, to_json({'key': o_orderkey, 'meta': {'status': o_orderstatus}, 'tags': [o_orderpriority]})::VARCHAR AS body FROM orders")
+def snk_json(spark: SparkSession, d: str) -> DataFrame:
+    body = F.struct(F.col("o_orderkey").alias("key"), F.struct(F.col("o_orderstatus").alias("status")).alias("meta"), F.array("o_orderpriority").alias("tags"))
+    return table(spark, d, "orders").select("o_orderkey", F.to_json(body).alias("body"))
+
+
+@query("snk_err", "SELECT * FROM (VALUES ('Request body was empty', 400, 400), ('no live worker capacity', 503, 500), ('boom', 500, 500), ('could not decode it', 400, 400)) t(message, front, worker)")
+def snk_err(spark: SparkSession, d: str) -> DataFrame:
+    rows = values(spark, "message string", ("Request body was empty",), ("no live worker capacity",), ("boom",), ("could not decode it",))
+    return rows.select("message", S.error_status(F.col("message")).alias("front"), S.error_status(F.col("message"), False).alias("worker"))
+
+
+@query("snk_manifest", "SELECT p_partkey AS path, p_size AS size, 'upload' AS change FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, p_size + 1, 'delete' FROM part WHERE p_partkey % 3 = 0")
+def snk_manifest(spark: SparkSession, d: str) -> DataFrame:
+    local = table(spark, d, "part").select(F.col("p_partkey").alias("path"), F.col("p_size").cast("long").alias("size"))
+    return sinks.manifest_changes(local, local.withColumn("size", F.col("size") + (F.col("path") % 3 == 0).cast("long")))
+
+
+# --- normalisers and strings -----------------------------------------------------------------
+_ODD = "SELECT word FROM (VALUES ('Americans,'), ('don''t'), ('Cohere’s'), ('CAFÉ'), ('--x!?')) t(word)"
+
+
+def _odd(spark: SparkSession, d: str) -> DataFrame:
+    return words(spark, d).select("word").distinct().unionByName(values(spark, "word string", ("Americans,",), ("don't",), ("Cohere’s",), ("CAFÉ",), ("--x!?",)))
+
+
+def _normaliser(name: str, sql: str, f) -> None:  # noqa: ANN001
+    @query(name, f"WITH {WORDS}, o AS (SELECT DISTINCT word FROM w UNION ALL {_ODD}) SELECT word, {sql} AS normal FROM o")
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return _odd(spark, d).withColumn("normal", f(F.col("word")))
+
+
+_normaliser("n1", r"regexp_replace(translate(lower(word), '‘’', ''''''), '[^\p{L}\p{N}'']', '', 'g')", S.normalize_ctc)
+_normaliser("n2", "lower(regexp_replace(word, '[^A-Za-z0-9'']', '', 'g'))", S.normalize_ascii)
+_normaliser("n3", r"regexp_replace(lower(word), '[^\p{L}\p{N}]', '', 'g')", S.normalize_alnum)
+_normaliser("n4", r"translate(regexp_replace(word, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", S.normalize_edges)
+
+
+@query("str_piece", "SELECT n_nationkey, CASE WHEN n_nationkey % 5 <> 0 THEN n_name END AS text, n_nationkey % 2 = 0 AND n_nationkey % 5 <> 0 AS starts FROM nation")
+def str_piece(spark: SparkSession, d: str) -> DataFrame:
+    piece = F.expr("CASE WHEN n_nationkey % 5 = 0 THEN '<unk>' WHEN n_nationkey % 2 = 0 THEN concat('▁', n_name) ELSE n_name END")
+    return table(spark, d, "nation").select("n_nationkey", S.piece_text(piece).alias("text"), S.starts_word(piece).alias("starts"))
+
+
+@query("str_pad", "SELECT s_suppkey, printf('utt-%04d', s_suppkey) AS id FROM supplier")
+def str_pad(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").select("s_suppkey", S.utterance_id(F.col("s_suppkey")).alias("id"))
+
+
+@query("str_envnorm", "SELECT p_partkey, replace(lower(trim(p_brand)), '-', '_') AS name FROM part")
+def str_envnorm(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", S.enum_name(F.concat(F.lit(" "), F.upper("p_brand"))).alias("name"))
+
+
+@query("hsh_sha", "SELECT doc_id, sha256(text) AS digest FROM documents")
+def hsh_sha(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
+@query("jsn", "SELECT event_id, (props->>'k')::INT AS k FROM events")
+def jsn(spark: SparkSession, d: str) -> DataFrame:
+    back = F.from_json(F.to_json(F.from_json("props", "k int")), "k int")
+    return table(spark, d, "events").select("event_id", back["k"].alias("k"))
+
+
+# --- samples and features ----------------------------------------------------------------------
+@query("mth_rms", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / 64), 6) AS rms FROM embeddings")
+def mth_rms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", F.round(S.rms(F.col("embedding")), 6).alias("rms"))
+
+
+@query("mth_preemph", "SELECT vec_id, i, round(CASE WHEN i = 0 THEN embedding[1]::DOUBLE ELSE embedding[i + 1]::DOUBLE - 0.97::DOUBLE * embedding[i]::DOUBLE END, 6) AS y FROM embeddings, range(64) t(i)")
+def mth_preemph(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode(S.preemphasis(F.col("embedding"))).alias("i", "y")).withColumn("y", F.round("y", 6))
+
+
+@query("mth_hann", "SELECT i, round(CASE WHEN i >= 56 AND i < 456 THEN 0.5 - 0.5 * cos(2 * pi() * (i - 56) / 399) ELSE 0 END, 9)::DOUBLE AS w FROM range(512) t(i)")
+def mth_hann(spark: SparkSession, d: str) -> DataFrame:
+    return spark.range(1).select(F.posexplode(frontend.hann()).alias("i", "w")).withColumn("w", F.round("w", 9))
+
+
+_MEL = """e AS (SELECT i, m, CASE WHEN m < 15 THEN m * 200 / 3 ELSE 1000 * exp(ln(6.4) * (m - 15) / 27) END AS hz FROM (SELECT i, i * (15 + 27 * ln(8.0) / ln(6.4)) / 129 AS m FROM range(130) t(i))),
+f AS (SELECT a.i AS band, k AS bin, greatest(0, least((k * 31.25 - a.hz) / (b.hz - a.hz), (c.hz - k * 31.25) / (c.hz - b.hz))) * 2 / (c.hz - a.hz) AS w FROM e a JOIN e b ON b.i = a.i + 1 JOIN e c ON c.i = a.i + 2, range(257) t(k))"""
+
+
+@query("mth_mel", f"WITH {_MEL} SELECT band, count(*) FILTER (w > 0) AS bins, round(sum(w), 5) AS area FROM f GROUP BY band".replace("6.4", "6.4::DOUBLE").replace("8.0", "8::DOUBLE").replace("31.25", "31.25::DOUBLE"))
+def mth_mel(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(i, int((x > 0).sum()), round(float(x.sum()), 5)) for i, x in enumerate(frontend.mel_filters())]
+    return values(spark, "band long, bins long, area double", *rows)
+
+
+@query("mth_norm", "SELECT label, round(avg(z), 6) + 0.0 AS mean, round(stddev_samp(z), 4) AS deviation FROM (SELECT label, (x - avg(x) OVER p) / (stddev_samp(x) OVER p + 1e-5) AS z FROM (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings) WINDOW p AS (PARTITION BY label)) GROUP BY 1")
+def mth_norm(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select("label", F.explode(F.col("embedding").cast("array<double>")).alias("x"))
+    p = Window.partitionBy("label")
+    z = (F.col("x") - F.avg("x").over(p)) / (F.coalesce(F.stddev_samp("x").over(p), F.lit(0.0)) + 1e-5)
+    return rows.withColumn("z", z).groupBy("label").agg((F.round(F.avg("z"), 6) + 0.0).alias("mean"), F.round(F.stddev_samp("z"), 4).alias("deviation"))
+
+
+@query("mth_logmel")
+def mth_logmel(spark: SparkSession, d: str) -> DataFrame:
+    rows = frontend.log_mel(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", mels=8, n_fft=16, hop=8, win=16)
+    return rows.select("vec_id", F.posexplode("features").alias("band", "values"))
+
+
+@query("mth_argmax1", "SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS token FROM embeddings")
+def mth_argmax1(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", S.argmax_first(F.col("embedding")).alias("token"))
+
+
+@query("mth_argmax2", "SELECT vec_id, 64 - list_position(list_reverse(list_transform(embedding, lambda x: round(x))), list_max(list_transform(embedding, lambda x: round(x)))) AS token FROM embeddings")
+def mth_argmax2(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", S.argmax_last(F.transform("embedding", lambda x: F.round(x))).alias("token"))
+
+
+@query("mth_mid", f"WITH {WORDS} SELECT stream_id, pos, (start_ms + end_ms) // 2 AS mid, abs(start_ms - 1000) AS off, CAST(round(start_ms / 1000::DOUBLE * 1000) AS BIGINT) AS ms FROM w")
+def mth_mid(spark: SparkSession, d: str) -> DataFrame:
+    return words(spark, d).select("stream_id", "pos", S.midpoint(F.col("start_ms"), F.col("end_ms")).alias("mid"), F.abs(F.col("start_ms") - 1000).alias("off"), S.seconds_to_ms(F.col("start_ms") / 1000).alias("ms"))
+
+
+# --- aggregates ----------------------------------------------------------------------------------
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings as 8 frames of 8 logits; the argmax of each frame."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("stream_id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("frame"))
+    return rows.select("stream_id", "frame", S.argmax_first(F.slice("embedding", F.col("frame") * 8 + 1, F.lit(8))).cast("long").alias("token"))
+
+
+_TOKENS = """k AS (SELECT vec_id AS stream_id, f AS frame, list_position(embedding[f * 8 + 1 : f * 8 + 8], list_max(embedding[f * 8 + 1 : f * 8 + 8])) - 1 AS token FROM embeddings, range(8) t(f)),
+r AS (SELECT *, sum(CASE WHEN token <> 7 AND (b IS NULL OR b <> token) THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY frame)::BIGINT AS run FROM (SELECT *, lag(token) OVER (PARTITION BY stream_id ORDER BY frame) AS b FROM k)),
+c AS (SELECT stream_id, run, token, min(frame) AS first, max(frame) AS last FROM r WHERE token <> 7 GROUP BY ALL)"""
+
+
+@query("agg_collapse", f"WITH {_TOKENS} SELECT * FROM c")
+def agg_collapse(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.collapse(_tokens(spark, d), 7)
+
+
+@query("agg_words", f"""WITH {_TOKENS}, p AS (SELECT *, 'P' || token AS text, token % 2 = 0 AS st FROM c), q AS (SELECT *, sum(st::INT) OVER (PARTITION BY stream_id ORDER BY run)::BIGINT AS pos FROM p)
+SELECT stream_id, pos, lower(string_agg(text, '' ORDER BY run)) AS word, least(CAST(round(min(first) * 80.0) AS BIGINT), 600) AS start_ms, least(CAST(round((max(last) + 1) * 80.0) AS BIGINT), 600) AS end_ms FROM q GROUP BY 1, 2""")
+def agg_words(spark: SparkSession, d: str) -> DataFrame:
+    pieces = values(spark, "token long, piece string", *((k, ("▁" if k % 2 == 0 else "") + f"P{k}") for k in range(7)))
+    return metrics.words_of_runs(metrics.collapse(_tokens(spark, d), 7), pieces, 600)
+
+
+def _turn_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbouring turns of a conversation as hypothesis and reference words."""
+    rows = table(spark, d, "conversations")
+    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return rows.withColumn("ref", after).filter("ref is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"), F.col("text").alias("hyp"), "ref")
+
+
+def _normal(text: str) -> list[str]:
+    return ["".join(c for c in w.lower() if c.isascii() and (c.isalnum() or c == "'")) for w in text.split()]
+
+
+def _eval(pdf: pd.DataFrame) -> pd.DataFrame:
+    hyp, ref = _normal(pdf["hyp"][0]), _normal(pdf["ref"][0])
+    edits = align.edit_distance([w for w in hyp if w], [w for w in ref if w])
+    return pd.DataFrame({"stream_id": pdf["stream_id"], "matched": [len(align.lcs(hyp, ref))], "edits": [edits], "ref_words": [sum(map(bool, ref))], "raw_words": [len(ref)]})
+
+
+def _evaluated(spark: SparkSession, d: str) -> DataFrame:
+    return align.by_stream(_turn_pairs(spark, d), _eval, "stream_id long, matched long, edits long, ref_words long, raw_words long")
+
+
+@query("aln_lcs")
+def aln_lcs(spark: SparkSession, d: str) -> DataFrame:
+    return _evaluated(spark, d).select("stream_id", "matched")
+
+
+@query("aln_edit")
+def aln_edit(spark: SparkSession, d: str) -> DataFrame:
+    return _evaluated(spark, d).select("stream_id", "edits")
+
+
+@query("agg_wer")
+def agg_wer(spark: SparkSession, d: str) -> DataFrame:
+    return _evaluated(spark, d).agg(F.sum("edits").alias("edits"), F.sum("raw_words").alias("words"), (F.sum("edits") / F.greatest(F.sum("raw_words"), F.lit(1))).alias("corpus_wer"), metrics.mean_or_nan(F.col("edits") / F.greatest("ref_words", F.lit(1))).alias("mean_wer"))
+
+
+@query("aln_charedit", "SELECT n_regionkey, sum(levenshtein(n_name, r_name))::BIGINT AS edits FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def aln_charedit(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.groupBy("n_regionkey").agg(F.sum(F.levenshtein("n_name", "r_name")).alias("edits"))
+
+
+@query("aln_viterbi")
+def aln_viterbi(spark: SparkSession, d: str) -> DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        spans = align.forced_align(np.array(pdf["embedding"][0], float).reshape(8, 8), [int(pdf["label"][0]) % 7, 6, 0], 7)
+        return pd.DataFrame([(pdf["vec_id"][0], k, *s) for k, s in enumerate(spans)], columns=["vec_id", "k", "first", "last"])
+
+    return align.by_stream(table(spark, d, "embeddings"), run, "vec_id long, k long, first long, last long", "vec_id")
+
+
+def _timed(text: str, step: int) -> tuple[list[str], list[tuple[int, int]]]:
+    ws = _normal(text)
+    return ws, [(k * step, k * step + step - 10) for k in range(len(ws))]
+
+
+@query("aln_anchor")
+def aln_anchor(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn retimed by itself with every seventh word misheard."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ref, ref_ms = _timed(pdf["hyp"][0], 100)
+        hyp, hyp_ms = ["zz" if k % 7 == 6 else w for k, w in enumerate(ref)], [(s + 15, e + 5) for s, e in ref_ms]
+        try:
+            got, status = align.anchor(hyp, hyp_ms, ref, ref_ms, len(ref) * 100 + 100), "ok"
+        except ValueError as e:
+            got, status = [(-1, -1)] * len(ref), str(e)
+        return pd.DataFrame({"stream_id": int(pdf["stream_id"][0]), "pos": range(len(got)), "start_ms": [s for s, _ in got], "end_ms": [e for _, e in got], "status": status})
+
+    return align.by_stream(_turn_pairs(spark, d), run, "stream_id long, pos long, start_ms long, end_ms long, status string")
+
+
+@query("aln_filleval")
+def aln_filleval(spark: SparkSession, d: str) -> DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        hyp, ms = _timed(pdf["hyp"][0], 120)
+        ref = _normal(pdf["ref"][0])
+        times: list = [None] * len(ref)
+        for h, r in align.lcs(hyp, ref):
+            times[r] = ms[h]
+        got = align.fill_by_length(times, list(map(len, ref)), len(hyp) * 120)
+        return pd.DataFrame({"stream_id": int(pdf["stream_id"][0]), "pos": range(len(got)), "start_ms": [s for s, _ in got], "end_ms": [e for _, e in got]})
+
+    return align.by_stream(_turn_pairs(spark, d), run, "stream_id long, pos long, start_ms long, end_ms long")
+
+
+@query("agg_mean", "SELECT event_type, avg(value) AS mean FROM events GROUP BY 1 UNION ALL SELECT 'none', 'NaN'::DOUBLE")
+def agg_mean(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events")
+    found = rows.groupBy("event_type").agg(metrics.mean_or_nan(F.col("value")).alias("mean"))
+    return found.unionByName(rows.filter("false").agg(F.lit("none").alias("event_type"), metrics.mean_or_nan(F.col("value")).alias("mean")))
+
+
+_RANK = "list_sort(list({c}))[CAST(round({p} * (count(*) - 1)) AS INT) + 1]"
+
+
+@query("agg_pctl", f"SELECT user_id, {_RANK.format(c='value', p='0.5::DOUBLE')} AS p50, {_RANK.format(c='value', p='0.95::DOUBLE')} AS p95 FROM events GROUP BY 1")
+def agg_pctl(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("user_id").agg(metrics.percentile_rank(F.col("value"), 50).alias("p50"), metrics.percentile_rank(F.col("value"), 95).alias("p95"))
+
+
+@query("agg_pctl_whole", f"SELECT 50::DOUBLE AS p, {_RANK.format(c='l_extendedprice', p='0.5::DOUBLE')} AS value FROM lineitem UNION ALL SELECT 99, {_RANK.format(c='l_extendedprice', p='0.99::DOUBLE')} FROM lineitem")
+def agg_pctl_whole(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.percentile_of(table(spark, d, "lineitem"), "l_extendedprice", 50, 99)
+
+
+@query("agg_median", "SELECT l_suppkey, list_sort(list(l_partkey - l_orderkey))[count(*) // 2 + 1] AS median FROM lineitem GROUP BY 1")
+def agg_median(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(metrics.upper_median(F.col("l_partkey") - F.col("l_orderkey")).alias("median"))
+
+
+@query("agg_calib", f"""WITH {WORDS}, x AS (SELECT (pos * 7) % 23 - 5 AS s, (pos * 11) % 31 - 9 AS e FROM w WHERE pos < 50), m AS (SELECT -list_sort(list(s))[count(*) // 2 + 1] AS so, -list_sort(list(e))[count(*) // 2 + 1] AS eo FROM x),
+y AS (SELECT so, eo, abs(s + so) AS a, abs(e + eo) AS b, abs(CAST(trunc((s + so + e + eo) / 2) AS BIGINT)) AS c FROM x, m)
+SELECT so AS start_offset, eo AS end_offset, avg(a) AS start_mae, avg(b) AS end_mae, avg(c) AS mid_mae, {_RANK.format(c='c', p='0.5::DOUBLE')} AS mid_p50, {_RANK.format(c='c', p='0.95::DOUBLE')} AS mid_p95 FROM y GROUP BY ALL""")
+def agg_calib(spark: SparkSession, d: str) -> DataFrame:
+    rows = words(spark, d).filter("pos < 50").select((F.col("start_ms") + F.expr("(pos * 7) % 23 - 5")).alias("start"), (F.col("end_ms") + F.expr("(pos * 11) % 31 - 9")).alias("end"), F.col("start_ms").alias("ref_start"), F.col("end_ms").alias("ref_end"))
+    return metrics.calibration(rows)
+
+
+@query("agg_rtfx", "SELECT user_id, sum(event_id)::DOUBLE / sum(user_id) AS service, sum(event_id)::DOUBLE / nullif(max(event_id) - min(event_id), 0) AS effective, sum(event_id)::DOUBLE / 5000 AS lifecycle FROM events GROUP BY 1 HAVING count(*) > 1 AND user_id > 0")
+def agg_rtfx(spark: SparkSession, d: str) -> DataFrame:
+    busy = table(spark, d, "events").filter("user_id > 0").withColumn("n", F.count("*").over(Window.partitionBy("user_id"))).filter("n > 1")
+    return busy.groupBy("user_id").agg(*metrics.throughput("event_id", "user_id", "event_id", "event_id", 5000))
+
+
+@query("agg_capacity", "SELECT s_nationkey, count(*) AS workers, sum(s_suppkey % 7)::BIGINT AS max_inflight, bool_or(s_suppkey % 2 = 0) OR NOT bool_or(s_suppkey % 2 = 1) AS has_processing, bool_or(s_suppkey % 2 = 1) OR NOT bool_or(s_suppkey % 2 = 0) AS has_response FROM supplier GROUP BY 1")
+def agg_capacity(spark: SparkSession, d: str) -> DataFrame:
+    role = S.worker_role(F.expr("CASE s_suppkey % 2 WHEN 0 THEN 'decode-1' ELSE 'gpu-1' END"))
+    p, r = F.bool_or(role == "processing"), F.bool_or(role == "response")
+    return table(spark, d, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("workers"), F.sum(F.col("s_suppkey") % 7).alias("max_inflight"), (p | ~r).alias("has_processing"), (r | ~p).alias("has_response"))
+
+
+@query("agg_logitstat", "SELECT vec_id, count(*) FILTER (x > 0) AS positive, count(*) FILTER (isnan(x)) AS nan, min(x)::DOUBLE AS low, max(x)::DOUBLE AS high FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY 1")
+def agg_logitstat(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select("vec_id", F.explode("embedding").alias("x"))
+    return rows.groupBy("vec_id").agg(F.count_if(F.col("x") > 0).alias("positive"), F.count_if(F.isnan("x")).alias("nan"), F.min("x").cast("double").alias("low"), F.max("x").cast("double").alias("high"))
+
+
+@query("agg_featcmp", "SELECT l_returnflag, round(avg(abs(l_quantity - l_tax)), 6) AS mae, round(sqrt(avg((l_quantity - l_tax) ** 2)), 6) AS rmse, max(abs(l_quantity - l_tax)) AS max_abs, round(corr(l_quantity, l_tax), 6) AS correlation FROM lineitem GROUP BY 1")
+def agg_featcmp(spark: SparkSession, d: str) -> DataFrame:
+    found = table(spark, d, "lineitem").groupBy("l_returnflag").agg(*metrics.feature_errors("l_quantity", "l_tax"))
+    return found.select("l_returnflag", *(F.round(c, 6).alias(c) for c in ("mae", "rmse")), "max_abs", F.round("correlation", 6).alias("correlation"))
+
+
+@query("agg_terms", f"WITH {WORDS} SELECT lower(word) AS term, count(*) AS n FROM w GROUP BY 1")
+def agg_terms(spark: SparkSession, d: str) -> DataFrame:
+    return words(spark, d).groupBy(F.lower("word").alias("term")).agg(F.count("*").alias("n"))
+
+
+@query("agg_dist", "SELECT event_type, min(value) AS min, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS max FROM events GROUP BY 1")
+def agg_dist(spark: SparkSession, d: str) -> DataFrame:
+    found = table(spark, d, "events").groupBy("event_type").agg(*metrics.distribution("value"))
+    return found.select("event_type", "min", *(F.round(c, 6).alias(c) for c in ("mean", "p50", "p90", "p95", "p99")), "max")

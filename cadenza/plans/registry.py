@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadenza.plans import reference_a  # noqa: F401  registers its queries
+from cadenza.plans import reference_a, reference_b  # noqa: F401  they register their queries
 from cadenza.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
