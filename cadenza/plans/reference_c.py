@@ -1,0 +1,112 @@
+"""Queries for sessions, inference and the remaining parts."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cadenza.functions import frontend
+from cadenza.operators import align, inference, windows
+from cadenza.plans.base import WORDS, query, table, words
+from cadenza.plans.reference_b import _normal, _timed, _turn_pairs
+from cadenza.streaming import session
+
+
+@query("stm_session")
+def stm_session(spark: SparkSession, d: str) -> DataFrame:
+    """Words of documents as windows of 10 words every 8, then an end frame, through the session rules."""
+    rows = words(spark, d).withColumn("k", F.explode(F.filter(F.array(F.expr("pos div 8"), F.expr("pos div 8 - 1")), lambda k: k >= 0))).filter("pos - k * 8 < 10")
+    base = F.col("k") * 2400
+    item = F.struct("pos", "word", (F.col("start_ms") - base).alias("start_ms"), (F.col("end_ms") - base).alias("end_ms"))
+    found = rows.groupBy(F.col("stream_id").cast("string").alias("stream_id"), "k").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["word"].alias("word"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"))).alias("words"))
+    frames = found.select("stream_id", F.col("k").alias("seq"), F.lit("window").alias("kind"), (F.col("k") * 38_400).alias("start_sample"), F.lit(48_000).cast("long").alias("n_samples"), F.lit(False).alias("is_final"), F.lit(0.5).alias("rms"), "words", F.lit(None).cast("string").alias("text"))
+    last = frames.groupBy("stream_id").agg((F.max("seq") + 1).alias("seq")).select("stream_id", "seq", F.lit("end").alias("kind"), F.lit(0).cast("long").alias("start_sample"), F.lit(0).cast("long").alias("n_samples"), F.lit(True).alias("is_final"), F.lit(0.0).alias("rms"), F.array().cast("array<struct<word:string,start_ms:bigint,end_ms:bigint>>").alias("words"), F.lit(None).cast("string").alias("text"))
+    return session.run_batch(frames.unionByName(last), stride_ms=2400, gap_ms=160)
+
+
+@query("inf_dispatch", "SELECT vec_id, k AS window_seq, CASE WHEN k < 5 THEN 1 ELSE 0 END AS n FROM embeddings, range(6) t(k)")
+def inf_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    rows = windows.hop_windows(table(spark, d, "embeddings").select("vec_id", "embedding", F.size("embedding").cast("long").alias("n")), "n", 16, 4, 2)
+    found = inference.transcribe(windows.window_samples(rows, "embedding").select("vec_id", "window_seq", "window"), inference.LevelStub)
+    return found.select("vec_id", "window_seq", F.size("words").alias("n"))
+
+
+@query("inf_logitaxis", "SELECT vec_id, 8 AS frames, embedding[9]::DOUBLE AS second FROM embeddings")
+def inf_logitaxis(spark: SparkSession, d: str) -> DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = align.logits_time_major(np.array(pdf["embedding"][0], float).reshape(1, 8, 8), 8)
+        return pd.DataFrame({"vec_id": pdf["vec_id"], "frames": [len(x)], "second": [x[1, 0]]})
+
+    return align.by_stream(table(spark, d, "embeddings"), run, "vec_id long, frames int, second double", "vec_id")
+
+
+@query("prj_modelinfo", "SELECT s_suppkey, 'm-' || s_suppkey AS model, 'seq2seq' AS arch FROM supplier")
+def prj_modelinfo(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.lit("m-"), F.col("s_suppkey").cast("string"))
+    info = F.create_map(name, F.struct(name.alias("name"), F.lit("seq2seq").alias("arch")))
+    return table(spark, d, "supplier").select("s_suppkey", info.alias("info")).select("s_suppkey", F.explode("info").alias("model", "v")).select("s_suppkey", "model", "v.arch")
+
+
+@query("str_prompt", "SELECT n_nationkey, '<|startofcontext|><|' || lower(substring(n_name, 1, 2)) || '|><|' || CASE WHEN n_nationkey % 2 = 0 THEN 'pnc' ELSE 'nopnc' END || '|>' AS prompt FROM nation")
+def str_prompt(spark: SparkSession, d: str) -> DataFrame:
+    parts = F.array(F.lit("startofcontext"), F.lower(F.substring("n_name", 1, 2)), F.when(F.col("n_nationkey") % 2 == 0, "pnc").otherwise("nopnc"))
+    return table(spark, d, "nation").select("n_nationkey", F.array_join(F.transform(parts, lambda p: F.concat(F.lit("<|"), p, F.lit("|>"))), "").alias("prompt"))
+
+
+@query("str_detok", "SELECT n_regionkey, trim(string_agg(CASE WHEN n_nationkey % 7 = 0 THEN 'é' ELSE ' ' || n_name END, '' ORDER BY n_nationkey)) AS text FROM nation WHERE n_nationkey % 5 <> 3 GROUP BY 1")
+def str_detok(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces to text: word marks become spaces, byte pieces their character, special pieces go."""
+    piece = F.expr("CASE WHEN n_nationkey % 5 = 3 THEN '<|eos|>' WHEN n_nationkey % 7 = 0 THEN '<0xE9>' ELSE concat('▁', n_name) END")
+    rows = table(spark, d, "nation").withColumn("piece", piece).filter(~F.col("piece").rlike(r"^<\|.*\|>$"))
+    one = F.when(F.col("piece").rlike("^<0x[0-9A-F]{2}>$"), F.char(F.conv(F.substring("piece", 4, 2), 16, 10).cast("int"))).otherwise(F.replace("piece", F.lit("▁"), F.lit(" ")))
+    ordered = F.array_sort(F.collect_list(F.struct("n_nationkey", one.alias("t"))))
+    return rows.groupBy("n_regionkey").agg(F.trim(F.array_join(F.transform(ordered, lambda x: x["t"]), "")).alias("text"))
+
+
+@query("aln_gate", f"""WITH {WORDS}, x AS (SELECT stream_id, pos, pos % 4 <> 3 AS hit FROM w), r AS (SELECT *, pos - sum(CASE WHEN NOT hit THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY pos) AS g FROM x),
+l AS (SELECT stream_id, count(*) AS n FROM r WHERE NOT hit GROUP BY stream_id, g), m AS (SELECT stream_id, max(n) AS longest FROM l GROUP BY 1)
+SELECT stream_id, count(*) FILTER (hit) >= least(greatest(2, CAST(ceil(count(*) * 0.65::DOUBLE) AS BIGINT)), count(*)) AND coalesce(max(longest), 0) <= 8 AS accepted FROM x LEFT JOIN m USING (stream_id) GROUP BY 1""")
+def aln_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Enough matched words, and no long run without one."""
+    from pyspark.sql import Window
+
+    rows = words(spark, d).withColumn("hit", F.col("pos") % 4 != 3)
+    w = Window.partitionBy("stream_id").orderBy("pos")
+    runs = rows.withColumn("g", F.sum(F.col("hit").cast("int")).over(w)).groupBy("stream_id", "g").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    sums = runs.groupBy("stream_id").agg(F.sum("hits").alias("matched"), F.sum(F.col("hits") + F.col("misses")).alias("n"), F.max("misses").alias("longest"))
+    required = F.least(F.greatest(F.lit(2), F.ceil(F.col("n") * 0.65)), F.col("n"))
+    return sums.select("stream_id", ((F.col("matched") >= required) & (F.col("longest") <= 8)).alias("accepted"))
+
+
+@query("aln_groupdp")
+def aln_groupdp(spark: SparkSession, d: str) -> DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ref, ref_ms = _timed(pdf["hyp"][0], 100)
+        hyp = [a + b for a, b in zip(ref[::2], [*ref[1::2], ""], strict=False)]
+        got = align.match_groups(hyp, [(k * 200, k * 200 + 190) for k in range(len(hyp))], ref, ref_ms)
+        return pd.DataFrame([(int(pdf["stream_id"][0]), *g) for g in got], columns=["stream_id", "hyp_from", "hyp_to", "ref_from", "ref_to"])
+
+    return align.by_stream(_turn_pairs(spark, d), run, "stream_id long, hyp_from long, hyp_to long, ref_from long, ref_to long")
+
+
+@query("mth_power")
+def mth_power(spark: SparkSession, d: str) -> DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = frontend.power_spectra(frontend.dither(np.array(pdf["embedding"][0], float), 0.0), 16, 8, 16)
+        return pd.DataFrame({"vec_id": int(pdf["vec_id"][0]), "frame": range(len(p)), "energy": p.sum(1).round(6)})
+
+    return align.by_stream(table(spark, d, "embeddings"), run, "vec_id long, frame long, energy double", "vec_id")
+
+
+@query("inf_target")
+def inf_target(spark: SparkSession, d: str) -> DataFrame:
+    """Normalised words of a text with the numbers of their first and last token (characters as tokens)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ws = [w for w in _normal(pdf["hyp"][0]) if w]
+        ends = np.cumsum([len(w) for w in ws], dtype=np.int64)
+        return pd.DataFrame({"stream_id": int(pdf["stream_id"][0]), "word": ws, "token_start": ends - [len(w) for w in ws] if ws else [], "token_end": ends})
+
+    return align.by_stream(_turn_pairs(spark, d), run, "stream_id long, word string, token_start long, token_end long")
