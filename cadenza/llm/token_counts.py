@@ -117,7 +117,14 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, frequent: int = FR
                         piece = joined[s:e]
                         d[piece] = d.get(piece, 0) + 1
                 for i in slow:
-                    for piece in pieces.split(texts[i]):
+                    own = pieces.split(texts[i])
+                    plain = [p for p in own if pieces.simple(p)]
+                    h = pieces.key(plain)
+                    at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+                    hit = known[at] == h if len(known) else np.zeros(len(h), bool)
+                    base[i] = int(tokens[at][hit].sum()) if len(known) else 0
+                    missed = [p for p, found in zip(plain, hit.tolist(), strict=True) if not found]
+                    for piece in missed + [p for p in own if not pieces.simple(p)]:
                         rest[i][piece] = rest[i].get(piece, 0) + 1
                 raw = [t.encode() for t in texts]
                 identity = pa.array([xxhash.xxh3_64_intdigest(r) - 2**63 for r in raw], pa.int64())

@@ -1,0 +1,374 @@
+"""The ten operators against brute force on small fixtures: nulls, empty and long texts, ties, repeated rows, clashing columns."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cadenza.llm import decontaminate, fingerprints, jaccard_join, licenses, line_dedup, lm_scoring, packing, pieces, pii, quality, token_counts
+from cadenza.llm.components import connected_components
+from cadenza.llm.registry import QUERIES
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, node string"
+LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+BLANK = re.compile(r"[^\x20\x09-\x0D]+")
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(n, seed, vocabulary=400):
+    rnd = random.Random(seed)
+    return [f"w{rnd.randrange(vocabulary)}" for _ in range(n)]
+
+
+def texts():
+    base = words(120, 1, 5000)
+    near = base[:]
+    near[60] = "changed"
+    far = base[:60] + words(60, 2, 5000)
+    lines = ["a line that is long enough to take part in this", "a line that is long enough to take part in thiz", "short", "another line of text that many documents share"]
+    return [
+        " ".join(base), " ".join(near), " ".join(far), " ".join(base), None, "", "   \n\t ", "one two three", "One TWO three", "\n".join(lines), "\n".join(lines[::-1]), lines[0] + "\n" + lines[1], "x" * 3000, " ".join(words(6000, 3)),
+        "It's <|endoftext|> 'll été ’quoted’ 日本語 ２٣ \x00 end", "mail a.b@c-d.example.org_x@y.z ip 1.2.3.4 999.1.1.1 card 4539 1488 0343 6467 tel +49 (0)30 1234-5678", "Licensed under the Apache License, Version 2.0. MIT license; CC BY 4.0",
+    ]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(k, t, "en", "s", len(t or ""), "k", "n") for k, t in enumerate(texts())]
+    rows += [rows[0], (None, "a text without an id", None, None, None, None, None)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def shingles(text, size=5):
+    w = BLANK.findall((text or "").translate(LOWER))
+    return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
+
+
+def test_fingerprints(spark, docs):
+    sets = docs.select("doc_id", "text", fingerprints.sketch(F.col("text")).alias("s"))
+    got = sets.select("text", F.size("s").alias("n"), fingerprints.distinct_shingles(F.col("s")).alias("d")).collect()
+    for r in got:
+        n = len({tuple(s) for s in shingles((r.text or "").lower())})
+        assert r.n == min(n, fingerprints.K) and (r.d == n if n < fingerprints.K else abs(r.d - n) < 0.4 * n)
+    a, b = " ".join(words(300, 5, 9000)), " ".join(words(300, 5, 9000)[:150])
+    s = [fingerprints.sketch(F.lit(x)) for x in (a, b)]
+    one = spark.range(1).select(s[0].alias("a"), s[1].alias("b")).select(fingerprints.resemblance(F.col("a"), F.col("b")).alias("r"), fingerprints.containment(F.col("b"), F.col("a")).alias("c"), (fingerprints.merge(F.col("a"), F.col("b")) == F.col("a")).alias("m")).first()
+    assert abs(one.r - 146 / 296) < 0.15 and one.c > 0.8 and one.m
+    parts = spark.createDataFrame([(a,), (b,)], "t string").agg(fingerprints.merge_all(fingerprints.sketch(F.col("t"))).alias("m")).first()
+    assert parts.m == spark.range(1).select(s[0].alias("a")).first().a
+
+
+def test_next_document(spark, docs):
+    rows = [(k * 7 % 101, f"t{k * 7 % 101}") for k in range(101)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.next_text for r in fingerprints.with_next(df, ["text"], rows_per_bucket=8).collect()}
+    assert got == {k: f"t{(k + 1) % 101}" for k in range(101)}
+    assert fingerprints.with_next(df.limit(0), ["text"]).count() == 0
+    assert fingerprints.with_next(spark.createDataFrame([(5, "only")], "doc_id long, text string"), ["text"]).first().next_text == "only"
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_are_the_library_s(name):
+    table, rnd = pieces.PieceTable(name), random.Random(4)
+    alphabet = "abtsmdrevlSLR'’  \n\t.,!12éÉıßĀ\x85\xa0<|>"
+    fuzz = ["".join(rnd.choice(alphabet[: 30 if k % 2 else 99]) for _ in range(rnd.randint(0, 50))) for k in range(2000)] + [t or "" for t in texts()]
+    want = [e.ids for e in table.tok.encode_batch(fuzz, add_special_tokens=False)]
+    assert [g.tolist() for g in table.encode(fuzz)] == want
+    split = [sum(len(e.ids) for e in table.tok.encode_batch(table.split(t), add_special_tokens=False)) for t in fuzz]
+    assert split == list(map(len, want))
+
+
+def test_token_counts(docs, empty):
+    tok = pieces.load_tokenizer(token_counts.TOKENIZER)
+    for frequent in (token_counts.FREQUENT, 5, 0):
+        got = collections.Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.token_counts(docs, frequent=frequent).collect())
+        want = collections.Counter((r.doc_id, len((r.text or "").encode()), len(tok.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
+        assert got == want
+    assert token_counts.token_counts(empty).count() == 0
+
+
+def test_lm_scoring(spark, docs, empty):
+    targets = spark.createDataFrame([(0,), (2,), (2,), (None,)], "doc_id long")
+    size, bits = 50, 12
+    got = sorted(((r.doc_id, r.n_tokens, r.difference) for r in lm_scoring.cross_entropy_difference(docs, targets, size, bits).collect()), key=str)
+    from cadenza.llm.textkit import ALPHANUMERIC, Words, mix
+
+    def hashes(text):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        return [int(h) for h in Words(data, np.array([0, len(data)]), ALPHANUMERIC).hashes()]
+
+    rows = [(r.doc_id, hashes(r.text)) for r in docs.collect()]
+    freq = collections.Counter(h for _, hs in rows for h in hs)
+    known = [n for n in sorted(set(freq.values()), reverse=True) if sum(c >= n for c in freq.values()) <= size]
+    vocabulary = {h: k + 1 for k, h in enumerate(sorted(h for h, c in freq.items() if known and c >= known[-1]))}
+    v = len(vocabulary)
+    uni, ctx, pairs = ([collections.Counter(), collections.Counter()] for _ in range(3))
+    slot = lambda a, b: int(mix(np.array([a * (v + 2) + b], np.uint64))[0]) >> (64 - bits)
+    for i, hs in rows:
+        ws = [vocabulary.get(h, 0) for h in hs]
+        for m in [1] + [0] * (i in (0, 2)):
+            for a, b in zip([v + 1, *ws], ws, strict=False):
+                uni[m][b] += 1
+                ctx[m][a] += 1
+                pairs[m][slot(a, b)] += 1
+        for m in [1] + [0] * (i in (0, 2)):
+            if ws:  # as context the last word counts as well
+                ctx[m][ws[-1]] += 1
+    want = []
+    for i, hs in rows:
+        ws, losses = [vocabulary.get(h, 0) for h in hs], []
+        for m in (0, 1):
+            total = sum(uni[m].values())
+            loss = 0.0
+            for a, b in zip([v + 1, *ws], ws, strict=False):
+                alone, context = (uni[m][b] + 0.5) / (total + 0.5 * (v + 1)), ctx[m][a]
+                loss -= np.log(0.5 * min(pairs[m][slot(a, b)] / context, 1) + 0.5 * alone if context else alone)
+            losses.append(loss / len(ws) if ws else None)
+        want.append((i, len(ws), losses[0] - losses[1] if ws else None))
+    for g, w in zip(got, sorted(want, key=str), strict=True):
+        assert g[:2] == w[:2] and (g[2] == w[2] is None or abs(g[2] - w[2]) < 1e-9)
+    assert lm_scoring.cross_entropy_difference(empty, targets).count() == 0
+
+
+def test_banded_distance(spark):
+    rnd, rows = random.Random(6), []
+    for _ in range(400):
+        a = [rnd.choice("abcé") for _ in range(rnd.randint(0, 12))]
+        b = a[:]
+        for _ in range(rnd.randint(0, 4)):
+            i = rnd.randint(0, len(b))
+            b[i : i + rnd.randint(0, 1)] = [rnd.choice("abcé")] * rnd.randint(0, 1)
+        rows.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(rows, "a string, b string")
+    for t in (1, 2, 3):
+        assert df.filter(line_dedup.banded_distance(F.col("a"), F.col("b"), t) != F.least(F.levenshtein("a", "b"), F.lit(t + 1))).count() == 0
+
+
+def line_classes(rows, threshold=1):
+    """The lines that go, by comparing all pairs."""
+    occ = [(i, k, line) for i, t in rows if t is not None for k, line in enumerate(t.split("\n")) if len(line) >= line_dedup.MIN_CHARS]
+    kinds = sorted({line for *_, line in occ})
+    root = {x: x for x in kinds}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def near(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y)))
+        return row[-1] <= threshold
+
+    for i, a in enumerate(kinds):
+        for b in kinds[:i]:
+            if abs(len(a) - len(b)) <= threshold and near(a, b):
+                root[find(a)] = find(b)
+    first = {}
+    for i, k, line in occ:
+        first[find(line)] = min(first.get(find(line), (i, k)), (i, k))
+    return {(i, k) for i, k, line in occ if first[find(line)] != (i, k)}
+
+
+@pytest.mark.parametrize(("longest", "threshold"), [(48, 1), (2, 1), (48, 2)])
+def test_line_dedup(spark, longest, threshold):
+    rnd, base = random.Random(7), "the quick brown fox jumps over it"
+    rows = []
+    for i in range(40):
+        line = list(base if i % 3 else base[::-1])
+        for _ in range(rnd.randint(0, 2)):
+            line[rnd.randrange(len(line))] = rnd.choice(["", "x", "yz"])
+        rows.append((i, "\n".join(["".join(line), "short", f"a line of its own number {i * 7919}"])))
+    rows += [(40, None), (41, ""), (42, base + "\n" + base)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.pos) for r in line_dedup.removed_lines(df, threshold, longest).collect()}
+    assert got == line_classes(rows, threshold)
+
+
+def test_line_dedup_rewrites_documents(docs, empty):
+    got = {r.doc_id: r for r in line_dedup.without_repeated_lines(docs).filter("doc_id is not null and doc_id <> 0").collect()}
+    assert got[9].text == "\n".join(texts()[9].split("\n")[i] for i in (0, 2, 3)) and got[9].n_chars == len(got[9].text) and got[9].key == "k"
+    assert got[10].text == "short" and 11 not in got and got[4].text is None and got[5].text == ""
+    assert line_dedup.without_repeated_lines(empty).count() == 0 and line_dedup.repeated_lines(empty).count() == 0
+
+
+def test_decontamination(spark, docs, empty):
+    passage = ALNUM.findall(texts()[0])
+    items = [(1, " ".join(passage[10:40])), (2, "one two"), (10, " ".join(passage[30:50])), (3, None), (4, ""), (5, "never there at all"), (None, "a text without")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    windows = collections.defaultdict(set)
+    for i, t in items:
+        w = ALNUM.findall((t or "").translate(LOWER))
+        for k in range(max(len(w) - 12, 1) if w else 0):
+            windows[tuple(w[k : k + 13])].add("" if i is None else str(i))
+    for shard in (decontaminate.SHARD_WORDS, 25):
+        rows = decontaminate.hit_counts(decontaminate.annotate(docs.select("doc_id", "text"), bench, shard_words=shard)).collect()
+        for r in rows:
+            w = ALNUM.findall((r.text or "").translate(LOWER))
+            hit, found = set(), set()
+            for n in {len(x) for x in windows}:
+                for k in range(len(w) - n + 1):
+                    if tuple(w[k : k + n]) in windows:
+                        hit |= set(range(k, k + n))
+                        found |= windows[tuple(w[k : k + n])]
+            want = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
+            assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == want
+    kept = {r.doc_id: r for r in decontaminate.remove_hits(docs, bench).collect()}
+    assert 0 not in kept and kept[9].text == texts()[9] and kept[4].text is None
+    long = spark.createDataFrame([(1, " ".join([*words(400, 9), "one", "two", *words(5, 8)]), 0)], "doc_id long, text string, n_chars long")
+    clean = decontaminate.remove_hits(long, bench).first()
+    assert "one two" not in clean.text and clean.n_chars == len(clean.text) and len(ALNUM.findall(clean.text)) == 405
+    assert decontaminate.remove_hits(docs, bench.limit(0)).count() == docs.count() and decontaminate.remove_hits(empty, bench).count() == 0
+
+
+def test_quality_classifier(spark, docs, empty):
+    rnd, rows, labels = random.Random(8), [], []
+    for i in range(900):
+        good = i % 5 != 0
+        w = words(rnd.randint(20, 80), i, 3000)
+        rows.append((i, " ".join(w) + "." if good else " ".join(x + "***" for x in w[:10] * 4)))
+        if i % 2:
+            labels.append((i, int(good), 0))
+    df, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.train(df, marks)
+    assert 0.7 < model.prior < 0.9
+    got = {r.doc_id: r.quality_score for r in quality.score(df, model, ["doc_id"]).collect()}
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum((got[i] >= 0.7) == (i % 5 != 0) for i in held) > 0.95 * len(held)
+    assert all(0 <= s <= 1 for s in got.values()) and quality.score(docs, model, ["doc_id"]).count() == docs.count()
+    assert quality.reject_low_quality(docs, marks.limit(0)).count() == docs.count() and quality.reject_low_quality(empty, marks).count() == 0
+
+
+def components(rows):
+    root = {k: k for k in range(len(rows))}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets, links = [shingles(t) for _, t in rows], [0] * len(rows)
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+                links[i], links[j] = links[i] + 1, links[j] + 1
+    low = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            low[find(k)] = min(low.get(find(k), i), i)
+    return sorted(((i, len(sets[k]), low.get(find(k)), links[k]) for k, (i, _) in enumerate(rows)), key=str)
+
+
+@pytest.mark.parametrize(("longest", "block"), [(32, 3_000_000), (2, 3_000_000), (2, 400)])
+def test_jaccard_join(spark, docs, longest, block):
+    rnd = random.Random(10)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    base = words(90, 11, 4000)
+    for i in range(100, 140):
+        w = base[:]
+        for _ in range(rnd.randint(0, 4)):
+            w[rnd.randrange(len(w))] = f"n{rnd.randrange(9999)}"
+        rows.append((i, "  ".join(w).upper() if i % 2 else "\n".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_components(df, longest, block=block).collect()), key=str)
+    assert got == components(rows)
+
+
+def test_jaccard_keeps_one(docs, empty):
+    got = [r.doc_id for r in jaccard_join.keep_one_of_each(docs).collect()]
+    want = {i for i, _, c, _ in components([(r.doc_id, r.text) for r in docs.collect()]) if i is None or i == c}
+    assert set(got) == want and len(got) == len(want) and jaccard_join.keep_one_of_each(empty).count() == 0
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 2), (7, 7), (2, 6), (5, 4)], "a long, b long")
+    got = {r.node: r.root for r in connected_components(edges).collect()}
+    assert got == {2: 2, 3: 2, 4: 2, 5: 2, 6: 2, 8: 8, 9: 8, 7: 7}
+
+
+def test_license_scan(docs, empty):
+    rows = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    phrases = [p.split() for p, _ in licenses.BASE]
+    for i, t in enumerate(texts()):
+        w = ALNUM.findall((t or "").translate(LOWER))
+        at = [k for k in range(len(w)) for p in phrases if w[k : k + len(p)] == p]
+        assert (rows[i].n_words, rows[i].n_base, rows[i].first_word, rows[i].last_word) == (len(w), len(at), min(at, default=None), max(at, default=None))
+    assert rows[16].base_labels == "apache,cc-by,mit" and rows[16].score == 1.0 and rows[0].labels == "" and rows[16].key == "k"
+    assert len(licenses.rules()) > 250 and licenses.scan(empty).count() == 0
+
+
+def test_license_suppression(spark):
+    one = lambda t: spark.createDataFrame([(1, t)], "doc_id long, text string")
+    lgpl = licenses.scan(one("under the terms of the GNU Lesser General Public License version 3")).first()
+    assert lgpl.labels == "lgpl" and lgpl.base_labels == ""
+    assert licenses.scan(one("gnu affero general public license")).first().labels == "agpl"
+
+
+def test_personal_data(docs, empty):
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    tests = {"email": lambda m, d: True, "ip": lambda m, d: all(int(x) <= 255 for x in m.split(".")), "card": lambda m, d: 16 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(d[::-1])) % 10 == 0, "phone": lambda m, d: 8 <= len(d) <= 15}
+    for r in pii.personal_data(docs).collect():
+        for kind, pattern in patterns.items():
+            want = [(m.start(), m.end()) for m in re.finditer(pattern, r.text or "") if tests[kind](m.group(), re.sub("[^0-9]", "", m.group()))]
+            assert [(x.s, x.e) for x in r[f"pii_{kind}"]] == want, (kind, r.text)
+    assert pii.personal_data(empty).count() == 0
+
+
+def test_personal_data_by_checksum(spark):
+    df = spark.createDataFrame([("IBAN DE89 3704 0044 0532 0130 00 and DE88370400440532013000, é mail: x@y.zz",), ("a@" + "b." * 20000,), ("1" * 50000,), ("a" * 100000,)], "text string")
+    rows = pii.personal_data(df).collect()
+    assert [(x.s, x.e) for x in rows[0].pii_iban] == [(5, 32)] and rows[0].pii_email[0].score == 1.0
+    assert rows[1].pii_email[0].e == 2 + 2 * 20000 - 1 and not rows[2].pii_card and not rows[3].pii_email
+    clean = pii.personal_data(df.limit(1)).select(pii.redact(F.col("text"), F.col("pii_email")).alias("t")).first().t
+    assert clean.endswith("é mail: [email]")
+
+
+def test_packing(docs, empty):
+    tok = pieces.load_tokenizer(packing.TOKENIZER)
+    rows = packing.pack(docs, capacity=256, buckets=4).collect()
+    want = collections.Counter()
+    for r in docs.collect():
+        ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 1]
+        for p, s in enumerate(range(0, len(ids), 256)):
+            want[r.doc_id, p, s, len(ids[s : s + 256]), zlib.crc32(np.array(ids[s : s + 256], "<u4").tobytes())] += 1
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    bins = collections.defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        b.sort()
+        assert b[0][0] == 0 and all(x + n == y for (x, n), (y, _) in zip(b, b[1:], strict=False)) and b[-1][0] + b[-1][1] <= 256
+    assert len(bins) <= -(-sum(r.length for r in rows) // 256) + 2 and packing.pack(empty).count() == 0
+
+
+def test_best_two_fit_takes_two_for_the_smallest():
+    plan = packing.best_two_fit({6: 1, 3: 1, 2: 2}, 10)
+    assert sorted(sorted(b) for b, _ in plan) == [[2, 2, 6], [3]]
+    rnd = random.Random(12)
+    counts = collections.Counter(rnd.randint(1, 400) for _ in range(5000))
+    plan = packing.best_two_fit(counts, 1000)
+    used = collections.Counter()
+    for b, n in plan:
+        assert sum(b) <= 1000
+        for x in b:
+            used[x] += n
+    assert used == counts and sum(n for _, n in plan) <= -(-sum(k * n for k, n in counts.items()) // 1000) + 2
+
+
+def test_every_operator_has_one_query():
+    assert [n for k in range(1, 11) for n in QUERIES if n.startswith(f"op{k}_")] == sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))
