@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.session import cut, table
+from cadenza.llm.session import cut, small_batches, table
 from cadenza.llm.textkit import ALPHANUMERIC, Words, text_slices
 
 WINDOW = 13
@@ -210,6 +210,7 @@ def _scan(docs: DataFrame, shard: tuple[np.ndarray, SuffixAutomaton, int] | None
 
 def annotate(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``contamination``: n_words, mark (a bit per word, null if none is hit), items found."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("contamination")
     keep = docs.columns if keep is None else keep
     done, waiting = docs, None

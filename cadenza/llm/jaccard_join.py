@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.components import connected_components
-from cadenza.llm.session import broadcast_up_to, cut, table, value_at_rank
+from cadenza.llm.session import broadcast_up_to, cut, small_batches, table, value_at_rank
 from cadenza.llm.textkit import BLANK_SEPARATED, Words, set_id, shingle_sets, text_slices
 
 SHINGLE = 5
@@ -325,6 +325,7 @@ def jaccard_components(docs: DataFrame, longest: int = LIST, frequent: int = FRE
 
     ``n_links`` counts the other rows that the document links with, copies included.
     """
+    small_batches(docs.sparkSession)
     ids = cut(shingle_ids(docs))
     edges = cut(candidate_edges(postings(docs, frequent_shingles(docs, frequent)), longest))
     stars, others = links(docs, ids, edges, block)

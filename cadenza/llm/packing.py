@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.pieces import PieceTable
-from cadenza.llm.session import cut, table
+from cadenza.llm.session import cut, small_batches, table
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
@@ -183,6 +183,7 @@ def place(pieces: DataFrame, plan: list[tuple[list[int], int]], buckets: int = B
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, buckets: int = BUCKETS) -> DataFrame:
     """One row per piece of every document, with its place in a sequence of at most ``capacity`` tokens."""
+    small_batches(docs.sparkSession)
     pieces = cut(tokenised_pieces(docs, tokenizer, capacity, end_id))
     counts = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     return place(pieces, best_two_fit(counts, capacity), buckets)

@@ -19,7 +19,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 SIMPLE = 0x250
 SPACE, LETTER, NUMBER, OTHER, BREAK = range(5)
-_MEMO_PIECES = 1_500_000
+_MEMO_PIECES = 500_000
+_ENCODE = 4000
 
 
 def load_tokenizer(name_or_path: str):
@@ -136,8 +137,7 @@ class PieceTable:
         known[known] = self.keys[place[known]] == distinct[known]
         new = np.flatnonzero(~known)
         if len(new):
-            got = self.tok.encode_batch([joined[starts[i] : ends[i]] for i in index[new].tolist()], add_special_tokens=False)
-            ids = [e.ids for e in got]
+            ids = self.ids_of([joined[starts[i] : ends[i]] for i in index[new].tolist()])
             counts = np.array([len(x) for x in ids], np.int64)
             tail = len(self.ids) + np.cumsum(counts) - counts
             self.ids = np.concatenate([self.ids, np.fromiter((k for x in ids for k in x), np.uint32, int(counts.sum()))])
@@ -148,6 +148,10 @@ class PieceTable:
         packed = self.at[place][inverse.ravel()]
         return self.ids, packed >> 24, packed & 0xFFFFFF, first
 
+    def ids_of(self, pieces: list[str]) -> list[list[int]]:
+        """The library's ids of each piece, a few thousand pieces at a time: its result objects are large."""
+        return [e.ids for k in range(0, len(pieces), _ENCODE) for e in self.tok.encode_batch(pieces[k : k + _ENCODE], add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the library gives them without added special tokens."""
         out: list[np.ndarray | None] = [None] * len(texts)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.session import table
+from cadenza.llm.session import small_batches, table
 from cadenza.llm.textkit import BLANK_SEPARATED, Words, text_slices
 
 THRESHOLD = 0.7
@@ -142,6 +142,7 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = N
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
     """A model from a bounded sample of the learning folds; None without a positive label."""
     spark = docs.sparkSession
+    small_batches(spark)
     ids = F.col("doc_id").cast("long").alias("doc_id")
     learn = F.coalesce(fold() != HELD_OUT, F.lit(False))
     spread = [F.xxhash64("doc_id"), F.col("doc_id")]

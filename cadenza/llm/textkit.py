@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 
 U64 = np.uint64
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 _LONG_WORD = 256
 
 

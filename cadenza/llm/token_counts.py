@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.packing import text_chunks
 from cadenza.llm.pieces import PieceTable
-from cadenza.llm.session import cut, table, value_at_rank
+from cadenza.llm.session import cut, small_batches, table, value_at_rank
 from cadenza.llm.textkit import spans_hash
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -75,7 +75,7 @@ def distinct_pieces(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             for a in range(0, batch.num_rows, 20_000):
                 part = batch.slice(a, 20_000)
                 names = part.column("piece").to_pylist()
-                n = [len(e.ids) for e in pieces.tok.encode_batch(names, add_special_tokens=False)]
+                n = list(map(len, pieces.ids_of(names)))
                 plain = np.array([pieces.simple(x) for x in names])
                 keys = np.where(plain, pieces.key([x if p else "" for x, p in zip(names, plain, strict=True)]).view(np.int64), 0)
                 yield pa.RecordBatch.from_arrays([part.column("piece"), pa.array(keys, mask=~plain), part.column("freq"), pa.array(n, pa.int64())], ["piece", "key", "freq", "n"])
@@ -86,6 +86,7 @@ def distinct_pieces(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) for every row of ``docs``."""
+    small_batches(docs.sparkSession)
     counted = cut(distinct_pieces(docs, tokenizer))
     least = value_at_rank(counted.filter("key is not null"), "freq", frequent)
     common = counted.filter((F.col("freq") >= least) & F.col("key").isNotNull()).select("key", "n").toPandas()  # at most `frequent` rows
