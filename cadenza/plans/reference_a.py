@@ -226,7 +226,12 @@ def ses_para(spark: SparkSession, d: str) -> DataFrame:
     return sessions.paragraphs(sessions.utterances(words(spark, d), GAP))
 
 
-@query("ses_resp")
+_RESPONSE = f"""WITH {_UTT}, ws AS (SELECT stream_id, list({{'word': word, 'start_ms': start_ms, 'end_ms': end_ms}} ORDER BY pos) AS ws, string_agg({DUCK_JOIN.format(i='pos', w='word')}, '' ORDER BY pos) AS t FROM w GROUP BY 1),
+us AS (SELECT stream_id, list({{'id': id, 'start_ms': start_ms, 'end_ms': end_ms, 'transcript': transcript}} ORDER BY utterance) AS us FROM u GROUP BY 1)
+SELECT stream_id, to_json({{'metadata': {{'request_id': stream_id::VARCHAR, 'channels': 1}}, 'results': {{'channels': [{{'alternatives': [{{'transcript': t, 'words': ws}}]}}], 'utterances': us}}}})::VARCHAR AS response FROM ws JOIN us USING (stream_id)"""
+
+
+@query("ses_resp", _RESPONSE)
 def ses_resp(spark: SparkSession, d: str) -> DataFrame:
     return sessions.response(words(spark, d), GAP)
 

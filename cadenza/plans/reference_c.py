@@ -110,3 +110,70 @@ def inf_target(spark: SparkSession, d: str) -> DataFrame:
         return pd.DataFrame({"stream_id": int(pdf["stream_id"][0]), "word": ws, "token_start": ends - [len(w) for w in ws] if ws else [], "token_end": ends})
 
     return align.by_stream(_turn_pairs(spark, d), run, "stream_id long, word string, token_start long, token_end long")
+
+
+_SPAN = "stream_id long, pos long, start_ms long, end_ms long"
+
+
+def _rows(pdf: pd.DataFrame, spans: list) -> pd.DataFrame:
+    found = [(int(pdf["stream_id"][0]), k, *s) for k, s in enumerate(spans) if s is not None]
+    return pd.DataFrame(found, columns=["stream_id", "pos", "start_ms", "end_ms"])
+
+
+@query("tim_charbnd", "SELECT n_nationkey, 100 + 600 * 2 // len(n_name) AS inside, 700 AS at_end, 750 AS at_start FROM nation")
+def tim_charbnd(spark: SparkSession, d: str) -> DataFrame:
+    """Times at a character of a name, and on the boundary to the word after it."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ms, lengths = [(100, 700), (750, 900)], [len(pdf["n_name"][0]), 4]
+        inside, edge = align.boundary_time(ms, lengths, 2, True), lengths[0]
+        return pd.DataFrame({"n_nationkey": pdf["n_nationkey"], "inside": [inside], "at_end": [align.boundary_time(ms, lengths, edge, False)], "at_start": [align.boundary_time(ms, lengths, edge, True)]})
+
+    return align.by_stream(table(spark, d, "nation").select("n_nationkey", "n_name"), run, "n_nationkey int, inside long, at_end long, at_start long", "n_nationkey")
+
+
+@query("aln_mapgroup")
+def aln_mapgroup(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn's words two by two, heard as one."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ws, out = [w for w in _normal(pdf["hyp"][0]) if w], []
+        for k in range(0, len(ws) - 1, 2):
+            out += align.map_group([ws[k] + ws[k + 1]], [(k * 100, k * 100 + 190)], ws[k : k + 2], len(ws) * 100, align.AnchorConfig(start_offset_ms=-20, end_offset_ms=5))
+        return _rows(pdf, out)
+
+    return align.by_stream(_turn_pairs(spark, d), run, _SPAN)
+
+
+@query("aln_recon", """WITH w AS (SELECT conv_id * 1000 + turn AS stream_id, len(list_filter(string_split_regex(ref, '\\s+'), lambda x: x <> '')) AS n FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nx, text AS ref FROM conversations) WHERE nx IS NOT NULL)
+SELECT stream_id, k AS pos, CASE WHEN k = 0 THEN 0 ELSE k * 100 + 5 END AS start_ms, CASE WHEN k = n - 1 THEN k * 100 + 110 ELSE k * 100 + 105 END AS end_ms FROM w, LATERAL (SELECT unnest(range(n)) AS k)""")
+def aln_recon(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours that overlap by 10 ms meet in the middle."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = len(pdf["hyp"][0].split())
+        return _rows(pdf, align.reconcile([(k * 100, k * 100 + 110) for k in range(n)]))
+
+    return align.by_stream(_turn_pairs(spark, d), run, _SPAN)
+
+
+@query("aln_fill")
+def aln_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Every third word anchored 20 ms late, the others filled in."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ref, ms = _timed(pdf["hyp"][0], 100)
+        anchors = [(s + 20, e + 20) if k % 3 == 0 else None for k, (s, e) in enumerate(ms)]
+        return _rows(pdf, align.fill(anchors, ref, ms, len(ref) * 100 + 100) if ref else [])
+
+    return align.by_stream(_turn_pairs(spark, d), run, _SPAN)
+
+
+@query("mth_dither", "SELECT vec_id, true AS small FROM embeddings")
+def mth_dither(spark: SparkSession, d: str) -> DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf["embedding"][0], float)
+        noise = frontend.dither(x, 1e-5) - x
+        return pd.DataFrame({"vec_id": pdf["vec_id"], "small": [bool((np.abs(noise) <= 1.01e-5).all() and np.abs(noise).max() > 0)]})
+
+    return align.by_stream(table(spark, d, "embeddings"), run, "vec_id long, small boolean", "vec_id")
