@@ -67,8 +67,8 @@ def normalize(x: np.ndarray) -> np.ndarray:
     return (x - x.mean(1, keepdims=True)) / (np.sqrt(((x - x.mean(1, keepdims=True)) ** 2).sum(1, keepdims=True) / max(x.shape[1] - 1, 1)) + 1e-5)
 
 
-def log_mel(rows: DataFrame, samples: str, mels: int = MELS, n_fft: int = N_FFT, hop: int = HOP, win: int = WIN) -> DataFrame:
-    """``rows`` with ``features``: normalised log-mel bands (band by frame) of an array of samples."""
+def log_mel(rows: DataFrame, samples: str, mels: int = MELS, n_fft: int = N_FFT, hop: int = HOP, win: int = WIN, emphasis: float = PREEMPHASIS, guard: float = GUARD, per_band: bool = True) -> DataFrame:
+    """``rows`` with ``features``: log-mel bands (band by frame) of an array of samples, normalised ``per_band``."""
     kinds = dict(rows.dtypes)
     filters = mel_filters(n_fft=n_fft, mels=mels)
 
@@ -77,9 +77,9 @@ def log_mel(rows: DataFrame, samples: str, mels: int = MELS, n_fft: int = N_FFT,
             out = []
             for x in batch.column(samples).to_pylist():
                 x = np.asarray(x or [], float)
-                x = np.concatenate([x[:1], x[1:] - PREEMPHASIS * x[:-1]])
-                mel = np.log(filters @ power_spectra(x, n_fft, hop, win).T + GUARD)
-                out.append((normalize(mel) if mel.shape[1] else mel).tolist())
+                x = np.concatenate([x[:1], x[1:] - emphasis * x[:-1]])
+                mel = np.log(filters @ power_spectra(x, n_fft, hop, win).T + guard)
+                out.append((normalize(mel) if per_band and mel.shape[1] else mel).tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.list_(pa.float64())))], [*batch.schema.names, "features"])
 
     return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in rows.columns), "features array<array<double>>"]))

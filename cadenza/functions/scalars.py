@@ -56,7 +56,8 @@ def frame_to_ms(frame: Column, hop: int, subsample: int, rate: int, offset: Colu
 
 
 def seconds_to_ms(s: Column) -> Column:
-    return nonneg(F.round(s * 1000).cast("long"))
+    """Rounded, within 0 and 2^32 - 1."""
+    return F.least(nonneg(F.round(s * 1000).cast("long")), F.lit((1 << 32) - 1))
 
 
 def interpolate_ms(start: Column, end: Column, part: Column, whole: Column) -> Column:
@@ -108,6 +109,11 @@ def piece_text(piece: Column) -> Column:
     return F.when(piece != "<unk>", F.regexp_replace(piece, "^▁+", ""))
 
 
+def is_spoken(token: Column, piece: Column, blank: int) -> Column:
+    """Whether a token stands for text: neither blank nor the unknown piece."""
+    return (token != blank) & (piece != "<unk>")
+
+
 def starts_word(piece: Column) -> Column:
     return F.startswith(piece, F.lit("▁"))
 

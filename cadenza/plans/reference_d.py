@@ -1,0 +1,149 @@
+"""Queries for request sources, live events and small rules of the evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cadenza.functions import frontend
+from cadenza.functions import scalars as S
+from cadenza.plans.base import WORDS, query, table, words
+from cadenza.sources import sinks, streams
+from cadenza.streaming import controls, session
+
+
+# --- rules ---------------------------------------------------------------------------------------
+@query("flt_nonblanktok", f"WITH {WORDS} SELECT stream_id, pos, word AS piece FROM w WHERE length(word) % 9 <> 0 AND length(word) % 9 <> 1")
+def flt_nonblanktok(spark: SparkSession, d: str) -> DataFrame:
+    """Words as tokens numbered by their length modulo 9: 0 is blank, 1 the unknown piece."""
+    token = F.length("word") % 9
+    rows = words(spark, d).withColumn("token", token).withColumn("piece", F.when(F.col("token") == 1, "<unk>").otherwise(F.concat(F.lit("▁"), F.col("word"))))
+    return rows.filter(S.is_spoken(F.col("token"), F.col("piece"), 0)).select("stream_id", "pos", S.piece_text(F.col("piece")).alias("piece"))
+
+
+@query("mth_diff", f"WITH {WORDS} SELECT stream_id, pos, abs(start_ms - pos * 300 - 25) AS distance, start_ms - pos * 300 - 25 AS signed FROM w")
+def mth_diff(spark: SparkSession, d: str) -> DataFrame:
+    signed = F.col("start_ms") - F.col("pos") * 300 - 25
+    return words(spark, d).select("stream_id", "pos", F.abs(signed).alias("distance"), signed.alias("signed"))
+
+
+@query("mth_s2ms", "SELECT event_id, least(greatest(CAST(round((value - 100) * 1000) AS BIGINT), 0), 4294967295) AS ms, 4294967295 AS far FROM events")
+def mth_s2ms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", S.seconds_to_ms(F.col("value") - 100).alias("ms"), S.seconds_to_ms(F.col("value") + 1e12).alias("far"))
+
+
+@query("mth_mel2")
+def mth_mel2(spark: SparkSession, d: str) -> DataFrame:
+    """The features of another model: other sizes, no pre-emphasis, bands not normalised."""
+    rows = frontend.log_mel(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", mels=6, n_fft=32, hop=16, win=24, emphasis=0.0, guard=1e-5, per_band=False)
+    return rows.select("vec_id", F.posexplode("features").alias("band", "values"))
+
+
+# --- sources and sinks -----------------------------------------------------------------------------
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"), F.when(F.col("role") == "system", "application/json").otherwise("audio/wav").alias("content_type"), F.col("text").alias("body"))
+
+
+@query("src_http", """WITH c AS (SELECT conv_id * 1000 + turn AS stream_id, text, (length(text) + 63) // 64 AS n FROM conversations WHERE role <> 'system') SELECT stream_id, k AS seq, 'body' AS kind, substring(text, k * 64 + 1, 64) AS part FROM (SELECT *, unnest(range(n)) AS k FROM c)
+UNION ALL SELECT stream_id, n, 'end', NULL FROM c""")
+def src_http(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies in slots of 64, then an end; requests of a JSON content type are rejected."""
+    return streams.request_frames(_requests(spark, d), 64)
+
+
+@query("src_httpbuf", "SELECT conv_id * 1000 + turn AS stream_id, text AS body, true AS ended FROM conversations WHERE role <> 'system' AND length(text) > 0")
+def src_httpbuf(spark: SparkSession, d: str) -> DataFrame:
+    return streams.bodies(streams.request_frames(_requests(spark, d), 64))
+
+
+@query("src_stage", "SELECT conv_id * 1000 + turn AS stream_id, text AS body, turn % 2 = 0 AS ended FROM conversations WHERE length(text) > 0")
+def src_stage(spark: SparkSession, d: str) -> DataFrame:
+    """Staged frames put together again; the end frames of odd turns are still to come."""
+    frames = sinks.staged(_requests(spark, d), "body", 100)
+    return streams.bodies(frames.filter((F.col("kind") != "end") | (F.col("stream_id") % 2 == 0)))
+
+
+_MESSAGES = """m AS (SELECT user_id AS stream_id, event_id AS seq, CASE WHEN event_id % 11 = 0 THEN 'ping' WHEN event_id % 397 = 1 THEN 'close' WHEN event_id % 3 = 0 THEN 'text' ELSE 'binary' END AS type,
+CASE event_id % 5 WHEN 0 THEN 'KeepAlive' WHEN 1 THEN 'Finalize' WHEN 2 THEN CASE WHEN event_id % 7 = 0 THEN 'CloseStream' ELSE 'KeepAlive' END WHEN 3 THEN {odd} ELSE 'Finalize' END AS control FROM events)"""
+_FRAMES = """, f AS (SELECT *, CASE WHEN type = 'binary' THEN 'body' WHEN type = 'close' THEN 'end' WHEN type = 'text' THEN CASE control WHEN 'KeepAlive' THEN 'keepalive' WHEN 'Finalize' THEN 'finalize' WHEN 'CloseStream' THEN 'end' END END AS kind FROM m)
+SELECT stream_id, seq, kind FROM f WHERE kind IS NOT NULL AND seq <= coalesce((SELECT min(seq) FROM f g WHERE g.stream_id = f.stream_id AND g.kind = 'end'), seq)"""
+
+
+def _messages(spark: SparkSession, d: str, odd: str) -> DataFrame:
+    """Events as messages of their user."""
+    kind = F.expr("CASE WHEN event_id % 11 = 0 THEN 'ping' WHEN event_id % 397 = 1 THEN 'close' WHEN event_id % 3 = 0 THEN 'text' ELSE 'binary' END")
+    control = F.expr(f"CASE event_id % 5 WHEN 0 THEN 'KeepAlive' WHEN 1 THEN 'Finalize' WHEN 2 THEN CASE WHEN event_id % 7 = 0 THEN 'CloseStream' ELSE 'KeepAlive' END WHEN 3 THEN '{odd}' ELSE 'Finalize' END")
+    return table(spark, d, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), kind.alias("type"), F.format_string('{"type":"%s"}', control).alias("payload"))
+
+
+@query("src_ws", "WITH " + _MESSAGES.format(odd="'Other'") + _FRAMES)
+def src_ws(spark: SparkSession, d: str) -> DataFrame:
+    """Messages as frames; unknown controls are passed over."""
+    return controls.frames(_messages(spark, d, "Other")).select("stream_id", "seq", "kind")
+
+
+@query("src_wsdirect", "WITH " + _MESSAGES.format(odd="'Finalize'") + _FRAMES)
+def src_wsdirect(spark: SparkSession, d: str) -> DataFrame:
+    """The same where an unknown control is an error; there is none here."""
+    return controls.frames(_messages(spark, d, "Finalize"), lenient=False).select("stream_id", "seq", "kind")
+
+
+@query("snk_eval", "SELECT to_json({'lang': lang, 'documents': count(*), 'longest': max(n_chars)})::VARCHAR AS value FROM documents GROUP BY lang")
+def snk_eval(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.ndjson(table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("documents"), F.max("n_chars").alias("longest")), "lang", "documents", "longest")
+
+
+# --- live events -----------------------------------------------------------------------------------
+_EMPTY = "array<struct<word:string,start_ms:bigint,end_ms:bigint>>"
+
+
+def _events(spark: SparkSession, d: str, **options: bool) -> DataFrame:
+    """Events of documents as live streams: windows of 10 words every 8, a preview after each, a finalize after every third, an end."""
+    rows = words(spark, d).withColumn("k", F.explode(F.filter(F.array(F.expr("pos div 8"), F.expr("pos div 8 - 1")), lambda k: k >= 0))).filter("pos - k * 8 < 10")
+    item = F.struct("pos", "word", (F.col("start_ms") - F.col("k") * 2400).alias("start_ms"), (F.col("end_ms") - F.col("k") * 2400).alias("end_ms"))
+    plain = lambda x: F.struct(x["word"].alias("word"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"))
+    found = rows.groupBy(F.col("stream_id").cast("string").alias("stream_id"), "k").agg(F.transform(F.array_sort(F.collect_list(item)), plain).alias("words"))
+    found = found.withColumn("last", F.col("k") == F.max("k").over(Window.partitionBy("stream_id")))
+    kinds = F.array(F.lit("window"), F.lit("preview"), F.when(F.col("k") % 3 == 2, "finalize").otherwise("keepalive"), F.when(F.col("last"), "end").otherwise("keepalive"))
+    frames = found.select("*", F.posexplode(kinds).alias("at", "kind"))
+    start = F.when(F.col("kind") == "preview", F.col("k") * 38_400 + 38_400).otherwise(F.col("k") * 38_400)
+    said = F.when(F.col("kind") == "window", F.col("words")).when(F.col("kind") == "preview", F.slice("words", 9, 2)).otherwise(F.array().cast(_EMPTY))
+    said = F.when(F.col("kind") == "preview", F.transform(said, lambda x: F.struct(x["word"].alias("word"), (x["start_ms"] - 2400).alias("start_ms"), (x["end_ms"] - 2400).alias("end_ms")))).otherwise(said)
+    frames = frames.select("stream_id", (F.col("k") * 4 + F.col("at")).alias("seq"), "kind", start.alias("start_sample"), F.when(F.col("kind") == "preview", 9_600).otherwise(48_000).cast("long").alias("n_samples"), F.lit(False).alias("is_final"), F.lit(0.5).alias("rms"), said.alias("words"), F.lit(None).cast("string").alias("text"))
+    return session.run_batch(frames, stride_ms=2400, gap_ms=160, **options)
+
+
+@query("stm_process")
+def stm_process(spark: SparkSession, d: str) -> DataFrame:
+    """All events in order, interim results included."""
+    return _events(spark, d, interim=True)
+
+
+@query("stm_interim")
+def stm_interim(spark: SparkSession, d: str) -> DataFrame:
+    return _events(spark, d, interim=True).filter("type = 'Results' AND NOT is_final")
+
+
+@query("stm_autoseg")
+def stm_autoseg(spark: SparkSession, d: str) -> DataFrame:
+    """Segments whose end became known while the stream went on."""
+    return _events(spark, d).filter("type = 'Results' AND from_finalize AND n_words > 0")
+
+
+@query("stm_finalize")
+def stm_finalize(spark: SparkSession, d: str) -> DataFrame:
+    """What finalize and end flushed, and the closing results."""
+    return _events(spark, d).filter("type = 'Results' AND is_final AND (NOT from_finalize OR n_words = 0)")
+
+
+@query("stm_events")
+def stm_events(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads of all events as JSON lines."""
+    return _events(spark, d, words=True).select("stream_id", "event", session.payload().alias("value"))
+
+
+@query("stm_stable", f"WITH {WORDS} SELECT stream_id, pos, CASE WHEN end_ms - pos // 8 * 2400 <= 2400 THEN pos // 8 ELSE pos // 8 + 1 END AS stable_at FROM w")
+def stm_stable(spark: SparkSession, d: str) -> DataFrame:
+    """The window that a word is stable in: its own if it ends within the stride, else the next."""
+    own = F.expr("pos div 8")
+    return words(spark, d).select("stream_id", "pos", F.when(F.col("end_ms") - own * 2400 <= 2400, own).otherwise(own + 1).alias("stable_at"))

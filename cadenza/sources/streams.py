@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.functions.scalars import parse_bool
+from cadenza.functions.scalars import is_json_request, parse_bool
+from cadenza.operators.windows import slices
 
 ENCODING, RATE, CHANNELS = "f32le", 16_000, 1
 ALIGNMENTS = "map<string,struct<word_segments:array<struct<word:string,start:double,end:double>>>>"
@@ -52,6 +53,25 @@ def read_frames(spark: SparkSession, path: str, streaming: bool = False) -> Data
     return (spark.readStream.schema(schema) if streaming else spark.read.schema(schema)).parquet(path)
 
 
+def request_frames(requests: DataFrame, size: int) -> DataFrame:
+    """(stream_id, seq, kind, part) of requests (stream_id, content_type, body): slots of ``size``, then an end.
+
+    Requests whose content type is JSON are rejected and give no frames; an empty body gives only its end.
+    """
+    taken = requests.filter(~F.coalesce(is_json_request(F.col("content_type")), F.lit(False)))
+    parts = slices(taken, "body", size).select("stream_id", F.col("slot").alias("seq"), F.lit("body").alias("kind"), "part")
+    n = F.ceil(F.coalesce(F.length("body"), F.lit(0)) / size).cast("long")
+    return parts.unionByName(taken.select("stream_id", n.alias("seq"), F.lit("end").alias("kind"), F.lit(None).cast("string").alias("part")))
+
+
+def bodies(frames: DataFrame) -> DataFrame:
+    """(stream_id, body, ended): the body frames of each stream put together, up to its end; streams without any are left out."""
+    item = F.when(F.col("kind") == "body", F.struct("seq", "part"))
+    whole = frames.groupBy("stream_id").agg(F.array_sort(F.collect_list(item)).alias("parts"), F.max(F.col("kind") == "end").alias("ended"), F.min(F.when(F.col("kind") == "end", F.col("seq"))).alias("stop"))
+    parts = F.filter("parts", lambda p: F.col("stop").isNull() | (p["seq"] < F.col("stop")))
+    return whole.filter(F.size(parts) > 0).select("stream_id", F.array_join(F.transform(parts, lambda p: p["part"]), "").alias("body"), "ended")
+
+
 def alignments(rows: DataFrame, text: str) -> DataFrame:
     """(key, pos, word, start, end) of reference alignments kept as a JSON map."""
     entries = rows.select(F.explode(F.from_json(text, ALIGNMENTS)).alias("key", "value"))

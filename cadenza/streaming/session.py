@@ -1,8 +1,8 @@
 """Live transcription sessions: keyed state over ordered frames, as a batch and as a stream.
 
 Input rows are frames of a stream in order of ``seq``: kind "window" (the words of one window, with
-times relative to it), "preview" (words of audio that is not yet a window), "finalize" (flush without
-closing) and "end". Output rows are events. ``Session`` holds the rules; ``run_batch`` folds it over
+times relative to it), "preview" (words of audio that is not yet a window), "keepalive" (nothing),
+"finalize" (flush without closing) and "end". Output rows are events. ``Session`` holds the rules; ``run_batch`` folds it over
 bounded input and ``run_stream`` over a streaming query with keyed state, with the same results. There
 is no event time: a word waits until its window's stride covers it, and order is by ``seq``.
 """
@@ -15,7 +15,8 @@ from dataclasses import asdict, dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EPSILON_MS = 25
@@ -24,7 +25,7 @@ MIN_PENDING_S, MIN_NEW_S = 0.6, 0.4  # before an interim result
 SPEECH_RMS = 0.01
 ATTACHED = set(".,!?;:%)]}'")
 FRAME = "stream_id string, seq long, kind string, start_sample long, n_samples long, is_final boolean, rms double, words array<struct<word:string,start_ms:long,end_ms:long>>, text string"
-EVENT = "stream_id string, event long, type string, is_final boolean, from_finalize boolean, transcript string, start_ms long, end_ms long, n_words long"
+EVENT = "stream_id string, event long, type string, is_final boolean, from_finalize boolean, transcript string, start_ms long, end_ms long, n_words long, speech_final boolean"
 
 
 def attach(words: Iterable[str]) -> str:
@@ -41,6 +42,7 @@ class Session:
     stride_ms: int = 5200
     gap_ms: int = 800
     interim: bool = False
+    words: bool = False
     event: int = 0
     samples: int = 0
     spoken: bool = False
@@ -51,9 +53,9 @@ class Session:
     completed: str = ""
     fragments: list[str] = field(default_factory=list)
 
-    def _emit(self, kind: str, words: list[list[Any]], final: bool = False, from_finalize: bool = False, text: str | None = None) -> dict:
+    def _emit(self, kind: str, words: list[list[Any]], final: bool = False, from_finalize: bool = False, text: str | None = None, speech_final: bool = False) -> dict:
         self.event += 1
-        return {"event": self.event, "type": kind, "is_final": final, "from_finalize": from_finalize, "transcript": attach(w[0] for w in words) if text is None else text, "start_ms": words[0][1] if words else 0, "end_ms": words[-1][2] if words else self.samples * 1000 // RATE, "n_words": len(words)}
+        return {"event": self.event, "type": kind, "is_final": final, "from_finalize": from_finalize, "transcript": attach(w[0] for w in words) if text is None else text, "start_ms": words[0][1] if words and text is None else 0, "end_ms": words[-1][2] if words and text is None else self.samples * 1000 // RATE, "n_words": len(words), "speech_final": speech_final}
 
     @staticmethod
     def _clamped(w: list[Any], end: int | None) -> list[Any]:
@@ -75,27 +77,32 @@ class Session:
             out.append(got)
         return out
 
-    def _complete(self, words: list[list[Any]], from_finalize: bool) -> dict:
-        out = self._emit("Results", words, True, from_finalize)
+    def _complete(self, words: list[list[Any]], from_finalize: bool, speech_final: bool = True) -> Iterator[dict]:
+        """A final result and, where words are wanted, the end of its utterance."""
+        out = self._emit("Results", words, True, from_finalize, speech_final=speech_final)
         self.completed = attach(filter(None, [self.completed, out["transcript"]]))
-        return out
+        yield out
+        if self.words:
+            yield self._emit("UtteranceEnd", words[-1:], text="") | {"start_ms": words[-1][2], "end_ms": words[-1][2], "n_words": 0}
 
-    def _segments(self) -> Iterator[dict]:
+    def _segments(self, from_finalize: bool) -> Iterator[dict]:
         """Every segment whose end is known: never the last pending word's."""
         at = 0
         for k, (a, b) in enumerate(zip(self.pending, self.pending[1:], strict=False)):
             if max(0, b[3] - a[4]) >= self.gap_ms or a[0][-1:] in (".", "!", "?"):
-                yield self._complete(self.pending[at : k + 1], True)
+                yield from self._complete(self.pending[at : k + 1], from_finalize)
                 at = k + 1
         self.pending = self.pending[at:]
 
-    def _flush(self) -> Iterator[dict]:
+    def _flush(self, close: bool) -> Iterator[dict]:
+        """What is pending; where that is nothing, the text of windows without words."""
         if self.pending:
-            yield self._complete(self.pending, False)
+            yield from self._complete(self.pending, False, close)
             self.pending = []
-        elif self.fragments and "".join(self.fragments).strip():
-            yield self._emit("Results", [], True, False, " ".join(self.fragments))
-        self.fragments = []
+        elif self.fragments:
+            text, self.fragments = " ".join(self.fragments), []
+            self.completed = attach(filter(None, [self.completed, text]))
+            yield self._emit("Results", [], True, False, text, close)
 
     def feed(self, f: dict) -> Iterator[dict]:
         """Events that a frame gives rise to."""
@@ -107,12 +114,13 @@ class Session:
             self.samples = max(self.samples, f["start_sample"] + f["n_samples"])
             fresh = self._commit(f["start_sample"] * 1000 // RATE, f["words"], bool(f["is_final"]))
             text = (f.get("text") or "").strip()
-            if not fresh and text and (not self.fragments or self.fragments[-1] != text):
+            if not f["words"] and text and (not self.fragments or self.fragments[-1] != text):
                 self.fragments.append(text)
             self.pending += fresh
-            yield from self._segments()
+            yield from self._segments(not f["is_final"])
         elif kind == "preview":
             total = f["start_sample"] + f["n_samples"]
+            self.samples = max(self.samples, total)
             if not self.interim or f["n_samples"] < MIN_PENDING_S * RATE or total - self.last_interim < MIN_NEW_S * RATE:
                 return
             words, cutoff, end = list(self.pending), self.pending[-1][4] if self.pending else None, self.pending[-1][2] if self.pending else None
@@ -126,11 +134,11 @@ class Session:
                 self.last_interim = total
                 yield self._emit("Results", words, text=text)
         elif kind == "finalize":
-            yield from self._flush()
+            yield from self._flush(False)
         elif kind == "end":
-            yield from self._flush()
-            yield self._emit("Results", [], True, False)
-        else:
+            yield from self._flush(True)
+            yield self._emit("Results", [], True, True, speech_final=True)
+        elif kind != "keepalive":
             raise ValueError(f"unknown frame {kind!r}")
 
 
@@ -139,6 +147,15 @@ def _frames(pdf: pd.DataFrame) -> Iterator[dict]:
         yield row | {"words": [dict(w) for w in (row["words"] if row["words"] is not None else [])]}
 
 
+def payload() -> Column:
+    """An event as the JSON that a client gets."""
+    seconds = lambda c: F.col(c) / 1000.0
+    results = F.struct(F.col("type"), F.array(F.lit(0)).alias("channel_index"), seconds("end_ms").alias("duration"), seconds("start_ms").alias("start"), "is_final", "speech_final", "from_finalize", F.struct(F.array(F.struct("transcript", F.lit(0.0).alias("confidence"))).alias("alternatives")).alias("channel"))
+    ended = F.struct(F.col("type"), F.array(F.lit(0)).alias("channel"), seconds("end_ms").alias("last_word_end"))
+    started = F.struct(F.col("type"), F.array(F.lit(0)).alias("channel"), seconds("end_ms").alias("timestamp"))
+    return F.when(F.col("type") == "Results", F.to_json(results)).when(F.col("type") == "UtteranceEnd", F.to_json(ended)).otherwise(F.to_json(started))
+
+
 def run_batch(frames: DataFrame, **options: Any) -> DataFrame:
     """Events of bounded input."""
 

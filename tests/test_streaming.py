@@ -40,4 +40,34 @@ def test_last_word_waits_for_a_flush():
     got = list(s.feed({"kind": "window", "start_sample": 0, "n_samples": 96_000, "is_final": False, "rms": 0.0, "words": [{"word": "one.", "start_ms": 0, "end_ms": 100}, {"word": "two", "start_ms": 200, "end_ms": 300}]}))
     assert [e["transcript"] for e in got] == ["one."] and got[0]["from_finalize"]
     flushed = list(s.feed({"kind": "end"}))
-    assert [e["transcript"] for e in flushed] == ["two", ""] and not flushed[0]["from_finalize"]
+    assert [e["transcript"] for e in flushed] == ["two", ""] and not flushed[0]["from_finalize"] and flushed[1]["from_finalize"]
+    assert all(e["speech_final"] for e in got + flushed)
+
+
+def _one(kind="window", words=(), **more):
+    frame = {"kind": kind, "start_sample": 0, "n_samples": 96_000, "is_final": False, "rms": 0.0, "words": [{"word": w, "start_ms": a, "end_ms": b} for w, a, b in words]}
+    return frame | more
+
+
+def test_finalize_flushes_without_closing():
+    s = session.Session(words=True)
+    assert not list(s.feed(_one(words=[("two", 200, 300)]))) and not list(s.feed(_one("keepalive")))
+    got = list(s.feed(_one("finalize")))
+    assert [(e["type"], e["is_final"], e["speech_final"], e["end_ms"]) for e in got] == [("Results", True, False, 300), ("UtteranceEnd", False, False, 300)]
+    end = list(s.feed(_one("end")))
+    assert [(e["transcript"], e["speech_final"], e["from_finalize"], e["end_ms"]) for e in end] == [("", True, True, 6000)]
+
+
+def test_text_without_words_is_flushed_only_when_nothing_is_pending():
+    s = session.Session(interim=True)
+    list(s.feed(_one(text="plain text")))
+    list(s.feed(_one(words=[("two", 200, 300)], text="two")))
+    assert [e["transcript"] for e in s.feed(_one("finalize"))] == ["two"]
+    assert [e["transcript"] for e in s.feed(_one("finalize"))] == ["plain text"]
+    got = list(s.feed(_one("preview", [("more", 0, 50)], start_sample=96_000, n_samples=16_000)))
+    assert [(e["transcript"], e["is_final"], e["start_ms"], e["end_ms"]) for e in got] == [("two plain text more", False, 0, 7000)]
+
+
+def test_a_final_window_gives_segments_that_are_not_from_finalize():
+    got = list(session.Session().feed(_one(words=[("one.", 0, 100), ("two", 200, 300)], is_final=True)))
+    assert [(e["transcript"], e["from_finalize"], e["speech_final"]) for e in got] == [("one.", False, True)]
