@@ -19,6 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cadenza.operators.stitch import LONGEST_OVERLAP, SHORTEST_OVERLAP
+
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 EPSILON_MS = 25
 RATE = 16_000
 MIN_PENDING_S, MIN_NEW_S = 0.6, 0.4  # before an interim result
@@ -35,6 +38,22 @@ def attach(words: Iterable[str]) -> str:
     return out
 
 
+def _bare(word: str) -> str:
+    """A word as fragments compare it: trimmed to letters and digits, ASCII letters in lower case."""
+    kept = [k for k, c in enumerate(word) if c.isalnum()]
+    return word[kept[0] : kept[-1] + 1].translate(_LOWER) if kept else ""
+
+
+def merged(fragments: Iterable[str]) -> str:
+    """Fragments joined by the longest overlap in words, as ``stitch.merge_fragments`` joins a table's."""
+    said: list[str] = []
+    for ws in (f.split() for f in fragments):
+        a, b = [_bare(w) for w in said[-LONGEST_OVERLAP:]], [_bare(w) for w in ws[:LONGEST_OVERLAP]]
+        sizes = range(min(len(a), len(b)), SHORTEST_OVERLAP - 1, -1)
+        said += ws[next((k for k in sizes if a[-k:] == b[:k]), 0) :]
+    return " ".join(said)
+
+
 @dataclass
 class Session:
     """State and rules of one stream. Words are [word, start, end, stitch start, stitch end], in ms of the stream."""
@@ -100,7 +119,7 @@ class Session:
             yield from self._complete(self.pending, False, close)
             self.pending = []
         elif self.fragments:
-            text, self.fragments = " ".join(self.fragments), []
+            text, self.fragments = merged(self.fragments), []
             self.completed = attach(filter(None, [self.completed, text]))
             yield self._emit("Results", [], True, False, text, close)
 
