@@ -1,13 +1,19 @@
 """Cross-entropy difference of matched n-gram models.
 
 A target model is counted on the trusted documents (label quality 1), a background model on all
-documents. Both share one vocabulary (the most frequent words of all documents, everything else is
-one unknown word), one order (words and word pairs), one smoothing, and one table of pair slots, so
-that pairs which share a slot do so in both. A document's score is the mean over its words of the
-target loss less the background loss, in nats: low scores read like the target.
+documents. Both share one vocabulary, one order (words and word pairs) and one smoothing. A
+document's score is the mean over its words of the target loss less the background loss, in nats:
+low scores read like the target.
 
-Counts cover every document. What reaches the driver and the tasks is bounded by ``vocabulary``
-and ``slots``, whatever the input.
+``whole_corpus_difference`` counts every word and every pair. Documents are dealt into blocks of
+about ``BLOCK_BYTES`` by a hash. A block sends its distinct words and pairs with their counts to the
+parts of the key space; a part adds them up and returns the totals to each block in the order in which
+its keys came. So what is gathered grows with the input, no task holds more than a block or a part,
+and no key is hot: a block sends it once. Words and pairs are told apart by 64-bit hashes.
+
+``cross_entropy_difference`` is the bounded form: the ``size`` most frequent words, everything else
+is one unknown word, and ``2 ** bits`` slots which pairs share in both models alike. Its counts
+cover every document too, but what it holds is the same whatever the input. No query uses it.
 
 Defined results: null or blank text has no words, losses and difference null; repeated rows each get
 a row and count as often as they occur; a null ``doc_id`` is never a target; without any target the
@@ -31,7 +37,11 @@ SLOT_BITS = 20
 PAIR_WEIGHT = 0.5
 ADDED = 0.5  # added to every word count
 BROADCAST_ROWS = 1_000_000
+BLOCK_BYTES = 12_000_000
+LEAST_BLOCKS = 64
 _FLUSH = 4_000_000
+_START = np.uint64(0x9E3779B97F4A7C15)  # stands before a text's first word
+_WORD, _PAIR = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -167,6 +177,117 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, size: int = VO
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
 
 
+def block_keys(text: pa.ChunkedArray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the words and of the pairs that they end, whether each is of a target, the first word of each text, and the texts begun."""
+    words, pairs, own, first, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)], [np.zeros(1, np.int64)], 0
+    for a, b, data, offsets in text_slices(text):
+        found = Words(data, offsets, ALPHANUMERIC)
+        h = found.hashes()
+        if len(h):
+            before = np.concatenate([h[:1], h[:-1]])
+            before[found.first[:-1][found.first[:-1] < len(h)]] = _START
+            pairs.append(mix(mix(before ^ _PAIR) + h))
+        words.append(mix(h ^ _WORD))
+        own.append(np.repeat(target[a:b], np.diff(found.first)))
+        first.append(found.first[1:] + at)
+        at += len(h)
+    first = np.concatenate(first)
+    return np.concatenate(words), np.concatenate(pairs), np.concatenate(own), first, np.flatnonzero(np.diff(first))
+
+
+def block_counts(text: pa.ChunkedArray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys of a block, their counts in the targets and in all, the place of each word, pair and the start among them, and the first words."""
+    words, pairs, own, first, begun = block_keys(text, target)
+    start = mix(np.array([_START ^ _WORD]))
+    keys, at = np.unique(np.concatenate([words, pairs, np.repeat(start, len(begun))]), return_inverse=True)
+    n = np.bincount(at, minlength=len(keys))
+    t = np.bincount(at[np.concatenate([own, own, target[begun]])], minlength=len(keys))
+    return keys, t, n, at, first
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as bytes: one for each, 255 for those that follow in full."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
+
+
+def unpacked(raw: bytes, size: int) -> np.ndarray:
+    out = np.frombuffer(raw, np.uint8, size).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, np.int64, offset=size)
+    return out
+
+
+def whole_corpus_difference(docs: DataFrame, targets: DataFrame, block_bytes: int = BLOCK_BYTES, least_blocks: int = LEAST_BLOCKS) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, difference) for every row of ``docs``, from the counts of all words and all pairs."""
+    small_batches(docs.sparkSession)
+    ids = broadcast_up_to(targets.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("target_id")).distinct(), BROADCAST_ROWS)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("target_id"), "left").select("doc_id", F.col("target_id").isNotNull().alias("target"), "text")
+    size = rows.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
+    blocks = max(least_blocks, -(-size // block_bytes))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+
+    def cuts_of(keys: np.ndarray) -> np.ndarray:
+        """Where each part of the key space begins in sorted keys, and the end."""
+        part = ((keys >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+        return np.searchsorted(part, np.arange(blocks + 1))
+
+    def send(table_: pa.Table) -> pa.Table:
+        """A block's keys and counts, a row for each part of the key space."""
+        keys, t, n, *_ = block_counts(table_.column("text"), table_.column("target").to_numpy())
+        cuts, block = cuts_of(keys), table_.column("block")[0].as_py()
+        held = np.flatnonzero(np.diff(cuts))
+        spans = [slice(cuts[p], cuts[p + 1]) for p in held]
+        return pa.table([pa.array(held, pa.int32()), pa.array([block] * len(held), pa.int32()), pa.array([keys[x].tobytes() for x in spans], pa.binary()), *(pa.array([packed(c[x]) for x in spans], pa.binary()) for c in (t, n))], ["part", "block", "keys", "t", "n"])
+
+    def add(table_: pa.Table) -> pa.Table:
+        """The totals of a part's keys, a row for each block in the order of its keys."""
+        keys = [np.frombuffer(x, np.uint64) for x in table_.column("keys").to_pylist()]
+        ends = np.cumsum([len(k) for k in keys])
+        totals, (_, at) = [], np.unique(np.concatenate(keys), return_inverse=True)
+        for c in ("t", "n"):
+            sums = np.zeros(at.max() + 1, np.int64)
+            np.add.at(sums, at, np.concatenate([unpacked(x, len(k)) for x, k in zip(table_.column(c).to_pylist(), keys, strict=True)]))
+            totals.append(pa.array([packed(x) for x in np.split(sums[at], ends[:-1])], pa.binary()))
+        return pa.table([table_.column("block"), table_.column("part"), *totals], ["block", "part", "t", "n"])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The number of words in the targets and in all."""
+        t = n = 0
+        for batch in batches:
+            target = batch.column("target").to_numpy(zero_copy_only=False)
+            for a, b, data, offsets in text_slices(batch.column("text")):
+                own = np.diff(Words(data, offsets, ALPHANUMERIC).first)
+                t, n = t + int(own[target[a:b]].sum()), n + int(own.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([t]), pa.array([n])], ["t", "n"])
+
+    total = rows.select("target", "text").mapInArrow(words, "t long, n long").agg(F.sum("t"), F.sum("n")).first()
+    total = [total[0] or 0, total[1] or 0]
+    distinct = max(word_counts(rows).count(), 1)
+
+    def score(table_: pa.Table, totals: pa.Table) -> pa.Table:
+        keys, t, n, at, first = block_counts(table_.column("text"), table_.column("target").to_numpy())
+        cuts = cuts_of(keys)
+        for part, x, y in zip(*(totals.column(c).to_pylist() for c in ("part", "t", "n")), strict=True):
+            span = slice(cuts[part], cuts[part + 1])
+            t[span], n[span] = (unpacked(raw, cuts[part + 1] - cuts[part]) for raw in (x, y))
+        m = int(first[-1])
+        word, pair = at[:m], at[m : 2 * m]
+        before = np.concatenate([word[:1], word[:-1]])
+        before[first[:-1][np.diff(first) > 0]] = at[-1] if m else 0
+        length, losses = np.diff(first), []
+        for counts, all_ in ((t, total[0]), (n, total[1])):
+            alone = (counts[word] + ADDED) / (all_ + ADDED * distinct)
+            context = counts[before]
+            p = np.where(context > 0, PAIR_WEIGHT * counts[pair] / np.maximum(context, 1) + (1 - PAIR_WEIGHT) * alone, alone)
+            sums = np.concatenate([[0.0], np.cumsum(-np.log(p))])
+            losses.append((sums[first[1:]] - sums[first[:-1]]) / np.maximum(length, 1))
+        none = length == 0
+        return pa.table([table_.column("doc_id"), pa.array(length.astype(np.int64)), *(pa.array(x, mask=none) for x in (*losses, losses[0] - losses[1]))], ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
+
+    sent = dealt.groupBy("block").applyInArrow(send, "part int, block int, keys binary, t binary, n binary")
+    totals = sent.repartition(blocks, "part").groupBy("part").applyInArrow(add, "block int, part int, t binary, n binary").repartition(blocks, "block")
+    return dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return cross_entropy_difference(docs, table(spark, sf_dir, "labels").filter("quality = 1"))
+    return whole_corpus_difference(docs, table(spark, sf_dir, "labels").filter("quality = 1"))

@@ -140,6 +140,39 @@ def test_lm_scoring(spark, docs, empty):
     assert lm_scoring.cross_entropy_difference(empty, targets).count() == 0
 
 
+def test_lm_scoring_counts_all_words_and_pairs(spark, docs, empty, tmp_path):
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(50, " ".join(f"v{k}" for k in range(70_000))), (51, "v1 v2 v3 v2 v1"), (53, "v1 v2 v3")]
+    marks = [(0, 1), (2, 1), (2, 1), (50, 0), (51, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(*m, 0) for m in marks], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    good = {i for i, q in marks if q}
+    texts_ = [(i, ALNUM.findall((t or "").translate(LOWER))) for i, t in rows]
+    models = []
+    for chosen in ([w for i, w in texts_ if i in good], [w for _, w in texts_]):
+        single, pairs, context = collections.Counter(), collections.Counter(), collections.Counter()
+        for w in chosen:
+            single.update(w)
+            context.update(w + [None] * bool(w))
+            pairs.update(zip([None, *w], w, strict=False))
+        models.append((single, pairs, context, sum(single.values())))
+    v, want = len(models[1][0]), []
+    for i, w in texts_:
+        losses = []
+        for single, pairs, context, total in models:
+            loss = 0.0
+            for a, b in zip([None, *w], w, strict=False):
+                alone = (single[b] + 0.5) / (total + 0.5 * v)
+                loss -= np.log(0.5 * pairs[a, b] / context[a] + 0.5 * alone if context[a] else alone)
+            losses.append(loss / len(w) if w else None)
+        want.append((i, len(w), losses[0] - losses[1] if w else None))
+    read = lambda n: spark.read.parquet(f"{tmp_path}/{n}.parquet")
+    few = lm_scoring.whole_corpus_difference(read("documents"), read("labels").filter("quality = 1"), least_blocks=1)
+    for rows_ in (QUERIES["op3_lm_scoring"](spark, str(tmp_path)).collect(), few.collect()):
+        for g, w in zip(sorted(((r.doc_id, r.n_tokens, r.difference) for r in rows_), key=str), sorted(want, key=str), strict=True):
+            assert g[:2] == w[:2] and (g[2] == w[2] is None or abs(g[2] - w[2]) < 1e-9)
+    assert lm_scoring.whole_corpus_difference(empty, read("labels")).count() == 0
+
+
 def test_banded_distance(spark):
     rnd, rows = random.Random(6), []
     for _ in range(400):
