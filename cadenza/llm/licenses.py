@@ -103,7 +103,8 @@ def rules() -> list[Rule]:
 
 
 _BREAK = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-_GATE = "(?i)licen[cs]e|public domain|creative commons|spdx|wtfpl|rights reserved|permission|redistribution|cc0|cc[^0-9a-z]+by"
+#: Necessary for every rule, on the text before its words are re-spaced: gaps are any break.
+_GATE = f"(?i)licen[cs]e|public{_BREAK}domain|creative{_BREAK}commons|spdx|wtfpl|rights{_BREAK}reserved|permission|redistribution|cc0|cc{_BREAK}by"
 
 
 def words_of(text: Column) -> Column:

@@ -352,6 +352,12 @@ def test_license_suppression(spark):
     assert licenses.scan(one("gnu affero general public license")).first().labels == "agpl"
 
 
+def test_license_gate_admits_any_break(spark):
+    found = {"released into the public\ndomain": "public-domain", "Creative\n  Commons Attribution 4.0": "cc-by", "all rights\r\n* reserved": "proprietary", "PUBLIC  DOMAIN": "public-domain", "public-domain": "public-domain", "CC\tBY-SA 4.0": "cc-by,cc-by-sa", "public good, domain": ""}
+    rows = licenses.scan(spark.createDataFrame([(t,) for t in found], "text string")).collect()
+    assert {r.text: r.labels for r in rows} == found
+
+
 def test_personal_data(docs, empty):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     tests = {"email": lambda m, d: True, "ip": lambda m, d: all(int(x) <= 255 for x in m.split(".")), "card": lambda m, d: 16 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(d[::-1])) % 10 == 0, "phone": lambda m, d: 8 <= len(d) <= 15}
