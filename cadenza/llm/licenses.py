@@ -84,6 +84,44 @@ NOTICES = (
     ("cc-by-nc", "cc", "cc by nc(?: sa| nd)?(?: [0-9] 0)?", 3, 0.9),
     ("cc-by-nd", "cc", "cc by nd(?: [0-9] 0)?", 3, 0.9),
 )
+_V = "(?:version |v ?)?"
+_ONLY = "(?: only| or (?:any )?later(?: version)?)?"
+# Label, keyword, words, priority and confidence of short names, licence bodies and headers. No other rule finds these.
+SIGNATURES = (
+    ("gpl", "gpl", f"(?:gnu )?gpl {_V}[123](?: 0)?{_ONLY}", 2, 0.9),
+    ("gpl", "gpl", f"(?:gnu )?gplv[123](?: 0)?{_ONLY}", 2, 0.9),
+    ("gpl", "gpl", "(?:gnu )?gpl licen[cs]ed?", 2, 0.8),
+    ("lgpl", "lgpl", f"(?:gnu )?lgpl {_V}[23](?: [01])?{_ONLY}", 2, 0.9),
+    ("lgpl", "lgpl", f"(?:gnu )?lgplv[23](?: [01])?{_ONLY}", 2, 0.9),
+    ("agpl", "agpl", f"(?:gnu )?agpl {_V}[13](?: 0)?{_ONLY}", 2, 0.9),
+    ("agpl", "agpl", f"(?:gnu )?agplv[13](?: 0)?{_ONLY}", 2, 0.9),
+    ("apache", "apache", f"apache {_V}[12] [01]", 2, 0.9),
+    ("apache", "apache", "apache v?2", 2, 0.7),
+    ("apache", "apache", "apache licen[cs]ed", 2, 0.8),
+    ("apache", "compliance", "you may not use this file except in compliance with the license", 3, 0.9),
+    ("bsd", "bsd", "bsd (?:[0234]|two|three|four) clause", 2, 0.9),
+    ("bsd", "bsd", "(?:[0234]|two|three|four|new|modified|simplified|revised) (?:clause )?bsd", 2, 0.8),
+    ("bsd", "bsd", "bsd (?:style licen[cs]e|licen[cs]ed)", 2, 0.8),
+    ("bsd", "endorse", "may be used to endorse or promote products derived from this software", 3, 0.9),
+    ("cc0", "cc0", f"cc0(?: {_V}1 0)?", 2, 0.9),
+    ("cc-by-sa", "attribution", "creative commons attribution share alike(?: [1-4] [05])?", 3, 1.0),
+    ("cc-by-nc", "attribution", "creative commons attribution non commercial(?: [1-4] [05])?", 3, 1.0),
+    ("cc-by-nd", "attribution", "creative commons attribution no ?deriv(?:s|atives)(?: [1-4] [05])?", 3, 1.0),
+    ("mit", "mit", "mit licen[cs]ed", 2, 0.9),
+    ("mit", "mit", "(?:mit|expat) style licen[cs]e", 2, 0.8),
+    ("mit", "permission", "the above copyright notice and this permission notice shall be included in all copies", 3, 0.9),
+    ("mpl", "mpl", f"mpl {_V}[12] [01]", 2, 0.9),
+    ("epl", "epl", f"epl {_V}[12] 0", 2, 0.9),
+    ("eupl", "eupl", f"eupl {_V}1 [012]", 2, 0.9),
+    ("bsl", "permission", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software", 3, 1.0),
+    ("unlicense", "unencumbered", "free and unencumbered software released into the public domain", 3, 1.0),
+    ("zlib", "altered", "altered source versions must be plainly marked as such", 3, 1.0),
+    ("wtfpl", "fuck", "do what the fuck you want to public license", 3, 1.0),
+    ("isc", "isc", "isc licen[cs]ed", 2, 0.9),
+    ("ofl", "ofl", "(?:sil )?ofl (?:version |v ?)?1 [01]", 2, 0.9),
+    ("odbl", "odbl", f"odbl(?: {_V}1 0)?", 2, 0.9),
+    ("fdl", "gfdl", "gfdl(?: (?:version |v ?)?1 [123])?", 2, 0.9),
+)
 
 
 @dataclass(frozen=True)
@@ -96,15 +134,15 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """All rules in order: every name in every form, SPDX identifiers, notices."""
+    """All rules in order: every name in every form, SPDX identifiers, notices, signatures."""
     out = [Rule(label, word, form.format(name), p, c) for label, word, name in NAMES for form, p, c in FORMS]
     out += [Rule(label, "spdx", f"spdx license identifier {label.replace('-', ' ')}(?: [0-9]+)*(?: only| or later)?", 4, 1.0) for label in sorted({n[0] for n in NAMES})]
-    return out + [Rule(*n) for n in NOTICES]
+    return out + [Rule(*n) for n in NOTICES + SIGNATURES]
 
 
 _BREAK = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 #: Necessary for every rule, on the text before its words are re-spaced: gaps are any break.
-_GATE = f"(?i)licen[cs]e|public{_BREAK}domain|creative{_BREAK}commons|spdx|wtfpl|rights{_BREAK}reserved|permission|redistribution|cc0|cc{_BREAK}by"
+_GATE = f"(?i)licen[cs]e|public{_BREAK}domain|creative{_BREAK}commons|spdx|wtfpl|rights{_BREAK}reserved|permission|redistribution|cc0|cc{_BREAK}by|gpl|apache|bsd|mpl|epl|eupl|ofl|odbl|gfdl|endorse{_BREAK}or|altered{_BREAK}source"
 
 
 def words_of(text: Column) -> Column:

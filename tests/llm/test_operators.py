@@ -358,6 +358,20 @@ def test_license_gate_admits_any_break(spark):
     assert {r.text: r.labels for r in rows} == found
 
 
+def test_license_short_names_and_bodies(spark):
+    found = {
+        "GPLv3": "gpl", "GPL v2 or later": "gpl", "GPL-3.0-or-later": "gpl", "LGPL 2.1": "lgpl", "AGPLv3": "agpl", "Apache 2.0": "apache", "Apache-2.0": "apache", "BSD 3-Clause": "bsd", "2-clause BSD": "bsd",
+        "CC0 1.0": "cc0", "MIT licensed": "mit", "MPL 2.0": "mpl", "EPL-2.0": "epl", "OFL 1.1": "ofl", "ODbL": "odbl", "GFDL 1.3": "fdl",
+        "Altered source versions must be plainly\nmarked as such": "zlib", "may be used to endorse or promote products derived from this software": "bsd",
+        "a trip mit dem Zug in 2 0": "", "Apache helicopters": "", "gplx": "",
+    }
+    rows = licenses.scan(spark.createDataFrame([(t,) for t in found], "text string")).collect()
+    assert {r.text: r.labels for r in rows} == found
+    gate = re.compile(licenses._GATE)
+    own = [n for n in licenses.SIGNATURES if n[1] in ("gpl", "lgpl", "agpl", "apache", "bsd", "cc0", "mpl", "epl", "eupl", "ofl", "odbl", "gfdl")]
+    assert own and all(gate.search(n[1]) for n in own)
+
+
 def test_personal_data(docs, empty):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     tests = {"email": lambda m, d: True, "ip": lambda m, d: all(int(x) <= 255 for x in m.split(".")), "card": lambda m, d: 16 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(d[::-1])) % 10 == 0, "phone": lambda m, d: 8 <= len(d) <= 15}
