@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +40,8 @@ def percentile_rank(column: Column, p: float) -> Column:
     return F.coalesce(F.get(got, F.round(F.lit(p / 100) * (F.size(got) - 1)).cast("int")), F.lit(0))
 
 
-def percentile_of(rows: DataFrame, column: str, *ps: float) -> DataFrame:
-    """(p, value): the same for a whole table without gathering it, from counts by value."""
+def _at_ranks(rows: DataFrame, column: str, ranks: Callable[[Column], dict[float, Column]]) -> DataFrame:
+    """(p, value): the sorted values of a whole table at the ``ranks`` for its number of values, from counts by value in ranges."""
     counts = rows.filter(F.col(column).isNotNull()).groupBy(column).count()
     bounds = rows.agg(F.percentile_approx(column, [k / 64 for k in range(1, 64)]).alias("b")).first().b or []
     part = F.size(F.filter(F.lit(list(bounds)) if bounds else F.array().cast("array<double>"), lambda b: b < F.col(column)))
@@ -49,11 +51,21 @@ def percentile_of(rows: DataFrame, column: str, *ps: float) -> DataFrame:
     n = total.agg(F.sum("n").alias("total"))
     ranked = parts.join(F.broadcast(total.select("part", "base")), "part").crossJoin(F.broadcast(n))
     upto = F.col("base") + F.col("below")
-    wanted = F.explode(F.array(*(F.struct(F.lit(float(p)).alias("p"), F.round(F.lit(p / 100) * (F.col("total") - 1)).cast("long").alias("rank")) for p in ps)))
+    wanted = F.explode(F.array(*(F.struct(F.lit(float(p)).alias("p"), rank.cast("long").alias("rank")) for p, rank in ranks(F.col("total")).items())))
     hit = ranked.withColumn("w", wanted).filter((F.col("w.rank") < upto) & (F.col("w.rank") >= upto - F.col("count")))
     return hit.select("w.p", F.col(column).alias("value"))
 
 
+def percentile_of(rows: DataFrame, column: str, *ps: float) -> DataFrame:
+    """(p, value): ``percentile_rank`` for a whole table without gathering it."""
+    return _at_ranks(rows, column, lambda n: {p: F.round(F.lit(p / 100) * (n - 1)) for p in ps})
+
+
+def upper_median_of(rows: DataFrame, column: str) -> DataFrame:
+    """(p, value): ``upper_median`` for a whole table without gathering it; no row for no values."""
+    return _at_ranks(rows, column, lambda n: {50: F.call_function("div", n, F.lit(2))})
+
+
 def upper_median(column: Column) -> Column:
     """The sorted value at n div 2; 0 for no values."""
     got = F.sort_array(F.collect_list(column))
@@ -66,11 +78,14 @@ def mean_or_nan(column: Column) -> Column:
 
 def calibration(pairs: DataFrame) -> DataFrame:
     """Offsets that centre start and end, and the errors left after applying them. pairs: start, end, ref_start, ref_end."""
-    medians = pairs.agg((-upper_median(F.col("start") - F.col("ref_start"))).alias("start_offset"), (-upper_median(F.col("end") - F.col("ref_end"))).alias("end_offset"))
-    rows = pairs.crossJoin(F.broadcast(medians))  # one row
-    s, e = F.col("start") - F.col("ref_start") + F.col("start_offset"), F.col("end") - F.col("ref_end") + F.col("end_offset")
+    moved = pairs.select((F.col("start") - F.col("ref_start")).alias("s"), (F.col("end") - F.col("ref_end")).alias("e"))
+    one = lambda found, *out: F.broadcast(found.agg(*(F.coalesce(F.max(F.when(F.col("p") == p, F.col("value"))), F.lit(0)).alias(name) for p, name in out)))  # one row
+    medians = one(upper_median_of(moved, "s"), (50, "s0")).crossJoin(one(upper_median_of(moved, "e"), (50, "e0"))).select((-F.col("s0")).alias("start_offset"), (-F.col("e0")).alias("end_offset"))
+    rows = moved.crossJoin(F.broadcast(medians))
+    s, e = F.col("s") + F.col("start_offset"), F.col("e") + F.col("end_offset")
     rows = rows.select("start_offset", "end_offset", F.abs(s).alias("s"), F.abs(e).alias("e"), F.abs(F.call_function("div", s + e, F.lit(2))).alias("m"))
-    return rows.groupBy("start_offset", "end_offset").agg(F.avg("s").alias("start_mae"), F.avg("e").alias("end_mae"), F.avg("m").alias("mid_mae"), percentile_rank(F.col("m"), 50).alias("mid_p50"), percentile_rank(F.col("m"), 95).alias("mid_p95"))
+    means = rows.groupBy("start_offset", "end_offset").agg(F.avg("s").alias("start_mae"), F.avg("e").alias("end_mae"), F.avg("m").alias("mid_mae"))
+    return means.crossJoin(one(percentile_of(rows, "m", 50, 95), (50, "mid_p50"), (95, "mid_p95")))
 
 
 def throughput(audio_ms: str, service_ms: str, begin: str, end: str, process_ms: int) -> list[Column]:

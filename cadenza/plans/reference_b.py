@@ -367,6 +367,14 @@ def agg_calib(spark: SparkSession, d: str) -> DataFrame:
     return metrics.calibration(rows)
 
 
+@query("agg_calib_whole", f"""WITH {WORDS}, x AS (SELECT (pos * 7) % 23 - 5 AS s, (pos * 11) % 31 - 9 AS e FROM w), m AS (SELECT -list_sort(list(s))[count(*) // 2 + 1] AS so, -list_sort(list(e))[count(*) // 2 + 1] AS eo FROM x),
+y AS (SELECT so, eo, abs(s + so) AS a, abs(e + eo) AS b, abs(CAST(trunc((s + so + e + eo) / 2) AS BIGINT)) AS c FROM x, m)
+SELECT so AS start_offset, eo AS end_offset, avg(a) AS start_mae, avg(b) AS end_mae, avg(c) AS mid_mae, {_RANK.format(c='c', p='0.5::DOUBLE')} AS mid_p50, {_RANK.format(c='c', p='0.95::DOUBLE')} AS mid_p95 FROM y GROUP BY ALL""")
+def agg_calib_whole(spark: SparkSession, d: str) -> DataFrame:
+    rows = words(spark, d).select((F.col("start_ms") + F.expr("(pos * 7) % 23 - 5")).alias("start"), (F.col("end_ms") + F.expr("(pos * 11) % 31 - 9")).alias("end"), F.col("start_ms").alias("ref_start"), F.col("end_ms").alias("ref_end"))
+    return metrics.calibration(rows)
+
+
 @query("agg_rtfx", "SELECT user_id, sum(event_id)::DOUBLE / sum(user_id) AS service, sum(event_id)::DOUBLE / nullif(max(event_id) - min(event_id), 0) AS effective, sum(event_id)::DOUBLE / 5000 AS lifecycle FROM events GROUP BY 1 HAVING count(*) > 1 AND user_id > 0")
 def agg_rtfx(spark: SparkSession, d: str) -> DataFrame:
     busy = table(spark, d, "events").filter("user_id > 0").withColumn("n", F.count("*").over(Window.partitionBy("user_id"))).filter("n > 1")

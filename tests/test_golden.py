@@ -184,3 +184,14 @@ def test_config_is_checked():
 def test_utterances_split_at_zero_gap(spark):
     df = spark.createDataFrame([(1, k, f"w{k}", k * 10, k * 10 + 5) for k in range(3)], "stream_id long, pos long, word string, start_ms long, end_ms long")
     assert sessions.utterances(df, 0).count() == 3 and sessions.utterances(df, 6).count() == 1
+
+
+def test_calibration_gathers_no_table(spark):
+    pairs = [(k * 7 % 23 - 5, k * 11 % 31 - 9) for k in range(200)]
+    got = metrics.calibration(spark.createDataFrame([(s, e, 0, 0) for s, e in pairs], "start long, end long, ref_start long, ref_end long"))
+    assert not [f for f in ("collect_list", "collect_set") if f in got._jdf.queryExecution().toString()]
+    so, eo = (-sorted(x)[100] for x in zip(*pairs, strict=True))
+    mid = sorted(abs(int((s + so + e + eo) / 2)) for s, e in pairs)
+    want = (so, eo, sum(abs(s + so) for s, _ in pairs) / 200, sum(abs(e + eo) for _, e in pairs) / 200, sum(mid) / 200, mid[round(0.5 * 199 + 1e-9)], mid[round(0.95 * 199)])
+    assert tuple(got.first()) == pytest.approx(want)
+    assert metrics.calibration(spark.createDataFrame([], "start long, end long, ref_start long, ref_end long")).count() == 0
