@@ -125,6 +125,12 @@ def val_anchor(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("ok", F.col("start_ms") >= F.coalesce(before, F.lit(0))).groupBy("stream_id").agg(F.bool_and("ok").alias("ordered"))
 
 
+@query("val_anchor_whole", f"WITH {WORDS}, x AS (SELECT *, lag(end_ms) OVER (PARTITION BY stream_id ORDER BY pos) AS before FROM w) SELECT stream_id, bool_and(start_ms >= coalesce(before, 0)) AS ordered FROM x GROUP BY 1")
+def val_anchor_whole(spark: SparkSession, d: str) -> DataFrame:
+    before = F.lag("end_ms").over(Window.partitionBy("stream_id").orderBy("pos"))
+    return words(spark, d).withColumn("ok", F.col("start_ms") >= F.coalesce(before, F.lit(0))).groupBy("stream_id").agg(F.bool_and("ok").alias("ordered"))
+
+
 # --- stitching ---------------------------------------------------------------------------
 @query("stt_clamp", f"""WITH {WORDS}, k AS (SELECT *, CASE WHEN pos = 0 THEN end_ms ELSE greatest(end_ms, start_ms + 1) - pos END AS k FROM w),
 e AS (SELECT *, pos + max(k) OVER (PARTITION BY stream_id ORDER BY pos) AS e FROM k)
@@ -181,6 +187,15 @@ def stt_sidets(spark: SparkSession, d: str) -> DataFrame:
     return stitch.side_times(own, side)
 
 
+@query("stt_sidets_whole", f"""WITH {WORDS}, s AS (SELECT stream_id, pos, CASE WHEN stream_id % 3 = 0 AND pos = 1 THEN word || 'x' ELSE word END AS word, start_ms + 7 AS s, end_ms + 9 AS e FROM w),
+j AS (SELECT w.*, s.s, s.e, min(CASE WHEN w.word = s.word THEN 1 ELSE 0 END) OVER (PARTITION BY w.stream_id) = 1 AS applied FROM w JOIN s USING (stream_id, pos))
+SELECT stream_id, pos, word, CASE WHEN applied THEN s ELSE start_ms END AS start_ms, CASE WHEN applied THEN e ELSE end_ms END AS end_ms, start_ms AS stitch_start_ms, end_ms AS stitch_end_ms, applied FROM j""")
+def stt_sidets_whole(spark: SparkSession, d: str) -> DataFrame:
+    own = words(spark, d)
+    side = own.withColumn("word", F.expr("CASE WHEN stream_id % 3 = 0 AND pos = 1 THEN concat(word, 'x') ELSE word END")).withColumn("start_ms", F.col("start_ms") + 7).withColumn("end_ms", F.col("end_ms") + 9)
+    return stitch.side_times(own, side)
+
+
 # --- sessions ------------------------------------------------------------------------------
 _UTT = f"""{WORDS}, b AS (SELECT *, lag(end_ms) OVER o AS le, lag(word) OVER o AS lw FROM w WINDOW o AS (PARTITION BY stream_id ORDER BY pos)),
 m AS (SELECT *, sum(CASE WHEN le IS NULL OR greatest(start_ms - le, 0) >= {GAP} OR regexp_matches(lw, '[.!?]$') THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY pos) AS utterance FROM b),
