@@ -7,26 +7,40 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.session import cut
 
+FEW = 256  # a node of no more edges than this is never hot
+HUBS = 500_000  # most nodes that are broadcast
+
+
+def with_lowest(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` (u, v) with ``m``, the smallest v of each u.
+
+    A u of more than ``most`` rows is a hub. There are at most rows / most hubs, so they are
+    broadcast and their rows stay where they are; all others are joined by a shuffle.
+    """
+    low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    hubs = F.broadcast(low.filter(F.col("degree") > most).select("u", "m"))
+    others = rows.join(hubs, "u", "left_anti").join(low.filter(F.col("degree") <= most).select("u", "m"), "u")
+    return rows.join(hubs, "u").select("u", "v", "m").unionByName(others.select("u", "v", "m"))
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a long, b long): root is the smallest node reachable.
 
     Every step is a join or an aggregate over edges; nothing is gathered on the driver but two
-    sums. Loops and repeated edges are allowed; an empty table gives no rows.
+    sums. Loops and repeated edges are allowed; an empty table gives no rows. A node with very many
+    edges is never the key of one task (``with_lowest``).
     """
-    pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    pairs = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     loops = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    before = None
-    while True:
+    n, before = pairs.count(), None
+    while n:
+        most = max(FEW, 2 * n // HUBS)  # 2n rows have at most HUBS nodes beyond it
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(down, "u")
-        small = joined.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        large = with_lowest(both, most).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v").distinct()
+        small = with_lowest(large, most).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         pairs = cut(small.filter("u <> v").distinct())
         state = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (state.n, state.h) == before:
             break
-        before = (state.n, state.h)
+        before, n = (state.n, state.h), state.n
     return loops.join(pairs.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))

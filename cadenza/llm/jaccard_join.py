@@ -2,14 +2,17 @@
 
 A document is the set of its distinct five-word shingles. Equal sets are merged first, so copies
 cost nothing afterwards. Candidate pairs come from an inverted index over the part of each set
-that any partner must share in (its prefix, whose length the threshold and the set's size fix),
-with frequent shingles ordered last. Lists of up to ``LIST`` sets give their pairs, and those whose
-possible overlap stays below the size-derived bound are discarded at once. Longer lists give a
-star instead of pairs. The sets of each candidate group then meet in blocks: a blocked sparse
-product of the set-by-shingle incidence accumulates overlap counts, and pairs below the bound
-7 * overlap >= 3 * (size + size) are dropped. Groups beyond a block are dealt over block pairs.
-
-Which shingles count as frequent only orders them and never changes the result.
+that any partner must share in (its prefix, whose length the threshold and the set's size fix).
+Shingles are ordered by the number of sets that hold them, counted over the whole corpus
+(``exchange``), so a prefix holds a set's rarest shingles, and shingles of one set only are left
+out. Lists of up to ``LIST`` sets give their pairs, and those whose possible overlap stays below the
+size-derived bound are discarded at once. Longer lists give a star instead of pairs, from those of
+their sets whose size and place still allow a link. The sets of each candidate group then meet in
+blocks: a blocked sparse product of the set-by-shingle incidence accumulates overlap counts, and
+pairs below the bound 7 * overlap >= 3 * (size + size) are dropped. Large groups are dealt over
+pairs of blocks.
+
+The order of the shingles never changes the result. Sets are told apart by a 64-bit hash.
 
 Defined results: null or blank text has no shingles, ``n_shingles`` 0 and its own id as component;
 repeated rows each get a row; rows without ``doc_id`` take part and carry null; a component's id is
@@ -26,14 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.components import connected_components
-from cadenza.llm.session import broadcast_up_to, cut, small_batches, table, value_at_rank
+from cadenza.llm.exchange import LEAST_BLOCKS, in_blocks, number_of_blocks, received, sent, totals
+from cadenza.llm.session import broadcast_up_to, cut, small_batches, table
 from cadenza.llm.textkit import BLANK_SEPARATED, Words, set_id, shingle_sets, text_slices
 
 SHINGLE = 5
 LIST = 32
-FREQUENT = 1 << 19
-WINDOW_SHINGLES = 4_000_000
 BLOCK_SHINGLES = 3_000_000
+BLOCK_SETS = 2048
+ALONE = 128  # a candidate group of no more sets meets in one cell
 BROADCAST_ROWS = 1_000_000
 _OUT = 1 << 16
 
@@ -56,74 +60,55 @@ def shingle_ids(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, node long")
 
 
-def frequent_shingles(docs: DataFrame, keep: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``keep`` shingles with their counts, of those found at least three times among neighbouring documents the most frequent."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        seen: set[int] = set()
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                grams, counts = np.unique(np.concatenate(held), return_counts=True)
-                often = counts >= 3
-                yield pa.RecordBatch.from_arrays([pa.array(grams[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["gram", "n"])
-
-        for batch in batches:
-            for _, sets in _columns(batch):
-                for s in sets:
-                    if len(s) and (k := set_id(s)) not in seen:
-                        seen.add(k)
-                        held.append(s)
-                        size += len(s)
-                if size > WINDOW_SHINGLES:
-                    yield from flush()
-                    held, size, seen = [], 0, set()
-        yield from flush()
-
-    totals = cut(docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
-    found = totals.filter(F.col("n") >= value_at_rank(totals, "n", keep)).toPandas()  # at most `keep` rows
-    grams, counts = found["gram"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
-    order = np.argsort(grams)
-    return grams[order], counts[order]
-
-
 def prefix_length(n: int) -> int:
     """How many of a set's shingles, in any common order, must meet those of each partner at Jaccard 3/4."""
     return n - (3 * n + 3) // 4 + 1
 
 
-def postings(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(gram, node, n, pos) of each set's prefix, with shingles in the common order (rare before frequent)."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def block_sets(text: pa.Array) -> tuple[list[int], list[np.ndarray]]:
+    """The distinct shingle sets of some texts and their identities."""
+    found: dict[int, np.ndarray] = {}
+    for a, b, data, offsets in text_slices(text):
+        for s in shingle_sets(Words(data, offsets, BLANK_SEPARATED), b - a, SHINGLE):
+            if len(s):
+                found.setdefault(set_id(s), s)
+    return list(found), list(found.values())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, counts = shared.value
-        seen: set[int] = set()
-        for batch in batches:
-            for _, sets in _columns(batch):
-                grams, nodes, sizes, places = [], [], [], []
-                for s in sets:
-                    n = len(s)
-                    if not n or (k := set_id(s)) in seen:
-                        continue
-                    if len(seen) < 1_000_000:  # a set given twice does no harm
-                        seen.add(k)
-                    if len(hot):
-                        at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                        weight = np.where(hot[at] == s, counts[at], 0)
-                        if weight.any():
-                            s = s[np.lexsort((s, weight))]
-                    p = prefix_length(n)
-                    grams.append(s[:p])
-                    nodes.append(np.full(p, k, np.int64))
-                    sizes.append(np.full(p, n, np.int32))
-                    places.append(np.arange(1, p + 1, dtype=np.int32))
-                if grams:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (nodes, sizes, places))], ["gram", "node", "n", "pos"])
-
-    return docs.select("text").mapInArrow(run, "gram long, node long, n int, pos int")
+
+def postings(docs: DataFrame, blocks: int) -> DataFrame:
+    """(gram, node, n, pos) of each set's prefix, its shingles in the common order: rare before frequent, ties by hash.
+
+    How many sets hold a shingle is counted over the whole corpus, exactly but for copies in different
+    blocks. A shingle that only one set holds meets nothing and is left out.
+    """
+    dealt = in_blocks(docs.select("doc_id", "text"), blocks)
+
+    def send(table_: pa.Table) -> pa.Table:
+        sets = block_sets(table_.column("text"))[1]
+        keys, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return sent(table_.column("block")[0].as_py(), keys, {"held": n}, blocks)
+
+    def prefixes(table_: pa.Table, found: pa.Table) -> pa.Table:
+        nodes, sets = block_sets(table_.column("text"))
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]]
+        if sets:
+            keys, at = np.unique(np.concatenate(sets), return_inverse=True)
+            held = received(found, keys, ["held"], blocks)[0][at]
+            start = 0
+            for k, s in zip(nodes, sets, strict=True):
+                n = len(s)
+                own = held[start : start + n]
+                start += n
+                p = prefix_length(n)
+                order = np.lexsort((s, own))[:p]
+                shared = np.flatnonzero(own[order] > 1)
+                grams = s[order[shared]]
+                for column, values in zip(out, (grams, np.full(len(grams), k, np.int64), np.full(len(grams), n, np.int32), (shared + 1).astype(np.int32)), strict=True):
+                    column.append(values)
+        return pa.table([pa.array(np.concatenate(out[0]).view(np.int64)), *(pa.array(np.concatenate(x)) for x in out[1:])], ["gram", "node", "n", "pos"])
+
+    counted = totals(dealt.groupBy("block").applyInArrow(send, "part int, block int, keys binary, held binary"), ["held"], blocks)
+    return dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(prefixes, "gram long, node long, n int, pos int")
 
 
 def candidate_edges(index: DataFrame, longest: int = LIST) -> DataFrame:
@@ -152,7 +137,7 @@ def candidate_edges(index: DataFrame, longest: int = LIST) -> DataFrame:
                     p, q = ((base[x : x + step, None] + m).ravel() for m in (i, j))
                     yield from out(node[p], node[q], n[p], n[q], pos[p], pos[q], False)
 
-        hub = None  # (gram, node, n of the last) of a long list under way
+        hub, open_ = None, None  # (gram, centre, n of the last) of a long list under way; the last batch's last long gram
         rest = [np.zeros(0, np.int64)] * 4
         for batch in batches:
             cols = [np.concatenate([r, batch.column(c).to_numpy(zero_copy_only=False)]) for r, c in zip(rest, ("gram", "node", "n", "pos"), strict=True)]
@@ -162,20 +147,29 @@ def candidate_edges(index: DataFrame, longest: int = LIST) -> DataFrame:
             starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
             sizes = np.diff(np.concatenate([starts, [len(gram)]]))
             long_ = sizes > longest
-            if hub is not None and gram[0] == hub[0]:
+            if open_ is not None and gram[0] == open_:
                 long_[0] = True
+            open_ = int(gram[-1]) if long_[-1] else None
             done = np.repeat(~long_, sizes)
             tail = sizes[-1] if not long_[-1] else 0  # an open short list waits
             done[len(gram) - tail :] = False
             yield from lists(*(c[done] for c in cols))
             for s, k in zip(starts[long_].tolist(), sizes[long_].tolist(), strict=True):
-                g, node, n = int(gram[s]), cols[1][s : s + k], cols[2][s : s + k].astype(np.int64)
-                prev = np.concatenate([[hub[2] if hub is not None and hub[0] == g else n[0]], n[:-1]])
+                g, node, n, pos = int(gram[s]), cols[1][s : s + k], cols[2][s : s + k].astype(np.int64), cols[3][s : s + k].astype(np.int64)
+                went_on = hub is not None and hub[0] == g
+                # the smallest size in the list that a member can link with, and what its place leaves to share
+                least = n[np.searchsorted(n, -(-3 * n // 4))]
+                if went_on:
+                    least = np.where(4 * hub[2] >= 3 * n, -(-3 * n // 4), least)
+                able = 7 * (n - pos + 1) >= 3 * (n + least)
+                node, n = node[able], n[able]
+                if not len(n):
+                    continue
+                prev = np.concatenate([[hub[2] if went_on else n[0]], n[:-1]])
                 fresh = 4 * prev < 3 * n  # sizes too far apart for any link across
-                at = np.maximum.accumulate(np.where(fresh, np.arange(k), -1))
-                first = hub[1] if hub is not None and hub[0] == g else node[0]
-                centre = np.where(at < 0, first, node[np.maximum(at, 0)])
-                z = np.zeros(k, np.int32)
+                at = np.maximum.accumulate(np.where(fresh, np.arange(len(n)), -1))
+                centre = np.where(at < 0, hub[1] if went_on else node[0], node[np.maximum(at, 0)])
+                z = np.zeros(len(n), np.int32)
                 yield from out(centre, node, z, z, z, z, True)
                 hub = (g, int(centre[-1]), int(n[-1]))
             rest = [c[len(gram) - tail :] for c in cols]
@@ -246,16 +240,24 @@ def _local_roots(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def links(docs: DataFrame, ids: DataFrame, edges: DataFrame, block: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame]:
-    """Exact links within candidate groups: ((node, root) stars of linked sets, (node, n_links))."""
+def links(docs: DataFrame, ids: DataFrame, edges: DataFrame, block: int = BLOCK_SHINGLES, alone: int = ALONE) -> tuple[DataFrame, DataFrame]:
+    """Exact links within candidate groups: ((node, root) stars of linked sets, (node, n_links)).
+
+    A group of at most ``alone`` sets and ``block`` shingles meets in one cell. A larger one is dealt into
+    blocks, each pair of which is a cell of the product; there are about as many cells as a sixteenth of
+    its sets, so a cell stays small, and none holds more than two blocks.
+    """
     group = connected_components(edges)
     members = ids.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies"))
     # the smallest id may be null only if all are; such a set keeps its text by the node itself
     chosen = cut(group.join(members, "node").select("node", F.col("root").alias("grp"), "doc_id", "n", "copies"))
-    weight = chosen.groupBy("grp").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
+    sizes = chosen.groupBy("grp").agg(F.sum("n").alias("shingles"), F.count("*").alias("m"))
+    many = F.when(F.col("m") > alone, F.greatest(F.ceil(F.sqrt(F.col("m") / 16)), F.ceil(F.col("m") / BLOCK_SETS))).otherwise(1)
+    # only large groups are listed, so this is short, and a group's rows do not meet
+    large = cut(sizes.select("grp", F.greatest(many, F.ceil(F.col("shingles") / block)).cast("int").alias("blocks")).filter("blocks > 1"))
+    dealt = chosen.join(broadcast_up_to(large, BROADCAST_ROWS), "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    # a group within one block meets once; a larger one in every pair of its blocks
-    spread = chosen.join(weight, "grp").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("node", "doc_id", "copies", "grp", "blocks", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     placed = spread.groupBy("node", "doc_id").agg(F.collect_list(F.struct("grp", "lo", "hi", "own", "copies")).alias("places")).withColumnRenamed("doc_id", "rep_id")
 
@@ -320,15 +322,15 @@ def links(docs: DataFrame, ids: DataFrame, edges: DataFrame, block: int = BLOCK_
     return found.select(F.col("node").alias("a"), F.col("root").alias("b")), found.groupBy("node").agg(F.sum("n").alias("others"))
 
 
-def jaccard_components(docs: DataFrame, longest: int = LIST, frequent: int = FREQUENT, block: int = BLOCK_SHINGLES) -> DataFrame:
+def jaccard_components(docs: DataFrame, longest: int = LIST, block: int = BLOCK_SHINGLES, alone: int = ALONE, least_blocks: int = LEAST_BLOCKS) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every row of ``docs``.
 
     ``n_links`` counts the other rows that the document links with, copies included.
     """
     small_batches(docs.sparkSession)
     ids = cut(shingle_ids(docs))
-    edges = cut(candidate_edges(postings(docs, frequent_shingles(docs, frequent)), longest))
-    stars, others = links(docs, ids, edges, block)
+    edges = cut(candidate_edges(postings(docs, number_of_blocks(docs, least=least_blocks)), longest))
+    stars, others = links(docs, ids, edges, block, alone)
     root = connected_components(stars)
     nodes = ids.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     nodes = nodes.join(root, "node", "left").join(others, "node", "left").withColumn("root", F.coalesce("root", "node"))

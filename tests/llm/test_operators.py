@@ -307,8 +307,8 @@ def components(rows):
     return sorted(((i, len(sets[k]), low.get(find(k)), links[k]) for k, (i, _) in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize(("longest", "block"), [(32, 3_000_000), (2, 3_000_000), (2, 400)])
-def test_jaccard_join(spark, docs, longest, block):
+@pytest.mark.parametrize(("longest", "block", "alone"), [(32, 3_000_000, 128), (2, 3_000_000, 4), (2, 400, 128)])
+def test_jaccard_join(spark, docs, longest, block, alone):
     rnd = random.Random(10)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     base = words(90, 11, 4000)
@@ -318,10 +318,20 @@ def test_jaccard_join(spark, docs, longest, block):
             w[rnd.randrange(len(w))] = f"n{rnd.randrange(9999)}"
         rows.append((i, "  ".join(w).upper() if i % 2 else "\n".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_components(df, longest, block=block).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_components(df, longest, block, alone, 3).collect()), key=str)
     assert got == components(rows)
 
 
+def test_jaccard_templates_make_no_group(spark):
+    """Texts of one template, all pairs at Jaccard 1/3: half of each text is shared by all."""
+    form = words(64, 20, 9000)
+    rows = [(k, " ".join(form[:34] + [f"own{k}x{i}" for i in range(30)])) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    index = jaccard_join.postings(df, 5)
+    assert index.count() == 0 and jaccard_join.candidate_edges(index).count() == 0
+    assert {(r.component_id == r.doc_id, r.n_links) for r in jaccard_join.jaccard_components(df, least_blocks=5).collect()} == {(True, 0)}
+
+
 def test_jaccard_keeps_one(docs, empty):
     got = [r.doc_id for r in jaccard_join.keep_one_of_each(docs).collect()]
     want = {i for i, _, c, _ in components([(r.doc_id, r.text) for r in docs.collect()]) if i is None or i == c}
@@ -334,6 +344,27 @@ def test_components(spark):
     assert got == {2: 2, 3: 2, 4: 2, 5: 2, 6: 2, 8: 8, 9: 8, 7: 7}
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    from cadenza.llm import components as c
+
+    monkeypatch.setattr(c, "FEW", 3)
+    rnd, edges = random.Random(21), [(0, k) for k in range(1, 60)] + [(100 + k, 160) for k in range(50)]
+    edges += [(rnd.randrange(200, 400), rnd.randrange(200, 400)) for _ in range(120)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        lo, hi = sorted((find(a), find(b)))
+        root[hi] = lo
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_license_scan(docs, empty):
     rows = {r.doc_id: r for r in licenses.scan(docs).collect()}
     phrases = [p.split() for p, _ in licenses.BASE]
