@@ -1,19 +1,16 @@
 """Cross-entropy difference of matched n-gram models.
 
 A target model is counted on the trusted documents (label quality 1), a background model on all
-documents. Both share one vocabulary, one order (words and word pairs) and one smoothing. A
-document's score is the mean over its words of the target loss less the background loss, in nats:
+documents. Both share one vocabulary (every word of the corpus), one order (words and word pairs)
+and one smoothing: half the weight on the pair's share of its context, half on the word's share of
+all words with ``ADDED`` added to each count. After each word the probabilities of all words and of
+the text's end sum to one. A document's score is the mean over its words of the target loss less the background loss, in nats:
 low scores read like the target.
 
-``whole_corpus_difference`` counts every word and every pair. Documents are dealt into blocks of
-about ``BLOCK_BYTES`` by a hash. A block sends its distinct words and pairs with their counts to the
-parts of the key space; a part adds them up and returns the totals to each block in the order in which
-its keys came. So what is gathered grows with the input, no task holds more than a block or a part,
-and no key is hot: a block sends it once. Words and pairs are told apart by 64-bit hashes.
-
-``cross_entropy_difference`` is the bounded form: the ``size`` most frequent words, everything else
-is one unknown word, and ``2 ** bits`` slots which pairs share in both models alike. Its counts
-cover every document too, but what it holds is the same whatever the input. No query uses it.
+Every word and every pair is counted. Documents are dealt into blocks by a hash, and blocks exchange
+the counts of their words and pairs with parts of the key space (``exchange``): what is gathered
+grows with the input, no task holds more than a block or a part, and no key is hot. Words and pairs
+are told apart by 64-bit hashes.
 
 Defined results: null or blank text has no words, losses and difference null; repeated rows each get
 a row and count as often as they occur; a null ``doc_id`` is never a target; without any target the
@@ -29,16 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.session import broadcast_up_to, cut, small_batches, table, value_at_rank
+from cadenza.llm.exchange import BLOCK_BYTES, LEAST_BLOCKS, in_blocks, number_of_blocks, received, sent, totals
+from cadenza.llm.session import broadcast_up_to, small_batches, table
 from cadenza.llm.textkit import ALPHANUMERIC, Words, mix, text_slices
 
-VOCABULARY = 1 << 16
-SLOT_BITS = 20
 PAIR_WEIGHT = 0.5
 ADDED = 0.5  # added to every word count
 BROADCAST_ROWS = 1_000_000
-BLOCK_BYTES = 12_000_000
-LEAST_BLOCKS = 64
 _FLUSH = 4_000_000
 _START = np.uint64(0x9E3779B97F4A7C15)  # stands before a text's first word
 _WORD, _PAIR = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -66,117 +60,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def shared_vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """Sorted hashes of at most ``size`` words, the most frequent ones."""
-    counts = cut(word_counts(docs))
-    found = counts.filter(F.col("n") >= value_at_rank(counts, "n", size)).select("word").toPandas()
-    return np.sort(found["word"].to_numpy(np.int64).view(np.uint64))
-
-
-def numbered(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers (0: unknown) of a slice of texts, and the first word of each text."""
-    words = Words(data, offsets, ALPHANUMERIC)
-    h = words.hashes()
-    if not len(vocabulary):
-        return np.zeros(len(h), np.int64), words.first
-    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == h, at + 1, 0), words.first
-
-
-def pair_slots(number: np.ndarray, first: np.ndarray, size: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The number before each word (size + 1 where a text begins) and the slot of the pair."""
-    before = np.concatenate([[size + 1], number[:-1]]) if len(number) else number
-    starts = first[:-1][first[:-1] < len(number)]
-    before[starts] = size + 1
-    return before, (mix((before * (size + 2) + number).astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-class Counts:
-    """Word and pair counts of the two models."""
-
-    def __init__(self, size: int, bits: int) -> None:
-        self.size, self.bits = size, bits
-        self.words = np.zeros((2, size + 2), np.int64)  # by word number; the last: texts begun
-        self.pairs = np.zeros((2, 1 << bits), np.int64)
-
-    def log_p(self, number: np.ndarray, before: np.ndarray, slot: np.ndarray, model: int) -> np.ndarray:
-        words, pairs = self.words[model], self.pairs[model]
-        total = words[: self.size + 1].sum()
-        alone = (words[number] + ADDED) / (total + ADDED * (self.size + 1))
-        context = words[before]
-        together = np.minimum(pairs[slot] / np.maximum(context, 1), 1.0)
-        return np.log(np.where(context > 0, PAIR_WEIGHT * together + (1 - PAIR_WEIGHT) * alone, alone))
-
-
-def count_models(docs: DataFrame, targets: DataFrame, vocabulary: np.ndarray, bits: int = SLOT_BITS) -> Counts:
-    """Counts of the target model (documents with an id in ``targets``) and the background model (all)."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    size = len(vocabulary)
-    ids = broadcast_up_to(targets.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("target_id")).distinct(), BROADCAST_ROWS)
-    rows = docs.join(ids, F.col("doc_id").cast("long") == F.col("target_id"), "left").select(F.col("target_id").isNotNull().alias("target"), "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        words, pairs = np.zeros((2, size + 2), np.int64), np.zeros((2, 1 << bits), np.int32)
-        for batch in batches:
-            target = batch.column("target").to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in text_slices(batch.column("text")):
-                number, first = numbered(data, offsets, known)
-                before, slot = pair_slots(number, first, size, bits)
-                n = np.diff(first)
-                own = np.repeat(target[a:b], n)
-                for model, keep in ((0, own), (1, slice(None))):
-                    words[model, : size + 1] += np.bincount(number[keep], minlength=size + 1)
-                    words[model, size + 1] += int(((n > 0) & (target[a:b] if model == 0 else True)).sum())
-                    pairs[model] += np.bincount(slot[keep], minlength=1 << bits).astype(np.int32)
-        for base, (t, all_) in ((0, pairs), (1 << bits, words)):
-            at = np.flatnonzero(all_)
-            for x in range(0, len(at), 1 << 16):
-                part = at[x : x + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(part + base), pa.array(t[part].astype(np.int64)), pa.array(all_[part].astype(np.int64))], ["cell", "t", "b"])
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary()) for c in ("cell", "t", "b")], ["cell", "t", "b"])
-
-    summed = rows.mapInArrow(run, "cell long, t long, b long").groupBy("cell").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    out = Counts(size, bits)
-    for r in summed.mapInArrow(packed, "cell binary, t binary, b binary").collect():  # at most slots + vocabulary cells
-        cell = np.frombuffer(r.cell, np.int64)
-        for model, raw in enumerate((r.t, r.b)):
-            n = np.frombuffer(raw, np.int64)
-            pair = cell < 1 << bits
-            out.pairs[model][cell[pair]] = n[pair]
-            out.words[model][cell[~pair] - (1 << bits)] = n[~pair]
-    return out
-
-
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, size: int = VOCABULARY, bits: int = SLOT_BITS) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, difference) for every row of ``docs``."""
-    small_batches(docs.sparkSession)
-    vocabulary = shared_vocabulary(docs, size)
-    counts = count_models(docs, targets, vocabulary, bits)
-    small = Counts(counts.size, bits)
-    small.words, small.pairs = counts.words, counts.pairs.astype(np.int32) if counts.pairs.max(initial=0) < 2**31 else counts.pairs
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, small))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, models = shared.value
-        for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column("text")):
-                number, first = numbered(data, offsets, known)
-                before, slot = pair_slots(number, first, len(known), bits)
-                n = np.diff(first)
-                losses = []
-                for model in (0, 1):
-                    sums = np.concatenate([[0.0], np.cumsum(-models.log_p(number, before, slot, model))])
-                    losses.append((sums[first[1:]] - sums[first[:-1]]) / np.maximum(n, 1))
-                none = n == 0
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n.astype(np.int64)), *(pa.array(x, mask=none) for x in (*losses, losses[0] - losses[1]))], ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
-
-
 def block_keys(text: pa.ChunkedArray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the words and of the pairs that they end, whether each is of a target, the first word of each text, and the texts begun."""
     words, pairs, own, first, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)], [np.zeros(1, np.int64)], 0
@@ -205,49 +88,17 @@ def block_counts(text: pa.ChunkedArray, target: np.ndarray) -> tuple[np.ndarray,
     return keys, t, n, at, first
 
 
-def packed(counts: np.ndarray) -> bytes:
-    """Counts as bytes: one for each, 255 for those that follow in full."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
-
-
-def unpacked(raw: bytes, size: int) -> np.ndarray:
-    out = np.frombuffer(raw, np.uint8, size).astype(np.int64)
-    out[out == 255] = np.frombuffer(raw, np.int64, offset=size)
-    return out
-
-
-def whole_corpus_difference(docs: DataFrame, targets: DataFrame, block_bytes: int = BLOCK_BYTES, least_blocks: int = LEAST_BLOCKS) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, block_bytes: int = BLOCK_BYTES, least_blocks: int = LEAST_BLOCKS) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, difference) for every row of ``docs``, from the counts of all words and all pairs."""
     small_batches(docs.sparkSession)
     ids = broadcast_up_to(targets.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("target_id")).distinct(), BROADCAST_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id") == F.col("target_id"), "left").select("doc_id", F.col("target_id").isNotNull().alias("target"), "text")
-    size = rows.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
-    blocks = max(least_blocks, -(-size // block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-
-    def cuts_of(keys: np.ndarray) -> np.ndarray:
-        """Where each part of the key space begins in sorted keys, and the end."""
-        part = ((keys >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
-        return np.searchsorted(part, np.arange(blocks + 1))
+    blocks = number_of_blocks(rows, block_bytes, least_blocks)
+    dealt = in_blocks(rows, blocks)
 
     def send(table_: pa.Table) -> pa.Table:
-        """A block's keys and counts, a row for each part of the key space."""
         keys, t, n, *_ = block_counts(table_.column("text"), table_.column("target").to_numpy())
-        cuts, block = cuts_of(keys), table_.column("block")[0].as_py()
-        held = np.flatnonzero(np.diff(cuts))
-        spans = [slice(cuts[p], cuts[p + 1]) for p in held]
-        return pa.table([pa.array(held, pa.int32()), pa.array([block] * len(held), pa.int32()), pa.array([keys[x].tobytes() for x in spans], pa.binary()), *(pa.array([packed(c[x]) for x in spans], pa.binary()) for c in (t, n))], ["part", "block", "keys", "t", "n"])
-
-    def add(table_: pa.Table) -> pa.Table:
-        """The totals of a part's keys, a row for each block in the order of its keys."""
-        keys = [np.frombuffer(x, np.uint64) for x in table_.column("keys").to_pylist()]
-        ends = np.cumsum([len(k) for k in keys])
-        totals, (_, at) = [], np.unique(np.concatenate(keys), return_inverse=True)
-        for c in ("t", "n"):
-            sums = np.zeros(at.max() + 1, np.int64)
-            np.add.at(sums, at, np.concatenate([unpacked(x, len(k)) for x, k in zip(table_.column(c).to_pylist(), keys, strict=True)]))
-            totals.append(pa.array([packed(x) for x in np.split(sums[at], ends[:-1])], pa.binary()))
-        return pa.table([table_.column("block"), table_.column("part"), *totals], ["block", "part", "t", "n"])
+        return sent(table_.column("block")[0].as_py(), keys, {"t": t, "n": n}, blocks)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The number of words in the targets and in all."""
@@ -263,12 +114,9 @@ def whole_corpus_difference(docs: DataFrame, targets: DataFrame, block_bytes: in
     total = [total[0] or 0, total[1] or 0]
     distinct = max(word_counts(rows).count(), 1)
 
-    def score(table_: pa.Table, totals: pa.Table) -> pa.Table:
-        keys, t, n, at, first = block_counts(table_.column("text"), table_.column("target").to_numpy())
-        cuts = cuts_of(keys)
-        for part, x, y in zip(*(totals.column(c).to_pylist() for c in ("part", "t", "n")), strict=True):
-            span = slice(cuts[part], cuts[part + 1])
-            t[span], n[span] = (unpacked(raw, cuts[part + 1] - cuts[part]) for raw in (x, y))
+    def score(table_: pa.Table, found: pa.Table) -> pa.Table:
+        keys, _, _, at, first = block_counts(table_.column("text"), table_.column("target").to_numpy())
+        t, n = received(found, keys, ["t", "n"], blocks)
         m = int(first[-1])
         word, pair = at[:m], at[m : 2 * m]
         before = np.concatenate([word[:1], word[:-1]])
@@ -283,11 +131,10 @@ def whole_corpus_difference(docs: DataFrame, targets: DataFrame, block_bytes: in
         none = length == 0
         return pa.table([table_.column("doc_id"), pa.array(length.astype(np.int64)), *(pa.array(x, mask=none) for x in (*losses, losses[0] - losses[1]))], ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
 
-    sent = dealt.groupBy("block").applyInArrow(send, "part int, block int, keys binary, t binary, n binary")
-    totals = sent.repartition(blocks, "part").groupBy("part").applyInArrow(add, "block int, part int, t binary, n binary").repartition(blocks, "block")
-    return dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
+    counted = totals(dealt.groupBy("block").applyInArrow(send, "part int, block int, keys binary, t binary, n binary"), ["t", "n"], blocks)
+    return dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return whole_corpus_difference(docs, table(spark, sf_dir, "labels").filter("quality = 1"))
+    return cross_entropy_difference(docs, table(spark, sf_dir, "labels").filter("quality = 1"))
