@@ -3,8 +3,8 @@
 Documents are tokenised once; what is kept of them is a narrow table of pieces. The packing works
 on the histogram of piece lengths, which has at most ``capacity`` entries whatever the input, and
 yields a plan of bin patterns. Pieces then take their places in the plan by their rank among the
-pieces of their length. Ranks come from counts per (length, bucket), so a length that many pieces
-share is dealt over many tasks.
+pieces of their length. Ranks come from counts per (length, bucket); a length has buckets in proportion
+to its pieces, so one that many pieces share is dealt over as many tasks.
 
 Defined results: null text counts as empty (one piece: the end id); null ``doc_id`` stays null;
 repeated rows are packed as rows of their own; an empty table gives no rows; extra columns are ignored.
@@ -27,7 +27,8 @@ from cadenza.llm.session import cut, small_batches, table
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
-BUCKETS = 64
+ROWS_PER_BUCKET = 20_000
+MOST_BUCKETS = 1 << 18  # of all lengths together, beside one for each
 _CHUNK_CHARS = 1 << 20
 
 
@@ -127,12 +128,8 @@ def _tightest_pair(free: np.ndarray, left: np.ndarray, used: dict[int, int], roo
     return None
 
 
-def place(pieces: DataFrame, plan: list[tuple[list[int], int]], buckets: int = BUCKETS) -> DataFrame:
-    """``pieces`` with their ``sequence_id`` and ``offset`` under ``plan``.
-
-    The plan becomes, for each length, a sorted list of rank intervals. It has at most about
-    ``capacity`` times a small factor entries, which bounds what is sent to the tasks.
-    """
+def slots_of(plan: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, ...]]:
+    """For each length the plan as rank intervals: first ranks, pieces per bin, first bins, offsets in the bin, and where an interval's offsets begin."""
     taken: dict[int, int] = {}
     slots: dict[int, list[tuple[int, int, int, int, int]]] = {}  # length -> (first rank, per bin, first bin, index in bin, offset)
     first_bin = 0
@@ -153,25 +150,37 @@ def place(pieces: DataFrame, plan: list[tuple[list[int], int]], buckets: int = B
         flat = [g[4] for s in starts for g in by[s]]
         base = np.cumsum([0, *per[:-1]])
         lookup[x] = tuple(np.array(v, np.int64) for v in (starts, per, [by[s][0][2] for s in starts], flat, base))
+    return lookup
+
 
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets))
-    dealt = pieces.withColumn("bucket", bucket)
-    counts = dealt.groupBy("length", "bucket").count().collect()  # at most capacity x buckets rows
-    before: dict[tuple[int, int], int] = {}
-    total: dict[int, int] = {}
-    for r in sorted(counts, key=lambda r: (r.length, r.bucket)):
-        before[r.length, r.bucket] = total.get(r.length, 0)
-        total[r.length] = total.get(r.length, 0) + r["count"]
-    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+def place(pieces: DataFrame, counts: dict[int, int], plan: list[tuple[list[int], int]], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """``pieces`` (with a distinct ``row`` number each) with their ``sequence_id`` and ``offset`` under ``plan``.
+
+    The plan has at most about ``capacity`` times a small factor entries and buckets number at most
+    ``MOST_BUCKETS`` more than lengths, which bounds what the driver gets and broadcasts.
+    """
+    spark = pieces.sparkSession
+    size = max(rows_per_bucket, sum(counts.values()) // MOST_BUCKETS)
+    parts = spark.createDataFrame([(x, -(-n // size)) for x, n in counts.items()], "of long, buckets long")
+    dealt = pieces.join(F.broadcast(parts), F.col("length") == F.col("of")).withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("buckets"))).drop("of", "buckets")
+    found = sorted((r.length, r.bucket, r["count"]) for r in dealt.groupBy("length", "bucket").count().collect())
+    lengths, buckets, sizes = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    upto = np.cumsum(sizes) - sizes
+    first = np.flatnonzero(np.concatenate([[True], lengths[1:] != lengths[:-1]])) if len(lengths) else lengths
+    before = upto - np.repeat(upto[first], np.diff(np.concatenate([first, [len(lengths)]])))  # pieces of the length in earlier buckets
+    shared = spark.sparkContext.broadcast((slots_of(plan), lengths * (MOST_BUCKETS * 2) + buckets, before))
+    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row")) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup, keys, earlier = shared.value
         for batch in batches:
             length, bucket_, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "bucket", "rank"))
+            rank = rank + earlier[np.searchsorted(keys, length * (MOST_BUCKETS * 2) + bucket_)] if len(rank) else rank
             seq, off = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             for x in np.unique(length).tolist():
                 at = np.flatnonzero(length == x)
-                r = rank[at] + np.array([before[x, b] for b in bucket_[at].tolist()], np.int64)
                 starts, per, bins, flat, base = lookup[x]
+                r = rank[at]
                 k = np.searchsorted(starts, r, "right") - 1
                 seq[at] = bins[k] + (r - starts[k]) // per[k]
                 off[at] = flat[base[k] + (r - starts[k]) % per[k]]
@@ -181,12 +190,12 @@ def place(pieces: DataFrame, plan: list[tuple[list[int], int]], buckets: int = B
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "bucket", "rank").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, buckets: int = BUCKETS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """One row per piece of every document, with its place in a sequence of at most ``capacity`` tokens."""
     small_batches(docs.sparkSession)
-    pieces = cut(tokenised_pieces(docs, tokenizer, capacity, end_id))
+    pieces = cut(tokenised_pieces(docs, tokenizer, capacity, end_id).withColumn("row", F.monotonically_increasing_id()))
     counts = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
-    return place(pieces, best_two_fit(counts, capacity), buckets)
+    return place(pieces, counts, best_two_fit(counts, capacity), rows_per_bucket)
 
 
 def op10_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

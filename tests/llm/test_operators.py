@@ -1,5 +1,6 @@
 """The ten operators against brute force on small fixtures: nulls, empty and long texts, ties, repeated rows, clashing columns."""
 
+import base64
 import collections
 import hashlib
 import random
@@ -64,8 +65,51 @@ def test_fingerprints(spark, docs):
     s = [fingerprints.sketch(F.lit(x)) for x in (a, b)]
     one = spark.range(1).select(s[0].alias("a"), s[1].alias("b")).select(fingerprints.resemblance(F.col("a"), F.col("b")).alias("r"), fingerprints.containment(F.col("b"), F.col("a")).alias("c"), (fingerprints.merge(F.col("a"), F.col("b")) == F.col("a")).alias("m")).first()
     assert abs(one.r - 146 / 296) < 0.15 and one.c > 0.8 and one.m
-    parts = spark.createDataFrame([(a,), (b,)], "t string").agg(fingerprints.merge_all(fingerprints.sketch(F.col("t"))).alias("m")).first()
-    assert parts.m == spark.range(1).select(s[0].alias("a")).first().a
+
+
+def test_sketches_merge_by_group(spark):
+    ws = words(900, 5, 9000)
+    parts = [(k % 3, " ".join(ws[100 * k : 100 * k + 104])) for k in range(8)] + [(0, " ".join(ws[:104])), (7, ""), (7, None), (8, "one")]
+    sketched = spark.createDataFrame(parts, "g long, t string").repartition(4).select("g", fingerprints.sketch(F.col("t"), 40).alias("s"), fingerprints.sketch(F.col("t"), 10_000).alias("all"))
+    whole = {}
+    for r in sketched.collect():
+        whole.setdefault(r.g, set()).update(r["all"])
+    got = {r.g: r.sketch for r in fingerprints.merge_by(sketched, "g", "s", 40).collect()}
+    assert got == {g: sorted(x)[:40] for g, x in whole.items()} and len(got[0]) == 40 and got[7] == []
+
+
+def test_fingerprint_query_by_brute_force(spark, tmp_path):
+    """Every column of op1's query, with ids at both ends of the range, repeated and missing ones."""
+    texts_ = [*texts(), "a b c d e f g", "ünï cödé 日本 words here now"]
+    ids = [-(2**63), 0, 2**63 - 1, 5, 4, -7, 9 * 10**18, 12, 13, 14, 15, 16, 17, 18, 19, 20, -9 * 10**18, None, 5]
+    rows = list(zip(ids, texts_, strict=True))
+    path = tmp_path / "t"
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{path}/documents.parquet")
+    got = QUERIES["op1_document_fingerprints"](spark, str(path)).collect()
+    assert len(got) == len(rows)
+    spread = {r.t: r.h for r in spark.createDataFrame([(t or "",) for t in texts_], "t string").select("t", F.shiftrightunsigned(F.xxhash64("t"), 33).alias("h")).collect()}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, r[0] or 0, spread[r[1]], r[1]))
+
+    def edited(k):
+        t, after = order[k][1], order[(k + 1) % len(order)][1]
+        half = len(t) // 2
+        return t[: len(t) - half] + after[:half]
+
+    every = [t for _, t in order] + [edited(k) for k in range(len(order))]
+    full = {r.t: r.s for r in spark.createDataFrame([(t,) for t in every], "t string").select("t", fingerprints.sketch(F.col("t"), 1 << 20).alias("s")).collect()}
+    assert all(len(full[t]) == len({tuple(x) for x in shingles(t.lower())}) for t in every)
+
+    def likeness(a, b):
+        u = sorted(set(a) | set(b))[: fingerprints.K]
+        return len(set(a[: fingerprints.K]) & set(b[: fingerprints.K]) & set(u)) / len(u) if u else 1.0
+
+    text = lambda s: base64.b64encode(b"".join(h.to_bytes(6, "big") for h in s[: fingerprints.K])).decode()
+    want = []
+    for k, (i, t) in enumerate(order):
+        e, after = edited(k), order[(k + 1) % len(order)][1]
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), text(full[t]), text(full[e]), round(likeness(full[t], full[e]), 12), round(likeness(full[t], full[after]), 12)))
+    have = [(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 12), round(r.near_next, 12)) for r in got]
+    assert sorted(have, key=str) == sorted(want, key=str)
 
 
 def test_next_document(spark, docs):
@@ -73,6 +117,18 @@ def test_next_document(spark, docs):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.next_text for r in fingerprints.with_next(df, ["text"], rows_per_bucket=8).collect()}
     assert got == {k: f"t{(k + 1) % 101}" for k in range(101)}
+    far = spark.createDataFrame([(-(2**63), "x"), (2**63 - 1, "y"), *((k, f"t{k}") for k in range(200)), *((50, f"s{k}") for k in range(200)), *((None, f"n{k}") for k in range(100))], "doc_id long, text string").repartition(3)
+    sizes = far.select("doc_id", "text")
+    chain = {(r.doc_id, r.text): r.next_text for r in fingerprints.with_next(sizes, ["text"], rows_per_bucket=10).collect()}
+    seen, at = [], "x"
+    after = {t: n for (_, t), n in chain.items()}
+    for _ in range(len(chain)):
+        seen.append(at)
+        at = after[at]
+    key = {t: i for i, t in chain}
+    assert at == "x" and len(set(seen)) == len(chain) == 502 and [key[t] for t in seen] == sorted((i for i, _ in chain), key=lambda i: (i is None, i or 0))
+    buckets = fingerprints.with_next(far, ["text"], 10, lambda d: d.withColumn("b", F.col("_bucket"))).groupBy("b").count().collect()
+    assert max(r["count"] for r in buckets) < 60
     assert fingerprints.with_next(df.limit(0), ["text"]).count() == 0
     assert fingerprints.with_next(spark.createDataFrame([(5, "only")], "doc_id long, text string"), ["text"]).first().next_text == "only"
 
@@ -97,49 +153,6 @@ def test_token_counts(docs, empty):
     assert token_counts.token_counts(empty).count() == 0
 
 
-def test_lm_scoring(spark, docs, empty):
-    targets = spark.createDataFrame([(0,), (2,), (2,), (None,)], "doc_id long")
-    size, bits = 50, 12
-    got = sorted(((r.doc_id, r.n_tokens, r.difference) for r in lm_scoring.cross_entropy_difference(docs, targets, size, bits).collect()), key=str)
-    from cadenza.llm.textkit import ALPHANUMERIC, Words, mix
-
-    def hashes(text):
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        return [int(h) for h in Words(data, np.array([0, len(data)]), ALPHANUMERIC).hashes()]
-
-    rows = [(r.doc_id, hashes(r.text)) for r in docs.collect()]
-    freq = collections.Counter(h for _, hs in rows for h in hs)
-    known = [n for n in sorted(set(freq.values()), reverse=True) if sum(c >= n for c in freq.values()) <= size]
-    vocabulary = {h: k + 1 for k, h in enumerate(sorted(h for h, c in freq.items() if known and c >= known[-1]))}
-    v = len(vocabulary)
-    uni, ctx, pairs = ([collections.Counter(), collections.Counter()] for _ in range(3))
-    slot = lambda a, b: int(mix(np.array([a * (v + 2) + b], np.uint64))[0]) >> (64 - bits)
-    for i, hs in rows:
-        ws = [vocabulary.get(h, 0) for h in hs]
-        for m in [1] + [0] * (i in (0, 2)):
-            for a, b in zip([v + 1, *ws], ws, strict=False):
-                uni[m][b] += 1
-                ctx[m][a] += 1
-                pairs[m][slot(a, b)] += 1
-        for m in [1] + [0] * (i in (0, 2)):
-            if ws:  # as context the last word counts as well
-                ctx[m][ws[-1]] += 1
-    want = []
-    for i, hs in rows:
-        ws, losses = [vocabulary.get(h, 0) for h in hs], []
-        for m in (0, 1):
-            total = sum(uni[m].values())
-            loss = 0.0
-            for a, b in zip([v + 1, *ws], ws, strict=False):
-                alone, context = (uni[m][b] + 0.5) / (total + 0.5 * (v + 1)), ctx[m][a]
-                loss -= np.log(0.5 * min(pairs[m][slot(a, b)] / context, 1) + 0.5 * alone if context else alone)
-            losses.append(loss / len(ws) if ws else None)
-        want.append((i, len(ws), losses[0] - losses[1] if ws else None))
-    for g, w in zip(got, sorted(want, key=str), strict=True):
-        assert g[:2] == w[:2] and (g[2] == w[2] is None or abs(g[2] - w[2]) < 1e-9)
-    assert lm_scoring.cross_entropy_difference(empty, targets).count() == 0
-
-
 def test_lm_scoring_counts_all_words_and_pairs(spark, docs, empty, tmp_path):
     rows = [(r.doc_id, r.text) for r in docs.collect()] + [(50, " ".join(f"v{k}" for k in range(70_000))), (51, "v1 v2 v3 v2 v1"), (53, "v1 v2 v3")]
     marks = [(0, 1), (2, 1), (2, 1), (50, 0), (51, 1)]
@@ -166,11 +179,27 @@ def test_lm_scoring_counts_all_words_and_pairs(spark, docs, empty, tmp_path):
             losses.append(loss / len(w) if w else None)
         want.append((i, len(w), losses[0] - losses[1] if w else None))
     read = lambda n: spark.read.parquet(f"{tmp_path}/{n}.parquet")
-    few = lm_scoring.whole_corpus_difference(read("documents"), read("labels").filter("quality = 1"), least_blocks=1)
+    few = lm_scoring.cross_entropy_difference(read("documents"), read("labels").filter("quality = 1"), least_blocks=1)
     for rows_ in (QUERIES["op3_lm_scoring"](spark, str(tmp_path)).collect(), few.collect()):
         for g, w in zip(sorted(((r.doc_id, r.n_tokens, r.difference) for r in rows_), key=str), sorted(want, key=str), strict=True):
             assert g[:2] == w[:2] and (g[2] == w[2] is None or abs(g[2] - w[2]) < 1e-9)
-    assert lm_scoring.whole_corpus_difference(empty, read("labels")).count() == 0
+    assert lm_scoring.cross_entropy_difference(empty, read("labels")).count() == 0
+
+
+def test_lm_probabilities_are_a_distribution(spark):
+    """One text of each pair of words after "a": what its words and the text's end take together is one."""
+    base = ["a b a c a b", "b c", "c a"]
+    kinds = ["a", "b", "c"]
+    # probes are too rare to matter: each word of the base occurs 3,000 times
+    rows = [(k, t) for k, t in enumerate(base * 1000)] + [(10_000 + k, f"a {w}") for k, w in enumerate(kinds)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(docs_, spark.createDataFrame([(0,)], "doc_id long"), least_blocks=3).collect()}
+    first = np.exp(-got[10_001].background_loss * 2) / np.exp(-got[10_000].background_loss * 2)  # P(b | a) / P(a | a)
+    n = collections.Counter(w for _, t in rows for w in t.split())
+    pairs = collections.Counter(p for _, t in rows for p in zip(t.split(), t.split()[1:], strict=False))
+    p = {w: 0.5 * pairs["a", w] / n["a"] + 0.5 * (n[w] + 0.5) / (sum(n.values()) + 0.5 * 3) for w in kinds}
+    ends = sum(t.split()[-1] == "a" for _, t in rows) / n["a"]
+    assert abs(first - p["b"] / p["a"]) < 1e-9 and abs(sum(p.values()) + 0.5 * ends - 1) < 1e-9
 
 
 def test_banded_distance(spark):
@@ -424,7 +453,7 @@ def test_personal_data_by_checksum(spark):
 
 def test_packing(docs, empty):
     tok = pieces.load_tokenizer(packing.TOKENIZER)
-    rows = packing.pack(docs, capacity=256, buckets=4).collect()
+    rows = packing.pack(docs, capacity=256, rows_per_bucket=4).collect()
     want = collections.Counter()
     for r in docs.collect():
         ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 1]
