@@ -1,44 +1,47 @@
 """Line deduplication by a segment-partition edit join, in DataFrame and SQL functions only.
 
-Lines of at least ``MIN_CHARS`` code points take part; shorter lines always stay. Two lines are
-alike when their edit distance is at most ``threshold``. A line is cut into threshold + 1 segments,
-of which any line alike must hold one unchanged. Lines are indexed by (length, segment number,
-segment) and probed with the substrings that a partner of each admissible length could share.
-Candidates are verified by a banded bit-parallel edit distance.
+Every line that is not blank takes part. Lines are alike when they are equal, or when their edit
+distance is at most ``threshold`` and at most one for each ``PER_EDIT`` code points of the shorter
+line, so a short line is alike only its copies. A line that may have t edits is cut into t + 1
+segments, of which any line alike must hold one unchanged. Lines are indexed by (length, segment
+number, segment) and probed with the substrings that a partner of each admissible length could
+share. Candidates are verified by a banded bit-parallel edit distance.
 
 A segment that more than ``LIST`` lines share would give a square of pairs. At threshold 1 such
 lines are joined by their one-deletion neighbourhoods instead, as stars, which is exact as well and
-linear. At higher thresholds they are paired all the same.
+linear. At higher thresholds they are paired in cells of two blocks of about ``LIST`` lines.
 
 Of each class of alike lines the occurrence of smallest (doc_id, line number) stays; the others go.
 
-Defined results: null text has no lines; a document that loses every line it had goes from
-``without_repeated_lines``; repeated rows of one id count as one document and keep the same lines;
-rows without ``doc_id`` count as one document after all others; an empty table gives no rows; extra
-columns pass through ``without_repeated_lines`` and are ignored elsewhere. Lines are told apart by a
-64-bit hash and their length.
+Defined results: null text has no lines; blank lines never go; a document that loses every line it
+had goes from ``without_repeated_lines``; repeated rows of one id count as one document and keep the
+same lines; rows without ``doc_id`` count as one document after all others; an empty table gives no
+rows; extra columns of any name pass through ``without_repeated_lines`` and are ignored elsewhere.
+Equal lines are told apart from others by 96 bits of hashes, lines alike by 64.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.components import connected_components
-from cadenza.llm.session import broadcast_up_to, cut, table
+from cadenza.llm.session import broadcast_up_to, cut, free_name, table
 from cadenza.llm.spans import let
 
 THRESHOLD = 1
-MIN_CHARS = 24
+PER_EDIT = 20
 LIST = 48
+WINDOW = 64
 BROADCAST_ROWS = 1_000_000
+HOT_LINES = 500_000  # most lines whose occurrences are looked up without a shuffle
 _LAST = 2**63 - 1
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, line, n, id) for every line of every document."""
+    """(doc_id, pos, line, n, id, check) for every line of every document that is not blank."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return rows.select("doc_id", "pos", "line", F.length("line").alias("n"), F.xxhash64("line").alias("id"))
+    return rows.filter(F.col("line").rlike(r"\S")).select("doc_id", "pos", "line", F.length("line").alias("n"), F.xxhash64("line").alias("id"), F.hash("line").alias("check"))
 
 
 def _segment(n: Column, threshold: int, i: int) -> tuple[Column, Column]:
@@ -51,37 +54,60 @@ def _segment(n: Column, threshold: int, i: int) -> tuple[Column, Column]:
     return start, size
 
 
-def entries(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def allowed(n: Column, threshold: int, per_edit: int) -> Column:
+    """Edits that a line of length ``n`` may have."""
+    return F.least(F.lit(threshold), F.floor(n / per_edit).cast("int"))
+
+
+def entries(lines: DataFrame, threshold: int = THRESHOLD, per_edit: int = PER_EDIT) -> DataFrame:
     """(key, id, n, probe): index entries of each line, and probes for partners of the same or a smaller length."""
     key = lambda length, i, text: F.xxhash64(length, F.lit(i), text)
     n, line = F.col("n"), F.col("line")
     out = []
-    for i in range(threshold + 1):
-        start, size = _segment(n, threshold, i)
-        out.append(F.struct(key(n, i, F.substring(line, start + 1, size)).alias("key"), F.lit(False).alias("probe")))
-        for less in range(threshold + 1):
-            start, size = _segment(n - less, threshold, i)
-            # where the other line's segment can lie here: bounded by the errors left of it and right of it
-            for shift in range(-threshold, threshold + 1):
-                if max(-i, less - (threshold - i)) <= shift <= min(i, less + (threshold - i)):
-                    if shift == 0 and less == 0:
-                        continue  # equal to the index entry
-                    at = start + shift
-                    fits = (at >= 0) & (at + size <= n)
-                    out.append(F.struct(F.when(fits, key(n - less, i, F.substring(line, at + 1, size))).alias("key"), F.lit(True).alias("probe")))
-    rows = lines.filter(n >= MIN_CHARS).select("id", "n", F.explode(F.array(*out)).alias("e"))
+    for t in range(1, threshold + 1):
+        own = allowed(n, threshold, per_edit) == t
+        for i in range(t + 1):
+            start, size = _segment(n, t, i)
+            out.append(F.struct(F.when(own, key(n, i, F.substring(line, start + 1, size))).alias("key"), F.lit(False).alias("probe")))
+            for less in range(t + 1):
+                start, size = _segment(n - less, t, i)
+                theirs = allowed(n - less, threshold, per_edit) == t
+                # where the other line's segment can lie here: bounded by the errors left of it and right of it
+                for shift in range(-t, t + 1):
+                    if max(-i, less - (t - i)) <= shift <= min(i, less + (t - i)):
+                        if shift == 0 and less == 0:
+                            continue  # equal to the index entry
+                        at = start + shift
+                        fits = theirs & (at >= 0) & (at + size <= n)
+                        out.append(F.struct(F.when(fits, key(n - less, i, F.substring(line, at + 1, size))).alias("key"), F.lit(True).alias("probe")))
+    rows = lines.filter(n >= per_edit).select("id", "n", F.explode(F.array(*out)).alias("e"))
     return rows.select("e.key", "id", "n", "e.probe").filter("key is not null")
 
 
-def candidates(lines: DataFrame, threshold: int = THRESHOLD, longest: int = LIST) -> tuple[DataFrame, DataFrame]:
+def _pairs_in(lists: DataFrame, threshold: int, more: str = "true") -> DataFrame:
+    """(a, b) of the lines of each list ``x``; ``more`` is a further condition on the members u and v."""
+    fits = lambda u, v: (u["id"] < v["id"]) & (F.abs(u["n"] - v["n"]) <= threshold) & ~(u["probe"] & v["probe"])
+    across = (lambda u, v: u["own"] != v["own"]) if more == "across" else (lambda u, v: F.lit(True))
+    pair = F.explode(F.flatten(F.transform("x", lambda u: F.transform(F.filter("x", lambda v: fits(u, v) & across(u, v)), lambda v: F.struct(u["id"].alias("a"), v["id"].alias("b"))))))
+    return lists.select(pair.alias("p")).select("p.a", "p.b")
+
+
+def candidates(lines: DataFrame, threshold: int = THRESHOLD, longest: int = LIST, per_edit: int = PER_EDIT) -> tuple[DataFrame, DataFrame]:
     """(a, b) pairs of line ids to be verified, and (id) of lines in long lists."""
-    distinct = entries(lines, threshold).groupBy("key", "id", "n").agg(F.min("probe").alias("probe"))
-    whole = Window.partitionBy("key")
-    shared = cut(distinct.withColumn("held", F.count("*").over(whole)).filter("held > 1"))
-    bound = longest if threshold == 1 else 1 << 30
-    lists = shared.filter(F.col("held") <= bound).groupBy("key").agg(F.collect_list(F.struct("id", "n", "probe")).alias("x"))
-    pair = F.explode(F.flatten(F.transform("x", lambda a: F.transform(F.filter("x", lambda b: (a["id"] < b["id"]) & (F.abs(a["n"] - b["n"]) <= threshold) & ~(a["probe"] & b["probe"])), lambda b: F.struct(a["id"].alias("a"), b["id"].alias("b"))))))
-    return lists.select(pair.alias("p")).select("p.a", "p.b").distinct(), shared.filter(F.col("held") > bound).select("id").distinct()
+    distinct = entries(lines, threshold, per_edit).groupBy("key", "id", "n").agg(F.min("probe").alias("probe"))
+    # a join, not a window: Spark splits the partition of a key that very many lines share
+    held = distinct.groupBy("key").agg(F.count("*").alias("held"), F.bool_and("probe").alias("probes")).filter("held > 1 AND NOT probes").select("key", "held")
+    shared = cut(distinct.join(held, "key"))
+    lists = shared.filter(F.col("held") <= longest).groupBy("key").agg(F.collect_list(F.struct("id", "n", "probe")).alias("x"))
+    pairs, long_ = _pairs_in(lists, threshold), shared.filter(F.col("held") > longest)
+    if threshold > 1:
+        blocks = F.ceil(F.col("held") / longest).cast("int")
+        own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+        cells = long_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        cells = cells.groupBy("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(F.collect_list(F.struct("id", "n", "probe", "own")).alias("x"))
+        pairs = pairs.unionByName(_pairs_in(cells.filter("lo = hi"), threshold)).unionByName(_pairs_in(cells.filter("lo < hi"), threshold, "across"))
+        long_ = long_.filter("false")
+    return pairs.distinct(), long_.select("id").distinct()
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -102,19 +128,19 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
 
     The band of 2 * threshold + 1 diagonals is one word of bits. For each character of ``b`` the
     vertical differences along the band are updated by the bit-parallel recurrence, and the value on
-    the band's last diagonal is followed. ``threshold`` is from 1 to 30.
+    the band's last diagonal is followed. What both texts begin and end with is left out beforehand; if
+    more than one character is left of either, one edit cannot be all. ``threshold`` is from 1 to 30.
     """
     width = 2 * threshold + 1
     mask = (1 << width) - 1
 
     def of(p: Column) -> Column:
-        x, y = p["x"], p["y"]
-        m, n = F.length(x), F.length(y)
+        x, y, m, n = p["x"], p["y"], p["m"], p["n"]
 
         def match(j: Column) -> Column:
             """Bits of the band's rows (j - threshold ... j + threshold) whose character equals y's at j."""
-            c = F.substring(y, j, F.lit(1))
-            bits = [F.when((j + d >= 1) & (j + d <= m) & (F.substring(x, F.greatest(j + d, F.lit(1)), F.lit(1)) == c), F.lit(1 << (d + threshold)).cast("long")).otherwise(F.lit(0).cast("long")) for d in range(-threshold, threshold + 1)]
+            c = F.get(y, j - 1)
+            bits = [F.when((j + d >= 1) & (j + d <= m) & (F.get(x, j + d - 1) == c), F.lit(1 << (d + threshold)).cast("long")).otherwise(F.lit(0).cast("long")) for d in range(-threshold, threshold + 1)]
             total = bits[0]
             for bit in bits[1:]:
                 total = total.bitwiseOR(bit)
@@ -144,13 +170,14 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
 
         start = F.struct(F.lit(mask & ~((1 << threshold) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.least(F.lit(threshold), m).alias("score"))
         far = F.lit(threshold + 1)
-        return F.when(F.abs(m - n) > threshold, far).when((m == 0) | (n == 0), F.greatest(m, n)).otherwise(F.least(far, F.aggregate(F.sequence(F.lit(1), n), start, step)["score"]))
+        short = F.lit(threshold > 1) | (F.greatest(m, n) <= 1)
+        return F.when((F.abs(m - n) > threshold) | ~short, far).when((m == 0) | (n == 0), F.greatest(m, n)).otherwise(F.least(far, F.aggregate(F.sequence(F.lit(1), n), start, step)["score"]))
 
     def trimmed(k: Column) -> Column:
         u, v = k["u"], k["v"]
         ru, rv = F.reverse(u), F.reverse(v)
         tail = common_prefix(ru, rv)
-        return let(tail, lambda t: F.struct(F.substring(u, F.lit(1), F.length(u) - t).alias("x"), F.substring(v, F.lit(1), F.length(v) - t).alias("y")))
+        return let(tail, lambda t: F.struct(F.split(F.substring(u, F.lit(1), F.length(u) - t), "").alias("x"), F.split(F.substring(v, F.lit(1), F.length(v) - t), "").alias("y"), (F.length(u) - t).alias("m"), (F.length(v) - t).alias("n")))
 
     head = let(common_prefix(a, b), lambda p: F.struct(F.substring(a, p + 1, F.length(a)).alias("u"), F.substring(b, p + 1, F.length(b)).alias("v")))
     return let(let(head, trimmed), of)
@@ -158,45 +185,65 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
 
 def texts_of(lines: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, line) for each of ``ids``."""
-    return lines.filter(F.col("n") >= MIN_CHARS).select("id", "line").join(broadcast_up_to(ids, BROADCAST_ROWS), "id").groupBy("id").agg(F.min("line").alias("line"))
+    return lines.select("id", "line").join(broadcast_up_to(ids, BROADCAST_ROWS), "id").groupBy("id").agg(F.min("line").alias("line"))
 
 
-def neighbourhood_edges(texts: DataFrame) -> DataFrame:
+def neighbourhood_edges(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """(a, b): stars that connect exactly those texts at distance 1.
 
     Texts that agree but for the character at one place form a star around their smallest id; a text
-    equal to another less one character is tied to it.
+    equal to another less one character is tied to it. A place lies in one window of the text, and what
+    is before and after the window enters the keys as a hash, so a place costs no more than a window.
     """
-    place = F.explode(F.sequence(F.lit(0), F.length("line") - 1))
-    less = texts.select("id", "line", place.alias("i"))
-    less = less.select("id", "i", F.xxhash64(F.concat(F.expr("left(line, i)"), F.expr("substring(line, i + 2)"))).alias("key"), (F.length("line") - 1).alias("n"))
-    same = less.groupBy("key", "n", "i").agg(F.min("id").alias("a"), F.count("*").alias("c")).filter("c > 1")
-    swapped = less.join(same, ["key", "n", "i"]).select("a", F.col("id").alias("b"))
-    shorter = texts.select(F.col("id").alias("a"), F.xxhash64("line").alias("key"), F.length("line").alias("n"))
-    return swapped.unionByName(less.select("id", "key", "n").distinct().join(shorter, ["key", "n"]).select("a", F.col("id").alias("b"))).filter("a <> b").distinct()
-
-
-def alike(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LIST) -> DataFrame:
+    n = F.length("line")
+    starts = lambda top: F.explode(F.sequence(F.lit(0), F.floor(top / window).cast("int"))).alias("j")
+    at = F.col("j") * window
+    before = F.xxhash64(F.substring(F.col("line"), F.lit(1), at)).alias("pre")
+    cut_ = texts.filter(n > 0).select("id", "line", n.alias("m"), starts(n - 1))
+    cut_ = cut_.select("id", "j", (F.col("m") - 1).alias("n"), before, F.substring(F.col("line"), at + 1, F.lit(window)).alias("w"), F.xxhash64(F.substring(F.col("line"), at + window + 1, F.col("m"))).alias("post"))
+    less = cut_.select("*", F.explode(F.sequence(F.lit(0), F.length("w") - 1)).alias("i"))
+    less = less.select("id", "j", "n", "i", F.xxhash64("pre", "post", F.concat(F.expr("left(w, i)"), F.expr("substring(w, i + 2)"))).alias("key"))
+    same = less.groupBy("key", "n", "j", "i").agg(F.min("id").alias("a"), F.count("*").alias("c")).filter("c > 1")
+    swapped = less.join(same, ["key", "n", "j", "i"]).select("a", F.col("id").alias("b"))
+    whole = texts.select("id", "line", n.alias("n"), starts(n))
+    size = F.least(F.lit(window), F.col("n") + 1 - at) - 1  # of the window with the place taken out
+    shorter = whole.select(F.col("id").alias("a"), "n", "j", F.xxhash64(before, F.xxhash64(F.substring(F.col("line"), at + size + 1, F.col("n") + 1)), F.substring(F.col("line"), at + 1, size)).alias("key"))
+    return swapped.unionByName(less.select("id", "key", "n", "j").distinct().join(shorter, ["key", "n", "j"]).select("a", F.col("id").alias("b"))).filter("a <> b").distinct()
+
+
+def alike(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LIST, per_edit: int = PER_EDIT) -> DataFrame:
     """(id, root): the class of every line that is alike another, different line."""
     lines = lines_of(docs)
-    pairs, hot = candidates(lines, threshold, longest)
+    pairs, hot = candidates(lines, threshold, longest, per_edit)
     pairs, hot = cut(pairs), cut(hot)
-    texts = cut(texts_of(lines, pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot).distinct()))
+    texts = cut(texts_of(lines.filter(F.col("n") >= per_edit), pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot).distinct()))
     left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    near = pairs.join(left, "a").join(right, "b").filter(banded_distance(F.col("x"), F.col("y"), threshold) <= threshold).select("a", "b")
+    most = allowed(F.least(F.length("x"), F.length("y")), threshold, per_edit)
+    near = pairs.join(left, "a").join(right, "b").filter(banded_distance(F.col("x"), F.col("y"), threshold) <= most).select("a", "b")
     edges = near.unionByName(neighbourhood_edges(texts.join(hot, "id", "left_semi"))) if threshold == 1 else near
     return connected_components(cut(edges)).select(F.col("node").alias("id"), "root")
 
 
-def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LIST) -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LIST, per_edit: int = PER_EDIT) -> DataFrame:
     """(doc_id, pos, exact): the lines that go; ``exact`` where the line that stays is the same."""
-    lines = lines_of(docs).filter(F.col("n") >= MIN_CHARS).select("doc_id", "pos", "id")
-    root = cut(alike(docs, threshold, longest))
-    first = lines.groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("own"), F.count("*").alias("times")).join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    classes = first.groupBy("root").agg(F.min("own").alias("first"), F.sum("times").alias("times")).filter("times > 1").drop("times")
-    stay = cut(first.join(classes, "root").select("id", "own", "first"))
-    gone = lines.join(stay, "id").filter(F.struct("doc_id", "pos") != F.col("first"))
-    return gone.select("doc_id", "pos", (F.col("own") == F.col("first")).alias("exact"))
+    lines = lines_of(docs).select("doc_id", "pos", "id", "check")
+    root = cut(alike(docs, threshold, longest, per_edit))
+    first = lines.groupBy("id", "check").agg(F.min(F.struct("doc_id", "pos")).alias("own"), F.count("*").alias("times")).join(root, "id", "left")
+    # a class is a component of lines alike, or the copies of one line
+    first = first.withColumn("kind", F.when(F.col("root").isNull(), F.col("check"))).withColumn("root", F.coalesce("root", "id"))
+    classes = first.groupBy("root", "kind").agg(F.min("own").alias("first"), F.sum("times").alias("times")).filter("times > 1")
+    classes = classes.select(F.col("root").alias("root_"), F.col("kind").alias("kind_"), "first")
+    stay = cut(first.join(classes, (F.col("root") == F.col("root_")) & F.col("kind").eqNullSafe(F.col("kind_"))).select("id", "check", "own", "first", "times"))
+    total = stay.agg(F.sum("times").alias("n")).first().n or 0
+    most = max(256, total // HOT_LINES)  # at most HOT_LINES lines occur more often: they are broadcast, the others meet by a shuffle
+    fact = F.struct("own", "first")
+    hot = stay.filter(F.col("times") > most).select("id", "check", fact.alias("hot"))
+    rest = stay.filter(F.col("times") <= most).select(F.col("id").alias("id_"), F.col("check").alias("check_"), fact.alias("rare"))
+    known = lines.join(F.broadcast(hot), ["id", "check"], "left")
+    # a line found already meets nothing, under a key of its own
+    key = F.when(F.col("hot").isNull(), F.col("id")).otherwise(F.xxhash64("doc_id", "pos"))
+    found = known.withColumn("key", key).join(rest, (F.col("key") == F.col("id_")) & (F.col("check") == F.col("check_")), "left").withColumn("fact", F.coalesce("hot", "rare"))
+    return found.filter(F.struct("doc_id", "pos") != F.col("fact.first")).select("doc_id", "pos", (F.col("fact.own") == F.col("fact.first")).alias("exact"))
 
 
 def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LIST) -> DataFrame:
@@ -215,12 +262,13 @@ def without_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, longest:
     ``n_chars``, where there is one, follows the text.
     """
     columns = docs.columns
-    gone = removed_lines(docs.select("doc_id", "text"), threshold, longest).groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("pos").alias("_gone"))
-    rows = docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("_gone_id"), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("_gone", i))
-    rows = rows.withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.array_join(kept, "\n")))
-    rows = rows.filter(F.col("_kept").isNull() | (F.trim("_kept") != ""))
-    out = {"text": F.coalesce("_kept", "text")} | ({"n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast(dict(docs.dtypes)["n_chars"]))} if "n_chars" in columns else {})
+    id_, gone_, kept_ = (free_name(columns, c) for c in ("gone_id", "gone", "kept"))
+    gone = removed_lines(docs.select("doc_id", "text"), threshold, longest).groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set("pos").alias(gone_))
+    rows = docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col(id_), "left")
+    kept = let(F.split("text", "\n", -1), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(gone_)), lambda i: F.get(ls, i)), "\n"))
+    rows = rows.withColumn(kept_, F.when(F.col(gone_).isNotNull() & F.col("text").isNotNull(), kept))
+    rows = rows.filter(F.col(kept_).isNull() | F.col(kept_).rlike(r"\S"))
+    out = {"text": F.coalesce(kept_, "text")} | ({"n_chars": F.when(F.col(kept_).isNull(), F.col("n_chars")).otherwise(F.length(kept_).cast(dict(docs.dtypes)["n_chars"]))} if "n_chars" in columns else {})
     return rows.select(*(out[c].alias(c) if c in out else F.col(c) for c in columns))
 
 

@@ -216,9 +216,9 @@ def test_banded_distance(spark):
         assert df.filter(line_dedup.banded_distance(F.col("a"), F.col("b"), t) != F.least(F.levenshtein("a", "b"), F.lit(t + 1))).count() == 0
 
 
-def line_classes(rows, threshold=1):
+def line_classes(rows, threshold=1, per_edit=20):
     """The lines that go, by comparing all pairs."""
-    occ = [(i, k, line) for i, t in rows if t is not None for k, line in enumerate(t.split("\n")) if len(line) >= line_dedup.MIN_CHARS]
+    occ = [(i, k, line) for i, t in rows if t is not None for k, line in enumerate(t.split("\n")) if line.strip()]
     kinds = sorted({line for *_, line in occ})
     root = {x: x for x in kinds}
 
@@ -233,7 +233,7 @@ def line_classes(rows, threshold=1):
             row, old = [i], row
             for j, y in enumerate(b, 1):
                 row.append(min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y)))
-        return row[-1] <= threshold
+        return row[-1] <= min(threshold, min(len(a), len(b)) // per_edit)
 
     for i, a in enumerate(kinds):
         for b in kinds[:i]:
@@ -245,26 +245,64 @@ def line_classes(rows, threshold=1):
     return {(i, k) for i, k, line in occ if first[find(line)] != (i, k)}
 
 
-@pytest.mark.parametrize(("longest", "threshold"), [(48, 1), (2, 1), (48, 2)])
-def test_line_dedup(spark, longest, threshold):
+@pytest.mark.parametrize(("longest", "threshold", "per_edit"), [(48, 1, 20), (2, 1, 2), (3, 2, 10)])
+def test_line_dedup(spark, longest, threshold, per_edit):
     rnd, base = random.Random(7), "the quick brown fox jumps over it"
     rows = []
     for i in range(40):
-        line = list(base if i % 3 else base[::-1])
+        line = list((base if i % 3 else base[::-1]) * (1 + i % 2))
         for _ in range(rnd.randint(0, 2)):
             line[rnd.randrange(len(line))] = rnd.choice(["", "x", "yz"])
-        rows.append((i, "\n".join(["".join(line), "short", f"a line of its own number {i * 7919}"])))
+        rows.append((i, "\n".join(["".join(line), "short", "  ", f"s{i % 7}", f"a line of its own number {i * 7919}"])))
     rows += [(40, None), (41, ""), (42, base + "\n" + base)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {(r.doc_id, r.pos) for r in line_dedup.removed_lines(df, threshold, longest).collect()}
-    assert got == line_classes(rows, threshold)
+    got = {(r.doc_id, r.pos) for r in line_dedup.removed_lines(df, threshold, longest, per_edit).collect()}
+    assert got == line_classes(rows, threshold, per_edit)
 
 
-def test_line_dedup_rewrites_documents(docs, empty):
+def test_line_neighbourhoods(spark):
+    rnd, base = random.Random(17), "".join(random.Random(18).choice("abcde") for _ in range(200))
+    kinds = {base, base[:63] + base[64:], base[:64] + base[65:], base[:-1], base[1:], base + "a", base[:127] + "x" + base[128:], "a", "b", "ab", "c" * 64, "c" * 65, "c" * 66}
+    for _ in range(40):
+        x = list(rnd.choice(sorted(kinds)))
+        x[rnd.randrange(len(x))] = rnd.choice(["", "a", "bb"])
+        kinds |= {"".join(x)} - {""}
+    texts_ = dict(enumerate(sorted(kinds)))
+
+    def one_edit(a, b):
+        a, b = sorted((a, b), key=len)
+        k = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
+        return len(b) - len(a) <= 1 and a[k + (len(a) == len(b)) :] == b[k + 1 :]
+
+    edges = [(r.a, r.b) for r in line_dedup.neighbourhood_edges(spark.createDataFrame(list(texts_.items()), "id long, line string"), 64).collect()]
+    assert all(one_edit(texts_[a], texts_[b]) for a, b in edges)
+
+    def groups(pairs):
+        root = {k: k for k in texts_}
+        for a, b in pairs:
+            old, new = root[a], root[b]
+            root = {k: new if r == old else r for k, r in root.items()}
+        return sorted(sorted(k for k in root if root[k] == r) for r in set(root.values()))
+
+    assert groups(edges) == groups((a, b) for a in texts_ for b in texts_ if a < b and one_edit(texts_[a], texts_[b]))
+
+
+def test_line_dedup_removes_short_copies(spark):
+    df = spark.createDataFrame([(k, f"Subscribe now\n\nNo{k}") for k in range(5)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_exact, r.n_near, r.removed) for r in line_dedup.repeated_lines(df).collect())
+    assert got == [(0, 0, 0, "")] + [(k, 1, 0, "0") for k in range(1, 5)]
+
+
+def test_line_dedup_rewrites_documents(spark, docs, empty):
     got = {r.doc_id: r for r in line_dedup.without_repeated_lines(docs).filter("doc_id is not null and doc_id <> 0").collect()}
     assert got[9].text == "\n".join(texts()[9].split("\n")[i] for i in (0, 2, 3)) and got[9].n_chars == len(got[9].text) and got[9].key == "k"
-    assert got[10].text == "short" and 11 not in got and got[4].text is None and got[5].text == ""
+    assert 10 not in got and 11 not in got and got[4].text is None and got[5].text == ""
     assert line_dedup.without_repeated_lines(empty).count() == 0 and line_dedup.repeated_lines(empty).count() == 0
+    names = ["_gone", "gone", "_kept", "kept", "gone_id", "_gone_id", "line", "pos", "id", "Check", "n", "key"]
+    wide = spark.createDataFrame([(k, "the same line of text in both documents\n" + "own" * k, *[f"{c}{k}" for c in names]) for k in (1, 2)], ", ".join(["doc_id long", "text string", *(f"{c} string" for c in names)]))
+    kept = line_dedup.without_repeated_lines(wide)
+    rows = {r.doc_id: r for r in kept.collect()}
+    assert kept.columns == wide.columns and rows[2].text == "ownown" and all(rows[k][c] == f"{c}{k}" for k in rows for c in names)
 
 
 def test_decontamination(spark, docs, empty):
