@@ -78,15 +78,16 @@ def block_sets(text: pa.Array) -> tuple[list[int], list[np.ndarray]]:
 def postings(docs: DataFrame, blocks: int) -> DataFrame:
     """(gram, node, n, pos) of each set's prefix, its shingles in the common order: rare before frequent, ties by hash.
 
-    How many sets hold a shingle is counted over the whole corpus, exactly but for copies in different
-    blocks. A shingle that only one set holds meets nothing and is left out.
+    How many sets hold a shingle is counted over the whole corpus; copies in different blocks count each,
+    and a count may rarely be that of two shingles. It is never too low: a shingle that only one set holds
+    meets nothing and is left out.
     """
     dealt = in_blocks(docs.select("doc_id", "text"), blocks)
 
     def send(table_: pa.Table) -> pa.Table:
         sets = block_sets(table_.column("text"))[1]
         keys, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        return sent(table_.column("block")[0].as_py(), keys, {"held": n}, blocks)
+        return sent(table_.column("block")[0].as_py(), keys, {"held": n}, blocks, np.uint32)
 
     def prefixes(table_: pa.Table, found: pa.Table) -> pa.Table:
         nodes, sets = block_sets(table_.column("text"))
@@ -107,7 +108,7 @@ def postings(docs: DataFrame, blocks: int) -> DataFrame:
                     column.append(values)
         return pa.table([pa.array(np.concatenate(out[0]).view(np.int64)), *(pa.array(np.concatenate(x)) for x in out[1:])], ["gram", "node", "n", "pos"])
 
-    counted = totals(dealt.groupBy("block").applyInArrow(send, "part int, block int, keys binary, held binary"), ["held"], blocks)
+    counted = totals(dealt.groupBy("block").applyInArrow(send, "part int, block int, keys binary, held binary"), ["held"], blocks, np.uint32)
     return dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(prefixes, "gram long, node long, n int, pos int")
 
 
@@ -244,15 +245,15 @@ def links(docs: DataFrame, ids: DataFrame, edges: DataFrame, block: int = BLOCK_
     """Exact links within candidate groups: ((node, root) stars of linked sets, (node, n_links)).
 
     A group of at most ``alone`` sets and ``block`` shingles meets in one cell. A larger one is dealt into
-    blocks, each pair of which is a cell of the product; there are about as many cells as a sixteenth of
-    its sets, so a cell stays small, and none holds more than two blocks.
+    blocks, each pair of which is a cell of the product; there are about an eighth as many cells as sets,
+    so a cell stays small, and none holds more than two blocks.
     """
     group = connected_components(edges)
     members = ids.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies"))
     # the smallest id may be null only if all are; such a set keeps its text by the node itself
     chosen = cut(group.join(members, "node").select("node", F.col("root").alias("grp"), "doc_id", "n", "copies"))
     sizes = chosen.groupBy("grp").agg(F.sum("n").alias("shingles"), F.count("*").alias("m"))
-    many = F.when(F.col("m") > alone, F.greatest(F.ceil(F.sqrt(F.col("m") / 16)), F.ceil(F.col("m") / BLOCK_SETS))).otherwise(1)
+    many = F.when(F.col("m") > alone, F.greatest(F.ceil(F.sqrt(F.col("m") / 4)), F.ceil(F.col("m") / BLOCK_SETS))).otherwise(1)
     # only large groups are listed, so this is short, and a group's rows do not meet
     large = cut(sizes.select("grp", F.greatest(many, F.ceil(F.col("shingles") / block)).cast("int").alias("blocks")).filter("blocks > 1"))
     dealt = chosen.join(broadcast_up_to(large, BROADCAST_ROWS), "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
