@@ -5,31 +5,33 @@ the longest match ending at each word is tracked, up to the window length. A mat
 window marks its words as hit; so does a whole item that is shorter than a window. Only runs of
 words that occur in some item reach the automaton at all; the rest is passed over with NumPy.
 
-Items are taken in shards of bounded size. With more than one shard the documents pass through the
-shards one after the other.
+Items are taken in shards of bounded size. With more than one shard each passes over the documents for
+its hits alone.
 
 Defined results: null or blank text has no words and is not contaminated; an item without words
 never occurs; an item without id is listed as the empty string; repeated items count once per id;
-an empty benchmark hits nothing; repeated rows each get a row; extra columns pass through
-``annotate`` unchanged unless named ``contamination``, which is replaced.
+an empty benchmark hits nothing; repeated rows each get a row; extra columns pass through ``annotate``
+unchanged unless named like its result, which replaces them, and through ``remove_hits`` whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.session import cut, small_batches, table
+from cadenza.llm.session import broadcast_up_to, cut, free_name, small_batches, table
 from cadenza.llm.textkit import ALPHANUMERIC, Words, text_slices
 
 WINDOW = 13
 COVERAGE = 20  # a document is contaminated when COVERAGE * hit words >= words
 SHARD_WORDS = 200_000
+BROADCAST_ROWS = 250_000
 
 
 class SuffixAutomaton:
@@ -154,97 +156,135 @@ def item_shards(items: DataFrame, window: int = WINDOW, shard_words: int = SHARD
 _RESULT = "struct<n_words:long,mark:binary,items:array<string>>"
 
 
-def _scan(docs: DataFrame, shard: tuple[np.ndarray, SuffixAutomaton, int] | None, keep: list[str]) -> DataFrame:
-    """``docs`` with hits of one shard added to its ``contamination``; of the other columns ``keep`` stays."""
+class _Matcher:
+    """Marks and items of the documents in an Arrow column, by one shard."""
+
+    def __init__(self, shard: tuple[np.ndarray, SuffixAutomaton, int] | None) -> None:
+        self.vocabulary, self.automaton, self.least = shard or (np.zeros(0, np.uint64), None, 1)
+
+    def __call__(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray | None, set[str]]]:
+        """For each text its number of words, the hit words (None if there are none) and the items found."""
+        vocabulary = self.vocabulary
+        for a, b, data, offsets in text_slices(column):
+            words = Words(data, offsets, ALPHANUMERIC)
+            number = np.full(len(words.starts), -1, np.int64)
+            if len(vocabulary):
+                h = words.hashes()
+                at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+                number = np.where(vocabulary[at] == h, at, -1)
+            first = words.first
+            known = number >= 0
+            begins, stops = known.copy(), known.copy()
+            begins[1:] &= ~known[:-1]
+            stops[:-1] &= ~known[1:]
+            edge = first[1:-1]
+            edge = edge[(edge > 0) & (edge < len(known))]
+            begins[edge] = known[edge]
+            stops[edge - 1] = known[edge - 1]
+            s, e = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+            far = e - s >= self.least
+            s, e = s[far], e[far]
+            owner = np.searchsorted(first, s, "right") - 1
+            marks: dict[int, np.ndarray] = {}
+            found: dict[int, set[int]] = {}
+            for k, x, y in zip(owner.tolist(), s.tolist(), e.tolist(), strict=True):
+                mark = marks.setdefault(k, np.zeros(first[k + 1] - first[k], bool))
+                self.automaton.hits(number[x:y].tolist(), mark, found.setdefault(k, set()), x - int(first[k]))
+            for k in range(b - a):
+                names = {self.automaton.items[i] for i in found.get(k, ())}
+                yield int(first[k + 1] - first[k]), marks[k] if names else None, names
+
+
+def _scan(docs: DataFrame, shard: tuple[np.ndarray, SuffixAutomaton, int] | None, keep: list[str], name: str, earlier: str | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and, as ``name``, the hits of one shard put together with those in ``earlier``."""
     shared = docs.sparkSession.sparkContext.broadcast(shard)
-    more = "contamination" in docs.columns
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, automaton, least = shared.value or (np.zeros(0, np.uint64), None, 1)
+        match = _Matcher(shared.value)
         for batch in batches:
-            before = batch.column("contamination").to_pylist() if more else None
+            before = batch.column(earlier).to_pylist() if earlier else None
             out: list[dict] = []
-            for a, b, data, offsets in text_slices(batch.column("text")):
-                words = Words(data, offsets, ALPHANUMERIC)
-                number = np.full(len(words.starts), -1, np.int64)
-                if len(vocabulary):
-                    h = words.hashes()
-                    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-                    number = np.where(vocabulary[at] == h, at, -1)
-                first = words.first
-                known = number >= 0
-                begins, stops = known.copy(), known.copy()
-                begins[1:] &= ~known[:-1]
-                stops[:-1] &= ~known[1:]
-                edge = first[1:-1]
-                edge = edge[(edge > 0) & (edge < len(known))]
-                begins[edge] = known[edge]
-                stops[edge - 1] = known[edge - 1]
-                s, e = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-                far = e - s >= least
-                s, e = s[far], e[far]
-                owner = np.searchsorted(first, s, "right") - 1
-                marks: dict[int, np.ndarray] = {}
-                found: dict[int, set[int]] = {}
-                for k, x, y in zip(owner.tolist(), s.tolist(), e.tolist(), strict=True):
-                    mark = marks.setdefault(k, np.zeros(first[k + 1] - first[k], bool))
-                    automaton.hits(number[x:y].tolist(), mark, found.setdefault(k, set()), x - int(first[k]))
-                for k in range(b - a):
-                    old = before[a + k] if more else None
-                    n = int(first[k + 1] - first[k])
-                    names = {automaton.items[i] for i in found.get(k, ())}
-                    mark = marks[k] if names else None
-                    if old is not None:
-                        names |= set(old["items"])
-                        if old["mark"]:
-                            was = np.unpackbits(np.frombuffer(old["mark"], np.uint8), count=n).astype(bool)
-                            mark = was if mark is None else mark | was
-                    out.append({"n_words": n, "mark": np.packbits(mark).tobytes() if mark is not None else None, "items": sorted(names)})
+            for k, (n, mark, names) in enumerate(match(batch.column("text"))):
+                for old in (before[k] or ()) if before else ():
+                    names |= set(old["items"])
+                    was = np.unpackbits(np.frombuffer(old["mark"], np.uint8), count=n).astype(bool)
+                    mark = was if mark is None else mark | was
+                out.append({"n_words": n, "mark": np.packbits(mark).tobytes() if mark is not None else None, "items": sorted(names)})
             kind = pa.struct([("n_words", pa.int64()), ("mark", pa.binary()), ("items", pa.list_(pa.string()))])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, kind)], [*keep, "contamination"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, kind)], [*keep, name])
 
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"contamination {_RESULT}"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{name}` {_RESULT}"]))
 
 
-def annotate(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with ``contamination``: n_words, mark (a bit per word, null if none is hit), items found."""
+def _hits(docs: DataFrame, shard: tuple[np.ndarray, SuffixAutomaton, int]) -> DataFrame:
+    """(key, mark, items) of the documents that a shard hits; ``docs``: key, text."""
+    shared = docs.sparkSession.sparkContext.broadcast(shard)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = _Matcher(shared.value)
+        for batch in batches:
+            got = [(k, np.packbits(mark).tobytes(), sorted(names)) for k, (_, mark, names) in enumerate(match(batch.column("text"))) if names]
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array([k for k, _, _ in got], pa.int64())), pa.array([m for _, m, _ in got], pa.binary()), pa.array([x for _, _, x in got], pa.list_(pa.string()))], ["key", "mark", "items"])
+
+    return docs.mapInArrow(run, "key string, mark binary, items array<string>")
+
+
+def annotate(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, window: int = WINDOW, shard_words: int = SHARD_WORDS, name: str = "contamination") -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``name``: n_words, mark (a bit per word, null if none is hit), items found.
+
+    Each shard but the last passes over the texts for its hits alone, which are kept by the text's
+    digest; the last pass puts them together. Texts are neither copied nor, while hits are few, shuffled.
+    """
     small_batches(docs.sparkSession)
-    docs = docs.drop("contamination")
-    keep = docs.columns if keep is None else keep
-    done, waiting = docs, None
+    keep = [c for c in docs.columns if c.lower() != name.lower()] if keep is None else keep
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    hits, waiting = [], None
     for shard in item_shards(items, window, shard_words):
         if waiting is not None:
-            done = cut(_scan(done, waiting, [c for c in done.columns if c != "contamination"]))
+            hits.append(cut(_hits(docs.select(digest.alias("key"), "text"), waiting)))
         waiting = shard
-    return _scan(done, waiting, keep)
+    if not hits:
+        return _scan(docs, waiting, keep, name)
+    found = reduce(DataFrame.unionByName, hits).dropDuplicates(["key", "mark", "items"])
+    key, earlier = (free_name(docs.columns, c) for c in ("hit_key", "hit_earlier"))
+    found = found.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("mark", "items")).alias(earlier))
+    joined = docs.join(broadcast_up_to(cut(found), BROADCAST_ROWS), digest == F.col(key), "left")
+    return _scan(joined.select(*(F.col(f"`{c}`") for c in docs.columns), earlier), waiting, keep, name, earlier)
 
 
-def hit_counts(annotated: DataFrame) -> DataFrame:
-    """``annotated`` with n_words, n_hit, n_items, items_sha256 and contaminated."""
+def digests(name: str = "contamination") -> dict[str, F.Column]:
+    """n_words, n_hit, n_items, items_sha256 and contaminated from the column ``name`` of ``annotate``."""
     nibbles = {f"{k:X}": bin(k).count("1") for k in range(16)}
-    digits = F.hex("contamination.mark")
-    hit = sum((n * (F.length(digits) - F.length(F.replace(digits, F.lit(d), F.lit("")))) for d, n in nibbles.items() if n), F.lit(0))
-    items = F.array_sort(F.array_distinct("contamination.items"))
-    out = annotated.withColumn("n_words", F.col("contamination.n_words")).withColumn("n_hit", F.coalesce(hit, F.lit(0)).cast("long")).withColumn("n_items", F.size(items).cast("long"))
-    out = out.withColumn("items_sha256", F.sha2(F.array_join(items, ",").cast("binary"), 256))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (COVERAGE * F.col("n_hit") >= F.col("n_words")))
+    digits = F.hex(F.col(f"{name}.mark"))
+    hit = F.coalesce(sum((n * (F.length(digits) - F.length(F.replace(digits, F.lit(d), F.lit("")))) for d, n in nibbles.items() if n), F.lit(0)), F.lit(0)).cast("long")
+    items = F.array_sort(F.array_distinct(F.col(f"{name}.items")))
+    words = F.col(f"{name}.n_words")
+    return {"n_words": words, "n_hit": hit, "n_items": F.size(items).cast("long"), "items_sha256": F.sha2(F.array_join(items, ",").cast("binary"), 256), "contaminated": (hit > 0) & (COVERAGE * hit >= words)}
+
+
+def hit_counts(annotated: DataFrame) -> DataFrame:
+    """``annotated`` with n_words, n_hit, n_items, items_sha256 and contaminated, which replace columns so named."""
+    new = digests()
+    return annotated.select(*(F.col(f"`{c}`") for c in annotated.columns if c.lower() not in new), *(c.alias(n) for n, c in new.items()))
 
 
-def remove_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``docs`` without contaminated documents, and the other documents without their hit spans.
 
     A hit span goes from the first byte of its first word to the last byte of its last word.
-    ``n_chars``, where there is one, follows the text. Documents without a hit stay as they are.
+    ``n_chars``, where there is one, follows the text. Documents without a hit stay as they are, and so
+    do all other columns, whatever their names.
     """
     columns = docs.columns
     kinds = dict(docs.dtypes)
-    kept = hit_counts(annotate(docs, items, window=window)).filter(~F.col("contaminated")).select(*columns, F.col("contamination.mark").alias("_hit_mark"))
+    name = free_name(columns, "contamination")
+    hit_mark = free_name(columns, "hit_mark")
+    kept = annotate(docs, items, window=window, shard_words=shard_words, name=name).filter(~digests(name)["contaminated"]).select(*(F.col(f"`{c}`") for c in columns), F.col(f"{name}.mark").alias(hit_mark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, marks = batch.column("text").to_pylist(), batch.column("_hit_mark").to_pylist()
+            texts, marks = batch.column("text").to_pylist(), batch.column(hit_mark).to_pylist()
             chars = batch.column("n_chars").to_pylist() if "n_chars" in columns else None
             for k, packed in enumerate(marks):
                 if packed is None:
