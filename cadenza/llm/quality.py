@@ -6,8 +6,9 @@ unbiased risk
 
     pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))
 
-with the class prior ``pi`` estimated beforehand. The fit runs on a bounded sample, chosen by a
-hash of the document id (``positives`` and ``unlabelled`` bound it); scoring reads every whole text.
+with the class prior ``pi`` estimated beforehand, from a first scorer's scores of all documents of the
+learning folds. The fit runs on a bounded sample, chosen by a hash of the document id (``positives``
+and ``unlabelled`` bound it); scoring reads every whole text.
 
 Labels, language, source and id are never inputs of a score. Rows whose crc32(doc_id as text)
 mod 4 is 2 are held out: neither their labels nor their texts are learned from.
@@ -26,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.session import small_batches, table
+from cadenza.llm.session import free_name, small_batches, table
 from cadenza.llm.textkit import BLANK_SEPARATED, Words, text_slices
 
 THRESHOLD = 0.7
 POSITIVES = 4000
 UNLABELLED = 8000
 PAIRS = 256
+BINS = 4096
 FOLDS, HELD_OUT = 4, 2
 
 _KINDS = np.zeros(256, np.intp)  # byte classes: 0 other
@@ -95,17 +97,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def estimate_prior(scores_positive: np.ndarray, scores_unlabelled: np.ndarray) -> float:
-    """Share of positives among the unlabelled, from scores of rows that the scorer was not fitted on.
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled, from counts of both by score (in ``BINS`` equal bins) of a scorer not fitted on the positives counted.
 
     For any threshold, P_u(score >= t) >= prior * P_p(score >= t); the tightest such bound over
     thresholds that at least half of the positives pass is the estimate. Lower shares would make
     the ratio too noisy.
     """
-    best = 1.0
-    for t in np.quantile(scores_positive, np.linspace(0.0, 0.5, 51)):
-        best = min(best, (scores_unlabelled >= t).mean() / max((scores_positive >= t).mean(), 1e-9))
-    return float(np.clip(best, 0.05, 0.99))
+    above_p, above_u = (np.cumsum(x[::-1])[::-1] / max(x.sum(), 1) for x in (positive, unlabelled))
+    half = above_p >= 0.5
+    return float(np.clip((above_u[half] / above_p[half]).min(), 0.05, 0.99)) if half.any() else 0.5
+
+
+def bins(scores: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum((scores * BINS).astype(np.int64), BINS - 1), minlength=BINS)
 
 
 def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int, ridge: float) -> Model:
@@ -131,14 +136,35 @@ def _fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int,
     return Model(mean, scale, w, float(c), prior)
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 500, ridge: float = 1e-3) -> Model:
-    """Fit by the non-negative unbiased risk; ``prior`` None: estimated by a first fit on one half, read on the other."""
-    if prior is None:
-        rough = _fit(positive[::2], unlabelled[::2], 0.7, steps // 3, 10 * ridge)
-        prior = estimate_prior(rough.score(positive[1::2]), rough.score(unlabelled[1::2])) if min(len(positive), len(unlabelled)) > 1 else 0.5
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 500, ridge: float = 1e-3) -> Model:
+    """Fit by the non-negative unbiased risk."""
     return _fit(positive, unlabelled, prior, steps, ridge)
 
 
+def fit_rough(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 160, ridge: float = 1e-2) -> Model:
+    """A first scorer, fitted on one half of the positives; the prior is estimated with the other half."""
+    return _fit(positive[::2], unlabelled[::2], 0.7, steps, ridge)
+
+
+def counts_by_score(docs: DataFrame, model: Model) -> np.ndarray:
+    """How many documents of the learning folds score in each of ``BINS`` bins: all of them are read."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(BINS, np.int64)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                n += bins(shared.value.score(features(batch.slice(a, 512).column("text"))))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bin", "n"])
+
+    learn = docs.filter(F.coalesce(fold() != HELD_OUT, F.lit(False))).select("text")
+    out = np.zeros(BINS, np.int64)
+    for r in learn.mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # at most BINS rows
+        out[r.bin] = r.n
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
     """A model from a bounded sample of the learning folds; None without a positive label."""
     spark = docs.sparkSession
@@ -162,11 +188,15 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     if not got["good"].any() or not got["web"].any():
         return None
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), -1).astype(np.float64)
-    return fit_pu(x[got["good"].to_numpy()], x[got["web"].to_numpy()])
+    positive, web_ = x[got["good"].to_numpy()], x[got["web"].to_numpy()]
+    if len(positive) < 2:
+        return fit_pu(positive, web_, 0.5)
+    rough = fit_rough(positive, web_)
+    return fit_pu(positive, web_, estimate_prior(bins(rough.score(positive[1::2])), counts_by_score(docs, rough)))
 
 
-def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every row of ``docs`` and its ``quality_score``."""
+def score(docs: DataFrame, model: Model | None, keep: list[str], name: str = "quality_score") -> DataFrame:
+    """The columns ``keep`` of every row of ``docs`` and its score as ``name``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
 
@@ -176,9 +206,9 @@ def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 s = fitted.score(features(part.column("text"))) if fitted is not None else np.full(part.num_rows, 0.5)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(s)], [*keep, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(s)], [*keep, name])
 
-    return docs.drop("quality_score").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "quality_score double"]))
+    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{name}` double"]))
 
 
 def reject_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -187,7 +217,8 @@ def reject_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = TH
     if model is None:
         return docs
     columns = docs.columns
-    return score(docs, model, columns).filter(F.col("quality_score") >= threshold).select(*columns)
+    name = free_name(columns, "quality_score")
+    return score(docs, model, columns, name).filter(F.col(name) >= threshold).select(*(F.col(f"`{c}`") for c in columns))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
