@@ -1,11 +1,13 @@
 """License scans: ordered signature rules, gated by keywords, with suppression of contained detections.
 
-SQL functions only. A text is brought to its words, single-spaced. A rule is looked for only where
-its keyword occurs. Each rule has a priority; a detection that lies within another of the same or
-a higher priority is dropped.
+SQL functions only. The rules (``license_rules``) are some three hundred regular expressions written by
+hand. A text with none of their keywords is passed over; of any other the words are brought together
+with single spaces, and a rule is looked for only where its keyword occurs. Each rule has a priority; a
+detection that lies within another of the same or a higher priority is dropped.
 
 Defined results: null text counts as empty (no words, no labels, score 0); repeated rows each get a
-row; a null ``doc_id`` stays null; an empty table gives no rows; extra columns are ignored.
+row; a null ``doc_id`` stays null; an empty table gives no rows; extra columns pass through ``scan``
+unless named like a result, which replaces them.
 """
 
 from __future__ import annotations
@@ -15,113 +17,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.session import table
+from cadenza.llm.license_rules import ROWS
+from cadenza.llm.session import free_name, table
 from cadenza.llm.spans import find_all, let
 
 # Base phrases and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-
-# Label, keyword that gates it, and how the licence is named in running words.
-NAMES = (
-    ("agpl", "affero", "gnu affero general public license"),
-    ("apache", "apache", "apache (?:software )?license"),
-    ("artistic", "artistic", "artistic license"),
-    ("bsd", "bsd", "(?:[234] clause )?bsd license"),
-    ("bsl", "boost", "boost software license"),
-    ("cc-by", "creative", "creative commons attribution(?: [0-9] 0)?(?: international)?"),
-    ("cc-by-nc", "noncommercial", "creative commons attribution noncommercial"),
-    ("cc-by-sa", "sharealike", "creative commons attribution sharealike"),
-    ("cc0", "cc0", "cc0 (?:1 0 )?universal"),
-    ("cddl", "cddl", "common development and distribution license"),
-    ("cecill", "cecill", "cecill free software license"),
-    ("cpl", "common", "common public license"),
-    ("epl", "eclipse", "eclipse public license"),
-    ("eupl", "european", "european union public licen[cs]e"),
-    ("fdl", "documentation", "gnu free documentation license"),
-    ("gpl", "general", "gnu general public license"),
-    ("isc", "isc", "isc license"),
-    ("lgpl", "lesser", "gnu (?:lesser|library) general public license"),
-    ("lppl", "latex", "latex project public license"),
-    ("mit", "mit", "(?:the )?mit license"),
-    ("mpl", "mozilla", "mozilla public license"),
-    ("ms-pl", "microsoft", "microsoft public license"),
-    ("ms-rl", "reciprocal", "microsoft reciprocal license"),
-    ("ofl", "font", "sil open font license"),
-    ("osl", "open", "open software license"),
-    ("odbl", "odbl", "open database license"),
-    ("php", "php", "php license"),
-    ("postgresql", "postgresql", "postgresql license"),
-    ("psf", "python", "python software foundation license"),
-    ("qpl", "public", "q public license"),
-    ("ruby", "ruby", "ruby license"),
-    ("unlicense", "unlicense", "(?:the )?unlicense"),
-    ("upl", "universal", "universal permissive license"),
-    ("w3c", "w3c", "w3c software(?: notice and)? license"),
-    ("wtfpl", "wtfpl", "wtfpl"),
-    ("zlib", "zlib", "zlib license"),
-    ("zpl", "zope", "zope public license"),
-)
-# How a name is used, with the priority and confidence of such a use; {} is the name.
-FORMS = (
-    ("(?:is |are )?licensed under (?:the )?{}", 3, 1.0),
-    ("released under (?:the )?{}", 3, 1.0),
-    ("(?:made )?available under (?:the )?{}", 3, 1.0),
-    ("distributed under (?:the )?(?:terms of )?(?:the )?{}", 3, 1.0),
-    ("under the terms of (?:the )?{}", 3, 1.0),
-    ("{} (?:version|v) ?[0-9]+(?: [0-9]+)*(?: only| or later)?", 2, 0.9),
-    ("{}", 1, 0.7),
-)
-# Label, keyword and words of notices that name no licence.
-NOTICES = (
-    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy", 3, 1.0),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms", 3, 1.0),
-    ("isc", "permission", "permission to use copy modify and or distribute this software", 3, 1.0),
-    ("public-domain", "domain", "(?:released|dedicated|placed) (?:in)?to the public domain", 3, 0.9),
-    ("public-domain", "domain", "public domain", 1, 0.5),
-    ("proprietary", "reserved", "all rights reserved", 1, 0.4),
-    ("cc-by", "cc", "cc by(?: [0-9] 0)?", 2, 0.9),
-    ("cc-by-sa", "cc", "cc by sa(?: [0-9] 0)?", 3, 0.9),
-    ("cc-by-nc", "cc", "cc by nc(?: sa| nd)?(?: [0-9] 0)?", 3, 0.9),
-    ("cc-by-nd", "cc", "cc by nd(?: [0-9] 0)?", 3, 0.9),
-)
-_V = "(?:version |v ?)?"
-_ONLY = "(?: only| or (?:any )?later(?: version)?)?"
-# Label, keyword, words, priority and confidence of short names, licence bodies and headers. No other rule finds these.
-SIGNATURES = (
-    ("gpl", "gpl", f"(?:gnu )?gpl {_V}[123](?: 0)?{_ONLY}", 2, 0.9),
-    ("gpl", "gpl", f"(?:gnu )?gplv[123](?: 0)?{_ONLY}", 2, 0.9),
-    ("gpl", "gpl", "(?:gnu )?gpl licen[cs]ed?", 2, 0.8),
-    ("lgpl", "lgpl", f"(?:gnu )?lgpl {_V}[23](?: [01])?{_ONLY}", 2, 0.9),
-    ("lgpl", "lgpl", f"(?:gnu )?lgplv[23](?: [01])?{_ONLY}", 2, 0.9),
-    ("agpl", "agpl", f"(?:gnu )?agpl {_V}[13](?: 0)?{_ONLY}", 2, 0.9),
-    ("agpl", "agpl", f"(?:gnu )?agplv[13](?: 0)?{_ONLY}", 2, 0.9),
-    ("apache", "apache", f"apache {_V}[12] [01]", 2, 0.9),
-    ("apache", "apache", "apache v?2", 2, 0.7),
-    ("apache", "apache", "apache licen[cs]ed", 2, 0.8),
-    ("apache", "compliance", "you may not use this file except in compliance with the license", 3, 0.9),
-    ("bsd", "bsd", "bsd (?:[0234]|two|three|four) clause", 2, 0.9),
-    ("bsd", "bsd", "(?:[0234]|two|three|four|new|modified|simplified|revised) (?:clause )?bsd", 2, 0.8),
-    ("bsd", "bsd", "bsd (?:style licen[cs]e|licen[cs]ed)", 2, 0.8),
-    ("bsd", "endorse", "may be used to endorse or promote products derived from this software", 3, 0.9),
-    ("cc0", "cc0", f"cc0(?: {_V}1 0)?", 2, 0.9),
-    ("cc-by-sa", "attribution", "creative commons attribution share alike(?: [1-4] [05])?", 3, 1.0),
-    ("cc-by-nc", "attribution", "creative commons attribution non commercial(?: [1-4] [05])?", 3, 1.0),
-    ("cc-by-nd", "attribution", "creative commons attribution no ?deriv(?:s|atives)(?: [1-4] [05])?", 3, 1.0),
-    ("mit", "mit", "mit licen[cs]ed", 2, 0.9),
-    ("mit", "mit", "(?:mit|expat) style licen[cs]e", 2, 0.8),
-    ("mit", "permission", "the above copyright notice and this permission notice shall be included in all copies", 3, 0.9),
-    ("mpl", "mpl", f"mpl {_V}[12] [01]", 2, 0.9),
-    ("epl", "epl", f"epl {_V}[12] 0", 2, 0.9),
-    ("eupl", "eupl", f"eupl {_V}1 [012]", 2, 0.9),
-    ("bsl", "permission", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software", 3, 1.0),
-    ("unlicense", "unencumbered", "free and unencumbered software released into the public domain", 3, 1.0),
-    ("zlib", "altered", "altered source versions must be plainly marked as such", 3, 1.0),
-    ("wtfpl", "fuck", "do what the fuck you want to public license", 3, 1.0),
-    ("isc", "isc", "isc licen[cs]ed", 2, 0.9),
-    ("ofl", "ofl", "(?:sil )?ofl (?:version |v ?)?1 [01]", 2, 0.9),
-    ("odbl", "odbl", f"odbl(?: {_V}1 0)?", 2, 0.9),
-    ("fdl", "gfdl", "gfdl(?: (?:version |v ?)?1 [123])?", 2, 0.9),
-)
+SHORT = 3  # keywords of no more letters must begin a word
 
 
 @dataclass(frozen=True)
@@ -134,15 +36,22 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """All rules in order: every name in every form, SPDX identifiers, notices, signatures."""
-    out = [Rule(label, word, form.format(name), p, c) for label, word, name in NAMES for form, p, c in FORMS]
-    out += [Rule(label, "spdx", f"spdx license identifier {label.replace('-', ' ')}(?: [0-9]+)*(?: only| or later)?", 4, 1.0) for label in sorted({n[0] for n in NAMES})]
-    return out + [Rule(*n) for n in NOTICES + SIGNATURES]
+    """All rules in order."""
+    return [Rule(label, keyword, pattern, int(priority), float(confidence)) for label, keyword, priority, confidence, pattern in ROWS]
 
 
 _BREAK = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-#: Necessary for every rule, on the text before its words are re-spaced: gaps are any break.
-_GATE = f"(?i)licen[cs]e|public{_BREAK}domain|creative{_BREAK}commons|spdx|wtfpl|rights{_BREAK}reserved|permission|redistribution|cc0|cc{_BREAK}by|gpl|apache|bsd|mpl|epl|eupl|ofl|odbl|gfdl|endorse{_BREAK}or|altered{_BREAK}source"
+
+
+def gate(text: Column, table_: list[Rule]) -> Column:
+    """Whether any keyword of the rules, or of the base phrases, occurs in a text as it is: necessary for any detection.
+
+    A keyword lies within one word, so how words are set apart does not matter.
+    """
+    keywords = sorted({r.keyword for r in table_} | {"license", "cc"})
+    long_ = F.array(*(F.lit(k) for k in keywords if len(k) > SHORT))
+    short = "|".join(k for k in keywords if len(k) <= SHORT)
+    return let(F.lower(text), lambda low: low.rlike(f"(?<![0-9a-z\\x80-\\uFFFF])(?:{short})") | F.exists(long_, lambda k: F.contains(low, k)))
 
 
 def words_of(text: Column) -> Column:
@@ -152,7 +61,7 @@ def words_of(text: Column) -> Column:
 
 def detections(joined: Column, table_: list[Rule]) -> Column:
     """Detections s, e, priority, label, confidence in single-spaced words, before suppression, in order of place."""
-    literal = F.array(*(F.struct(F.lit(r.keyword).alias("keyword"), F.lit(f"(?i)(?<= ){r.pattern}(?= )").alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("confidence")) for r in table_))
+    literal = F.array(*(F.struct(F.lit(r.keyword if len(r.keyword) > SHORT else f" {r.keyword}").alias("keyword"), F.lit(f"(?i)(?<= )(?:{r.pattern})(?= )").alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("confidence")) for r in table_))
 
     def of(text: Column) -> Column:
         low = F.lower(text)
@@ -186,28 +95,29 @@ def surviving(found: Column, levels: int = 4) -> Column:
 def scan(docs: DataFrame, table_: list[Rule] | None = None) -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels and score."""
     table_ = rules() if table_ is None else table_
-    gate = F.coalesce(F.col("text").rlike(_GATE), F.lit(False))
-    rows = docs.withColumn("_words", words_of(F.col("text"))).withColumn("_joined", F.when(gate, F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))))
+    words, joined, n, pieces, found = (free_name(docs.columns, c) for c in ("scan_words", "scan_joined", "scan_n", "scan_pieces", "scan_found"))
+    admitted = F.coalesce(gate(F.col("text"), table_), F.lit(False))
+    rows = docs.withColumn(words, words_of(F.col("text"))).withColumn(joined, F.when(admitted, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))))
     phrases = "|".join(p for p, _ in BASE)
     count = lambda piece: F.size(F.filter(F.split(piece, " "), lambda w: w != ""))
-    rows = rows.withColumn("_n", F.size("_words").cast("long")).drop("_words")
-    rows = rows.withColumn("_pieces", F.when(F.col("_joined").rlike(f"(?i) (?:{phrases}) "), F.split("_joined", f"(?i) (?=(?:{phrases}) )", -1)))
-    rows = rows.withColumn("_found", F.when(F.col("_joined").isNotNull(), surviving(detections(F.col("_joined"), table_))))
-    base = F.array_compact(F.array(*(F.when(F.col("_joined").rlike(f"(?i) {p} "), F.lit(label)) for p, label in BASE)))
-    base = F.when(F.col("_pieces").isNotNull(), F.array_sort(base)).otherwise(F.array().cast("array<string>"))
-    labels = F.array_sort(F.array_union(base, F.coalesce("_found.labels", F.array().cast("array<string>"))))
-    sure = F.greatest(F.when(F.size(base) > 0, 0.8).otherwise(0.0), F.coalesce("_found.best", F.lit(0.0)))
-    has = F.col("_pieces").isNotNull()
-    return rows.select(
-        *docs.columns,
-        F.col("_n").alias("n_words"),
-        F.when(has, F.size("_pieces") - 1).otherwise(0).cast("long").alias("n_base"),
-        F.when(has, count(F.get("_pieces", F.lit(0)))).cast("long").alias("first_word"),
-        F.when(has, F.col("_n") - count(F.element_at("_pieces", -1))).cast("long").alias("last_word"),
-        F.array_join(base, ",").alias("base_labels"),
-        F.array_join(labels, ",").alias("labels"),
-        sure.alias("score"),
-    )
+    rows = rows.withColumn(n, F.size(words).cast("long")).drop(words)
+    rows = rows.withColumn(pieces, F.when(F.col(joined).rlike(f"(?i) (?:{phrases}) "), F.split(joined, f"(?i) (?=(?:{phrases}) )", -1)))
+    rows = rows.withColumn(found, F.when(F.col(joined).isNotNull(), surviving(detections(F.col(joined), table_))))
+    has = F.col(pieces).isNotNull()
+    base = F.array_compact(F.array(*(F.when(F.col(joined).rlike(f"(?i) {p} "), F.lit(label)) for p, label in BASE)))
+    base = F.when(has, F.array_sort(base)).otherwise(F.array().cast("array<string>"))
+    labels = F.array_sort(F.array_union(base, F.coalesce(F.col(f"{found}.labels"), F.array().cast("array<string>"))))
+    sure = F.greatest(F.when(F.size(base) > 0, 0.8).otherwise(0.0), F.coalesce(F.col(f"{found}.best"), F.lit(0.0)))
+    out = {
+        "n_words": F.col(n),
+        "n_base": F.when(has, F.size(pieces) - 1).otherwise(0).cast("long"),
+        "first_word": F.when(has, count(F.get(pieces, F.lit(0)))).cast("long"),
+        "last_word": F.when(has, F.col(n) - count(F.element_at(pieces, -1))).cast("long"),
+        "base_labels": F.array_join(base, ","),
+        "labels": F.array_join(labels, ","),
+        "score": sure,
+    }
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in out), *(c.alias(name) for name, c in out.items()))
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
