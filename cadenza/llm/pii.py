@@ -4,8 +4,9 @@ SQL functions only. Every pattern is written so that it runs in linear time on a
 begins at the start of a run of its characters or where the last match ended.
 
 Defined results: null text counts as empty (no spans); repeated rows each get a row; a null
-``doc_id`` stays null; an empty table gives no rows; extra columns are ignored. Spans of one kind
-never overlap; spans of different kinds may.
+``doc_id`` stays null; an empty table gives no rows; extra columns are ignored by the query and pass
+through ``personal_data`` unless named like a result (``pii_<kind>``), which replaces them. Spans of one
+kind never overlap; spans of different kinds may.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ KINDS = (
     Kind("phone", r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "phone|call|tel|mobile|fax"),
     Kind("iban", r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", 0.8, "iban|bank|account|transfer", False),
     Kind("ssn", r"[0-9]-[0-9]", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", 0.5, "ssn|social|security", False),
-    Kind("secret", r"(?i)key|token|secret|passw|AKIA|-----BEGIN", r"\bAKIA[0-9A-Z]{16}\b|\b(?:sk|ghp|xoxb)[-_][A-Za-z0-9_-]{16,}+|(?i:\b(?:api[_-]?key|secret|token|passw(?:or)?d)\b\x20?[:=]\x20?[^\s,;]{6,}+)", 0.7, "key|token|secret|password", False),
+    Kind("secret", r"(?i)key|token|secret|passw|AKIA|\b(?:sk|ghp|xoxb)[-_]", r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----(?:[^-]*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----)?|\bAKIA[0-9A-Z]{16}\b|\b(?:sk|ghp|xoxb)[-_][A-Za-z0-9_-]{16,}+|(?i:\b(?:api[_-]?key|secret|token|passw(?:or)?d)\b\x20?[:=]\x20?[^\s,;]{6,}+)", 0.7, "key|token|secret|password", False),
 )
 
 
@@ -91,11 +92,10 @@ def confirmed(kind: Kind, m: Column) -> Column:
 
 def spans(text: Column, kind: Kind, context: int = CONTEXT) -> Column:
     """Confirmed spans of a kind as structs kind, s, e, score; a context word shortly before a span adds 0.2."""
-    found = F.filter(find_all(text, F.lit(kind.pattern)), lambda x: confirmed(kind, x["m"]))
+    found = F.filter(find_all(text, F.lit(kind.pattern), context), lambda x: confirmed(kind, x["m"]))
 
     def scored(x: Column) -> Column:
-        before = F.substring(text, F.greatest(x["s"] - context, F.lit(0)) + 1, F.least(x["s"], F.lit(context)))
-        near = before.rlike(rf"(?i)\b(?:{kind.words})")
+        near = x["before"].rlike(rf"(?i)\b(?:{kind.words})")
         return F.struct(F.lit(kind.name).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.when(near, kind.score + 0.2).otherwise(kind.score).alias("score"))
 
     none = F.array().cast("array<struct<kind:string,s:int,e:int,score:double>>")
@@ -105,17 +105,30 @@ def spans(text: Column, kind: Kind, context: int = CONTEXT) -> Column:
 def personal_data(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """``docs`` with an array column of confirmed spans for each kind (``pii_<kind>``)."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("*", *(spans(text, k).alias(f"pii_{k.name}") for k in kinds))
+    taken = {f"pii_{k.name}" for k in kinds}
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken), *(spans(text, k).alias(f"pii_{k.name}") for k in kinds))
 
 
-def redact(text: Column, found: Column) -> Column:
-    """``text`` with each span of a sorted, non-overlapping array replaced by its kind in brackets."""
+def redact(docs: DataFrame, column: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
+    """``docs`` with every match of a confirmed kind in ``column`` replaced by its kind in brackets, kinds in order.
 
-    def step(acc: Column, x: Column) -> Column:
-        return F.struct(x["e"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), x["kind"], F.lit("]")).alias("out"))
+    Kinds are taken one after the other, so a span of a later kind within an earlier one is gone with it.
+    The pieces between the matches and the matches, confirmed or not, are joined again.
+    """
 
-    done = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return let(done, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
+    def of(text: Column, kind: Kind) -> Column:
+        pattern = F.lit(kind.pattern)
+
+        def joined(p: Column) -> Column:
+            said = F.transform(p["m"], lambda m: F.when(confirmed(kind, m), F.lit(f"[{kind.name}]")).otherwise(m))
+            # one piece more than matches
+            return F.array_join(F.zip_with(p["gap"], said, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+
+        return F.when(text.rlike(kind.hint), let(F.struct(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("m")), joined)).otherwise(text)
+
+    for kind in kinds:
+        docs = docs.withColumn(column, of(F.col(column), kind))
+    return docs
 
 
 def _listed(columns: list[str]) -> Column:
