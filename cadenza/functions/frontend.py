@@ -41,25 +41,32 @@ def mel_filters(rate: int = RATE, n_fft: int = N_FFT, mels: int = MELS, low: flo
     return np.maximum(0, np.minimum(up, down)) * (2 / (edges[2:] - edges[:-2]))[:, None]
 
 
-def dither(samples: np.ndarray, scale: float = 1e-5) -> np.ndarray:
-    """Uniform noise from a xorshift generator that the number of samples seeds."""
-    x, out = (len(samples) or 1) & 0xFFFFFFFFFFFFFFFF, np.array(samples, float)
-    for i in range(len(out)):
+def dither_noise(n: int, scale: float = 1e-5) -> np.ndarray:
+    """Uniform noise for ``n`` samples, from a xorshift generator that their number seeds."""
+    x, out = (n or 1) & 0xFFFFFFFFFFFFFFFF, np.zeros(n)
+    for i in range(n):
         x ^= (x << 13) & 0xFFFFFFFFFFFFFFFF
         x ^= x >> 7
         x ^= (x << 17) & 0xFFFFFFFFFFFFFFFF
-        out[i] += scale * ((x >> 11) / 2**53 * 2 - 1)
+        out[i] = scale * ((x >> 11) / 2**53 * 2 - 1)
     return out
 
 
+def dither(samples: np.ndarray, scale: float = 1e-5) -> np.ndarray:
+    """Samples (along the last axis) with noise added; the same for all arrays of a length."""
+    samples = np.asarray(samples, float)
+    return samples + dither_noise(samples.shape[-1], scale)
+
+
 def power_spectra(samples: np.ndarray, n_fft: int = N_FFT, hop: int = HOP, win: int = WIN) -> np.ndarray:
-    """Power spectrum of floor(n / hop) frames of samples padded by half a transform on both sides."""
-    frames = len(samples) // hop
-    padded = np.pad(np.asarray(samples, float), n_fft // 2)
+    """Power spectrum of floor(n / hop) frames of samples (along the last axis) padded by half a transform on both sides."""
+    samples = np.asarray(samples, float)
+    frames = samples.shape[-1] // hop
+    padded = np.pad(samples, [(0, 0)] * (samples.ndim - 1) + [(n_fft // 2, n_fft // 2)])
     window = np.zeros(n_fft)
     window[(n_fft - win) // 2 : (n_fft - win) // 2 + win] = np.hanning(win)
     at = np.arange(frames)[:, None] * hop + np.arange(n_fft)
-    return np.abs(np.fft.rfft(padded[at] * window, axis=1)) ** 2 if frames else np.zeros((0, n_fft // 2 + 1))
+    return np.abs(np.fft.rfft(padded[..., at] * window, axis=-1)) ** 2 if frames else np.zeros((*samples.shape[:-1], 0, n_fft // 2 + 1))
 
 
 def normalize(x: np.ndarray) -> np.ndarray:

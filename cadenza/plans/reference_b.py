@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -259,29 +258,43 @@ def _normal(text: str) -> list[str]:
     return ["".join(c for c in w.lower() if c.isascii() and (c.isalnum() or c == "'")) for w in text.split()]
 
 
-def _eval(pdf: pd.DataFrame) -> pd.DataFrame:
-    hyp, ref = _normal(pdf["hyp"][0]), _normal(pdf["ref"][0])
-    edits = align.edit_distance([w for w in hyp if w], [w for w in ref if w])
-    return pd.DataFrame({"stream_id": pdf["stream_id"], "matched": [len(align.lcs(hyp, ref))], "edits": [edits], "ref_words": [sum(map(bool, ref))], "raw_words": [len(ref)]})
+#: Neighbouring turns in SQL: normal words of both, and their edit distance, a row of the table at a time.
+_PAIRS = r"""t AS (SELECT conv_id * 1000 + turn AS stream_id, text AS hyp, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ref FROM conversations),
+n AS (SELECT stream_id, list_transform(list_filter(string_split_regex(hyp, '\s+'), lambda x: x <> ''), lambda x: lower(regexp_replace(x, '[^A-Za-z0-9'']', '', 'g'))) AS h,
+list_transform(list_filter(string_split_regex(ref, '\s+'), lambda x: x <> ''), lambda x: lower(regexp_replace(x, '[^A-Za-z0-9'']', '', 'g'))) AS r FROM t WHERE ref IS NOT NULL),
+f AS (SELECT stream_id, list_filter(h, lambda x: x <> '') AS h, list_filter(r, lambda x: x <> '') AS r, len(r) AS raw FROM n)"""
+_EDITS = f"""RECURSIVE {_PAIRS}, k AS MATERIALIZED (SELECT *, len(r) AS words FROM f),
+s AS (SELECT stream_id, 0::BIGINT AS i, j, j AS v FROM (SELECT stream_id, unnest(range(words + 1)) AS j FROM k) UNION ALL
+SELECT stream_id, i, j, j + min(t - j) OVER (PARTITION BY stream_id ORDER BY j) FROM (SELECT s.stream_id, s.i + 1 AS i, s.j, least(s.v + 1, coalesce(lag(s.v) OVER (PARTITION BY s.stream_id ORDER BY s.j) + (h[s.i + 1] <> r[s.j])::INT, s.v + 1)) AS t FROM s JOIN k USING (stream_id) WHERE s.i < len(h))),
+e AS (SELECT k.stream_id, raw, words, v AS edits FROM k JOIN s ON s.stream_id = k.stream_id AND s.i = len(h) AND s.j = words)"""
 
 
-def _evaluated(spark: SparkSession, d: str) -> DataFrame:
-    return align.by_stream(_turn_pairs(spark, d), _eval, "stream_id long, matched long, edits long, ref_words long, raw_words long")
+def _words_of(row: dict) -> tuple[list[str], list[str]]:
+    return _normal(row["hyp"]), _normal(row["ref"])
 
 
 @query("aln_lcs")
 def aln_lcs(spark: SparkSession, d: str) -> DataFrame:
-    return _evaluated(spark, d).select("stream_id", "matched")
+    return align.by_row(_turn_pairs(spark, d), lambda r: [(r["stream_id"], len(align.lcs(*_words_of(r))))], "stream_id long, matched long")
 
 
-@query("aln_edit")
+def _edits(spark: SparkSession, d: str) -> DataFrame:
+    def run(row: dict) -> list[tuple]:
+        hyp, ref = _words_of(row)
+        said = [w for w in ref if w]
+        return [(row["stream_id"], align.edit_distance([w for w in hyp if w], said), len(said), len(ref))]
+
+    return align.by_row(_turn_pairs(spark, d), run, "stream_id long, edits long, ref_words long, raw_words long")
+
+
+@query("aln_edit", f"WITH {_EDITS} SELECT stream_id, edits FROM e")
 def aln_edit(spark: SparkSession, d: str) -> DataFrame:
-    return _evaluated(spark, d).select("stream_id", "edits")
+    return _edits(spark, d).select("stream_id", "edits")
 
 
-@query("agg_wer")
+@query("agg_wer", f"WITH {_EDITS} SELECT sum(edits)::BIGINT AS edits, sum(raw)::BIGINT AS words, sum(edits)::DOUBLE / greatest(sum(raw), 1) AS corpus_wer, round(avg(edits::DOUBLE / greatest(words, 1)), 9) AS mean_wer FROM e")
 def agg_wer(spark: SparkSession, d: str) -> DataFrame:
-    return _evaluated(spark, d).agg(F.sum("edits").alias("edits"), F.sum("raw_words").alias("words"), (F.sum("edits") / F.greatest(F.sum("raw_words"), F.lit(1))).alias("corpus_wer"), metrics.mean_or_nan(F.col("edits") / F.greatest("ref_words", F.lit(1))).alias("mean_wer"))
+    return _edits(spark, d).agg(F.sum("edits").alias("edits"), F.sum("raw_words").alias("words"), (F.sum("edits") / F.greatest(F.sum("raw_words"), F.lit(1))).alias("corpus_wer"), F.round(metrics.mean_or_nan(F.col("edits") / F.greatest("ref_words", F.lit(1))), 9).alias("mean_wer"))
 
 
 @query("aln_charedit", "SELECT n_regionkey, sum(levenshtein(n_name, r_name))::BIGINT AS edits FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
@@ -292,11 +305,11 @@ def aln_charedit(spark: SparkSession, d: str) -> DataFrame:
 
 @query("aln_viterbi")
 def aln_viterbi(spark: SparkSession, d: str) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        spans = align.forced_align(np.array(pdf["embedding"][0], float).reshape(8, 8), [int(pdf["label"][0]) % 7, 6, 0], 7)
-        return pd.DataFrame([(pdf["vec_id"][0], k, *s) for k, s in enumerate(spans)], columns=["vec_id", "k", "first", "last"])
+    def run(row: dict) -> list[tuple]:
+        spans = align.forced_align(np.array(row["embedding"], float).reshape(8, 8), [int(row["label"]) % 7, 6, 0], 7)
+        return [(row["vec_id"], k, *s) for k, s in enumerate(spans)]
 
-    return align.by_stream(table(spark, d, "embeddings"), run, "vec_id long, k long, first long, last long", "vec_id")
+    return align.by_row(table(spark, d, "embeddings").select("vec_id", "label", "embedding"), run, "vec_id long, k long, first long, last long")
 
 
 def _timed(text: str, step: int) -> tuple[list[str], list[tuple[int, int]]]:
@@ -304,34 +317,36 @@ def _timed(text: str, step: int) -> tuple[list[str], list[tuple[int, int]]]:
     return ws, [(k * step, k * step + step - 10) for k in range(len(ws))]
 
 
+_SPANS = "stream_id long, pos long, start_ms long, end_ms long"
+
+
 @query("aln_anchor")
 def aln_anchor(spark: SparkSession, d: str) -> DataFrame:
     """Each turn retimed by itself with every seventh word misheard."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ref, ref_ms = _timed(pdf["hyp"][0], 100)
+    def run(row: dict) -> list[tuple]:
+        ref, ref_ms = _timed(row["hyp"], 100)
         hyp, hyp_ms = ["zz" if k % 7 == 6 else w for k, w in enumerate(ref)], [(s + 15, e + 5) for s, e in ref_ms]
         try:
             got, status = align.anchor(hyp, hyp_ms, ref, ref_ms, len(ref) * 100 + 100), "ok"
         except ValueError as e:
             got, status = [(-1, -1)] * len(ref), str(e)
-        return pd.DataFrame({"stream_id": int(pdf["stream_id"][0]), "pos": range(len(got)), "start_ms": [s for s, _ in got], "end_ms": [e for _, e in got], "status": status})
+        return [(row["stream_id"], k, *x, status) for k, x in enumerate(got)]
 
-    return align.by_stream(_turn_pairs(spark, d), run, "stream_id long, pos long, start_ms long, end_ms long, status string")
+    return align.by_row(_turn_pairs(spark, d), run, f"{_SPANS}, status string")
 
 
 @query("aln_filleval")
 def aln_filleval(spark: SparkSession, d: str) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hyp, ms = _timed(pdf["hyp"][0], 120)
-        ref = _normal(pdf["ref"][0])
+    def run(row: dict) -> list[tuple]:
+        hyp, ms = _timed(row["hyp"], 120)
+        ref = _normal(row["ref"])
         times: list = [None] * len(ref)
         for h, r in align.lcs(hyp, ref):
             times[r] = ms[h]
-        got = align.fill_by_length(times, list(map(len, ref)), len(hyp) * 120)
-        return pd.DataFrame({"stream_id": int(pdf["stream_id"][0]), "pos": range(len(got)), "start_ms": [s for s, _ in got], "end_ms": [e for _, e in got]})
+        return [(row["stream_id"], k, *x) for k, x in enumerate(align.fill_by_length(times, list(map(len, ref)), len(hyp) * 120))]
 
-    return align.by_stream(_turn_pairs(spark, d), run, "stream_id long, pos long, start_ms long, end_ms long")
+    return align.by_row(_turn_pairs(spark, d), run, _SPANS)
 
 
 @query("agg_mean", "SELECT event_type, avg(value) AS mean FROM events GROUP BY 1 UNION ALL SELECT 'none', 'NaN'::DOUBLE")

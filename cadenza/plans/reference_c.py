@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions import frontend
 from cadenza.operators import align, inference, windows
 from cadenza.plans.base import WORDS, query, table, words
-from cadenza.plans.reference_b import _normal, _timed, _turn_pairs
+from cadenza.plans.reference_b import _PAIRS, _SPANS, _normal, _timed, _turn_pairs
 from cadenza.streaming import session
 
 
@@ -33,13 +32,20 @@ def inf_dispatch(spark: SparkSession, d: str) -> DataFrame:
     return found.select("vec_id", "window_seq", F.size("words").alias("n"))
 
 
-@query("inf_logitaxis", "SELECT vec_id, 8 AS frames, embedding[9]::DOUBLE AS second FROM embeddings")
+@query("inf_logitaxis", "SELECT vec_id, f AS frame, embedding[f * 8 + 1]::DOUBLE AS first, embedding[f + 1]::DOUBLE AS turned FROM embeddings, range(8) t(f)")
 def inf_logitaxis(spark: SparkSession, d: str) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = align.logits_time_major(np.array(pdf["embedding"][0], float).reshape(1, 8, 8), 8)
-        return pd.DataFrame({"vec_id": pdf["vec_id"], "frames": [len(x)], "second": [x[1, 0]]})
+    """The same scores laid out by time and by token, with and without an axis for the batch: first token of each frame."""
 
-    return align.by_stream(table(spark, d, "embeddings"), run, "vec_id long, frames int, second double", "vec_id")
+    def run(row: dict) -> list[tuple]:
+        x = np.array(row["embedding"], float).reshape(8, 8)
+        wide = np.concatenate([x, np.zeros((8, 1))], axis=1)  # nine tokens, so the axes differ
+        layouts = [align.logits_time_major(y, 9) for y in (wide, wide.T, wide[None], wide.T[None])]
+        if any(y.shape != (8, 9) or not (y == wide).all() for y in layouts):
+            raise ValueError("a layout was not told apart")
+        turned = align.logits_time_major(np.ascontiguousarray(wide[:, :8].T)[None], 8)  # square: taken as it is
+        return [(row["vec_id"], k, float(layouts[1][k, 0]), float(turned[k, 0])) for k in range(8)]
+
+    return align.by_row(table(spark, d, "embeddings").select("vec_id", "embedding"), run, "vec_id long, frame long, first double, turned double")
 
 
 @query("prj_modelinfo", "SELECT s_suppkey, 'm-' || s_suppkey AS model, 'seq2seq' AS arch FROM supplier")
@@ -82,67 +88,64 @@ def aln_gate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("aln_groupdp")
 def aln_groupdp(spark: SparkSession, d: str) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ref, ref_ms = _timed(pdf["hyp"][0], 100)
+    def run(row: dict) -> list[tuple]:
+        ref, ref_ms = _timed(row["hyp"], 100)
         hyp = [a + b for a, b in zip(ref[::2], [*ref[1::2], ""], strict=False)]
-        got = align.match_groups(hyp, [(k * 200, k * 200 + 190) for k in range(len(hyp))], ref, ref_ms)
-        return pd.DataFrame([(int(pdf["stream_id"][0]), *g) for g in got], columns=["stream_id", "hyp_from", "hyp_to", "ref_from", "ref_to"])
+        return [(row["stream_id"], *g) for g in align.match_groups(hyp, [(k * 200, k * 200 + 190) for k in range(len(hyp))], ref, ref_ms)]
 
-    return align.by_stream(_turn_pairs(spark, d), run, "stream_id long, hyp_from long, hyp_to long, ref_from long, ref_to long")
+    return align.by_row(_turn_pairs(spark, d), run, "stream_id long, hyp_from long, hyp_to long, ref_from long, ref_to long")
 
 
-@query("mth_power")
+@query("mth_power", """WITH x AS (SELECT vec_id, f AS frame, k, sum(embedding[f * 8 + t - 7]::DOUBLE * (0.5 - 0.5 * cos(2 * pi() * t / 15)) * cos(2 * pi() * k * t / 16)) AS re, sum(embedding[f * 8 + t - 7]::DOUBLE * (0.5 - 0.5 * cos(2 * pi() * t / 15)) * sin(2 * pi() * k * t / 16)) AS im
+FROM embeddings, range(8) a(f), range(9) b(k), range(16) c(t) WHERE f * 8 + t - 7 BETWEEN 1 AND 64 GROUP BY ALL)
+SELECT vec_id, frame, round(sum(re * re + im * im), 5) AS energy FROM x GROUP BY ALL""")
 def mth_power(spark: SparkSession, d: str) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = frontend.power_spectra(frontend.dither(np.array(pdf["embedding"][0], float), 0.0), 16, 8, 16)
-        return pd.DataFrame({"vec_id": int(pdf["vec_id"][0]), "frame": range(len(p)), "energy": p.sum(1).round(6)})
+    def energy(x: np.ndarray) -> list[np.ndarray]:
+        return [frontend.power_spectra(x, 16, 8, 16).sum(2)]
 
-    return align.by_stream(table(spark, d, "embeddings"), run, "vec_id long, frame long, energy double", "vec_id")
+    return align.by_batch(table(spark, d, "embeddings").select("vec_id", "embedding"), energy, "vec_id", "embedding", "vec_id long, frame long, energy double").withColumn("energy", F.round("energy", 5))
 
 
-@query("inf_target")
+@query("inf_target", f"""WITH {_PAIRS}, u AS (SELECT stream_id, unnest(h) AS word, unnest(range(len(h))) AS k FROM f)
+SELECT stream_id, word, (sum(length(word)) OVER w - length(word))::BIGINT AS token_start, (sum(length(word)) OVER w)::BIGINT AS token_end FROM u WINDOW w AS (PARTITION BY stream_id ORDER BY k)""")
 def inf_target(spark: SparkSession, d: str) -> DataFrame:
     """Normalised words of a text with the numbers of their first and last token (characters as tokens)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ws = [w for w in _normal(pdf["hyp"][0]) if w]
-        ends = np.cumsum([len(w) for w in ws], dtype=np.int64)
-        return pd.DataFrame({"stream_id": int(pdf["stream_id"][0]), "word": ws, "token_start": ends - [len(w) for w in ws] if ws else [], "token_end": ends})
-
-    return align.by_stream(_turn_pairs(spark, d), run, "stream_id long, word string, token_start long, token_end long")
+    def run(row: dict) -> list[tuple]:
+        ws = [w for w in _normal(row["hyp"]) if w]
+        ends = np.cumsum([len(w) for w in ws], dtype=np.int64).tolist()
+        return [(row["stream_id"], w, e - len(w), e) for w, e in zip(ws, ends, strict=True)]
 
+    return align.by_row(_turn_pairs(spark, d), run, "stream_id long, word string, token_start long, token_end long")
 
-_SPAN = "stream_id long, pos long, start_ms long, end_ms long"
 
-
-def _rows(pdf: pd.DataFrame, spans: list) -> pd.DataFrame:
-    found = [(int(pdf["stream_id"][0]), k, *s) for k, s in enumerate(spans) if s is not None]
-    return pd.DataFrame(found, columns=["stream_id", "pos", "start_ms", "end_ms"])
+def _rows(row: dict, spans: list) -> list[tuple]:
+    return [(row["stream_id"], k, *x) for k, x in enumerate(spans) if x is not None]
 
 
 @query("tim_charbnd", "SELECT n_nationkey, 100 + 600 * 2 // len(n_name) AS inside, 700 AS at_end, 750 AS at_start FROM nation")
 def tim_charbnd(spark: SparkSession, d: str) -> DataFrame:
     """Times at a character of a name, and on the boundary to the word after it."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ms, lengths = [(100, 700), (750, 900)], [len(pdf["n_name"][0]), 4]
-        inside, edge = align.boundary_time(ms, lengths, 2, True), lengths[0]
-        return pd.DataFrame({"n_nationkey": pdf["n_nationkey"], "inside": [inside], "at_end": [align.boundary_time(ms, lengths, edge, False)], "at_start": [align.boundary_time(ms, lengths, edge, True)]})
+    def run(row: dict) -> list[tuple]:
+        ms, lengths = [(100, 700), (750, 900)], [len(row["n_name"]), 4]
+        return [(row["n_nationkey"], align.boundary_time(ms, lengths, 2, True), align.boundary_time(ms, lengths, lengths[0], False), align.boundary_time(ms, lengths, lengths[0], True))]
 
-    return align.by_stream(table(spark, d, "nation").select("n_nationkey", "n_name"), run, "n_nationkey int, inside long, at_end long, at_start long", "n_nationkey")
+    return align.by_row(table(spark, d, "nation").select("n_nationkey", "n_name"), run, "n_nationkey int, inside long, at_end long, at_start long")
 
 
-@query("aln_mapgroup")
+@query("aln_mapgroup", f"""WITH {_PAIRS}, x AS (SELECT stream_id, k, len(h) * 100 AS d, length(h[2 * k + 1]) AS a, length(h[2 * k + 1]) + length(h[2 * k + 2]) AS l FROM (SELECT *, unnest(range(len(h) // 2)) AS k FROM f))
+SELECT stream_id, 2 * k AS pos, greatest(200 * k - 20, 0) AS start_ms, least(200 * k + 190 * a // l + 5, d) AS end_ms FROM x UNION ALL SELECT stream_id, 2 * k + 1, greatest(200 * k + 190 * a // l - 20, 0), least(200 * k + 195, d) FROM x""")
 def aln_mapgroup(spark: SparkSession, d: str) -> DataFrame:
     """Each turn's words two by two, heard as one."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ws, out = [w for w in _normal(pdf["hyp"][0]) if w], []
+    def run(row: dict) -> list[tuple]:
+        ws, out = [w for w in _normal(row["hyp"]) if w], []
         for k in range(0, len(ws) - 1, 2):
             out += align.map_group([ws[k] + ws[k + 1]], [(k * 100, k * 100 + 190)], ws[k : k + 2], len(ws) * 100, align.AnchorConfig(start_offset_ms=-20, end_offset_ms=5))
-        return _rows(pdf, out)
+        return _rows(row, out)
 
-    return align.by_stream(_turn_pairs(spark, d), run, _SPAN)
+    return align.by_row(_turn_pairs(spark, d), run, _SPANS)
 
 
 @query("aln_recon", """WITH w AS (SELECT conv_id * 1000 + turn AS stream_id, len(list_filter(string_split_regex(ref, '\\s+'), lambda x: x <> '')) AS n FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nx, text AS ref FROM conversations) WHERE nx IS NOT NULL)
@@ -150,30 +153,34 @@ SELECT stream_id, k AS pos, CASE WHEN k = 0 THEN 0 ELSE k * 100 + 5 END AS start
 def aln_recon(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours that overlap by 10 ms meet in the middle."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(pdf["hyp"][0].split())
-        return _rows(pdf, align.reconcile([(k * 100, k * 100 + 110) for k in range(n)]))
+    def run(row: dict) -> list[tuple]:
+        return _rows(row, align.reconcile([(k * 100, k * 100 + 110) for k in range(len(row["hyp"].split()))]))
 
-    return align.by_stream(_turn_pairs(spark, d), run, _SPAN)
+    return align.by_row(_turn_pairs(spark, d), run, _SPANS)
 
 
-@query("aln_fill")
+@query("aln_fill", f"""WITH {_PAIRS}, x AS (SELECT stream_id, k, len(h) * 100 + 100 AS d, (len(h) - 1) // 3 * 300 AS a FROM (SELECT stream_id, h, unnest(range(len(h))) AS k FROM n))
+SELECT stream_id, k AS pos, CASE WHEN k * 100 > a THEN a + 110 + (d - a - 110) * (k * 100 - a - 90) // (d - a - 90) ELSE k * 100 + 20 END AS start_ms,
+CASE WHEN k * 100 > a THEN a + 110 + (d - a - 110) * (k * 100 - a) // (d - a - 90) ELSE k * 100 + 110 END AS end_ms FROM x""")
 def aln_fill(spark: SparkSession, d: str) -> DataFrame:
     """Every third word anchored 20 ms late, the others filled in."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ref, ms = _timed(pdf["hyp"][0], 100)
+    def run(row: dict) -> list[tuple]:
+        ref, ms = _timed(row["hyp"], 100)
         anchors = [(s + 20, e + 20) if k % 3 == 0 else None for k, (s, e) in enumerate(ms)]
-        return _rows(pdf, align.fill(anchors, ref, ms, len(ref) * 100 + 100) if ref else [])
+        return _rows(row, align.fill(anchors, ref, ms, len(ref) * 100 + 100) if ref else [])
 
-    return align.by_stream(_turn_pairs(spark, d), run, _SPAN)
+    return align.by_row(_turn_pairs(spark, d), run, _SPANS)
 
 
-@query("mth_dither", "SELECT vec_id, true AS small FROM embeddings")
+@query("mth_dither", "SELECT vec_id, i, embedding[i + 1]::DOUBLE AS sample, true AS small, true AS repeated FROM embeddings, range(64) t(i)")
 def mth_dither(spark: SparkSession, d: str) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf["embedding"][0], float)
-        noise = frontend.dither(x, 1e-5) - x
-        return pd.DataFrame({"vec_id": pdf["vec_id"], "small": [bool((np.abs(noise) <= 1.01e-5).all() and np.abs(noise).max() > 0)]})
+    """Samples with the noise taken off again; the noise is small, never the same twice, and depends on the length alone."""
+
+    def noise(x: np.ndarray) -> list[np.ndarray]:
+        n = frontend.dither(x, 1e-5) - x
+        small = (np.abs(n) <= 1.01e-5) & (np.abs(n) > 0)
+        return [frontend.dither(x, 1e-5) - frontend.dither_noise(x.shape[1], 1e-5), small, np.abs(n - n[:1]) < 1e-12]
 
-    return align.by_stream(table(spark, d, "embeddings"), run, "vec_id long, small boolean", "vec_id")
+    found = align.by_batch(table(spark, d, "embeddings").select("vec_id", "embedding"), noise, "vec_id", "embedding", "vec_id long, i long, sample double, small boolean, repeated boolean")
+    return found.withColumn("sample", F.col("sample").cast("float").cast("double"))
