@@ -43,12 +43,21 @@ def rules() -> list[Rule]:
 _BREAK = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
+def gate_word(rule: Rule) -> str:
+    """What the texts of a rule have in common that is rarest: "licen" where the pattern always has it, else the keyword."""
+    depth, kept = 0, ""
+    for c in rule.pattern:
+        depth += (c == "(") - (c == ")")
+        kept += c if depth == 0 else "|"
+    return "licen" if "licen" in kept else rule.keyword
+
+
 def gate(text: Column, table_: list[Rule]) -> Column:
-    """Whether any keyword of the rules, or of the base phrases, occurs in a text as it is: necessary for any detection.
+    """Whether the gate word of any rule, or of the base phrases, occurs in a text as it is: necessary for any detection.
 
     A keyword lies within one word, so how words are set apart does not matter.
     """
-    keywords = sorted({r.keyword for r in table_} | {"license", "cc"})
+    keywords = sorted({gate_word(r) for r in table_} | {"licen", "cc"})
     long_ = F.array(*(F.lit(k) for k in keywords if len(k) > SHORT))
     short = "|".join(k for k in keywords if len(k) <= SHORT)
     return let(F.lower(text), lambda low: low.rlike(f"(?<![0-9a-z\\x80-\\uFFFF])(?:{short})") | F.exists(long_, lambda k: F.contains(low, k)))
