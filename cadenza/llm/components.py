@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,46 @@ from cadenza.llm.session import cut
 
 FEW = 256  # a node of no more edges than this is never hot
 HUBS = 500_000  # most nodes that are broadcast
+CHUNK = 500_000  # edges that one task contracts at a time
+
+
+def local_roots(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of ``m`` nodes the smallest that it is connected with by edges (i, j)."""
+    root = np.arange(m)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def contracted(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(a, b): ``edges`` with those of each chunk of a task replaced by stars around the smallest node of each of the chunk's components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+                nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+                root = local_roots(len(nodes), at[: len(a)], at[len(a) :])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["a", "b"])
+
+        for batch in batches:
+            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")))
+            if sum(len(a) for a, _ in held) >= chunk:
+                yield from flush()
+                held = []
+        yield from flush()
+
+    return edges.mapInArrow(run, "a long, b long")
 
 
 def with_lowest(rows: DataFrame, most: int) -> DataFrame:
@@ -23,13 +67,17 @@ def with_lowest(rows: DataFrame, most: int) -> DataFrame:
     return rows.join(hubs, "u").select("u", "v", "m").unionByName(others.select("u", "v", "m"))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, contract: bool = False) -> DataFrame:
     """(node, root) for every node of ``edges`` (a long, b long): root is the smallest node reachable.
 
     Every step is a join or an aggregate over edges; nothing is gathered on the driver but two
     sums. Loops and repeated edges are allowed; an empty table gives no rows. A node with very many
-    edges is never the key of one task (``with_lowest``).
+    edges is never the key of one task (``with_lowest``). With ``contract`` tasks first contract what
+    they hold, in chunks of bounded size and with NumPy; the steps then join what lies in different chunks.
     """
+    if contract:
+        edges = cut(edges)
+        edges = cut(contracted(edges.coalesce(max(1, edges.count() // CHUNK))))
     pairs = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     loops = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     n, before = pairs.count(), None

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.components import connected_components
+from cadenza.llm.components import connected_components, local_roots
 from cadenza.llm.exchange import LEAST_BLOCKS, in_blocks, number_of_blocks, received, sent, totals
 from cadenza.llm.session import broadcast_up_to, cut, small_batches, table
 from cadenza.llm.textkit import BLANK_SEPARATED, Words, set_id, shingle_sets, text_slices
@@ -226,21 +226,6 @@ def overlap_links(sets: list[np.ndarray], rows: int = 512) -> Iterator[tuple[np.
         yield i[ok] + a, j[ok]
 
 
-def _local_roots(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    root = np.arange(m)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def links(docs: DataFrame, ids: DataFrame, edges: DataFrame, block: int = BLOCK_SHINGLES, alone: int = ALONE) -> tuple[DataFrame, DataFrame]:
     """Exact links within candidate groups: ((node, root) stars of linked sets, (node, n_links)).
 
@@ -248,7 +233,7 @@ def links(docs: DataFrame, ids: DataFrame, edges: DataFrame, block: int = BLOCK_
     blocks, each pair of which is a cell of the product; there are about an eighth as many cells as sets,
     so a cell stays small, and none holds more than two blocks.
     """
-    group = connected_components(edges)
+    group = connected_components(edges, contract=True)
     members = ids.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies"))
     # the smallest id may be null only if all are; such a set keeps its text by the node itself
     chosen = cut(group.join(members, "node").select("node", F.col("root").alias("grp"), "doc_id", "n", "copies"))
@@ -297,7 +282,7 @@ def links(docs: DataFrame, ids: DataFrame, edges: DataFrame, block: int = BLOCK_
             i, j = np.concatenate(ii), np.concatenate(jj)
             if not len(i):
                 return None
-            root = _local_roots(len(at), i, j)
+            root = local_roots(len(at), i, j)
             n = np.bincount(i, weight_[j], len(at)) + np.bincount(j, weight_[i], len(at))
             hit = np.flatnonzero(n)
             return pa.RecordBatch.from_arrays([pa.array(ids_[hit]), pa.array(ids_[root[hit]]), pa.array(n[hit].astype(np.int64))], ["node", "root", "n"])
@@ -330,9 +315,9 @@ def jaccard_components(docs: DataFrame, longest: int = LIST, block: int = BLOCK_
     """
     small_batches(docs.sparkSession)
     ids = cut(shingle_ids(docs))
-    edges = cut(candidate_edges(postings(docs, number_of_blocks(docs, least=least_blocks)), longest))
+    edges = candidate_edges(postings(docs, number_of_blocks(docs, least=least_blocks)), longest)
     stars, others = links(docs, ids, edges, block, alone)
-    root = connected_components(stars)
+    root = connected_components(stars, contract=True)
     nodes = ids.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     nodes = nodes.join(root, "node", "left").join(others, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = nodes.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -439,7 +439,13 @@ def test_components_with_hubs(spark, monkeypatch):
         root[hi] = lo
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    monkeypatch.setattr(c, "CHUNK", 20)
+    table = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    assert {r.node: r.root for r in connected_components(table, contract=True).collect()} == got
+    monkeypatch.setattr(c, "CHUNK", 1000)
+    assert {r.node: r.root for r in connected_components(table, contract=True).collect()} == got
+    for contract in (False, True):
+        assert connected_components(spark.createDataFrame([], "a long, b long"), contract).count() == 0
 
 
 def test_license_scan(docs, empty):
