@@ -6,6 +6,7 @@ No model is part of the engine. A ``Backend`` is built once per Python worker an
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from typing import Protocol
 
@@ -27,9 +28,35 @@ class LevelStub:
         return " ".join(w for w, _, _ in words), words
 
 
+class Pool:
+    """At most ``size`` backends of a Python worker, lent one at a time.
+
+    A backend comes back after its use. One whose use failed is given up, and its place is free for a new
+    one, so an error neither blocks the pool nor leaves a broken backend in it.
+    """
+
+    def __init__(self, build: Callable[[], Backend], size: int = 1) -> None:
+        self.build, self.size, self.free, self.lent = build, size, [], 0
+
+    def available(self) -> int:
+        return self.size - self.lent
+
+    @contextmanager
+    def lease(self) -> Iterator[Backend]:
+        if self.lent >= self.size:
+            raise RuntimeError("no backend is free")
+        self.lent += 1
+        try:
+            backend = self.free.pop() if self.free else self.build()
+            yield backend
+            self.free.append(backend)
+        finally:
+            self.lent -= 1
+
+
 @lru_cache(maxsize=4)
-def _held(build: Callable[[], Backend]) -> Backend:
-    return build()
+def _pool(build: Callable[[], Backend]) -> Pool:
+    return Pool(build)
 
 
 def transcribe(windows: DataFrame, build: Callable[[], Backend], samples: str = "window") -> DataFrame:
@@ -38,9 +65,9 @@ def transcribe(windows: DataFrame, build: Callable[[], Backend], samples: str =
     kinds = dict(windows.dtypes)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        backend = _held(build)
         for pdf in parts:
-            got = [backend.transcribe(np.asarray(x, np.float32)) for x in pdf[samples]]
+            with _pool(build).lease() as backend:
+                got = [backend.transcribe(np.asarray(x, np.float32)) for x in pdf[samples]]
             yield pdf[keep].assign(text=[t for t, _ in got], words=[[{"word": w, "start_ms": s, "end_ms": e} for w, s, e in ws] for _, ws in got])
 
     return windows.mapInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "text string", "words array<struct<word:string,start_ms:long,end_ms:long>>"]))

@@ -21,7 +21,7 @@ def collapse(frames: DataFrame, blank: int) -> DataFrame:
 
 def words_of_runs(runs: DataFrame, pieces: DataFrame, duration_ms: int, hop: int = 160, subsample: int = 8, rate: int = 16_000) -> DataFrame:
     """(stream_id, pos, word, start_ms, end_ms): token runs put together at word-start pieces; words that normalise to nothing go."""
-    rows = runs.join(F.broadcast(pieces), "token").withColumn("text", piece_text(F.col("piece"))).filter("text is not null")
+    rows = runs.join(pieces, "token").withColumn("text", piece_text(F.col("piece"))).filter("text is not null")
     w = Window.partitionBy("stream_id").orderBy("run")
     rows = rows.withColumn("pos", F.sum(starts_word(F.col("piece")).cast("long")).over(w))
     grouped = rows.groupBy("stream_id", "pos").agg(F.array_sort(F.collect_list(F.struct("run", "text"))).alias("t"), F.min("first").alias("f"), F.max("last").alias("l"))

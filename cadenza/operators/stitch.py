@@ -38,16 +38,26 @@ def commit(rows: DataFrame, epsilon: int = EPSILON_MS) -> DataFrame:
     grouped = usable.groupBy("stream_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
     def step(acc: Column, x: Column) -> Column:
-        first = F.size(acc["out"]) == 0
+        first = acc["n"] == 0
         skip = ~first & (x["stitch_end_ms"] <= acc["stitch"] + epsilon)
         start = F.when(first, x["start_ms"]).otherwise(F.greatest(x["start_ms"], acc["end"]))
         end = F.when(first, x["end_ms"]).otherwise(F.greatest(x["end_ms"], start + 1))
-        word = F.struct(F.size(acc["out"]).cast("long").alias("index"), start.alias("start_ms"), end.alias("end_ms"), x["word"].alias("word"), x["stitch_start_ms"].alias("stitch_start_ms"), x["stitch_end_ms"].alias("stitch_end_ms"))
-        grown = F.struct(F.concat(acc["out"], F.array(word)).alias("out"), x["stitch_end_ms"].alias("stitch"), end.alias("end"))
+        word = F.struct(acc["n"].alias("index"), start.alias("start_ms"), end.alias("end_ms"), x["word"].alias("word"), x["stitch_start_ms"].alias("stitch_start_ms"), x["stitch_end_ms"].alias("stitch_end_ms"))
+        grown = F.struct(F.concat(acc["out"], F.array(word)).alias("out"), (acc["n"] + 1).alias("n"), x["stitch_end_ms"].alias("stitch"), end.alias("end"))
         return F.when(skip, acc).otherwise(grown)
 
-    zero = F.struct(F.array().cast(f"array<{_WORD}>").alias("out"), F.lit(0).cast("long").alias("stitch"), F.lit(0).cast("long").alias("end"))
-    done = grouped.select("stream_id", F.explode(F.aggregate("items", zero, step)["out"]).alias("w"))
+    # in blocks of about the root of a stream's length: a fold copies what it holds at each step
+    width = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size("items"))).cast("int"))
+    blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size("items"), F.lit(1)), width), lambda at: F.slice("items", at, width))
+    none, nowhere = F.array().cast(f"array<{_WORD}>"), F.lit(0).cast("long")
+    zero = F.struct(F.array().cast(f"array<array<{_WORD}>>").alias("outs"), nowhere.alias("n"), nowhere.alias("stitch"), nowhere.alias("end"))
+
+    def block(acc: Column, xs: Column) -> Column:
+        done = F.aggregate(xs, F.struct(none.alias("out"), acc["n"].alias("n"), acc["stitch"].alias("stitch"), acc["end"].alias("end")), step)
+        grown = lambda d: F.struct(F.concat(acc["outs"], F.array(d["out"])).alias("outs"), d["n"].alias("n"), d["stitch"].alias("stitch"), d["end"].alias("end"))
+        return F.get(F.transform(F.array(done), grown), F.lit(0))
+
+    done = grouped.select("stream_id", F.explode(F.flatten(F.aggregate(blocks, zero, block)["outs"])).alias("w"))
     return done.select("stream_id", "w.*")
 
 
@@ -73,14 +83,22 @@ def merge_fragments(rows: DataFrame, text: str = "text", order: str = "seq") ->
     parts = rows.groupBy("stream_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: F.filter(F.split(x[text], r"\s+"), lambda w: w != "")).alias("parts"))
 
     def step(acc: Column, ws: Column) -> Column:
-        low_a, low_b = F.transform(acc, normalize_edges), F.transform(ws, normalize_edges)
-        sizes = F.sequence(F.lit(LONGEST_OVERLAP), F.lit(SHORTEST_OVERLAP), F.lit(-1))
-        meets = lambda k: (k <= F.size(acc)) & (k <= F.size(ws)) & (F.slice(low_a, F.size(acc) - k + 1, k) == F.slice(low_b, F.lit(1), k))
-        fits = F.filter(F.filter(sizes, lambda k: (k <= F.size(acc)) & (k <= F.size(ws))), meets)
-        k = F.coalesce(F.get(fits, F.lit(0)), F.lit(0))
-        return F.concat(acc, F.slice(ws, k + 1, F.greatest(F.size(ws) - k, F.lit(0))))
-
-    return parts.select("stream_id", F.array_join(F.aggregate("parts", F.array().cast("array<string>"), step), " ").alias("text"))
+        """Only the last words said can overlap, so those are kept beside the pieces."""
+        low_a, low_b = F.transform(acc["tail"], normalize_edges), F.transform(F.slice(ws, F.lit(1), F.lit(LONGEST_OVERLAP)), normalize_edges)
+        sizes = F.filter(F.sequence(F.lit(LONGEST_OVERLAP), F.lit(SHORTEST_OVERLAP), F.lit(-1)), lambda k: (k <= F.size(acc["tail"])) & (k <= F.size(ws)))
+
+        def grown(q: Column) -> Column:
+            meets = lambda k: F.slice(q["a"], F.size(q["a"]) - k + 1, k) == F.slice(q["b"], F.lit(1), k)
+            k = F.coalesce(F.get(F.filter(sizes, meets), F.lit(0)), F.lit(0))
+            new = F.slice(ws, k + 1, F.greatest(F.size(ws) - k, F.lit(0)))
+            both = F.concat(acc["tail"], F.slice(new, F.greatest(F.size(new) - LONGEST_OVERLAP, F.lit(0)) + 1, F.lit(LONGEST_OVERLAP)))
+            tail = F.slice(both, F.greatest(F.size(both) - LONGEST_OVERLAP, F.lit(0)) + 1, F.lit(LONGEST_OVERLAP))
+            return F.struct(F.when(F.size(new) > 0, tail).otherwise(acc["tail"]).alias("tail"), F.concat(acc["outs"], F.array(new)).alias("outs"))
+
+        return F.get(F.transform(F.array(F.struct(low_a.alias("a"), low_b.alias("b"))), grown), F.lit(0))
+
+    zero = F.struct(F.array().cast("array<string>").alias("tail"), F.array().cast("array<array<string>>").alias("outs"))
+    return parts.select("stream_id", F.array_join(F.flatten(F.aggregate("parts", zero, step)["outs"]), " ").alias("text"))
 
 
 def side_times(words: DataFrame, side: DataFrame) -> DataFrame:

@@ -26,10 +26,9 @@ def overlap_bounds(words: DataFrame, tokens: DataFrame, band: int = 64) -> DataF
     no nested loop arises.
     """
     w = words.withColumn("_band", F.explode(F.sequence(F.call_function("div", F.col("start"), F.lit(band)), F.call_function("div", F.greatest(F.col("end") - 1, F.col("start")), F.lit(band)))))
-    t = tokens.select("stream_id", "token", F.col("start").alias("_ts"), F.col("end").alias("_te"), F.explode(F.sequence(F.call_function("div", F.col("start"), F.lit(band)), F.call_function("div", F.greatest(F.col("end") - 1, F.col("start")), F.lit(band)))).alias("_band"))
-    found = w.join(t, ["stream_id", "_band"]).filter((F.col("_te") > F.col("start")) & (F.col("_ts") < F.col("end")))
-    bounds = found.groupBy("stream_id", "pos").agg(F.min("token").alias("first_token"), F.max("token").alias("last_token"))
-    return words.join(bounds, ["stream_id", "pos"], "left")
+    t = tokens.select(F.col("stream_id").alias("_stream"), "token", F.col("start").alias("_ts"), F.col("end").alias("_te"), F.explode(F.sequence(F.call_function("div", F.col("start"), F.lit(band)), F.call_function("div", F.greatest(F.col("end") - 1, F.col("start")), F.lit(band)))).alias("_there"))
+    meets = (w["stream_id"] == t["_stream"]) & (w["_band"] == t["_there"]) & (t["_te"] > w["start"]) & (t["_ts"] < w["end"])
+    return w.join(t, meets, "left").groupBy(*(w[c] for c in words.columns)).agg(F.min("token").alias("first_token"), F.max("token").alias("last_token"))
 
 
 def proportional_bounds(start, end, length, tokens):  # noqa: ANN001, ANN201
@@ -74,9 +73,10 @@ def words_from_frames(words: DataFrame, frames: DataFrame, n_frames: int, n_toke
     middle token. It ends where the next word starts, if that is later, else after its last frame.
     """
     keys = words.columns
-    spans = frames.select(F.col("stream_id").alias("_stream"), "token", "first", "last")
-    held = (F.col("stream_id") == F.col("_stream")) & (F.col("token") >= F.col("token_start")) & (F.col("token") < F.col("token_end"))
-    found = words.join(spans, held, "left").drop("_stream")
+    spans = frames.select(F.col("stream_id").alias("_stream"), F.col("token").alias("_there"), "first", "last")
+    held = F.when(F.col("token_end") > F.col("token_start"), F.sequence("token_start", F.col("token_end") - 1))
+    each = words.withColumn("_token", F.explode_outer(held))
+    found = each.join(spans, (each["stream_id"] == spans["_stream"]) & (each["_token"] == spans["_there"]), "left")
     grouped = found.groupBy(*keys).agg(F.min("first").alias("_f"), F.max("last").alias("_l"))
     middle = F.call_function("div", F.call_function("div", F.col("token_start") + F.col("token_end"), F.lit(2)) * n_frames, F.greatest(F.col(n_tokens), F.lit(1)))
     grouped = grouped.withColumn("_f", F.coalesce("_f", F.least(middle, F.lit(n_frames - 1)))).withColumn("_l", F.coalesce("_l", F.col("_f")))

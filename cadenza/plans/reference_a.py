@@ -82,10 +82,11 @@ def flt_stable(spark: SparkSession, d: str) -> DataFrame:
     return words(spark, d).filter(F.col("end_ms") - F.expr("pos div 10") * 3000 <= 2400).select("stream_id", "pos")
 
 
-@query("flt_jsonreq", "SELECT * FROM (VALUES ('application/json', true), ('Application/JSON; charset=utf-8', true), ('audio/wav', false), ('application/vnd.x+json', true), ('text/json', false)) t(content_type, rejected)")
+@query("flt_jsonreq", "SELECT event_id, event_id % 5 IN (0, 1, 3) AS rejected FROM events")
 def flt_jsonreq(spark: SparkSession, d: str) -> DataFrame:
-    rows = values(spark, "content_type string", ("application/json",), ("Application/JSON; charset=utf-8",), ("audio/wav",), ("application/vnd.x+json",), ("text/json",))
-    return rows.withColumn("rejected", S.is_json_request(F.col("content_type")))
+    """Events as requests of five content types, three of them JSON."""
+    kind = F.expr("CASE event_id % 5 WHEN 0 THEN 'application/json' WHEN 1 THEN concat('Application/JSON; charset=', event_type) WHEN 2 THEN 'audio/wav' WHEN 3 THEN concat('application/vnd.', event_type, '+json') ELSE 'text/json' END")
+    return table(spark, d, "events").select("event_id", S.is_json_request(kind).alias("rejected"))
 
 
 @query("flt_role", "SELECT s_suppkey, CASE WHEN w LIKE '%decode%' THEN 'processing' WHEN w LIKE '%response%' OR w LIKE '%gpu%' OR w LIKE '%worker%' THEN 'response' END AS role FROM (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'gpu-decoder-' WHEN 1 THEN 'gpu-' WHEN 2 THEN 'my-worker-' ELSE 'node-' END || s_suppkey AS w FROM supplier)")
@@ -118,15 +119,12 @@ def val_seq(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter(~(F.col("start_ms") < F.col("end_ms")) | (F.col("start_ms") < F.coalesce("before", F.lit(0)))).groupBy("stream_id").agg(F.count("*").alias("violations"))
 
 
-@query("val_anchor", f"WITH {WORDS}, x AS (SELECT *, lag(end_ms) OVER (PARTITION BY stream_id ORDER BY pos) AS before FROM w WHERE pos % 3 = 0) SELECT stream_id, bool_and(start_ms >= coalesce(before, 0)) AS ordered FROM x GROUP BY 1")
-def val_anchor(spark: SparkSession, d: str) -> DataFrame:
-    rows = words(spark, d).filter("pos % 3 = 0")
-    before = F.lag("end_ms").over(Window.partitionBy("stream_id").orderBy("pos"))
-    return rows.withColumn("ok", F.col("start_ms") >= F.coalesce(before, F.lit(0))).groupBy("stream_id").agg(F.bool_and("ok").alias("ordered"))
+_VAL_ANCHOR = f"WITH {WORDS}, x AS (SELECT *, lag(end_ms) OVER (PARTITION BY stream_id ORDER BY pos) AS before FROM w) SELECT stream_id, bool_and(start_ms >= coalesce(before, 0)) AS ordered FROM x GROUP BY 1"
 
 
-@query("val_anchor_whole", f"WITH {WORDS}, x AS (SELECT *, lag(end_ms) OVER (PARTITION BY stream_id ORDER BY pos) AS before FROM w) SELECT stream_id, bool_and(start_ms >= coalesce(before, 0)) AS ordered FROM x GROUP BY 1")
-def val_anchor_whole(spark: SparkSession, d: str) -> DataFrame:
+@query("val_anchor", _VAL_ANCHOR)
+@query("val_anchor_whole", _VAL_ANCHOR)
+def val_anchor(spark: SparkSession, d: str) -> DataFrame:
     before = F.lag("end_ms").over(Window.partitionBy("stream_id").orderBy("pos"))
     return words(spark, d).withColumn("ok", F.col("start_ms") >= F.coalesce(before, F.lit(0))).groupBy("stream_id").agg(F.bool_and("ok").alias("ordered"))
 
@@ -156,15 +154,28 @@ def stt_commit(spark: SparkSession, d: str) -> DataFrame:
     return stitch.commit(_windowed_words(spark, d)).select("stream_id", "index", "word", "start_ms", "end_ms")
 
 
-@query("stt_preview", f"""WITH {WORDS}, l AS (SELECT stream_id, max(CASE WHEN pos % 20 < 12 AND pos < 20 THEN pos END) AS p FROM w GROUP BY 1),
-c AS (SELECT w.stream_id, w.end_ms AS cut FROM w JOIN l ON w.stream_id = l.stream_id AND w.pos = l.p),
-u AS (SELECT stream_id, 0 AS part, pos, start_ms, end_ms FROM w WHERE pos < 12 UNION ALL SELECT w.stream_id, 1, pos, start_ms, end_ms FROM w LEFT JOIN c USING (stream_id) WHERE pos >= 10 AND pos < 24 AND (cut IS NULL OR end_ms > cut + 25)),
-n AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY part, pos) - 1 AS i FROM u), k AS (SELECT *, CASE WHEN i = 0 THEN end_ms ELSE greatest(end_ms, start_ms + 1) - i END AS k FROM n),
-e AS (SELECT *, i + max(k) OVER (PARTITION BY stream_id ORDER BY i) AS e FROM k)
-SELECT stream_id, pos, greatest(start_ms, coalesce(lag(e) OVER (PARTITION BY stream_id ORDER BY i), start_ms)) AS start_ms, e AS end_ms FROM e""")
+#: Words in consecutive pieces of ``size``, each a stream of its own: b the piece, pos the place in it.
+_PIECES = "v AS (SELECT stream_id, pos // {size} AS b, pos % {size} AS pos, word, start_ms, end_ms FROM w)"
+
+
+def _pieces(spark: SparkSession, d: str, size: int) -> DataFrame:
+    return words(spark, d).withColumn("stream_id", F.struct("stream_id", F.expr(f"pos div {size}").alias("b"))).withColumn("pos", F.col("pos") % size)
+
+
+def _whole(rows: DataFrame, size: int) -> DataFrame:
+    return rows.withColumn("pos", F.col("stream_id.b") * size + F.col("pos")).withColumn("stream_id", F.col("stream_id.stream_id"))
+
+
+@query("stt_preview", f"""WITH {WORDS}, {_PIECES.format(size=24)}, l AS (SELECT stream_id, b, max(CASE WHEN pos < 12 THEN pos END) AS p FROM v GROUP BY 1, 2),
+c AS (SELECT v.stream_id, v.b, v.end_ms AS cut FROM v JOIN l ON v.stream_id = l.stream_id AND v.b = l.b AND v.pos = l.p),
+u AS (SELECT stream_id, b, 0 AS part, pos, start_ms, end_ms FROM v WHERE pos < 12 UNION ALL SELECT v.stream_id, v.b, 1, pos, start_ms, end_ms FROM v LEFT JOIN c USING (stream_id, b) WHERE pos >= 10 AND (cut IS NULL OR end_ms > cut + 25)),
+n AS (SELECT *, row_number() OVER (PARTITION BY stream_id, b ORDER BY part, pos) - 1 AS i FROM u), k AS (SELECT *, CASE WHEN i = 0 THEN end_ms ELSE greatest(end_ms, start_ms + 1) - i END AS k FROM n),
+e AS (SELECT *, i + max(k) OVER (PARTITION BY stream_id, b ORDER BY i) AS e FROM k)
+SELECT stream_id, b * 24 + pos AS pos, greatest(start_ms, coalesce(lag(e) OVER (PARTITION BY stream_id, b ORDER BY i), start_ms)) AS start_ms, e AS end_ms FROM e""")
 def stt_preview(spark: SparkSession, d: str) -> DataFrame:
-    rows = words(spark, d).withColumn("stitch_end_ms", F.col("end_ms"))
-    return stitch.preview(rows.filter("pos < 12"), rows.filter("pos >= 10 and pos < 24")).select("stream_id", "pos", "start_ms", "end_ms")
+    """Of every 24 words 12 pending, and a preview from the eleventh on."""
+    rows = _pieces(spark, d, 24).withColumn("stitch_end_ms", F.col("end_ms"))
+    return _whole(stitch.preview(rows.filter("pos < 12"), rows.filter("pos >= 10")).select("stream_id", "pos", "start_ms", "end_ms"), 24)
 
 
 @query("stt_fragdedup", "WITH x AS (SELECT user_id, event_id, ts, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT user_id, event_id, event_type FROM x WHERE b IS NULL OR b <> event_type")
@@ -173,24 +184,26 @@ def stt_fragdedup(spark: SparkSession, d: str) -> DataFrame:
     return stitch.drop_repeated_fragments(rows, "event_type").select("user_id", "event_id", "event_type")
 
 
-@query("stt_fragmerge")
+_EDGES = r"translate(regexp_replace(x, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("stt_fragmerge", rf"""WITH p AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS ws FROM conversations),
+q AS (SELECT conv_id AS stream_id, list({{'w': ws, 'n': list_transform(ws, lambda x: {_EDGES})}} ORDER BY turn) AS ps FROM p GROUP BY 1),
+m AS (SELECT stream_id, list_reduce(ps, lambda a, b: {{'w': list_concat(a.w, b.w[1 + coalesce(list_filter(range(24, 1, -1), lambda k: k <= len(a.w) AND k <= len(b.w) AND a.n[len(a.n) - k + 1 : len(a.n)] = b.n[1 : k])[1], 0) : len(b.w)]),
+'n': list_concat(a.n, b.n[1 + coalesce(list_filter(range(24, 1, -1), lambda k: k <= len(a.w) AND k <= len(b.w) AND a.n[len(a.n) - k + 1 : len(a.n)] = b.n[1 : k])[1], 0) : len(b.n)])}}).w AS ws FROM q)
+SELECT stream_id, array_to_string(ws, ' ') AS text FROM m""")
 def stt_fragmerge(spark: SparkSession, d: str) -> DataFrame:
     return stitch.merge_fragments(table(spark, d, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), "text"))
 
 
-@query("stt_sidets", f"""WITH {WORDS}, o AS (SELECT * FROM w WHERE pos < 30), s AS (SELECT stream_id, pos, CASE WHEN stream_id % 3 = 0 AND pos = 1 THEN word || 'x' ELSE word END AS word, start_ms + 7 AS s, end_ms + 9 AS e FROM o),
-j AS (SELECT o.*, s.s, s.e, min(CASE WHEN o.word = s.word THEN 1 ELSE 0 END) OVER (PARTITION BY o.stream_id) = 1 AS applied FROM o JOIN s USING (stream_id, pos))
-SELECT stream_id, pos, word, CASE WHEN applied THEN s ELSE start_ms END AS start_ms, CASE WHEN applied THEN e ELSE end_ms END AS end_ms, start_ms AS stitch_start_ms, end_ms AS stitch_end_ms, applied FROM j""")
-def stt_sidets(spark: SparkSession, d: str) -> DataFrame:
-    own = words(spark, d).filter("pos < 30")
-    side = own.withColumn("word", F.expr("CASE WHEN stream_id % 3 = 0 AND pos = 1 THEN concat(word, 'x') ELSE word END")).withColumn("start_ms", F.col("start_ms") + 7).withColumn("end_ms", F.col("end_ms") + 9)
-    return stitch.side_times(own, side)
+_STT_SIDETS = f"""WITH {WORDS}, s AS (SELECT stream_id, pos, CASE WHEN stream_id % 3 = 0 AND pos = 1 THEN word || 'x' ELSE word END AS word, start_ms + 7 AS s, end_ms + 9 AS e FROM w),
+j AS (SELECT w.*, s.s, s.e, min(CASE WHEN w.word = s.word THEN 1 ELSE 0 END) OVER (PARTITION BY w.stream_id) = 1 AS applied FROM w JOIN s USING (stream_id, pos))
+SELECT stream_id, pos, word, CASE WHEN applied THEN s ELSE start_ms END AS start_ms, CASE WHEN applied THEN e ELSE end_ms END AS end_ms, start_ms AS stitch_start_ms, end_ms AS stitch_end_ms, applied FROM j"""
 
 
-@query("stt_sidets_whole", f"""WITH {WORDS}, s AS (SELECT stream_id, pos, CASE WHEN stream_id % 3 = 0 AND pos = 1 THEN word || 'x' ELSE word END AS word, start_ms + 7 AS s, end_ms + 9 AS e FROM w),
-j AS (SELECT w.*, s.s, s.e, min(CASE WHEN w.word = s.word THEN 1 ELSE 0 END) OVER (PARTITION BY w.stream_id) = 1 AS applied FROM w JOIN s USING (stream_id, pos))
-SELECT stream_id, pos, word, CASE WHEN applied THEN s ELSE start_ms END AS start_ms, CASE WHEN applied THEN e ELSE end_ms END AS end_ms, start_ms AS stitch_start_ms, end_ms AS stitch_end_ms, applied FROM j""")
-def stt_sidets_whole(spark: SparkSession, d: str) -> DataFrame:
+@query("stt_sidets", _STT_SIDETS)
+@query("stt_sidets_whole", _STT_SIDETS)
+def stt_sidets(spark: SparkSession, d: str) -> DataFrame:
     own = words(spark, d)
     side = own.withColumn("word", F.expr("CASE WHEN stream_id % 3 = 0 AND pos = 1 THEN concat(word, 'x') ELSE word END")).withColumn("start_ms", F.col("start_ms") + 7).withColumn("end_ms", F.col("end_ms") + 9)
     return stitch.side_times(own, side)
@@ -344,12 +357,13 @@ def tim_offset(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", S.offset_ms(F.col("user_id"), F.lit(-69), F.lit(50).cast("long")).alias("ms"))
 
 
-@query("tim_wordframes", f"""WITH {WORDS}, x AS (SELECT stream_id, pos, pos * 2 AS ts, pos * 2 + 2 AS te FROM w WHERE pos < 20), fr AS (SELECT stream_id, unnest(range(40)) AS token FROM (SELECT DISTINCT stream_id FROM x)),
-g AS (SELECT x.stream_id, x.pos, ts, te, min(token * 3 + 1) AS f, max(token * 3 + 2) AS l FROM x LEFT JOIN fr ON fr.stream_id = x.stream_id AND token >= ts AND token < te AND token % 4 < 3 AND x.pos % 5 <> 4 GROUP BY ALL),
+@query("tim_wordframes", f"""WITH {WORDS}, {_PIECES.format(size=20)}, x AS (SELECT stream_id, b, pos, pos * 2 AS ts, pos * 2 + 2 AS te FROM v), fr AS (SELECT stream_id, b, unnest(range(40)) AS token FROM (SELECT DISTINCT stream_id, b FROM x)),
+g AS (SELECT x.stream_id, x.b, x.pos, ts, te, min(token * 3 + 1) AS f, max(token * 3 + 2) AS l FROM x LEFT JOIN fr ON fr.stream_id = x.stream_id AND fr.b = x.b AND token >= ts AND token < te AND token % 4 < 3 AND x.pos % 5 <> 4 GROUP BY ALL),
 h AS (SELECT *, coalesce(f, least((ts + te) // 2 * 125 // 40, 124)) AS f2, coalesce(l, coalesce(f, least((ts + te) // 2 * 125 // 40, 124))) AS l2 FROM g),
-k AS (SELECT *, lead(f2) OVER (PARTITION BY stream_id ORDER BY pos) AS nx FROM h)
-SELECT stream_id, pos, least(greatest(CAST(round(f2 * 1280000::DOUBLE / 16000) AS BIGINT), 0), 10000) AS start_ms, least(greatest(CAST(round(CASE WHEN nx > f2 THEN nx ELSE l2 + 1 END * 1280000::DOUBLE / 16000) AS BIGINT), 0), 10000) AS end_ms FROM k""")
+k AS (SELECT *, lead(f2) OVER (PARTITION BY stream_id, b ORDER BY pos) AS nx FROM h)
+SELECT stream_id, b * 20 + pos AS pos, least(greatest(CAST(round(f2 * 1280000::DOUBLE / 16000) AS BIGINT), 0), 10000) AS start_ms, least(greatest(CAST(round(CASE WHEN nx > f2 THEN nx ELSE l2 + 1 END * 1280000::DOUBLE / 16000) AS BIGINT), 0), 10000) AS end_ms FROM k""")
 def tim_wordframes(spark: SparkSession, d: str) -> DataFrame:
-    ws = words(spark, d).filter("pos < 20").select("stream_id", "pos", (F.col("pos") * 2).alias("token_start"), (F.col("pos") * 2 + 2).alias("token_end"), F.lit(40).cast("long").alias("n_tokens"), F.lit(10_000).cast("long").alias("duration"))
+    """Every 20 words as the words of a window of 40 tokens and 125 frames."""
+    ws = _pieces(spark, d, 20).select("stream_id", "pos", (F.col("pos") * 2).alias("token_start"), (F.col("pos") * 2 + 2).alias("token_end"), F.lit(40).cast("long").alias("n_tokens"), F.lit(10_000).cast("long").alias("duration"))
     frames = ws.filter("pos % 5 <> 4").select("stream_id", F.explode(F.array("token_start", F.col("token_start") + 1)).alias("token")).filter("token % 4 < 3").select("stream_id", "token", (F.col("token") * 3 + 1).alias("first"), (F.col("token") * 3 + 2).alias("last"))
-    return timing.words_from_frames(ws, frames, 125, "n_tokens", "duration").select("stream_id", "pos", "start_ms", "end_ms")
+    return _whole(timing.words_from_frames(ws, frames, 125, "n_tokens", "duration").select("stream_id", "pos", "start_ms", "end_ms"), 20)

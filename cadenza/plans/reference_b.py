@@ -14,16 +14,17 @@ from cadenza.sources import sinks, streams
 
 
 # --- sources -------------------------------------------------------------------------------
-@query("src_valid", "SELECT * FROM (VALUES ('f32le', 16000, 1, true), ('f32le', 8000, 1, false), ('s16le', 16000, 1, false), ('f32le', 16000, 2, false)) t(encoding, rate, channels, ok)")
+@query("src_valid", "SELECT event_id, event_id % 3 <> 2 AND user_id % 2 = 0 AND event_id % 5 <> 0 AS ok FROM events")
 def src_valid(spark: SparkSession, d: str) -> DataFrame:
-    rows = values(spark, "encoding string, rate int, channels int", ("f32le", 16000, 1), ("f32le", 8000, 1), ("s16le", 16000, 1), ("f32le", 16000, 2))
-    return rows.withColumn("ok", streams.valid_head(F.col("encoding"), F.col("rate"), F.col("channels")))
+    """Heads by event: one third of another encoding, odd users at 8 kHz, every fifth in stereo."""
+    encoding, rate = F.when(F.col("event_id") % 3 == 2, "s16le").otherwise("f32le"), F.when(F.col("user_id") % 2 == 0, 16_000).otherwise(8000)
+    return table(spark, d, "events").select("event_id", streams.valid_head(encoding, rate, F.when(F.col("event_id") % 5 == 0, 2).otherwise(1)).alias("ok"))
 
 
-@query("src_f32le", "SELECT vec_id, 64 AS n, true AS same FROM embeddings")
+@query("src_f32le", "SELECT vec_id, i, embedding[i + 1]::DOUBLE AS sample FROM embeddings, range(64) t(i)")
 def src_f32le(spark: SparkSession, d: str) -> DataFrame:
-    rows = sinks.encode_samples(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding")
-    return streams.decode_samples(rows, "body").select("vec_id", F.size("samples").alias("n"), (F.col("samples") == F.col("embedding").cast("array<float>")).alias("same"))
+    rows = sinks.encode_samples(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding").drop("embedding")
+    return streams.decode_samples(rows, "body").select("vec_id", F.posexplode("samples").alias("i", "sample")).withColumn("sample", F.col("sample").cast("double"))
 
 
 @query("snk_f32le", "SELECT vec_id, 256 AS n_bytes FROM embeddings")
@@ -38,11 +39,10 @@ def src_codec(spark: SparkSession, d: str) -> DataFrame:
     return streams.decode_samples(rows, "body", encoding="linear16").select("o_orderkey", F.col("samples").cast("array<double>").alias("samples"))
 
 
-@query("src_jsonref", "SELECT conv_id::VARCHAR AS key, 0 AS pos, role AS word, turn::DOUBLE AS start, turn + 0.5::DOUBLE AS \"end\" FROM conversations WHERE turn = 0 UNION ALL SELECT conv_id::VARCHAR, 1, 'x', 1.5::DOUBLE, 2.5::DOUBLE FROM conversations WHERE turn = 0")
+@query("src_jsonref", "SELECT (conv_id * 1000 + turn)::VARCHAR AS key, 0 AS pos, role AS word, turn::DOUBLE AS start, turn + 0.5::DOUBLE AS \"end\" FROM conversations UNION ALL SELECT (conv_id * 1000 + turn)::VARCHAR, 1, 'x', 1.5::DOUBLE, 2.5::DOUBLE FROM conversations")
 def src_jsonref(spark: SparkSession, d: str) -> DataFrame:
-    first = table(spark, d, "conversations").filter("turn = 0")
-    text = F.format_string('{"%d":{"word_segments":[{"word":"%s","start":%d.0,"end":%d.5},{"word":"x","start":1.5,"end":2.5}]}}', "conv_id", "role", "turn", "turn")
-    return streams.alignments(first.select(text.alias("json")), "json")
+    text = F.format_string('{"%d":{"word_segments":[{"word":"%s","start":%d.0,"end":%d.5},{"word":"x","start":1.5,"end":2.5}]}}', F.col("conv_id") * 1000 + F.col("turn"), "role", "turn", "turn")
+    return streams.alignments(table(spark, d, "conversations").select(text.alias("json")), "json")
 
 
 @query("src_jsonkey", "SELECT event_id, props->>'k' AS value FROM events")
@@ -50,20 +50,16 @@ def src_jsonkey(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", streams.lookup(F.col("props"), "k").alias("value"))
 
 
-@query("src_opts", """SELECT * FROM (VALUES
-('a', true, true, true, true, true, 2, 1.5, 250, 8000, 'linear16', 'fr', 'nova'), ('b', false, false, false, false, false, 1, 0.8, NULL, NULL, NULL, NULL, NULL), ('c', false, false, false, false, false, 1, 0.8, NULL, NULL, NULL, NULL, NULL),
-('d', false, false, false, false, false, 3, 0.8, NULL, NULL, NULL, NULL, NULL), ('e', false, false, false, true, true, 1, 0.8, NULL, NULL, NULL, 'de', NULL))
-t(name, utterances, paragraphs, interim_results, timestamps, words, channels, utt_split, endpointing, sample_rate, encoding, language, model)""".replace("1.5,", "1.5::DOUBLE,").replace("0.8,", "0.8::DOUBLE,"))
+@query("src_opts", """SELECT page_id, page_id % 3 = 0 AS utterances, page_id % 5 = 1 AS paragraphs, page_id % 2 = 0 AS words, page_id % 4 + 1 AS channels, (page_id % 9) / 4::DOUBLE AS utt_split, page_id % 700 AS endpointing,
+CASE WHEN page_id % 7 = 0 THEN NULL ELSE 'l' || (page_id % 7) END AS language FROM pages""")
 def src_opts(spark: SparkSession, d: str) -> DataFrame:
-    rows = values(spark, "name string, uri string, headers map<string,string>",
-        ("a", "/v1/listen?utterances=true&paragraphs=1&utt_split=1.5&language=fr&model=nova&timestamps=true&interim_results=true&encoding=linear16&sample_rate=8000&channels=2&endpointing=250", {}),
-        ("b", "/v1/listen?timestamps=true", {"timestamps": "false"}),
-        ("c", "/v1/listen", {}),
-        ("d", "/v1/listen?channels=2&channels=3&channels=x&endpointing=-1&encoding=opus&words=true", {"words": "maybe"}),
-        ("e", "/v1/listen?timestamps=YES&language=de", {"words": "true"}),
-    )
-    o = rows.select("name", streams.listen_options(F.col("uri"), F.col("headers")).alias("o"))
-    return o.select("name", *(F.col(f"o.{c}").alias(c) for c in ("utterances", "paragraphs", "interim_results", "timestamps", "words", "channels", "utt_split", "endpointing", "sample_rate", "encoding", "language", "model")))
+    """A request for each page; a header gives words where the address does not, and of a repeated option the last counts."""
+    i = F.col("page_id").cast("string")
+    of = lambda k: (F.col("page_id") % k).cast("string")
+    flag = lambda c: F.when(c, "true").otherwise("false")
+    uri = F.concat(F.lit("/listen?n="), i, F.lit("&utterances="), flag(F.col("page_id") % 3 == 0), F.lit("&paragraphs="), flag(F.col("page_id") % 5 == 1), F.lit("&channels=9&channels="), (F.col("page_id") % 4 + 1).cast("string"), F.lit("&utt_split="), ((F.col("page_id") % 9) / 4).cast("string"), F.lit("&endpointing="), of(700), F.when(F.col("page_id") % 7 == 0, "").otherwise(F.concat(F.lit("&language=l"), of(7))))
+    o = table(spark, d, "pages").select("page_id", streams.listen_options(uri, F.create_map(F.lit("words"), flag(F.col("page_id") % 2 == 0))).alias("o"))
+    return o.select("page_id", *(F.col(f"o.{c}").alias(c) for c in ("utterances", "paragraphs", "words", "channels", "utt_split", "endpointing", "language")))
 
 
 @query("src_query_values", "SELECT page_id, k, regexp_extract(url, '[?&]' || k || '=([^&#]*)', 1) AS v FROM pages, (VALUES ('page'), ('ref')) t(k) WHERE regexp_matches(url, '[?&]' || k || '=')")
@@ -109,10 +105,11 @@ def snk_json(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.to_json(body).alias("body"))
 
 
-@query("snk_err", "SELECT * FROM (VALUES ('Request body was empty', 400, 400), ('no live worker capacity', 503, 500), ('boom', 500, 500), ('could not decode it', 400, 400)) t(message, front, worker)")
+@query("snk_err", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 400 WHEN 1 THEN 503 WHEN 2 THEN 500 ELSE 400 END AS front, CASE event_id % 4 WHEN 0 THEN 400 WHEN 1 THEN 500 WHEN 2 THEN 500 ELSE 400 END AS worker FROM events""")
 def snk_err(spark: SparkSession, d: str) -> DataFrame:
-    rows = values(spark, "message string", ("Request body was empty",), ("no live worker capacity",), ("boom",), ("could not decode it",))
-    return rows.select("message", S.error_status(F.col("message")).alias("front"), S.error_status(F.col("message"), False).alias("worker"))
+    """Events as failures: an empty body, no capacity, one of the event's own type, an undecodable body."""
+    message = F.expr("CASE event_id % 4 WHEN 0 THEN 'Request body was empty' WHEN 1 THEN 'no live worker capacity' WHEN 2 THEN concat('failed on ', event_type) ELSE 'could not decode it' END")
+    return table(spark, d, "events").select("event_id", S.error_status(message).alias("front"), S.error_status(message, False).alias("worker"))
 
 
 @query("snk_manifest", "SELECT p_partkey AS path, p_size AS size, 'upload' AS change FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, p_size + 1, 'delete' FROM part WHERE p_partkey % 3 = 0")
@@ -122,11 +119,11 @@ def snk_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- normalisers and strings -----------------------------------------------------------------
-_ODD = "SELECT word FROM (VALUES ('Americans,'), ('don''t'), ('Cohere’s'), ('CAFÉ'), ('--x!?')) t(word)"
+_ODD = "SELECT word FROM (VALUES ('Lisbon,'), ('don''t'), ('o’clock'), ('ÉTÉ'), ('--x!?')) t(word)"
 
 
 def _odd(spark: SparkSession, d: str) -> DataFrame:
-    return words(spark, d).select("word").distinct().unionByName(values(spark, "word string", ("Americans,",), ("don't",), ("Cohere’s",), ("CAFÉ",), ("--x!?",)))
+    return words(spark, d).select("word").distinct().unionByName(values(spark, "word string", ("Lisbon,",), ("don't",), ("o’clock",), ("ÉTÉ",), ("--x!?",)))
 
 
 def _normaliser(name: str, sql: str, f) -> None:  # noqa: ANN001
@@ -196,16 +193,26 @@ def mth_mel(spark: SparkSession, d: str) -> DataFrame:
 
 @query("mth_norm", "SELECT label, round(avg(z), 6) + 0.0 AS mean, round(stddev_samp(z), 4) AS deviation FROM (SELECT label, (x - avg(x) OVER p) / (stddev_samp(x) OVER p + 1e-5) AS z FROM (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings) WINDOW p AS (PARTITION BY label)) GROUP BY 1")
 def mth_norm(spark: SparkSession, d: str) -> DataFrame:
+    """Each label's values less their mean over their deviation; the two come from one aggregate, joined back by label."""
     rows = table(spark, d, "embeddings").select("label", F.explode(F.col("embedding").cast("array<double>")).alias("x"))
-    p = Window.partitionBy("label")
-    z = (F.col("x") - F.avg("x").over(p)) / (F.coalesce(F.stddev_samp("x").over(p), F.lit(0.0)) + 1e-5)
-    return rows.withColumn("z", z).groupBy("label").agg((F.round(F.avg("z"), 6) + 0.0).alias("mean"), F.round(F.stddev_samp("z"), 4).alias("deviation"))
+    facts = rows.groupBy("label").agg(F.avg("x").alias("m"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("s"))
+    z = (F.col("x") - F.col("m")) / (F.col("s") + 1e-5)
+    return rows.join(facts, "label").withColumn("z", z).groupBy("label").agg((F.round(F.avg("z"), 6) + 0.0).alias("mean"), F.round(F.stddev_samp("z"), 4).alias("deviation"))
 
 
-@query("mth_logmel")
+#: Log-mel bands in SQL, as arrays of frames: embeddings of 64 samples, ``n`` points of which ``w`` have a window, every ``h``.
+_LOG_MEL = """s AS (SELECT vec_id, i, embedding[i]::DOUBLE - CASE WHEN i > 1 THEN {e}::DOUBLE * embedding[i - 1]::DOUBLE ELSE 0 END AS x FROM embeddings, range(1, 65) t(i)),
+d AS (SELECT vec_id, f, k, sum(x * wt * cos(2 * pi() * k * t / {n})) AS re, sum(x * wt * sin(2 * pi() * k * t / {n})) AS im FROM (SELECT vec_id, f, i - 1 + {n} // 2 - f * {h} AS t, x, 0.5 - 0.5 * cos(2 * pi() * (i - 1 + {n} // 2 - f * {h} - ({n} - {w}) // 2) / ({w} - 1)) AS wt
+FROM s, range(64 // {h}) a(f)), range({n} // 2 + 1) b(k) WHERE t >= ({n} - {w}) // 2 AND t < ({n} - {w}) // 2 + {w} GROUP BY ALL),
+g AS (SELECT i, CASE WHEN m < 15 THEN m * 200 / 3 ELSE 1000 * exp(ln(6.4::DOUBLE) * (m - 15) / 27) END AS hz FROM (SELECT i, i * (15 + 27 * ln(8::DOUBLE) / ln(6.4::DOUBLE)) / ({b} + 1) AS m FROM range({b} + 2) t(i))),
+c AS (SELECT x.i AS band, k, greatest(0, least((k * 16000 / {n} - x.hz) / (y.hz - x.hz), (z.hz - k * 16000 / {n}) / (z.hz - y.hz))) * 2 / (z.hz - x.hz) AS w FROM g x JOIN g y ON y.i = x.i + 1 JOIN g z ON z.i = x.i + 2, range({n} // 2 + 1) t(k)),
+l AS (SELECT vec_id, band, f, ln(sum(w * (re * re + im * im)) + {q}) AS v FROM d JOIN c USING (k) GROUP BY ALL)"""
+
+
+@query("mth_logmel", f"WITH {_LOG_MEL.format(e=0.97, n=16, h=8, w=16, b=8, q='pow(2::DOUBLE, -24)')} SELECT vec_id, band, list(round((v - m) / (dev + 1e-5), 4) + 0.0 ORDER BY f) AS values FROM (SELECT *, avg(v) OVER p AS m, stddev_samp(v) OVER p AS dev FROM l WINDOW p AS (PARTITION BY vec_id, band)) GROUP BY ALL")
 def mth_logmel(spark: SparkSession, d: str) -> DataFrame:
     rows = frontend.log_mel(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", mels=8, n_fft=16, hop=8, win=16)
-    return rows.select("vec_id", F.posexplode("features").alias("band", "values"))
+    return rows.select("vec_id", F.posexplode("features").alias("band", "values")).withColumn("values", F.transform("values", lambda v: F.round(v, 4) + 0.0))
 
 
 @query("mth_argmax1", "SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS token FROM embeddings")
@@ -303,7 +310,16 @@ def aln_charedit(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("n_regionkey").agg(F.sum(F.levenshtein("n_name", "r_name")).alias("edits"))
 
 
-@query("aln_viterbi")
+#: Forced alignment over 8 frames and the states blank, token, blank, ... of three tokens, a frame at a time; x, y: the state's path so far.
+_VITERBI = """RECURSIVE o AS (SELECT vec_id, embedding AS e, [7, label % 7, 7, 6, 7, 0, 7] AS s FROM embeddings),
+p AS (SELECT vec_id, 0 AS t, k, e[s[k] + 1]::DOUBLE AS v, [k] AS path FROM o, (VALUES (1), (2)) x(k) UNION ALL
+SELECT vec_id, t, k, v, path FROM (SELECT p.vec_id, p.t + 1 AS t, p.k + m AS k, p.v + e[(p.t + 1) * 8 + s[p.k + m] + 1]::DOUBLE AS v, list_append(p.path, p.k + m) AS path, row_number() OVER (PARTITION BY p.vec_id, p.k + m ORDER BY p.v DESC, m) AS best
+FROM p JOIN o USING (vec_id), (VALUES (0), (1), (2)) x(m) WHERE p.t < 7 AND p.k + m <= 7 AND (m < 2 OR ((p.k + m) % 2 = 0 AND s[p.k + m] <> s[p.k]))) WHERE best = 1),
+z AS (SELECT vec_id, path FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, k DESC) AS best FROM p WHERE t = 7 AND k >= 6) WHERE best = 1),
+y AS (SELECT vec_id, k, list_position(path, 2 * k + 2) - 1 AS first, 8 - list_position(list_reverse(path), 2 * k + 2) AS last FROM z, (VALUES (0), (1), (2)) x(k))"""
+
+
+@query("aln_viterbi", f"WITH {_VITERBI} SELECT vec_id, k, first, last FROM y")
 def aln_viterbi(spark: SparkSession, d: str) -> DataFrame:
     def run(row: dict) -> list[tuple]:
         spans = align.forced_align(np.array(row["embedding"], float).reshape(8, 8), [int(row["label"]) % 7, 6, 0], 7)
@@ -374,18 +390,14 @@ def agg_median(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_suppkey").agg(metrics.upper_median(F.col("l_partkey") - F.col("l_orderkey")).alias("median"))
 
 
-@query("agg_calib", f"""WITH {WORDS}, x AS (SELECT (pos * 7) % 23 - 5 AS s, (pos * 11) % 31 - 9 AS e FROM w WHERE pos < 50), m AS (SELECT -list_sort(list(s))[count(*) // 2 + 1] AS so, -list_sort(list(e))[count(*) // 2 + 1] AS eo FROM x),
+_CALIB = f"""WITH {WORDS}, x AS (SELECT (pos * 7) % 23 - 5 AS s, (pos * 11) % 31 - 9 AS e FROM w), m AS (SELECT -list_sort(list(s))[count(*) // 2 + 1] AS so, -list_sort(list(e))[count(*) // 2 + 1] AS eo FROM x),
 y AS (SELECT so, eo, abs(s + so) AS a, abs(e + eo) AS b, abs(CAST(trunc((s + so + e + eo) / 2) AS BIGINT)) AS c FROM x, m)
-SELECT so AS start_offset, eo AS end_offset, avg(a) AS start_mae, avg(b) AS end_mae, avg(c) AS mid_mae, {_RANK.format(c='c', p='0.5::DOUBLE')} AS mid_p50, {_RANK.format(c='c', p='0.95::DOUBLE')} AS mid_p95 FROM y GROUP BY ALL""")
-def agg_calib(spark: SparkSession, d: str) -> DataFrame:
-    rows = words(spark, d).filter("pos < 50").select((F.col("start_ms") + F.expr("(pos * 7) % 23 - 5")).alias("start"), (F.col("end_ms") + F.expr("(pos * 11) % 31 - 9")).alias("end"), F.col("start_ms").alias("ref_start"), F.col("end_ms").alias("ref_end"))
-    return metrics.calibration(rows)
+SELECT so AS start_offset, eo AS end_offset, avg(a) AS start_mae, avg(b) AS end_mae, avg(c) AS mid_mae, {_RANK.format(c='c', p='0.5::DOUBLE')} AS mid_p50, {_RANK.format(c='c', p='0.95::DOUBLE')} AS mid_p95 FROM y GROUP BY ALL"""
 
 
-@query("agg_calib_whole", f"""WITH {WORDS}, x AS (SELECT (pos * 7) % 23 - 5 AS s, (pos * 11) % 31 - 9 AS e FROM w), m AS (SELECT -list_sort(list(s))[count(*) // 2 + 1] AS so, -list_sort(list(e))[count(*) // 2 + 1] AS eo FROM x),
-y AS (SELECT so, eo, abs(s + so) AS a, abs(e + eo) AS b, abs(CAST(trunc((s + so + e + eo) / 2) AS BIGINT)) AS c FROM x, m)
-SELECT so AS start_offset, eo AS end_offset, avg(a) AS start_mae, avg(b) AS end_mae, avg(c) AS mid_mae, {_RANK.format(c='c', p='0.5::DOUBLE')} AS mid_p50, {_RANK.format(c='c', p='0.95::DOUBLE')} AS mid_p95 FROM y GROUP BY ALL""")
-def agg_calib_whole(spark: SparkSession, d: str) -> DataFrame:
+@query("agg_calib", _CALIB)
+@query("agg_calib_whole", _CALIB)
+def agg_calib(spark: SparkSession, d: str) -> DataFrame:
     rows = words(spark, d).select((F.col("start_ms") + F.expr("(pos * 7) % 23 - 5")).alias("start"), (F.col("end_ms") + F.expr("(pos * 11) % 31 - 9")).alias("end"), F.col("start_ms").alias("ref_start"), F.col("end_ms").alias("ref_end"))
     return metrics.calibration(rows)
 

@@ -7,22 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions import frontend
-from cadenza.operators import align, inference, windows
-from cadenza.plans.base import WORDS, query, table, words
-from cadenza.plans.reference_b import _PAIRS, _SPANS, _normal, _timed, _turn_pairs
+from cadenza.operators import align, inference, metrics, timing, windows
+from cadenza.plans.base import WORDS, query, table, values, words
+from cadenza.plans.reference_b import _PAIRS, _SPANS, _TOKENS, _VITERBI, _normal, _timed, _tokens, _turn_pairs
+from cadenza.plans.reference_d import live_windows
 from cadenza.streaming import session
 
 
 @query("stm_session")
 def stm_session(spark: SparkSession, d: str) -> DataFrame:
     """Words of documents as windows of 10 words every 8, then an end frame, through the session rules."""
-    rows = words(spark, d).withColumn("k", F.explode(F.filter(F.array(F.expr("pos div 8"), F.expr("pos div 8 - 1")), lambda k: k >= 0))).filter("pos - k * 8 < 10")
-    base = F.col("k") * 2400
-    item = F.struct("pos", "word", (F.col("start_ms") - base).alias("start_ms"), (F.col("end_ms") - base).alias("end_ms"))
-    found = rows.groupBy(F.col("stream_id").cast("string").alias("stream_id"), "k").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["word"].alias("word"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"))).alias("words"))
-    frames = found.select("stream_id", F.col("k").alias("seq"), F.lit("window").alias("kind"), (F.col("k") * 38_400).alias("start_sample"), F.lit(48_000).cast("long").alias("n_samples"), F.lit(False).alias("is_final"), F.lit(0.5).alias("rms"), "words", F.lit(None).cast("string").alias("text"))
-    last = frames.groupBy("stream_id").agg((F.max("seq") + 1).alias("seq")).select("stream_id", "seq", F.lit("end").alias("kind"), F.lit(0).cast("long").alias("start_sample"), F.lit(0).cast("long").alias("n_samples"), F.lit(True).alias("is_final"), F.lit(0.0).alias("rms"), F.array().cast("array<struct<word:string,start_ms:bigint,end_ms:bigint>>").alias("words"), F.lit(None).cast("string").alias("text"))
-    return session.run_batch(frames.unionByName(last), stride_ms=2400, gap_ms=160)
+    found = live_windows(spark, d)
+    kinds = F.when(F.col("last"), F.array(F.lit("window"), F.lit("end"))).otherwise(F.array(F.lit("window")))
+    frames = found.select("*", F.posexplode(kinds).alias("at", "kind"))
+    ends = F.col("kind") == "end"
+    nothing = F.array().cast("array<struct<word:string,start_ms:bigint,end_ms:bigint>>")
+    zero = F.lit(0).cast("long")
+    frames = frames.select("stream_id", (F.col("k") + F.col("at")).alias("seq"), "kind", F.when(ends, zero).otherwise(F.col("k") * 38_400).alias("start_sample"), F.when(ends, zero).otherwise(48_000).cast("long").alias("n_samples"), ends.alias("is_final"), F.when(ends, 0.0).otherwise(0.5).alias("rms"), F.when(ends, nothing).otherwise(F.col("words")).alias("words"), F.lit(None).cast("string").alias("text"))
+    return session.run_batch(frames, stride_ms=2400, gap_ms=160)
 
 
 @query("inf_dispatch", "SELECT vec_id, k AS window_seq, CASE WHEN k < 5 THEN 1 ELSE 0 END AS n FROM embeddings, range(6) t(k)")
@@ -184,3 +186,31 @@ def mth_dither(spark: SparkSession, d: str) -> DataFrame:
 
     found = align.by_batch(table(spark, d, "embeddings").select("vec_id", "embedding"), noise, "vec_id", "embedding", "vec_id long, i long, sample double, small boolean, repeated boolean")
     return found.withColumn("sample", F.col("sample").cast("float").cast("double"))
+
+
+@query("inf_ctctrans", f"""WITH {_TOKENS}, p AS (SELECT *, 'P' || token AS text, token % 2 = 0 AS st FROM c), q AS (SELECT *, sum(st::INT) OVER (PARTITION BY stream_id ORDER BY run)::BIGINT AS pos FROM p),
+w AS (SELECT stream_id, pos, lower(string_agg(text, '' ORDER BY run)) AS word FROM q GROUP BY 1, 2), t AS (SELECT stream_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n_words FROM w GROUP BY 1)
+SELECT vec_id AS stream_id, coalesce(text, '') AS text, coalesce(n_words, 0) AS n_words FROM embeddings LEFT JOIN t ON stream_id = vec_id""")
+def inf_ctctrans(spark: SparkSession, d: str) -> DataFrame:
+    """Scores to text: the best token of each frame, runs, words, and the words put together; silence gives an empty text."""
+    pieces = values(spark, "token long, piece string", *((k, ("▁" if k % 2 == 0 else "") + f"P{k}") for k in range(7)))
+    found = metrics.words_of_runs(metrics.collapse(_tokens(spark, d), 7), pieces, 600)
+    texts = found.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("text"), F.count("*").alias("n_words"))
+    all_ = table(spark, d, "embeddings").select(F.col("vec_id").alias("stream_id"))
+    return all_.join(texts, "stream_id", "left").select("stream_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("n_words", F.lit(0)).alias("n_words"))
+
+
+@query("inf_ctcalign", f"""WITH {_VITERBI}, a AS (SELECT vec_id, k // 2 AS pos, min(first) AS f, max(last) AS l FROM y GROUP BY ALL), n AS (SELECT *, lead(f) OVER (PARTITION BY vec_id ORDER BY pos) AS nx FROM a)
+SELECT vec_id AS stream_id, pos, f * 80 AS start_ms, least(CASE WHEN nx > f THEN nx ELSE l + 1 END * 80, 600) AS end_ms FROM n""")
+def inf_ctcalign(spark: SparkSession, d: str) -> DataFrame:
+    """A known text of two words, of two tokens and one, to word times by forced alignment of the scores."""
+
+    def run(row: dict) -> list[tuple]:
+        spans = align.forced_align(np.array(row["embedding"], float).reshape(8, 8), [int(row["label"]) % 7, 6, 0], 7)
+        return [(row["vec_id"], k, *x) for k, x in enumerate(spans)]
+
+    frames = align.by_row(table(spark, d, "embeddings").select("vec_id", "label", "embedding"), run, "stream_id long, token long, first long, last long")
+    c = lambda v: F.lit(v).cast("long")
+    word = lambda pos, a, b: F.struct(c(pos).alias("pos"), c(a).alias("token_start"), c(b).alias("token_end"))
+    ws = table(spark, d, "embeddings").select(F.col("vec_id").alias("stream_id"), F.inline(F.array(word(0, 0, 2), word(1, 2, 3))), c(3).alias("n_tokens"), c(600).alias("duration"))
+    return timing.words_from_frames(ws, frames, 8, "n_tokens", "duration").select("stream_id", "pos", "start_ms", "end_ms")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import frontend
 from cadenza.functions import scalars as S
+from cadenza.plans import config
 from cadenza.plans.base import WORDS, query, table, words
+from cadenza.plans.reference_b import _LOG_MEL
 from cadenza.sources import sinks, streams
 from cadenza.streaming import controls, session
 
@@ -32,11 +34,11 @@ def mth_s2ms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", S.seconds_to_ms(F.col("value") - 100).alias("ms"), S.seconds_to_ms(F.col("value") + 1e12).alias("far"))
 
 
-@query("mth_mel2")
+@query("mth_mel2", f"WITH {_LOG_MEL.format(e=0, n=32, h=16, w=24, b=6, q='1e-5')} SELECT vec_id, band, list(round(v, 4) + 0.0 ORDER BY f) AS values FROM l GROUP BY ALL")
 def mth_mel2(spark: SparkSession, d: str) -> DataFrame:
     """The features of another model: other sizes, no pre-emphasis, bands not normalised."""
     rows = frontend.log_mel(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", mels=6, n_fft=32, hop=16, win=24, emphasis=0.0, guard=1e-5, per_band=False)
-    return rows.select("vec_id", F.posexplode("features").alias("band", "values"))
+    return rows.select("vec_id", F.posexplode("features").alias("band", "values")).withColumn("values", F.transform("values", lambda v: F.round(v, 4) + 0.0))
 
 
 # --- sources and sinks -----------------------------------------------------------------------------
@@ -97,13 +99,23 @@ def snk_eval(spark: SparkSession, d: str) -> DataFrame:
 _EMPTY = "array<struct<word:string,start_ms:bigint,end_ms:bigint>>"
 
 
+def live_windows(spark: SparkSession, d: str) -> DataFrame:
+    """(stream_id, k, last, words): words of documents as windows of 10 words every 8, with times within the window. No shuffle: a text is one row."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("ws")).filter(F.size("ws") > 0)
+    top = F.expr("(size(ws) - 1) div 8")
+    rows = docs.select("id", top.alias("top"), "ws", F.explode(F.sequence(F.lit(0).cast("long"), top)).alias("k"))
+
+    def word(w: Column, i: Column) -> Column:
+        pos = F.col("k") * 8 + i
+        start = pos * 300 + (F.col("id") * 7 + pos * 13) % 50 - F.col("k") * 2400
+        return F.struct(w.alias("word"), start.alias("start_ms"), (start + 200 + (pos * 31) % 150).alias("end_ms"))
+
+    return rows.select(F.col("id").cast("string").alias("stream_id"), "k", (F.col("k") == F.col("top")).alias("last"), F.transform(F.slice("ws", (F.col("k") * 8 + 1).cast("int"), F.lit(10)), word).alias("words"))
+
+
 def _events(spark: SparkSession, d: str, **options: bool) -> DataFrame:
     """Events of documents as live streams: windows of 10 words every 8, a preview after each, a finalize after every third, an end."""
-    rows = words(spark, d).withColumn("k", F.explode(F.filter(F.array(F.expr("pos div 8"), F.expr("pos div 8 - 1")), lambda k: k >= 0))).filter("pos - k * 8 < 10")
-    item = F.struct("pos", "word", (F.col("start_ms") - F.col("k") * 2400).alias("start_ms"), (F.col("end_ms") - F.col("k") * 2400).alias("end_ms"))
-    plain = lambda x: F.struct(x["word"].alias("word"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"))
-    found = rows.groupBy(F.col("stream_id").cast("string").alias("stream_id"), "k").agg(F.transform(F.array_sort(F.collect_list(item)), plain).alias("words"))
-    found = found.withColumn("last", F.col("k") == F.max("k").over(Window.partitionBy("stream_id")))
+    found = live_windows(spark, d)
     kinds = F.array(F.lit("window"), F.lit("preview"), F.when(F.col("k") % 3 == 2, "finalize").otherwise("keepalive"), F.when(F.col("last"), "end").otherwise("keepalive"))
     frames = found.select("*", F.posexplode(kinds).alias("at", "kind"))
     start = F.when(F.col("kind") == "preview", F.col("k") * 38_400 + 38_400).otherwise(F.col("k") * 38_400)
@@ -147,3 +159,42 @@ def stm_stable(spark: SparkSession, d: str) -> DataFrame:
     """The window that a word is stable in: its own if it ends within the stride, else the next."""
     own = F.expr("pos div 8")
     return words(spark, d).select("stream_id", "pos", F.when(F.col("end_ms") - own * 2400 <= 2400, own).otherwise(own + 1).alias("stable_at"))
+
+
+@query("stm_timeout", """WITH m AS (SELECT user_id AS stream_id, event_id AS seq, epoch_us(ts) // 1000 AS ms, event_id % 40 = 7 AS ends FROM events), x AS (SELECT *, ms - min(ms) OVER (PARTITION BY stream_id) <= 864000000 AS in_time FROM m)
+SELECT stream_id, count(*) AS messages, count(*) FILTER (in_time) AS heard, NOT bool_or(in_time AND ends) AS timed_out FROM x GROUP BY 1""")
+def stm_timeout(spark: SparkSession, d: str) -> DataFrame:
+    """Users' events as sessions of at most ten days, which every fortieth event ends."""
+    kind = F.when(F.col("event_id") % 40 == 7, "end").otherwise("body")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), kind.alias("kind"))
+    found = controls.within_time(rows, 864_000_000)
+    return found.groupBy("stream_id").agg(F.count("*").alias("messages"), F.count_if("in_time").alias("heard"), F.bool_or("timed_out").alias("timed_out"))
+
+
+@query("stm_ttl", "SELECT user_id AS worker, max(epoch_us(ts) // 1000) AS last, max(epoch_us(ts) // 1000) >= (SELECT max(epoch_us(ts) // 1000) FROM events) - 3600000 AS live FROM events GROUP BY 1")
+def stm_ttl(spark: SparkSession, d: str) -> DataFrame:
+    """Events as heartbeats of their users, seen at the time of the last one with an hour to live."""
+    beats = table(spark, d, "events").select(F.col("user_id").alias("worker"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return controls.live_workers(beats, beats.agg(F.max("at")).first()[0] or 0, 3_600_000)
+
+
+@query("stm_backpressure", """WITH o AS (SELECT user_id AS stream_id, event_id AS seq, event_id % 5 < 3 AS w FROM events), x AS (SELECT *, sum(CASE WHEN w THEN 1 ELSE -1 END) OVER (PARTITION BY stream_id ORDER BY seq) AS walk FROM o),
+y AS (SELECT *, walk - least(min(walk) OVER (PARTITION BY stream_id ORDER BY seq), 0) AS after FROM x)
+SELECT stream_id, seq, coalesce(lag(after) OVER (PARTITION BY stream_id ORDER BY seq), 0)::BIGINT AS held, w AND coalesce(lag(after) OVER (PARTITION BY stream_id ORDER BY seq), 0) >= 4 AS waits FROM y""")
+def stm_backpressure(spark: SparkSession, d: str) -> DataFrame:
+    """Three writes to two reads of each user's ring of four slots."""
+    rows = table(spark, d, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 5 < 3, "write").otherwise("read").alias("op"))
+    return controls.admitted(rows, 4).select("stream_id", "seq", "held", "waits")
+
+
+_SETTINGS = """SELECT p_partkey, p_size % 11 - 1 AS chunk_seconds, p_partkey % 8 - 1 AS overlap_seconds, 0.5 AS final_min_seconds, 0.8 AS utt_split_seconds, p_partkey % 23 AS num_streams, 32 AS slot_size_kb, 1024 AS slots_per_stream, p_size % 17 * 1000 AS timeout_ms,
+p_partkey % 13 AS max_inflight, CASE WHEN p_partkey % 19 = 0 THEN ' ' ELSE p_brand END AS worker_id, 2000 AS discovery_interval_ms, 1000 AS heartbeat_interval_ms, p_partkey % 29 AS worker_ttl_ms, p_partkey % 3 AS sessions, 128 AS max_new_tokens,
+CASE p_partkey % 4 WHEN 0 THEN 'api' WHEN 1 THEN 'worker' WHEN 2 THEN 'decoder' ELSE 'ingress' END AS role, CASE WHEN p_size % 2 = 0 THEN 'a' END AS ingress_urls, CASE WHEN p_size % 3 = 0 THEN 'b' ELSE ' ' END AS discovery_dns FROM part"""
+
+
+@query("val_config", f"""WITH c AS ({_SETTINGS}) SELECT p_partkey, CASE WHEN chunk_seconds <= 0 THEN 'chunk_seconds' WHEN overlap_seconds < 0 OR overlap_seconds >= chunk_seconds THEN 'overlap_seconds' WHEN num_streams = 0 THEN 'num_streams' WHEN timeout_ms = 0 THEN 'timeout_ms' WHEN max_inflight = 0 THEN 'max_inflight'
+WHEN worker_id = ' ' THEN 'worker_id' WHEN worker_ttl_ms = 0 THEN 'worker_ttl_ms' WHEN sessions = 0 AND role = 'worker' THEN 'sessions' WHEN role IN ('worker', 'decoder') AND ingress_urls IS NULL AND discovery_dns = ' ' THEN 'ingress' END AS problem FROM c""")
+def val_config(spark: SparkSession, d: str) -> DataFrame:
+    """Settings made of the parts' columns, and the first that fails its check."""
+    table(spark, d, "part").createOrReplaceTempView("part")
+    return spark.sql(_SETTINGS).select("p_partkey", config.first_problem().alias("problem"))

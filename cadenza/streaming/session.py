@@ -96,10 +96,15 @@ class Session:
             out.append(got)
         return out
 
+    def _remember(self, text: str) -> None:
+        """What is final goes before interim results; where none are wanted it is not kept."""
+        if self.interim:
+            self.completed = attach(filter(None, [self.completed, text]))
+
     def _complete(self, words: list[list[Any]], from_finalize: bool, speech_final: bool = True) -> Iterator[dict]:
         """A final result and, where words are wanted, the end of its utterance."""
         out = self._emit("Results", words, True, from_finalize, speech_final=speech_final)
-        self.completed = attach(filter(None, [self.completed, out["transcript"]]))
+        self._remember(out["transcript"])
         yield out
         if self.words:
             yield self._emit("UtteranceEnd", words[-1:], text="") | {"start_ms": words[-1][2], "end_ms": words[-1][2], "n_words": 0}
@@ -120,7 +125,7 @@ class Session:
             self.pending = []
         elif self.fragments:
             text, self.fragments = merged(self.fragments), []
-            self.completed = attach(filter(None, [self.completed, text]))
+            self._remember(text)
             yield self._emit("Results", [], True, False, text, close)
 
     def feed(self, f: dict) -> Iterator[dict]:
@@ -186,18 +191,33 @@ def run_batch(frames: DataFrame, **options: Any) -> DataFrame:
     return frames.groupBy("stream_id").applyInPandas(run, EVENT)
 
 
-def run_stream(frames: DataFrame, **options: Any) -> DataFrame:
-    """Events of a streaming query; a frame that comes out of order is an error."""
+def run_stream(frames: DataFrame, idle_ms: int | None = 30_000, **options: Any) -> DataFrame:
+    """Events of a streaming query; a frame that comes out of order is an error.
+
+    A stream's state goes when it ends. A stream that gets no frame for ``idle_ms`` of processing time is
+    closed as if it had ended: what is pending is flushed. None waits for ever, as a query over what is
+    available now must, which timers would keep running. Frames after the end are passed over only while
+    they come with it; later ones begin a new stream.
+    """
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, last = state.get if state.exists else ("{}", -1)
-        session, out = Session(**(options | json.loads(held))), []
-        for f in _frames(pd.concat(list(pdfs))):
+        session, out, ended = Session(**(options | json.loads(held))), [], state.hasTimedOut
+        frames_ = [{"kind": "end", "seq": last + 1}] if ended else _frames(pd.concat(list(pdfs)))
+        for f in frames_:
             if f["seq"] <= last:
                 raise ValueError(f"frame {f['seq']} came after {last}")
             last = f["seq"]
             out += [e | {"stream_id": key[0]} for e in session.feed(f)]
-        state.update((json.dumps(asdict(session)), int(last)))
+            if f["kind"] == "end":
+                ended = True
+                break
+        if ended:
+            state.remove()
+        else:
+            state.update((json.dumps(asdict(session)), int(last)))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENT.split(", ")])
 
-    return frames.groupBy("stream_id").applyInPandasWithState(run, EVENT, "session string, last long", "append", GroupStateTimeout.NoTimeout)
+    return frames.groupBy("stream_id").applyInPandasWithState(run, EVENT, "session string, last long", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import frontend
 from cadenza.functions import scalars as S
 from cadenza.operators import align, metrics, sessions, stitch, timing, windows
+from cadenza.plans import config
 from cadenza.plans.config import WindowConfig
 from cadenza.sources import streams
 
@@ -195,3 +196,59 @@ def test_calibration_gathers_no_table(spark):
     want = (so, eo, sum(abs(s + so) for s, _ in pairs) / 200, sum(abs(e + eo) for _, e in pairs) / 200, sum(mid) / 200, mid[round(0.5 * 199 + 1e-9)], mid[round(0.95 * 199)])
     assert tuple(got.first()) == pytest.approx(want)
     assert metrics.calibration(spark.createDataFrame([], "start long, end long, ref_start long, ref_end long")).count() == 0
+
+
+def test_settings_are_checked_in_order(spark):
+    names = "chunk_seconds double, overlap_seconds double, final_min_seconds double, utt_split_seconds double, num_streams int, slot_size_kb int, slots_per_stream int, timeout_ms long, max_inflight int, worker_id string, discovery_interval_ms long, heartbeat_interval_ms long, worker_ttl_ms long, sessions int, max_new_tokens int, role string, ingress_urls string, discovery_dns string"
+    good = [30.0, 2.0, 0.5, 0.8, 16, 32, 1024, 30_000, 2, "w", 2000, 1000, 5000, 2, 128, "worker", None, "dns"]
+    bad = {0: 0.0, 1: 30.0, 2: -1.0, 3: -0.1, 4: 0, 5: 0, 6: 0, 7: 0, 8: 0, 9: " ", 10: 0, 11: 0, 12: 0, 13: 0, 14: 0, 17: " "}
+    rows = [good] + [[v if i == k else x for i, x in enumerate(good)] for k, v in bad.items()]
+    got = [r.p for r in spark.createDataFrame(rows, names).coalesce(1).select(config.first_problem().alias("p")).collect()]
+    assert got == [None, *config.CHECKS]
+    free = [0 if i in (13, 14) else "api" if i == 15 else x for i, x in enumerate(good)]
+    assert spark.createDataFrame([free], names).select(config.first_problem().alias("p")).first().p is None
+
+
+def test_repeated_streams_keep_their_rows(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c")], "stream_id long, text string")
+    assert rows(align.by_row(df, lambda r: [(r["stream_id"], w) for w in r["text"].split()], "stream_id long, w string"), "stream_id", "w") == [(1, "a"), (1, "a"), (1, "b"), (1, "b"), (1, "c")]
+
+
+def test_word_groups_by_brute_force():
+    rnd = random.Random(31)
+
+    def best(hyp, hyp_ms, ref, ref_ms):
+        found = {}
+
+        def go(i, j):
+            if (i, j) not in found:
+                offers = [go(*x) for x in ((i - 1, j), (i, j - 1)) if min(x) >= 0]
+                for h in range(max(i - 3, 0), i):
+                    for r in range(max(j - 3, 0), j):
+                        if all(hyp[h:i]) and all(ref[r:j]) and "".join(hyp[h:i]) == "".join(ref[r:j]):
+                            a, b, c, d = go(h, r)
+                            far = abs((hyp_ms[h][0] + hyp_ms[i - 1][1]) // 2 - (ref_ms[r][0] + ref_ms[j - 1][1]) // 2)
+                            offers.append((a + j - r, b + len("".join(ref[r:j])), c + i - h, d - far))
+                found[i, j] = max(offers, default=(0, 0, 0, 0))
+            return found[i, j]
+
+        return go(len(hyp), len(ref))
+
+    for _ in range(300):
+        hyp, ref = ([rnd.choice(["a", "b", "ab", "ba", ""]) for _ in range(rnd.randint(0, 7))] for _ in range(2))
+        times = [[(t := rnd.randint(0, 900), t + rnd.randint(1, 90)) for _ in ws] for ws in (hyp, ref)]
+        got = align.match_groups(hyp, times[0], ref, times[1])
+        assert all("".join(hyp[a:b]) == "".join(ref[c:d]) != "" for a, b, c, d in got) and all(x[1] <= y[0] and x[3] <= y[2] for x, y in zip(got, got[1:], strict=False))
+        far = sum(abs((times[0][a][0] + times[0][b - 1][1]) // 2 - (times[1][c][0] + times[1][d - 1][1]) // 2) for a, b, c, d in got)
+        assert (sum(d - c for *_, c, d in got), sum(len("".join(ref[c:d])) for *_, c, d in got), sum(b - a for a, b, *_ in got), -far) == best(hyp, times[0], ref, times[1])
+
+
+def test_common_subsequence_is_longest():
+    rnd = random.Random(32)
+    for _ in range(200):
+        a, b = ([rnd.choice(["x", "y", "z", ""]) for _ in range(rnd.randint(0, 9))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, p in enumerate(a):
+            for j, q in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if p == q and p else max(table[i][j + 1], table[i + 1][j])
+        assert len(align.lcs(a, b, blanks_count=False)) == table[-1][-1]

@@ -1,8 +1,12 @@
 """The same events from a streaming query as from a batch."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
-from cadenza.streaming import session
+from cadenza.operators import inference
+from cadenza.streaming import controls, session
 
 OPTIONS = {"stride_ms": 5200, "gap_ms": 800, "interim": True}
 
@@ -27,9 +31,9 @@ def test_stream_equals_batch(spark, tmp_path):
     for k in range(5):  # two frames of each stream at a time
         frames.filter(F.expr(f"seq div 2 = {k}")).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
     live = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    q = session.run_stream(live, **OPTIONS).writeStream.format("memory").queryName("events").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = session.run_stream(live, idle_ms=None, **OPTIONS).writeStream.format("memory").queryName("events").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     try:
-        q.processAllAvailable()
+        assert q.awaitTermination(120)
     finally:
         q.stop()
     assert sorted(map(tuple, spark.table("events").collect()), key=str) == want
@@ -71,3 +75,57 @@ def test_text_without_words_is_flushed_only_when_nothing_is_pending():
 def test_a_final_window_gives_segments_that_are_not_from_finalize():
     got = list(session.Session().feed(_one(words=[("one.", 0, 100), ("two", 200, 300)], is_final=True)))
     assert [(e["transcript"], e["from_finalize"], e["speech_final"]) for e in got] == [("one.", False, True)]
+
+
+def test_state_goes_at_the_end_and_after_a_timeout(spark, tmp_path):
+    """One stream ends, one falls silent: its pending words are flushed, and no state is left."""
+    word = lambda w, s: (w, s, s + 300)
+    data = [("a", 0, "window", 0, 96_000, False, 0.5, [word("one.", 100), word("two", 900)], None), ("a", 1, "end", 0, 0, True, 0.0, [], None), ("b", 0, "window", 0, 96_000, False, 0.5, [word("left", 100)], None)]
+    spark.createDataFrame(data, session.FRAME).coalesce(1).write.parquet(str(tmp_path / "in/0"))
+    live = spark.readStream.schema(session.FRAME).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = session.run_stream(live, idle_ms=200).writeStream.format("memory").queryName("silent").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="200 milliseconds").start()
+    try:
+        for _ in range(200):
+            if spark.table("silent").filter("stream_id = 'b' AND from_finalize AND n_words = 0").count():
+                break
+            time.sleep(0.3)
+        rows = sum(p["numRowsTotal"] for p in q.lastProgress["stateOperators"])
+    finally:
+        q.stop()
+    got = {(r.stream_id, r.transcript) for r in spark.table("silent").filter("type = 'Results'").collect()}
+    assert got == {("a", "one."), ("a", "two"), ("a", ""), ("b", "left"), ("b", "")} and rows == 0
+
+
+def test_without_interim_results_no_transcript_is_kept():
+    for interim in (True, False):
+        s = session.Session(interim=interim)
+        list(s.feed(_one(words=[("one.", 0, 100), ("two", 200, 300)])))
+        assert s.completed == ("one." if interim else "")
+
+
+def test_a_failed_backend_is_given_up_and_its_place_is_free():
+    built = []
+
+    def build():
+        built.append(object())
+        return built[-1]
+
+    pool = inference.Pool(build, 1)
+    with pool.lease() as first, pytest.raises(RuntimeError, match="no backend"), pool.lease():
+        assert first is built[0] and pool.available() == 0
+    with pytest.raises(KeyError), pool.lease() as again:
+        assert again is first
+        raise KeyError
+    with pool.lease() as fresh:
+        assert fresh is built[1]
+    assert pool.available() == 1 and len(built) == 2
+
+
+def test_a_ring_counts_waiting_writes(spark):
+    ops = "wwwrrrrwrwwwwwr"
+    df = spark.createDataFrame([(1, k, "write" if c == "w" else "read") for k, c in enumerate(ops)], "stream_id long, seq long, op string")
+    held, want = 0, []
+    for c in ops:
+        want.append((held, c == "w" and held >= 2))
+        held = held + 1 if c == "w" else max(held - 1, 0)
+    assert [(r.held, r.waits) for r in controls.admitted(df, 2).orderBy("seq").collect()] == want
