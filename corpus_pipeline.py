@@ -1,6 +1,8 @@
 """The corpus pipeline: stages applied in turn to ``documents``.
 
-Every stage takes (spark, docs, sf_dir). All but the last return the columns of ``documents``.
+Every stage takes (spark, docs, sf_dir). All but the last return the columns of ``documents``, and columns
+of any other name pass through them unchanged. An empty table gives an empty table with the same columns.
+What a stage does with null, empty and repeated rows is stated with it.
 """
 
 from __future__ import annotations
@@ -12,27 +14,45 @@ from cadenza.llm.session import cut, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null text is scored as empty. Repeated rows are scored alike and share their fate. Without a positive
+    label that may be learned from, all stay; without an id a row is scored like any other.
+    """
     return quality.reject_low_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of alike lines one stays; documents left without any line go."""
+    """Of alike lines one stays, the first by (doc_id, line number); documents left without any line go.
+
+    Null and blank texts stay as they are, and so do blank lines. Repeated rows of an id count as one document
+    and keep the same lines; rows without an id count as one document after all others. ``n_chars`` follows the text.
+    """
     return line_dedup.without_repeated_lines(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate documents the one of smallest id stays."""
+    """Of each group of near-duplicate documents the one of smallest id stays.
+
+    Documents without words are in no group and stay. Of repeated rows of an id one stays. Rows without an id stay.
+    """
     return jaccard_join.keep_one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; lesser hits are taken out of the text."""
+    """Contaminated documents go; lesser hits are taken out of the text.
+
+    Null and blank texts are not contaminated. Repeated rows are treated alike. ``n_chars`` follows the text.
+    An empty benchmark changes nothing.
+    """
     return decontaminate.remove_hits(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of every document that is left, with its place in a sequence."""
+    """One row per piece of every document that is left, with its place in a sequence.
+
+    Null text counts as empty: one piece, its end. Repeated rows are packed as rows of their own.
+    """
     return packing.pack(docs)
 
 
