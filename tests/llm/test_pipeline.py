@@ -93,3 +93,23 @@ def test_stages(spark, sf_dir, tmp_path):
 def test_run_gives_the_last_stage_s_rows(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert rows and all(0 <= r.offset and r.offset + r.length <= packing.CAPACITY for r in rows)
+
+
+def test_stages_pass_other_columns_and_repeated_rows(spark, sf_dir, tmp_path):
+    """Columns named like the stages' own, rows given twice, a row without an id, and an empty table."""
+    names = ["quality_score", "Score", "gone", "kept", "gone_id", "pos", "line", "n_hit", "contaminated", "contamination", "hit_mark", "node", "component_id", "root", "block"]
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 24 or doc_id = 240")
+    wide = whole.unionByName(whole.filter("doc_id in (0, 8)")).unionByName(whole.filter("doc_id = 9").withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit(" ".join(words(60, 999, 9000)) + ".")))
+    wide = wide.select("*", *(F.lit(f"own {c}").alias(c) for c in names))
+    wide.repartition(3).write.parquet(str(tmp_path / "wide"))
+    docs = spark.read.parquet(str(tmp_path / "wide"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, sf_dir)
+        rows = out.collect()
+        times = collections.Counter(r.doc_id for r in rows)
+        assert out.columns == docs.columns and all(r[c] == f"own {c}" for r in rows for c in names), name
+        assert times[0] == times[8] == (1 if name == "ngram_jaccard_join" else 2) and times[None] == 1, name
+        assert len({(r.doc_id, r.text) for r in rows}) == len(times), name
+        nothing = stage(spark, docs.limit(0), sf_dir)
+        assert nothing.columns == docs.columns and nothing.count() == 0, name
+    assert corpus_pipeline.STAGES[4][1](spark, docs.limit(0), sf_dir).count() == 0
