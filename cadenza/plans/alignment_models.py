@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from cadenza.functions import frontend
 from cadenza.operators import align, inference, metrics, timing, windows
 from cadenza.plans.base import WORDS, query, table, values, words
-from cadenza.plans.reference_b import _PAIRS, _SPANS, _TOKENS, _VITERBI, _normal, _timed, _tokens, _turn_pairs
-from cadenza.plans.reference_d import live_windows
+from cadenza.plans.sources_metrics import _PAIRS, _SPANS, _TOKENS, _VITERBI, _normal, _timed, _tokens, _turn_pairs
+from cadenza.plans.live_requests import live_windows
 from cadenza.streaming import session
 
 

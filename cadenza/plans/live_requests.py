@@ -9,7 +9,7 @@ from cadenza.functions import frontend
 from cadenza.functions import scalars as S
 from cadenza.plans import config
 from cadenza.plans.base import WORDS, query, table, words
-from cadenza.plans.reference_b import _LOG_MEL
+from cadenza.plans.sources_metrics import _LOG_MEL
 from cadenza.sources import sinks, streams
 from cadenza.streaming import controls, session
 

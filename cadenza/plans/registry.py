@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadenza.plans import reference_a, reference_b, reference_c, reference_d  # noqa: F401  they register their queries
+from cadenza.plans import sessions_timing, sources_metrics, alignment_models, live_requests  # noqa: F401  they register their queries
 from cadenza.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
