@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import decontaminate, fingerprints, jaccard_join, licenses, line_dedup, lm_scoring, packing, pii, quality, token_counts
+from cadenza.llm import conversations, decontaminate, fingerprints, jaccard_join, licenses, line_dedup, lm_scoring, packing, pii, quality, suffix_dedup, token_counts, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scans": licenses.op8_license_scans,
     "op9_pii": pii.op9_pii,
     "op10_best_two_fit_packing": packing.op10_best_two_fit_packing,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_conversation_repair": conversations.op12_conversation_repair,
+    "op13_suffix_array_dedup": suffix_dedup.op13_suffix_array_dedup,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -42,4 +45,5 @@ l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.low AS component_id, coalesce(k.n_links, 0)::BIGINT AS n_links
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS low FROM r GROUP BY 1) c USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY 1) k USING (doc_id)""",
+    "op12_conversation_repair": conversations.ORACLE,
 }
