@@ -41,7 +41,7 @@ from cadenza.llm.textkit import U64, mix, spans_hash
 LENGTH = 50
 GRAM = 24
 HOT = 1000
-SHARD_BYTES = 6_000_000
+SHARD_BYTES = 1_500_000
 BLOCK_BYTES = 8_000_000
 LANES = 64  # positions of a sweep that Kasai's rule carries through
 _LAST = 2**63 - 1
@@ -51,49 +51,45 @@ _SLICE = 1 << 20
 # ---- suffix arrays ----
 
 
-def words_at(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position on as a number whose order is that of the bytes; zeros follow the end."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    return np.ndarray(len(data), ">u8", padded, strides=(1,)).astype(U64)
+def _ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ``keys``, and where in it a new value begins."""
+    order = np.argsort(keys)
+    sorted_ = keys[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = sorted_[1:] != sorted_[:-1]
+    return order, fresh
 
 
 def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Positions in the order of their suffixes; ``ends[i]`` is where the text that position i lies in ends, and its suffix with it.
 
-    A suffix comes before those that it begins; equal ones are in the order of their positions.
+    A suffix comes before those that it begins; equal ones are in the order of their positions. There are
+    less than 2^31 bytes.
     """
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
-    left = np.minimum(ends - np.arange(n), 8).astype(U64)
-    # bytes beyond the end are blanked, and their number tells a zero byte from an end
-    shift = (U64(8) - left) * U64(8)
-    first = (words_at(data) >> shift) << shift
-    order = np.lexsort((left, first))
-    fresh = np.concatenate([[True], (first[order][1:] != first[order][:-1]) | (left[order][1:] != left[order][:-1])])
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
-    group = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]  # a group bears the place of its first suffix
-    rank[order] = group
-    h = 8
-    alone = fresh & np.concatenate([fresh[1:], [True]])
-    todo = np.flatnonzero(~alone)  # places whose groups are not in order yet
-    while len(todo):
+    place = np.arange(n)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    left = np.minimum(ends - place, 7).astype(U64)
+    # seven bytes, those beyond the end blanked, and their number, which tells a zero byte from an end
+    first = np.ndarray(n, ">u8", padded, strides=(1,)).astype(U64) >> U64(8) * (U64(8) - left) << U64(8) * (U64(8) - left)
+    order, fresh = _ordered(first | left)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]  # a group bears the place of its first suffix
+    todo, h = place, 7  # places whose groups are not in order yet
+    while True:
+        alone = fresh & np.append(fresh[1:], True)
+        todo = todo[~alone]
+        if not len(todo):
+            return order
         at = order[todo]
-        beyond = at + h
-        after = np.where(beyond < ends[at], rank[np.minimum(beyond, n)], -1)
-        held = rank[at]
-        sort = np.lexsort((at, after, held))
-        at, after, held = at[sort], after[sort], held[sort]
-        order[todo] = at  # places of a group follow each other, so its members keep to them
-        new_group = np.concatenate([[True], held[1:] != held[:-1]])
-        fresh = new_group | np.concatenate([[True], after[1:] != after[:-1]])
+        # a suffix that ends here comes first, by its position
+        after = np.where(at + h < ends[at], n + rank[np.minimum(at + h, n - 1)], at)
+        sort, fresh = _ordered(rank[at].astype(U64) << U64(32) | after.astype(U64))
+        order[todo] = at = at[sort]  # places of a group follow each other, so its members keep to them
         rank[at] = todo[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-        alone = fresh & np.concatenate([fresh[1:], [True]])
-        # members that end here are equal to the end: no later round can tell them apart
-        todo = todo[~alone & (after >= 0)]
         h *= 2
-    return order
 
 
 def common_prefixes(data: np.ndarray, ends: np.ndarray, order: np.ndarray, most: int, lanes: int = LANES) -> np.ndarray:
@@ -213,22 +209,29 @@ class Block:
         data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
         self.data, self.offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
         self.sizes = np.diff(self.offsets)
-        key = anchors(self.data, length, gram)
         strings = np.maximum(self.sizes - length + 1, 0)
         held = np.flatnonzero(strings)
         first = self.offsets[:-1][held]
-        inside = np.zeros(len(key) + 1, np.int8)
-        np.add.at(inside, first, 1)
+        inside = np.zeros(len(self.data) + 1, np.int8)
+        inside[first] += 1
         np.add.at(inside, first + strings[held], -1)
-        inside = np.cumsum(inside[: len(key)], dtype=np.int8).astype(bool)
-        change = np.ones(len(key), bool)
-        change[1:] = key[1:] != key[:-1]
+        inside = np.cumsum(inside, dtype=np.int8).astype(bool)
+        change = np.zeros(len(self.data) + 1, bool)
         change[first] = True
-        self.start = np.flatnonzero(change & inside)
+        starts, keys, last = [np.zeros(0, np.int64)], [np.zeros(0, U64)], U64(0)
+        for a in range(0, max(len(self.data) - length + 1, 0), _SLICE):
+            key = anchors(self.data[a : a + _SLICE + length - 1], length, gram)
+            fresh = change[a : a + len(key)]
+            fresh |= np.concatenate([[last], key[:-1]]) != key
+            fresh &= inside[a : a + len(key)]
+            at = np.flatnonzero(fresh)
+            starts.append(a + at)
+            keys.append(key[at])
+            last = key[-1]
+        self.start, self.key = np.concatenate(starts), np.concatenate(keys)
         self.owner = np.searchsorted(self.offsets, self.start, "right") - 1
-        stop = np.minimum(np.concatenate([self.start[1:], [len(self.data)]]), (self.offsets[:-1] + strings)[self.owner] if n else 0)
+        stop = np.minimum(np.append(self.start[1:], len(self.data)), (self.offsets[:-1] + strings)[self.owner] if n else 0)
         self.count = stop - self.start
-        self.key = key[self.start]
 
     def documents_of(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct anchors and how many of the texts hold each."""
