@@ -6,8 +6,9 @@ that any partner must share in (its prefix, whose length the threshold and the s
 Shingles are ordered by the number of sets that hold them, counted over the whole corpus
 (``exchange``), so a prefix holds a set's rarest shingles, and shingles of one set only are left
 out. Lists of up to ``LIST`` sets give their pairs, and those whose possible overlap stays below the
-size-derived bound are discarded at once. Longer lists give a star instead of pairs, from those of
-their sets whose size and place still allow a link. The sets of each candidate group then meet in
+size-derived bound are discarded at once: what two sets share in short lists is counted, and each
+shingle of a prefix that may lie in a long list counts as shared. Longer lists give a star instead of
+pairs, from those of their sets whose size and place still allow a link. The sets of each candidate group then meet in
 blocks: a blocked sparse product of the set-by-shingle incidence accumulates overlap counts, and
 pairs below the bound 7 * overlap >= 3 * (size + size) are dropped. Large groups are dealt over
 pairs of blocks.
@@ -75,8 +76,11 @@ def block_sets(text: pa.Array) -> tuple[list[int], list[np.ndarray]]:
     return list(found), list(found.values())
 
 
-def postings(docs: DataFrame, blocks: int) -> DataFrame:
-    """(gram, node, n, pos) of each set's prefix, its shingles in the common order: rare before frequent, ties by hash.
+def postings(docs: DataFrame, blocks: int, longest: int = LIST) -> DataFrame:
+    """(gram, node, n, pos, far, most) of each set's prefix, its shingles in the common order: rare before frequent, ties by hash.
+
+    ``far`` is how many shingles of the prefix up to this one, and ``most`` how many of all of it, are held
+    by more than ``longest`` sets, so that their lists may be long.
 
     How many sets hold a shingle is counted over the whole corpus; copies in different blocks count each,
     and a count may rarely be that of two shingles. It is never too low: a shingle that only one set holds
@@ -91,7 +95,7 @@ def postings(docs: DataFrame, blocks: int) -> DataFrame:
 
     def prefixes(table_: pa.Table, found: pa.Table) -> pa.Table:
         nodes, sets = block_sets(table_.column("text"))
-        out: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]]
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], *([np.zeros(0, np.int32)] for _ in range(4))]
         if sets:
             keys, at = np.unique(np.concatenate(sets), return_inverse=True)
             held = received(found, keys, ["held"], blocks)[0][at]
@@ -103,13 +107,14 @@ def postings(docs: DataFrame, blocks: int) -> DataFrame:
                 p = prefix_length(n)
                 order = np.lexsort((s, own))[:p]
                 shared = np.flatnonzero(own[order] > 1)
-                grams = s[order[shared]]
-                for column, values in zip(out, (grams, np.full(len(grams), k, np.int64), np.full(len(grams), n, np.int32), (shared + 1).astype(np.int32)), strict=True):
+                grams, far = s[order[shared]], np.cumsum(own[order] > longest).astype(np.int32)
+                same = lambda x: np.full(len(shared), x, np.int32)  # noqa: B023, E731
+                for column, values in zip(out, (grams, np.full(len(grams), k, np.int64), same(n), (shared + 1).astype(np.int32), far[shared], same(far[-1])), strict=True):
                     column.append(values)
-        return pa.table([pa.array(np.concatenate(out[0]).view(np.int64)), *(pa.array(np.concatenate(x)) for x in out[1:])], ["gram", "node", "n", "pos"])
+        return pa.table([pa.array(np.concatenate(out[0]).view(np.int64)), *(pa.array(np.concatenate(x)) for x in out[1:])], ["gram", "node", "n", "pos", "far", "most"])
 
     counted = totals(dealt.groupBy("block").applyInArrow(send, "part int, block int, keys binary, held binary"), ["held"], blocks, np.uint32)
-    return dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(prefixes, "gram long, node long, n int, pos int")
+    return dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(prefixes, "gram long, node long, n int, pos int, far int, most int")
 
 
 def candidate_edges(index: DataFrame, longest: int = LIST) -> DataFrame:
@@ -118,16 +123,17 @@ def candidate_edges(index: DataFrame, longest: int = LIST) -> DataFrame:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows arrive sorted by shingle and size; a list may go on in the next batch."""
 
-        def out(a, b, na, nb, pa_, pb, star):  # noqa: ANN001
+        def out(a, b, na, nb, pa_, pb, far, most, star):  # noqa: ANN001
             ok = (a != b) & (4 * np.minimum(na, nb).astype(np.int64) >= 3 * np.maximum(na, nb).astype(np.int64)) if not star else a != b
-            a, b, na, nb, pa_, pb = (x[ok] for x in (a, b, na, nb, pa_, pb))
+            a, b, na, nb, pa_, pb, far, most = (x[ok] for x in (a, b, na, nb, pa_, pb, far, most))
             swap = a > b
             a, b = np.where(swap, b, a), np.where(swap, a, b)
             na, nb, pa_, pb = np.where(swap, nb, na), np.where(swap, na, nb), np.where(swap, pb, pa_), np.where(swap, pa_, pb)
             for i in range(0, len(a), _OUT):
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[i : i + _OUT].astype(t)) for x, t in ((a, np.int64), (b, np.int64), (na, np.int32), (nb, np.int32), (pa_, np.int32), (pb, np.int32))), pa.array(np.full(len(a[i : i + _OUT]), star))], ["a", "b", "na", "nb", "pa", "pb", "star"])
+                small = (pa.array(x[i : i + _OUT].astype(np.int32)) for x in (na, nb, pa_, pb, far, most))
+                yield pa.RecordBatch.from_arrays([pa.array(a[i : i + _OUT]), pa.array(b[i : i + _OUT]), *small, pa.array(np.full(len(a[i : i + _OUT]), star))], ["a", "b", "na", "nb", "pa", "pb", "far", "most", "star"])
 
-        def lists(gram, node, n, pos):  # noqa: ANN001  complete lists of at most `longest`
+        def lists(gram, node, n, pos, far, most):  # noqa: ANN001  complete lists of at most `longest`
             cut_ = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
             size = np.diff(np.concatenate([cut_, [len(gram)]]))
             for k in np.unique(size[size > 1]).tolist():
@@ -136,12 +142,12 @@ def candidate_edges(index: DataFrame, longest: int = LIST) -> DataFrame:
                 step = max(1, (1 << 18) // len(i))
                 for x in range(0, len(base), step):
                     p, q = ((base[x : x + step, None] + m).ravel() for m in (i, j))
-                    yield from out(node[p], node[q], n[p], n[q], pos[p], pos[q], False)
+                    yield from out(node[p], node[q], n[p], n[q], pos[p], pos[q], np.minimum(far[p], far[q]), np.minimum(most[p], most[q]), False)
 
         hub, open_ = None, None  # (gram, centre, n of the last) of a long list under way; the last batch's last long gram
-        rest = [np.zeros(0, np.int64)] * 4
+        rest = [np.zeros(0, np.int64)] * 6
         for batch in batches:
-            cols = [np.concatenate([r, batch.column(c).to_numpy(zero_copy_only=False)]) for r, c in zip(rest, ("gram", "node", "n", "pos"), strict=True)]
+            cols = [np.concatenate([r, batch.column(c).to_numpy(zero_copy_only=False)]) for r, c in zip(rest, ("gram", "node", "n", "pos", "far", "most"), strict=True)]
             gram = cols[0]
             if not len(gram):
                 continue
@@ -171,17 +177,17 @@ def candidate_edges(index: DataFrame, longest: int = LIST) -> DataFrame:
                 at = np.maximum.accumulate(np.where(fresh, np.arange(len(n)), -1))
                 centre = np.where(at < 0, hub[1] if went_on else node[0], node[np.maximum(at, 0)])
                 z = np.zeros(len(n), np.int32)
-                yield from out(centre, node, z, z, z, z, True)
+                yield from out(centre, node, z, z, z, z, z, z, True)
                 hub = (g, int(centre[-1]), int(n[-1]))
             rest = [c[len(gram) - tail :] for c in cols]
         if len(rest[0]):
             yield from lists(*rest)
 
-    found = index.repartition("gram").sortWithinPartitions("gram", "n").mapInArrow(pairs, "a long, b long, na int, nb int, pa int, pb int, star boolean")
-    met = found.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max("star").alias("star"))
-    # beyond the last shared place, or beyond the prefix that ends first, nothing is known to differ
+    found = index.repartition("gram").sortWithinPartitions("gram", "n").mapInArrow(pairs, "a long, b long, na int, nb int, pa int, pb int, far int, most int, star boolean")
+    met = found.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.max("far").alias("far"), F.max("most").alias("most"), F.max("star").alias("star"))
+    # beyond the last shared place, or beyond the prefix that ends first, nothing is known to differ; nor is it in long lists
     beyond = F.greatest(*(F.expr(f"(3 * {n} + 3) div 4 - 1") for n in ("na", "nb")))
-    possible = F.col("met") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"), beyond)
+    possible = F.col("met") + F.least(F.col("far") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")), F.col("most") + beyond)
     return met.filter(F.col("star") | (7 * possible >= 3 * (F.col("na") + F.col("nb")))).select("a", "b")
 
 
@@ -315,7 +321,7 @@ def jaccard_components(docs: DataFrame, longest: int = LIST, block: int = BLOCK_
     """
     small_batches(docs.sparkSession)
     ids = cut(shingle_ids(docs))
-    edges = candidate_edges(postings(docs, number_of_blocks(docs, least=least_blocks)), longest)
+    edges = candidate_edges(postings(docs, number_of_blocks(docs, least=least_blocks), longest), longest)
     stars, others = links(docs, ids, edges, block, alone)
     root = connected_components(stars, contract=True)
     nodes = ids.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
