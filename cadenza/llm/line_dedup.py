@@ -11,13 +11,15 @@ A segment that more than ``LIST`` lines share would give a square of pairs. At t
 lines are joined by their one-deletion neighbourhoods instead, as stars, which is exact as well and
 linear. At higher thresholds they are paired in cells of two blocks of about ``LIST`` lines.
 
-Of each class of alike lines the occurrence of smallest (doc_id, line number) stays; the others go.
+Of each class of alike lines the occurrence of smallest (doc_id, hash of the text, line number) stays;
+the others go. A line goes only if one alike stays in some row.
 
 Defined results: null text has no lines; blank lines never go; a document that loses every line it
-had goes from ``without_repeated_lines``; repeated rows of one id count as one document and keep the
-same lines; rows without ``doc_id`` count as one document after all others; an empty table gives no
-rows; extra columns of any name pass through ``without_repeated_lines`` and are ignored elsewhere.
-Equal lines are told apart from others by 96 bits of hashes, lines alike by 64.
+had goes from ``without_repeated_lines``; rows without ``doc_id`` come after all others; rows of one id,
+or of none, are documents of their own if their texts differ and keep the same lines if they do not;
+an empty table gives no rows; extra columns of any name pass through ``without_repeated_lines`` and are
+ignored elsewhere. Equal lines are told apart from others by 96 bits of hashes, lines alike by 64, and
+texts of one id by 64.
 """
 
 from __future__ import annotations
@@ -38,10 +40,14 @@ HOT_LINES = 500_000  # most lines whose occurrences are looked up without a shuf
 _LAST = 2**63 - 1
 
 
+def row_id(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(_LAST))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, line, n, id, check) for every line of every document that is not blank."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return rows.filter(F.col("line").rlike(r"\S")).select("doc_id", "pos", "line", F.length("line").alias("n"), F.xxhash64("line").alias("id"), F.hash("line").alias("check"))
+    """(doc_id, tag, pos, line, n, id, check) for every line of every document that is not blank; ``tag`` tells texts of one id apart."""
+    rows = docs.select(row_id(F.col("doc_id")).alias("doc_id"), F.xxhash64("text").alias("tag"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return rows.filter(F.col("line").rlike(r"\S")).select("doc_id", "tag", "pos", "line", F.length("line").alias("n"), F.xxhash64("line").alias("id"), F.hash("line").alias("check"))
 
 
 def _segment(n: Column, threshold: int, i: int) -> tuple[Column, Column]:
@@ -225,10 +231,10 @@ def alike(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LIST, per_
 
 
 def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LIST, per_edit: int = PER_EDIT) -> DataFrame:
-    """(doc_id, pos, exact): the lines that go; ``exact`` where the line that stays is the same."""
-    lines = lines_of(docs).select("doc_id", "pos", "id", "check")
+    """(doc_id, tag, pos, exact): the lines that go; ``exact`` where the line that stays is the same."""
+    lines = lines_of(docs).select("doc_id", "tag", "pos", "id", "check")
     root = cut(alike(docs, threshold, longest, per_edit))
-    first = lines.groupBy("id", "check").agg(F.min(F.struct("doc_id", "pos")).alias("own"), F.count("*").alias("times")).join(root, "id", "left")
+    first = lines.groupBy("id", "check").agg(F.min(F.struct("doc_id", "tag", "pos")).alias("own"), F.count("*").alias("times")).join(root, "id", "left")
     # a class is a component of lines alike, or the copies of one line
     first = first.withColumn("kind", F.when(F.col("root").isNull(), F.col("check"))).withColumn("root", F.coalesce("root", "id"))
     classes = first.groupBy("root", "kind").agg(F.min("own").alias("first"), F.sum("times").alias("times")).filter("times > 1")
@@ -241,16 +247,16 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LI
     rest = stay.filter(F.col("times") <= most).select(F.col("id").alias("id_"), F.col("check").alias("check_"), fact.alias("rare"))
     known = lines.join(F.broadcast(hot), ["id", "check"], "left")
     # a line found already meets nothing, under a key of its own
-    key = F.when(F.col("hot").isNull(), F.col("id")).otherwise(F.xxhash64("doc_id", "pos"))
+    key = F.when(F.col("hot").isNull(), F.col("id")).otherwise(F.xxhash64("doc_id", "tag", "pos"))
     found = known.withColumn("key", key).join(rest, (F.col("key") == F.col("id_")) & (F.col("check") == F.col("check_")), "left").withColumn("fact", F.coalesce("hot", "rare"))
-    return found.filter(F.struct("doc_id", "pos") != F.col("fact.first")).select("doc_id", "pos", (F.col("fact.own") == F.col("fact.first")).alias("exact"))
+    return found.filter(F.struct("doc_id", "tag", "pos") != F.col("fact.first")).select("doc_id", "tag", "pos", (F.col("fact.own") == F.col("fact.first")).alias("exact"))
 
 
 def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LIST) -> DataFrame:
     """(doc_id, n_lines, n_exact, n_near, removed) for every row of ``docs``; ``removed`` lists line numbers from 0."""
-    gone = removed_lines(docs, threshold, longest).groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set("pos")).alias("gone"), F.countDistinct(F.when(F.col("exact"), F.col("pos"))).alias("n_exact"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"), F.col("text").isNull().alias("none"))
-    rows = own.join(gone, F.coalesce(own.doc_id, F.lit(_LAST)) == gone["_id"], "left")
+    gone = removed_lines(docs, threshold, longest).groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg(F.array_sort(F.collect_set("pos")).alias("gone"), F.countDistinct(F.when(F.col("exact"), F.col("pos"))).alias("n_exact"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"), F.col("text").isNull().alias("none"))
+    rows = own.join(gone, (row_id(own.doc_id) == gone["_id"]) & (own.tag == gone["_tag"]), "left")
     n = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
     exact = F.coalesce("n_exact", F.lit(0))
     return rows.select("doc_id", F.when(F.col("none"), 0).otherwise(F.col("n_lines")).alias("n_lines"), exact.alias("n_exact"), (F.greatest(n, F.lit(0)) - exact).alias("n_near"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
@@ -262,9 +268,9 @@ def without_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, longest:
     ``n_chars``, where there is one, follows the text.
     """
     columns = docs.columns
-    id_, gone_, kept_ = (free_name(columns, c) for c in ("gone_id", "gone", "kept"))
-    gone = removed_lines(docs.select("doc_id", "text"), threshold, longest).groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set("pos").alias(gone_))
-    rows = docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col(id_), "left")
+    id_, tag_, gone_, kept_ = (free_name(columns, c) for c in ("gone_id", "gone_tag", "gone", "kept"))
+    gone = removed_lines(docs.select("doc_id", "text"), threshold, longest).groupBy(F.col("doc_id").alias(id_), F.col("tag").alias(tag_)).agg(F.collect_set("pos").alias(gone_))
+    rows = docs.join(gone, (row_id(F.col("doc_id")) == F.col(id_)) & (F.xxhash64("text") == F.col(tag_)), "left")
     kept = let(F.split("text", "\n", -1), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(gone_)), lambda i: F.get(ls, i)), "\n"))
     rows = rows.withColumn(kept_, F.when(F.col(gone_).isNotNull() & F.col("text").isNotNull(), kept))
     rows = rows.filter(F.col(kept_).isNull() | F.col(kept_).rlike(r"\S"))

@@ -294,6 +294,21 @@ def test_line_dedup_removes_short_copies(spark):
     assert got == [(0, 0, 0, "")] + [(k, 1, 0, "0") for k in range(1, 5)]
 
 
+def test_line_dedup_keeps_what_occurs_once(spark):
+    """Rows without an id, or of one id, with different texts lose only lines that stay elsewhere."""
+    dup = "a line that comes again and again"
+    rows = [(1, dup), (None, f"{dup}\nkeep A"), (None, f"precious unique first line\nkeep B\n{dup}"), (7, f"x1 unique seven\n{dup}"), (7, f"y1 other seven\nx1 unique seven"), (None, f"{dup}\nkeep A"), (None, None)]
+    kept = line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = collections.Counter((r.doc_id, r.text) for r in kept)
+    sevens = [t for k, t in got if k == 7]
+    assert got[1, dup] == 1 and got[None, "keep A"] == 2 and got[None, "precious unique first line\nkeep B"] == 1 and got[None, None] == 1
+    assert sorted("\n".join(sevens).split("\n")) == ["x1 unique seven", "y1 other seven"]
+    before, after = ({line for r in rs for line in (r or "").split("\n")} for rs in ([t for _, t in rows], [r.text for r in kept]))
+    assert before == after
+    listed = line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert listed.count() == len(rows) and sorted(r.removed for r in listed.filter("doc_id is null").collect()) == ["", "0", "0", "2"]
+
+
 def test_line_dedup_rewrites_documents(spark, docs, empty):
     got = {r.doc_id: r for r in line_dedup.without_repeated_lines(docs).filter("doc_id is not null and doc_id <> 0").collect()}
     assert got[9].text == "\n".join(texts()[9].split("\n")[i] for i in (0, 2, 3)) and got[9].n_chars == len(got[9].text) and got[9].key == "k"
