@@ -3,21 +3,20 @@
 Input rows are frames of a stream in order of ``seq``: kind "window" (the words of one window, with
 times relative to it), "preview" (words of audio that is not yet a window), "keepalive" (nothing),
 "finalize" (flush without closing) and "end". Output rows are events. ``Session`` holds the rules; ``run_batch`` folds it over
-bounded input and ``run_stream`` over a streaming query with keyed state, with the same results. There
-is no event time: a word waits until its window's stride covers it, and order is by ``seq``.
+bounded input and ``processor.run_stream`` over a streaming query with typed keyed state, with the same
+results. There is no event time: a word waits until its window's stride covers it, and order is by ``seq``.
+What a session holds for long (pending words, texts said) is only added to until it is wanted as a whole.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable, Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cadenza.operators.stitch import LONGEST_OVERLAP, SHORTEST_OVERLAP
 
@@ -54,9 +53,30 @@ def merged(fragments: Iterable[str]) -> str:
     return " ".join(said)
 
 
+class Kept:
+    """Items that a session adds one by one and then wants as a whole; here in memory."""
+
+    def __init__(self) -> None:
+        self.items: list[Any] = []
+
+    def add(self, item: Any) -> None:
+        self.items.append(item)
+
+    def all(self) -> list[Any]:
+        return list(self.items)
+
+    def take(self) -> list[Any]:
+        """All items, which are then no longer held."""
+        got, self.items = self.items, []
+        return got
+
+
 @dataclass
 class Session:
-    """State and rules of one stream. Words are [word, start, end, stitch start, stitch end], in ms of the stream."""
+    """State and rules of one stream. Words are [word, start, end, stitch start, stitch end], in ms of the stream.
+
+    ``last`` is the last of the ``pending`` words and ``fragment`` the last of the ``fragments``, None where there is none.
+    """
 
     stride_ms: int = 5200
     gap_ms: int = 800
@@ -68,9 +88,16 @@ class Session:
     stitch_end: int | None = None
     end: int | None = None
     last_interim: int = 0
-    pending: list[list[Any]] = field(default_factory=list)
-    completed: str = ""
-    fragments: list[str] = field(default_factory=list)
+    last: list[Any] | None = None
+    fragment: str | None = None
+    pending: Kept = field(default_factory=Kept)
+    said: Kept = field(default_factory=Kept)
+    fragments: Kept = field(default_factory=Kept)
+
+    @property
+    def completed(self) -> str:
+        """All final texts so far."""
+        return attach(self.said.all())
 
     def _emit(self, kind: str, words: list[list[Any]], final: bool = False, from_finalize: bool = False, text: str | None = None, speech_final: bool = False) -> dict:
         self.event += 1
@@ -98,8 +125,8 @@ class Session:
 
     def _remember(self, text: str) -> None:
         """What is final goes before interim results; where none are wanted it is not kept."""
-        if self.interim:
-            self.completed = attach(filter(None, [self.completed, text]))
+        if self.interim and text:
+            self.said.add(text)
 
     def _complete(self, words: list[list[Any]], from_finalize: bool, speech_final: bool = True) -> Iterator[dict]:
         """A final result and, where words are wanted, the end of its utterance."""
@@ -109,22 +136,22 @@ class Session:
         if self.words:
             yield self._emit("UtteranceEnd", words[-1:], text="") | {"start_ms": words[-1][2], "end_ms": words[-1][2], "n_words": 0}
 
-    def _segments(self, from_finalize: bool) -> Iterator[dict]:
-        """Every segment whose end is known: never the last pending word's."""
-        at = 0
-        for k, (a, b) in enumerate(zip(self.pending, self.pending[1:], strict=False)):
-            if max(0, b[3] - a[4]) >= self.gap_ms or a[0][-1:] in (".", "!", "?"):
-                yield from self._complete(self.pending[at : k + 1], from_finalize)
-                at = k + 1
-        self.pending = self.pending[at:]
+    def _segments(self, fresh: list[list[Any]], from_finalize: bool) -> Iterator[dict]:
+        """Every segment whose end ``fresh`` words make known: never the last pending word's."""
+        for w in fresh:
+            if self.last is not None and (max(0, w[3] - self.last[4]) >= self.gap_ms or self.last[0][-1:] in (".", "!", "?")):
+                yield from self._complete(self.pending.take(), from_finalize)
+            self.pending.add(w)
+            self.last = w
 
     def _flush(self, close: bool) -> Iterator[dict]:
         """What is pending; where that is nothing, the text of windows without words."""
-        if self.pending:
-            yield from self._complete(self.pending, False, close)
-            self.pending = []
-        elif self.fragments:
-            text, self.fragments = merged(self.fragments), []
+        if self.last is not None:
+            self.last = None
+            yield from self._complete(self.pending.take(), False, close)
+        elif self.fragment is not None:
+            self.fragment = None
+            text = merged(self.fragments.take())
             self._remember(text)
             yield self._emit("Results", [], True, False, text, close)
 
@@ -138,16 +165,16 @@ class Session:
             self.samples = max(self.samples, f["start_sample"] + f["n_samples"])
             fresh = self._commit(f["start_sample"] * 1000 // RATE, f["words"], bool(f["is_final"]))
             text = (f.get("text") or "").strip()
-            if not f["words"] and text and (not self.fragments or self.fragments[-1] != text):
-                self.fragments.append(text)
-            self.pending += fresh
-            yield from self._segments(not f["is_final"])
+            if not f["words"] and text and self.fragment != text:
+                self.fragments.add(text)
+                self.fragment = text
+            yield from self._segments(fresh, not f["is_final"])
         elif kind == "preview":
             total = f["start_sample"] + f["n_samples"]
             self.samples = max(self.samples, total)
             if not self.interim or f["n_samples"] < MIN_PENDING_S * RATE or total - self.last_interim < MIN_NEW_S * RATE:
                 return
-            words, cutoff, end = list(self.pending), self.pending[-1][4] if self.pending else None, self.pending[-1][2] if self.pending else None
+            words, cutoff, end = self.pending.all(), *((self.last[4], self.last[2]) if self.last else (None, None))
             for w in f["words"]:
                 s, e = f["start_sample"] * 1000 // RATE + w["start_ms"], f["start_sample"] * 1000 // RATE + w["end_ms"]
                 if w["word"].strip() and (cutoff is None or e > cutoff + EPSILON_MS):
@@ -166,7 +193,7 @@ class Session:
             raise ValueError(f"unknown frame {kind!r}")
 
 
-def _frames(pdf: pd.DataFrame) -> Iterator[dict]:
+def in_order(pdf: pd.DataFrame) -> Iterator[dict]:
     for row in pdf.sort_values("seq").to_dict("records"):
         yield row | {"words": [dict(w) for w in (row["words"] if row["words"] is not None else [])]}
 
@@ -185,39 +212,7 @@ def run_batch(frames: DataFrame, **options: Any) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         session = Session(**options)
-        got = [e | {"stream_id": pdf["stream_id"].iloc[0]} for f in _frames(pdf) for e in session.feed(f)]
+        got = [e | {"stream_id": pdf["stream_id"].iloc[0]} for f in in_order(pdf) for e in session.feed(f)]
         return pd.DataFrame(got, columns=[c.split()[0] for c in EVENT.split(", ")])
 
     return frames.groupBy("stream_id").applyInPandas(run, EVENT)
-
-
-def run_stream(frames: DataFrame, idle_ms: int | None = 30_000, **options: Any) -> DataFrame:
-    """Events of a streaming query; a frame that comes out of order is an error.
-
-    A stream's state goes when it ends. A stream that gets no frame for ``idle_ms`` of processing time is
-    closed as if it had ended: what is pending is flushed. None waits for ever, as a query over what is
-    available now must, which timers would keep running. Frames after the end are passed over only while
-    they come with it; later ones begin a new stream.
-    """
-
-    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, last = state.get if state.exists else ("{}", -1)
-        session, out, ended = Session(**(options | json.loads(held))), [], state.hasTimedOut
-        frames_ = [{"kind": "end", "seq": last + 1}] if ended else _frames(pd.concat(list(pdfs)))
-        for f in frames_:
-            if f["seq"] <= last:
-                raise ValueError(f"frame {f['seq']} came after {last}")
-            last = f["seq"]
-            out += [e | {"stream_id": key[0]} for e in session.feed(f)]
-            if f["kind"] == "end":
-                ended = True
-                break
-        if ended:
-            state.remove()
-        else:
-            state.update((json.dumps(asdict(session)), int(last)))
-            if idle_ms is not None:
-                state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENT.split(", ")])
-
-    return frames.groupBy("stream_id").applyInPandasWithState(run, EVENT, "session string, last long", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

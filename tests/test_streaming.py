@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.operators import inference
-from cadenza.streaming import controls, session
+from cadenza.streaming import controls, processor, session
 
 OPTIONS = {"stride_ms": 5200, "gap_ms": 800, "interim": True}
 
@@ -31,7 +31,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for k in range(5):  # two frames of each stream at a time
         frames.filter(F.expr(f"seq div 2 = {k}")).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
     live = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    q = session.run_stream(live, idle_ms=None, **OPTIONS).writeStream.format("memory").queryName("events").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = processor.run_stream(live, idle_ms=None, **OPTIONS).writeStream.format("memory").queryName("events").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     try:
         assert q.awaitTermination(120)
     finally:
@@ -39,6 +39,84 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("events").collect()), key=str) == want
 
 
+def test_restart_after_a_kill_gives_the_same_events(spark, tmp_path):
+    """A query that is stopped between batches goes on from its checkpoint, with what its state held."""
+    frames = _frames(spark)
+    want = sorted(map(tuple, session.run_batch(frames, **OPTIONS).collect()), key=str)
+    (tmp_path / "in").mkdir()
+    live = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+
+    def start(name):
+        out = processor.run_stream(live, idle_ms=None, **OPTIONS)
+        return out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).queryName(name).trigger(availableNow=True).start()
+
+    for k in range(2):
+        frames.filter(F.expr(f"seq div 2 = {k}")).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    first = start("before")
+    assert first.awaitTermination(120)
+    for k in range(2, 5):
+        frames.filter(F.expr(f"seq div 2 = {k}")).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+
+    def fail(batch, number):
+        raise RuntimeError("killed")
+
+    broken = processor.run_stream(live, idle_ms=None, **OPTIONS).writeStream.foreachBatch(fail).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="killed"):
+        broken.awaitTermination(120)
+    assert start("after").awaitTermination(120)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()), key=str) == want
+
+
+def test_ended_streams_are_remembered_for_a_while(spark, tmp_path):
+    word = lambda w, s: (w, s, s + 300)
+    data = [("a", 3, "window", 0, 96_000, False, 0.0, [word("one", 100)], None), ("a", 4, "end", 0, 0, True, 0.0, [], None)]
+    again = [("a", 4, "end", 0, 0, True, 0.0, [], None), ("a", 5, "window", 0, 96_000, False, 0.0, [word("new", 100)], None), ("a", 6, "end", 0, 0, True, 0.0, [], None)]
+    (tmp_path / "in").mkdir()
+    live = spark.readStream.schema(session.FRAME).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    for k, rows in enumerate((data, again)):
+        spark.createDataFrame(rows, session.FRAME).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        q = processor.run_stream(live, idle_ms=None, closed_ms=600_000).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        try:
+            q.awaitTermination(60)
+        finally:
+            q.stop()
+    got = sorted((r.event, r.transcript) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(1, "new"), (1, "one"), (2, ""), (2, "")]
+
+
+class _Counted:
+    """List state that counts its reads."""
+
+    def __init__(self):
+        self.rows, self.reads = [], 0
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        self.reads += 1
+        return iter(self.rows)
+
+    def appendList(self, rows):  # noqa: N802
+        self.rows += rows
+
+    def clear(self):
+        self.rows = []
+
+
+def test_a_batch_does_not_read_what_is_held():
+    state = _Counted()
+    words, last = 0, None
+    for k in range(50):  # one segment that never ends, a batch for each window
+        s = session.Session(gap_ms=10**9, pending=processor.StateList(state), last=last, stitch_end=last and last[4], end=last and last[2])
+        list(s.feed({"kind": "window", "start_sample": k * 16_000, "n_samples": 16_000, "is_final": True, "rms": 0.0, "words": [{"word": f"w{k}", "start_ms": 0, "end_ms": 900}]}))
+        s.pending.store()
+        words, last = words + 1, s.last
+    assert state.reads == 0 and len(state.rows) == words == 50
+    flushed = list(session.Session(pending=processor.StateList(state), last=last).feed({"kind": "end"}))
+    assert flushed[0]["n_words"] == 50 and state.reads == 1 and not state.rows
+
+
 def test_last_word_waits_for_a_flush():
     s = session.Session()
     got = list(s.feed({"kind": "window", "start_sample": 0, "n_samples": 96_000, "is_final": False, "rms": 0.0, "words": [{"word": "one.", "start_ms": 0, "end_ms": 100}, {"word": "two", "start_ms": 200, "end_ms": 300}]}))
@@ -83,7 +161,7 @@ def test_state_goes_at_the_end_and_after_a_timeout(spark, tmp_path):
     data = [("a", 0, "window", 0, 96_000, False, 0.5, [word("one.", 100), word("two", 900)], None), ("a", 1, "end", 0, 0, True, 0.0, [], None), ("b", 0, "window", 0, 96_000, False, 0.5, [word("left", 100)], None)]
     spark.createDataFrame(data, session.FRAME).coalesce(1).write.parquet(str(tmp_path / "in/0"))
     live = spark.readStream.schema(session.FRAME).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    q = session.run_stream(live, idle_ms=200).writeStream.format("memory").queryName("silent").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="200 milliseconds").start()
+    q = processor.run_stream(live, idle_ms=200).writeStream.format("memory").queryName("silent").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="200 milliseconds").start()
     try:
         for _ in range(200):
             if spark.table("silent").filter("stream_id = 'b' AND from_finalize AND n_words = 0").count():
