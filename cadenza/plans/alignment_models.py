@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import frontend
 from cadenza.operators import align, inference, metrics, timing, windows
 from cadenza.plans.base import WORDS, query, table, values, words
-from cadenza.plans.sources_metrics import _PAIRS, _SPANS, _TOKENS, _VITERBI, _normal, _timed, _tokens, _turn_pairs
+from cadenza.plans.sources_metrics import _SPANS, _TOKENS, _TURNS, _VITERBI, _normal, _timed, _tokens, _turns
 from cadenza.plans.live_requests import live_windows
 from cadenza.streaming import session
 
@@ -95,7 +95,7 @@ def aln_groupdp(spark: SparkSession, d: str) -> DataFrame:
         hyp = [a + b for a, b in zip(ref[::2], [*ref[1::2], ""], strict=False)]
         return [(row["stream_id"], *g) for g in align.match_groups(hyp, [(k * 200, k * 200 + 190) for k in range(len(hyp))], ref, ref_ms)]
 
-    return align.by_row(_turn_pairs(spark, d), run, "stream_id long, hyp_from long, hyp_to long, ref_from long, ref_to long")
+    return align.by_row(_turns(spark, d), run, "stream_id long, hyp_from long, hyp_to long, ref_from long, ref_to long")
 
 
 @query("mth_power", """WITH x AS (SELECT vec_id, f AS frame, k, sum(embedding[f * 8 + t - 7]::DOUBLE * (0.5 - 0.5 * cos(2 * pi() * t / 15)) * cos(2 * pi() * k * t / 16)) AS re, sum(embedding[f * 8 + t - 7]::DOUBLE * (0.5 - 0.5 * cos(2 * pi() * t / 15)) * sin(2 * pi() * k * t / 16)) AS im
@@ -108,7 +108,7 @@ def mth_power(spark: SparkSession, d: str) -> DataFrame:
     return align.by_batch(table(spark, d, "embeddings").select("vec_id", "embedding"), energy, "vec_id", "embedding", "vec_id long, frame long, energy double").withColumn("energy", F.round("energy", 5))
 
 
-@query("inf_target", f"""WITH {_PAIRS}, u AS (SELECT stream_id, unnest(h) AS word, unnest(range(len(h))) AS k FROM f)
+@query("inf_target", f"""WITH {_TURNS}, u AS (SELECT stream_id, unnest(h) AS word, unnest(range(len(h))) AS k FROM f)
 SELECT stream_id, word, (sum(length(word)) OVER w - length(word))::BIGINT AS token_start, (sum(length(word)) OVER w)::BIGINT AS token_end FROM u WINDOW w AS (PARTITION BY stream_id ORDER BY k)""")
 def inf_target(spark: SparkSession, d: str) -> DataFrame:
     """Normalised words of a text with the numbers of their first and last token (characters as tokens)."""
@@ -118,7 +118,7 @@ def inf_target(spark: SparkSession, d: str) -> DataFrame:
         ends = np.cumsum([len(w) for w in ws], dtype=np.int64).tolist()
         return [(row["stream_id"], w, e - len(w), e) for w, e in zip(ws, ends, strict=True)]
 
-    return align.by_row(_turn_pairs(spark, d), run, "stream_id long, word string, token_start long, token_end long")
+    return align.by_row(_turns(spark, d), run, "stream_id long, word string, token_start long, token_end long")
 
 
 def _rows(row: dict, spans: list) -> list[tuple]:
@@ -136,7 +136,7 @@ def tim_charbnd(spark: SparkSession, d: str) -> DataFrame:
     return align.by_row(table(spark, d, "nation").select("n_nationkey", "n_name"), run, "n_nationkey int, inside long, at_end long, at_start long")
 
 
-@query("aln_mapgroup", f"""WITH {_PAIRS}, x AS (SELECT stream_id, k, len(h) * 100 AS d, length(h[2 * k + 1]) AS a, length(h[2 * k + 1]) + length(h[2 * k + 2]) AS l FROM (SELECT *, unnest(range(len(h) // 2)) AS k FROM f))
+@query("aln_mapgroup", f"""WITH {_TURNS}, x AS (SELECT stream_id, k, len(h) * 100 AS d, length(h[2 * k + 1]) AS a, length(h[2 * k + 1]) + length(h[2 * k + 2]) AS l FROM (SELECT *, unnest(range(len(h) // 2)) AS k FROM f))
 SELECT stream_id, 2 * k AS pos, greatest(200 * k - 20, 0) AS start_ms, least(200 * k + 190 * a // l + 5, d) AS end_ms FROM x UNION ALL SELECT stream_id, 2 * k + 1, greatest(200 * k + 190 * a // l - 20, 0), least(200 * k + 195, d) FROM x""")
 def aln_mapgroup(spark: SparkSession, d: str) -> DataFrame:
     """Each turn's words two by two, heard as one."""
@@ -147,10 +147,10 @@ def aln_mapgroup(spark: SparkSession, d: str) -> DataFrame:
             out += align.map_group([ws[k] + ws[k + 1]], [(k * 100, k * 100 + 190)], ws[k : k + 2], len(ws) * 100, align.AnchorConfig(start_offset_ms=-20, end_offset_ms=5))
         return _rows(row, out)
 
-    return align.by_row(_turn_pairs(spark, d), run, _SPANS)
+    return align.by_row(_turns(spark, d), run, _SPANS)
 
 
-@query("aln_recon", """WITH w AS (SELECT conv_id * 1000 + turn AS stream_id, len(list_filter(string_split_regex(ref, '\\s+'), lambda x: x <> '')) AS n FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nx, text AS ref FROM conversations) WHERE nx IS NOT NULL)
+@query("aln_recon", """WITH w AS (SELECT conv_id * 1000 + turn AS stream_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n FROM conversations)
 SELECT stream_id, k AS pos, CASE WHEN k = 0 THEN 0 ELSE k * 100 + 5 END AS start_ms, CASE WHEN k = n - 1 THEN k * 100 + 110 ELSE k * 100 + 105 END AS end_ms FROM w, LATERAL (SELECT unnest(range(n)) AS k)""")
 def aln_recon(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours that overlap by 10 ms meet in the middle."""
@@ -158,10 +158,10 @@ def aln_recon(spark: SparkSession, d: str) -> DataFrame:
     def run(row: dict) -> list[tuple]:
         return _rows(row, align.reconcile([(k * 100, k * 100 + 110) for k in range(len(row["hyp"].split()))]))
 
-    return align.by_row(_turn_pairs(spark, d), run, _SPANS)
+    return align.by_row(_turns(spark, d), run, _SPANS)
 
 
-@query("aln_fill", f"""WITH {_PAIRS}, x AS (SELECT stream_id, k, len(h) * 100 + 100 AS d, (len(h) - 1) // 3 * 300 AS a FROM (SELECT stream_id, h, unnest(range(len(h))) AS k FROM n))
+@query("aln_fill", f"""WITH {_TURNS}, x AS (SELECT stream_id, k, len(h) * 100 + 100 AS d, (len(h) - 1) // 3 * 300 AS a FROM (SELECT stream_id, h, unnest(range(len(h))) AS k FROM n))
 SELECT stream_id, k AS pos, CASE WHEN k * 100 > a THEN a + 110 + (d - a - 110) * (k * 100 - a - 90) // (d - a - 90) ELSE k * 100 + 20 END AS start_ms,
 CASE WHEN k * 100 > a THEN a + 110 + (d - a - 110) * (k * 100 - a) // (d - a - 90) ELSE k * 100 + 110 END AS end_ms FROM x""")
 def aln_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -172,20 +172,20 @@ def aln_fill(spark: SparkSession, d: str) -> DataFrame:
         anchors = [(s + 20, e + 20) if k % 3 == 0 else None for k, (s, e) in enumerate(ms)]
         return _rows(row, align.fill(anchors, ref, ms, len(ref) * 100 + 100) if ref else [])
 
-    return align.by_row(_turn_pairs(spark, d), run, _SPANS)
+    return align.by_row(_turns(spark, d), run, _SPANS)
 
 
-@query("mth_dither", "SELECT vec_id, i, embedding[i + 1]::DOUBLE AS sample, true AS small, true AS repeated FROM embeddings, range(64) t(i)")
+@query("mth_dither", """WITH RECURSIVE g AS (SELECT -1 AS i, 64::HUGEINT AS x UNION ALL SELECT i + 1, xor(c, (c << 17) & 18446744073709551615) FROM (SELECT i, xor(b, b >> 7) AS c FROM (SELECT i, xor(x, (x << 13) & 18446744073709551615) AS b FROM g WHERE i < 63)))
+SELECT vec_id, i::BIGINT AS i, round((x >> 11)::DOUBLE / 9007199254740992::DOUBLE * 2 - 1, 4) + 0.0 AS noise, embedding[i + 1]::DOUBLE AS sample FROM embeddings, g WHERE i >= 0""")
 def mth_dither(spark: SparkSession, d: str) -> DataFrame:
-    """Samples with the noise taken off again; the noise is small, never the same twice, and depends on the length alone."""
+    """The noise that each sample gets, in units of its scale, and the sample with the noise taken off again."""
 
     def noise(x: np.ndarray) -> list[np.ndarray]:
-        n = frontend.dither(x, 1e-5) - x
-        small = (np.abs(n) <= 1.01e-5) & (np.abs(n) > 0)
-        return [frontend.dither(x, 1e-5) - frontend.dither_noise(x.shape[1], 1e-5), small, np.abs(n - n[:1]) < 1e-12]
+        dithered = frontend.dither(x, 1e-5)
+        return [(dithered - x) / 1e-5, dithered - frontend.dither_noise(x.shape[1], 1e-5)]
 
-    found = align.by_batch(table(spark, d, "embeddings").select("vec_id", "embedding"), noise, "vec_id", "embedding", "vec_id long, i long, sample double, small boolean, repeated boolean")
-    return found.withColumn("sample", F.col("sample").cast("float").cast("double"))
+    found = align.by_batch(table(spark, d, "embeddings").select("vec_id", "embedding"), noise, "vec_id", "embedding", "vec_id long, i long, noise double, sample double")
+    return found.withColumn("noise", F.round("noise", 4) + 0.0).withColumn("sample", F.col("sample").cast("float").cast("double"))
 
 
 @query("inf_ctctrans", f"""WITH {_TOKENS}, p AS (SELECT *, 'P' || token AS text, token % 2 = 0 AS st FROM c), q AS (SELECT *, sum(st::INT) OVER (PARTITION BY stream_id ORDER BY run)::BIGINT AS pos FROM p),

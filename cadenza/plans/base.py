@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a local one only where no folder is named and all run on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.removeprefix('file:').rstrip('/')}/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="cadenza-")
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(stream_id, pos, word, start_ms, end_ms): the words of ``documents`` with invented, partly overlapping times."""
     docs = table(spark, sf_dir, "documents")

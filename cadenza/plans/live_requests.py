@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import frontend
 from cadenza.functions import scalars as S
 from cadenza.plans import config
-from cadenza.plans.base import WORDS, query, table, words
+from cadenza.plans.base import WORDS, query, scratch, table, words
 from cadenza.plans.sources_metrics import _LOG_MEL
-from cadenza.sources import sinks, streams
+from cadenza.sources import committed, sample_files, sinks, spool, streams
 from cadenza.streaming import controls, session
 
 
@@ -72,10 +74,14 @@ SELECT stream_id, seq, kind FROM f WHERE kind IS NOT NULL AND seq <= coalesce((S
 
 
 def _messages(spark: SparkSession, d: str, odd: str) -> DataFrame:
+    return _as_messages(table(spark, d, "events"), odd)
+
+
+def _as_messages(events: DataFrame, odd: str) -> DataFrame:
     """Events as messages of their user."""
     kind = F.expr("CASE WHEN event_id % 11 = 0 THEN 'ping' WHEN event_id % 397 = 1 THEN 'close' WHEN event_id % 3 = 0 THEN 'text' ELSE 'binary' END")
     control = F.expr(f"CASE event_id % 5 WHEN 0 THEN 'KeepAlive' WHEN 1 THEN 'Finalize' WHEN 2 THEN CASE WHEN event_id % 7 = 0 THEN 'CloseStream' ELSE 'KeepAlive' END WHEN 3 THEN '{odd}' ELSE 'Finalize' END")
-    return table(spark, d, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), kind.alias("type"), F.format_string('{"type":"%s"}', control).alias("payload"))
+    return events.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), kind.alias("type"), F.format_string('{"type":"%s"}', control).alias("payload"))
 
 
 @query("src_ws", "WITH " + _MESSAGES.format(odd="'Other'") + _FRAMES)
@@ -84,6 +90,37 @@ def src_ws(spark: SparkSession, d: str) -> DataFrame:
     return controls.frames(_messages(spark, d, "Other")).select("stream_id", "seq", "kind")
 
 
+@query("src_ws_spool", "WITH " + _MESSAGES.format(odd="'Other'") + _FRAMES)
+def src_ws_spool(spark: SparkSession, d: str) -> DataFrame:
+    """The messages of ``src_ws`` read through the spool source, a task for each row group of the table."""
+    spool.register(spark)
+    events = spark.read.format("spool").schema("event_id long, user_id long").option("path", f"{d}/events.parquet").load()
+    return controls.frames(_as_messages(events, "Other")).select("stream_id", "seq", "kind")
+
+
+@query("src_f32file", "SELECT r * 64 + i AS at, embedding[i + 1]::DOUBLE AS sample FROM (SELECT embedding, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings), range(64) t(i)")
+def src_f32file(spark: SparkSession, d: str) -> DataFrame:
+    """The embeddings in order of their ids as raw sample files, each read by several tasks, with the place of each sample in the whole."""
+    committed.register(spark)
+    path = scratch(spark)
+    rows = table(spark, d, "embeddings").repartitionByRange("vec_id").sortWithinPartitions("vec_id").select("embedding")
+    rows.write.format("committed").options(path=path, encoding="f32le").mode("append").save()
+    files = committed.manifest(path)
+    base = list(accumulate((f["size"] // 4 for f in files), initial=0))[:-1]
+    starts = spark.createDataFrame([(f["file"], b) for f, b in zip(files, base, strict=True)], "file string, base long")
+    found = sample_files.read_samples(spark, path, rangeBytes=1 << 16, rowSamples=4096).withColumn("file", F.substring_index("path", "/", -1))
+    return found.join(starts, "file").select("first_sample", "base", F.posexplode("samples").alias("i", "sample")).select((F.col("base") + F.col("first_sample") + F.col("i")).alias("at"), F.col("sample").cast("double").alias("sample"))
+
+
+@query("snk_committed", """SELECT '{"conv_id":' || conv_id || ',"turn":' || turn || ',"role":"' || role || '"}' AS value FROM conversations""")
+def snk_committed(spark: SparkSession, d: str) -> DataFrame:
+    """The turns as JSON lines through the sink with commit, and the lines of the files that its manifest lists."""
+    committed.register(spark)
+    path = scratch(spark)
+    table(spark, d, "conversations").select("conv_id", "turn", "role").write.format("committed").option("path", path).mode("append").save()
+    return committed.committed_lines(spark, path)
+
+
 @query("src_wsdirect", "WITH " + _MESSAGES.format(odd="'Finalize'") + _FRAMES)
 def src_wsdirect(spark: SparkSession, d: str) -> DataFrame:
     """The same where an unknown control is an error; there is none here."""

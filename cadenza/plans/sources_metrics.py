@@ -27,7 +27,7 @@ def src_f32le(spark: SparkSession, d: str) -> DataFrame:
     return streams.decode_samples(rows, "body").select("vec_id", F.posexplode("samples").alias("i", "sample")).withColumn("sample", F.col("sample").cast("double"))
 
 
-@query("snk_f32le", "SELECT vec_id, 256 AS n_bytes FROM embeddings")
+@query("snk_f32le", "SELECT vec_id, 4 * len(embedding) AS n_bytes FROM embeddings")
 def snk_f32le(spark: SparkSession, d: str) -> DataFrame:
     return sinks.encode_samples(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding").select("vec_id", F.length("body").alias("n_bytes"))
 
@@ -176,19 +176,26 @@ def mth_preemph(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.posexplode(S.preemphasis(F.col("embedding"))).alias("i", "y")).withColumn("y", F.round("y", 6))
 
 
-@query("mth_hann", "SELECT i, round(CASE WHEN i >= 56 AND i < 456 THEN 0.5 - 0.5 * cos(2 * pi() * (i - 56) / 399) ELSE 0 END, 9)::DOUBLE AS w FROM range(512) t(i)")
+@query("mth_hann", "SELECT vec_id, i, round(CASE WHEN i >= 12 AND i < 52 THEN 0.5 - 0.5 * cos(2 * pi() * (i - 12) / 39) ELSE 0 END * embedding[i + 1]::DOUBLE, 6) + 0.0 AS y FROM embeddings, range(64) t(i)")
 def mth_hann(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(1).select(F.posexplode(frontend.hann()).alias("i", "w")).withColumn("w", F.round("w", 9))
+    """Embeddings as frames of 64 samples under a window of 40 in their middle."""
+    windowed = F.zip_with("embedding", frontend.hann(40, 64), lambda x, w: x.cast("double") * w)
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode(windowed).alias("i", "y")).withColumn("y", F.round("y", 6) + 0.0)
 
 
-_MEL = """e AS (SELECT i, m, CASE WHEN m < 15 THEN m * 200 / 3 ELSE 1000 * exp(ln(6.4) * (m - 15) / 27) END AS hz FROM (SELECT i, i * (15 + 27 * ln(8.0) / ln(6.4)) / 129 AS m FROM range(130) t(i))),
-f AS (SELECT a.i AS band, k AS bin, greatest(0, least((k * 31.25 - a.hz) / (b.hz - a.hz), (c.hz - k * 31.25) / (c.hz - b.hz))) * 2 / (c.hz - a.hz) AS w FROM e a JOIN e b ON b.i = a.i + 1 JOIN e c ON c.i = a.i + 2, range(257) t(k))"""
+_MEL = """e AS (SELECT i, CASE WHEN m < 15 THEN m * 200 / 3 ELSE 1000 * exp(ln(6.4::DOUBLE) * (m - 15) / 27) END AS hz FROM (SELECT i, i * (15 + 27 * ln(8::DOUBLE) / ln(6.4::DOUBLE)) / 11 AS m FROM range(12) t(i))),
+f AS (SELECT a.i AS band, k AS bin, greatest(0, least((k * 16000 / 126 - a.hz) / (b.hz - a.hz), (c.hz - k * 16000 / 126) / (c.hz - b.hz))) * 2 / (c.hz - a.hz) AS w FROM e a JOIN e b ON b.i = a.i + 1 JOIN e c ON c.i = a.i + 2, range(64) t(k))"""
 
 
-@query("mth_mel", f"WITH {_MEL} SELECT band, count(*) FILTER (w > 0) AS bins, round(sum(w), 5) AS area FROM f GROUP BY band".replace("6.4", "6.4::DOUBLE").replace("8.0", "8::DOUBLE").replace("31.25", "31.25::DOUBLE"))
+@query("mth_mel", f"WITH {_MEL} SELECT vec_id, band, round(sum(w * embedding[bin + 1]::DOUBLE * embedding[bin + 1]::DOUBLE), 7) + 0.0 AS energy FROM embeddings, f GROUP BY 1, 2")
 def mth_mel(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(i, int((x > 0).sum()), round(float(x.sum()), 5)) for i, x in enumerate(frontend.mel_filters())]
-    return values(spark, "band long, bins long, area double", *rows)
+    """Embeddings as amplitudes of 64 frequencies: the energy in each of ten mel bands."""
+    filters = frontend.mel_filters(n_fft=126, mels=10)
+
+    def bands(x: np.ndarray) -> list[np.ndarray]:
+        return [(x * x) @ filters.T]
+
+    return align.by_batch(table(spark, d, "embeddings").select("vec_id", "embedding"), bands, "vec_id", "embedding", "vec_id long, band long, energy double").withColumn("energy", F.round("energy", 7) + 0.0)
 
 
 @query("mth_norm", "SELECT label, round(avg(z), 6) + 0.0 AS mean, round(stddev_samp(z), 4) AS deviation FROM (SELECT label, (x - avg(x) OVER p) / (stddev_samp(x) OVER p + 1e-5) AS z FROM (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings) WINDOW p AS (PARTITION BY label)) GROUP BY 1")
@@ -261,6 +268,11 @@ def _turn_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("ref", after).filter("ref is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"), F.col("text").alias("hyp"), "ref")
 
 
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn as words of a stream."""
+    return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"), F.col("text").alias("hyp"))
+
+
 def _normal(text: str) -> list[str]:
     return ["".join(c for c in w.lower() if c.isascii() and (c.isalnum() or c == "'")) for w in text.split()]
 
@@ -270,6 +282,9 @@ _PAIRS = r"""t AS (SELECT conv_id * 1000 + turn AS stream_id, text AS hyp, lead(
 n AS (SELECT stream_id, list_transform(list_filter(string_split_regex(hyp, '\s+'), lambda x: x <> ''), lambda x: lower(regexp_replace(x, '[^A-Za-z0-9'']', '', 'g'))) AS h,
 list_transform(list_filter(string_split_regex(ref, '\s+'), lambda x: x <> ''), lambda x: lower(regexp_replace(x, '[^A-Za-z0-9'']', '', 'g'))) AS r FROM t WHERE ref IS NOT NULL),
 f AS (SELECT stream_id, list_filter(h, lambda x: x <> '') AS h, list_filter(r, lambda x: x <> '') AS r, len(r) AS raw FROM n)"""
+#: Every turn in SQL: its normal words, with blank ones in ``n`` and without them in ``f``.
+_TURNS = r"""n AS (SELECT conv_id * 1000 + turn AS stream_id, list_transform(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''), lambda x: lower(regexp_replace(x, '[^A-Za-z0-9'']', '', 'g'))) AS h FROM conversations),
+f AS (SELECT stream_id, list_filter(h, lambda x: x <> '') AS h FROM n)"""
 _EDITS = f"""RECURSIVE {_PAIRS}, k AS MATERIALIZED (SELECT *, len(r) AS words FROM f),
 s AS (SELECT stream_id, 0::BIGINT AS i, j, j AS v FROM (SELECT stream_id, unnest(range(words + 1)) AS j FROM k) UNION ALL
 SELECT stream_id, i, j, j + min(t - j) OVER (PARTITION BY stream_id ORDER BY j) FROM (SELECT s.stream_id, s.i + 1 AS i, s.j, least(s.v + 1, coalesce(lag(s.v) OVER (PARTITION BY s.stream_id ORDER BY s.j) + (h[s.i + 1] <> r[s.j])::INT, s.v + 1)) AS t FROM s JOIN k USING (stream_id) WHERE s.i < len(h))),
@@ -338,18 +353,18 @@ _SPANS = "stream_id long, pos long, start_ms long, end_ms long"
 
 @query("aln_anchor")
 def aln_anchor(spark: SparkSession, d: str) -> DataFrame:
-    """Each turn retimed by itself with every seventh word misheard."""
+    """Each turn retimed by itself with every seventh word misheard; ``status`` tells why a turn keeps no times, ``got`` and ``needed`` by how much."""
 
     def run(row: dict) -> list[tuple]:
         ref, ref_ms = _timed(row["hyp"], 100)
         hyp, hyp_ms = ["zz" if k % 7 == 6 else w for k, w in enumerate(ref)], [(s + 15, e + 5) for s, e in ref_ms]
         try:
-            got, status = align.anchor(hyp, hyp_ms, ref, ref_ms, len(ref) * 100 + 100), "ok"
-        except ValueError as e:
-            got, status = [(-1, -1)] * len(ref), str(e)
-        return [(row["stream_id"], k, *x, status) for k, x in enumerate(got)]
+            got, why = align.anchor(hyp, hyp_ms, ref, ref_ms, len(ref) * 100 + 100), align.Unaligned("ok")
+        except align.Unaligned as e:
+            got, why = [(-1, -1)] * len(ref), e
+        return [(row["stream_id"], k, *x, why.code, why.got, why.needed) for k, x in enumerate(got)]
 
-    return align.by_row(_turn_pairs(spark, d), run, f"{_SPANS}, status string")
+    return align.by_row(_turns(spark, d), run, f"{_SPANS}, status string, got long, needed long")
 
 
 @query("aln_filleval")
@@ -377,7 +392,7 @@ _RANK = "list_sort(list({c}))[CAST(round({p} * (count(*) - 1)) AS INT) + 1]"
 
 @query("agg_pctl", f"SELECT user_id, {_RANK.format(c='value', p='0.5::DOUBLE')} AS p50, {_RANK.format(c='value', p='0.95::DOUBLE')} AS p95 FROM events GROUP BY 1")
 def agg_pctl(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("user_id").agg(metrics.percentile_rank(F.col("value"), 50).alias("p50"), metrics.percentile_rank(F.col("value"), 95).alias("p95"))
+    return metrics.percentiles_by(table(spark, d, "events"), ["user_id"], "value", {50: "p50", 95: "p95"})
 
 
 @query("agg_pctl_whole", f"SELECT 50::DOUBLE AS p, {_RANK.format(c='l_extendedprice', p='0.5::DOUBLE')} AS value FROM lineitem UNION ALL SELECT 99, {_RANK.format(c='l_extendedprice', p='0.99::DOUBLE')} FROM lineitem")
@@ -387,7 +402,8 @@ def agg_pctl_whole(spark: SparkSession, d: str) -> DataFrame:
 
 @query("agg_median", "SELECT l_suppkey, list_sort(list(l_partkey - l_orderkey))[count(*) // 2 + 1] AS median FROM lineitem GROUP BY 1")
 def agg_median(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(metrics.upper_median(F.col("l_partkey") - F.col("l_orderkey")).alias("median"))
+    rows = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_partkey") - F.col("l_orderkey")).alias("x"))
+    return metrics.upper_medians_by(rows, ["l_suppkey"], "x")
 
 
 _CALIB = f"""WITH {WORDS}, x AS (SELECT (pos * 7) % 23 - 5 AS s, (pos * 11) % 31 - 9 AS e FROM w), m AS (SELECT -list_sort(list(s))[count(*) // 2 + 1] AS so, -list_sort(list(e))[count(*) // 2 + 1] AS eo FROM x),
@@ -434,5 +450,5 @@ def agg_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query("agg_dist", "SELECT event_type, min(value) AS min, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS max FROM events GROUP BY 1")
 def agg_dist(spark: SparkSession, d: str) -> DataFrame:
-    found = table(spark, d, "events").groupBy("event_type").agg(*metrics.distribution("value"))
+    found = metrics.distribution(table(spark, d, "events"), ["event_type"], "value")
     return found.select("event_type", "min", *(F.round(c, 6).alias(c) for c in ("mean", "p50", "p90", "p95", "p99")), "max")

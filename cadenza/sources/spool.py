@@ -64,8 +64,8 @@ class Segments(InputPartition):
     def rows(self, schema: StructType) -> Iterator[pa.RecordBatch]:
         wanted = to_arrow_schema(schema)
         for file in self.files:
-            with pq.ParquetFile(file) as f:
-                for batch in f.iter_batches(8192, row_groups=self.groups, columns=schema.names):
+            with pq.ParquetFile(file, pre_buffer=False) as f:  # no threads, as workers fork
+                for batch in f.iter_batches(8192, row_groups=self.groups, columns=schema.names, use_threads=False):
                     yield pa.RecordBatch.from_arrays([batch.column(n).cast(wanted.field(n).type) for n in schema.names], schema=wanted)
 
 

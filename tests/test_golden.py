@@ -124,14 +124,14 @@ def test_groups_and_anchors():
     got = align.anchor(["go", "now"], [(110, 180), (220, 280)], ["go", "go", "now"], [(0, 100), (100, 200), (200, 300)], 300, permissive)
     assert got[1:] == [(110, 180), (220, 280)]
     assert align.anchor(["newyork"], [(100, 800)], ["new", "york"], [(0, 500), (500, 1000)], 1000, permissive) == [(100, 400), (400, 800)]
-    with pytest.raises(ValueError, match="matched 1/4"):
+    with pytest.raises(ValueError, match="few_matches"):
         align.anchor(["a"], [(0, 10)], ["a", "b", "c", "d"], [(k * 10, k * 10 + 10) for k in range(4)], 100)
 
 
 def test_reconcile_and_fill():
     config = align.AnchorConfig(0.5, 1, 8, -69, 18)
     assert align.anchor(["one", "two"], [(100, 200), (200, 300)], ["one", "two"], [(100, 200), (200, 300)], 400, config) == [(31, 174), (174, 318)]
-    with pytest.raises(ValueError, match="no time"):
+    with pytest.raises(ValueError, match="anchors_cross"):
         align.anchor(["one", "three"], [(0, 1), (1, 2)], ["one", "missing", "three"], [(0, 1), (1, 2), (1, 2)], 2, config)
     wide = align.AnchorConfig(0.5, 1, 8, -50, 50)
     got = align.anchor(["one", "three"], [(10, 100), (110, 200)], ["one", "missing", "three"], [(10, 100), (100, 110), (110, 200)], 300, wide)
