@@ -7,8 +7,8 @@ share one anchor travels as one passage.
 
 1. Blocks of documents exchange their anchors (``exchange``): one that a single document holds, as most
    do, can repeat nothing in another, and its passages stay out of all that follows.
-2. Blocks send each different passage once, with the smallest document that holds it, to the part that
-   its anchor falls in. An anchor that over ``HOT`` documents hold sends its strings one by one instead,
+2. Blocks send each different passage once, with the smallest document that holds it, to the part
+   (there are ``PARTS`` for each block) that its anchor falls in. An anchor that over ``HOT`` documents hold sends its strings one by one instead,
    each to the part of its own hash, so a line that a third of all documents share loads no single task.
 3. A part joins its passages into shards of ``SHARD_BYTES``. Each shard gets its suffix array by
    Larsson-Sadakane refinement (groups not yet in order are sorted by the rank of what follows them, at
@@ -27,7 +27,7 @@ rows each get a row; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,9 @@ from cadenza.llm.textkit import U64, mix, spans_hash
 LENGTH = 50
 GRAM = 24
 HOT = 1000
-SHARD_BYTES = 1_500_000
+SHARD_BYTES = 1_000_000
 BLOCK_BYTES = 8_000_000
+PARTS = 3  # parts that passages are dealt into, for each block
 LANES = 64  # positions of a sweep that Kasai's rule carries through
 _LAST = 2**63 - 1
 _SLICE = 1 << 20
@@ -140,11 +141,12 @@ class Shard:
         fresh = common < length
         fresh[:1] = True
         firsts = np.flatnonzero(fresh)
-        self.starts = order[firsts]
+        self.starts = order[firsts].astype(np.int32)
         doc = np.repeat(docs, sizes)[order]
         self.least = np.minimum.reduceat(doc, firsts) if len(firsts) else np.zeros(0, np.int64)
-        self._which = np.full(len(data), -1, np.int64)
-        self._which[order] = np.cumsum(fresh) - 1
+        which = np.full(len(data), -1, np.int32)
+        which[order] = np.cumsum(fresh, dtype=np.int32) - 1
+        self._which = which[which >= 0]  # the number of each string, in the order of positions
 
     def strings(self, a: int, b: int) -> np.ndarray:
         """Strings ``a`` to ``b`` as fixed-length bytes, which NumPy orders like the suffixes."""
@@ -168,7 +170,7 @@ class Shard:
 
     def of_passages(self) -> np.ndarray:
         """The smallest document of the string at each position that one starts at, in the order of positions."""
-        return self.least[self._which[self._which >= 0]]
+        return self.least[self._which]
 
 
 # ---- anchors and passages ----
@@ -301,7 +303,7 @@ def _runs(values: np.ndarray) -> tuple[bytes, bytes]:
     return np.diff(np.concatenate([cut_, [len(values)]])).astype(np.uint32).tobytes(), values[cut_].astype(np.int64).tobytes()
 
 
-def solve_part(messages: list[tuple[bytes, np.ndarray, np.ndarray]], length: int, shard_bytes: int) -> list[np.ndarray]:
+def solve_part(messages: Iterable[tuple[bytes, np.ndarray, np.ndarray]], length: int, shard_bytes: int) -> list[np.ndarray]:
     """For each message (passages, sizes, documents) the smallest document of each of its strings."""
     known: dict[bytes, int] = {}
     places = []
@@ -341,6 +343,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = number_of_blocks(rows, block_bytes, least_blocks)
+    parts = PARTS * blocks
     dealt = in_blocks(rows, blocks)
 
     def ids_of(table_: pa.Table) -> np.ndarray:
@@ -352,7 +355,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
     def passages(block: Block, table_: pa.Table, found: pa.Table) -> Passages:
         keys, at = np.unique(block.key, return_inverse=True)
-        return Passages(block, ids_of(table_), received(found, keys, ["held"], blocks)[0][at], hot, blocks)
+        return Passages(block, ids_of(table_), received(found, keys, ["held"], blocks)[0][at], hot, parts)
 
     def send(table_: pa.Table, found: pa.Table) -> pa.Table:
         columns = list(zip(*passages(Block(table_.column("text"), length, gram), table_, found).rows, strict=True)) or [[]] * 4
@@ -362,8 +365,9 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         return pa.table([part, pa.array([block] * len(part), pa.int32()), *others], ["part", "block", "raw", "sizes", "docs"])
 
     def meet(table_: pa.Table) -> pa.Table:
-        raw, sizes, low = (table_.column(c).to_pylist() for c in ("raw", "sizes", "docs"))
-        found = solve_part([(r, np.frombuffer(s, np.uint32).astype(np.int64), np.frombuffer(d, np.int64)) for r, s, d in zip(raw, sizes, low, strict=True)], length, shard_bytes)
+        columns = (table_.column(c) for c in ("raw", "sizes", "docs"))
+        messages_ = ((r.as_py(), np.frombuffer(s.as_buffer(), np.uint32).astype(np.int64), np.frombuffer(d.as_buffer(), np.int64)) for r, s, d in zip(*columns, strict=True))
+        found = solve_part(messages_, length, shard_bytes)
         runs, docs_ = zip(*map(_runs, found), strict=True)
         return pa.table([table_.column("block"), table_.column("part"), pa.array(runs, pa.binary()), pa.array(docs_, pa.binary())], ["block", "part", "runs", "docs"])
 
@@ -386,7 +390,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
     counted = totals(dealt.groupBy("block").applyInArrow(announce, "part int, block int, keys binary, held binary"), ["held"], blocks, np.uint32)
     messages = dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(send, "part int, block int, raw binary, sizes binary, docs binary")
-    solved = messages.repartition(blocks, "part").groupBy("part").applyInArrow(meet, "block int, part int, runs binary, docs binary").repartition(blocks, "block")
+    solved = messages.repartition(parts, "part").groupBy("part").applyInArrow(meet, "block int, part int, runs binary, docs binary").repartition(blocks, "block")
     none = F.lit(None).cast("binary")
     both = counted.select("block", "part", "held", none.alias("runs"), none.alias("docs")).unionByName(solved.select("block", "part", none.alias("held"), "runs", "docs")).repartition(blocks, "block")
     return dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
