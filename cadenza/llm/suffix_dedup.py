@@ -228,7 +228,7 @@ class Block:
             fresh &= inside[a : a + len(key)]
             at = np.flatnonzero(fresh)
             starts.append(a + at)
-            keys.append(key[at])
+            keys.append(mix(key[at]))  # least hashes are small: mixed again they fall evenly into parts
             last = key[-1]
         self.start, self.key = np.concatenate(starts), np.concatenate(keys)
         self.owner = np.searchsorted(self.offsets, self.start, "right") - 1
