@@ -25,8 +25,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of alike lines one stays, the first by (doc_id, line number); documents left without any line go.
 
-    Null and blank texts stay as they are, and so do blank lines. Repeated rows of an id count as one document
-    and keep the same lines; rows without an id count as one document after all others. ``n_chars`` follows the text.
+    Null and blank texts stay as they are, and so do blank lines. Rows of one id, or of none, are documents of
+    their own if their texts differ and keep the same lines if they do not; rows without an id come after all
+    others. ``n_chars`` follows the text.
     """
     return line_dedup.without_repeated_lines(docs)
 
