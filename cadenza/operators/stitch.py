@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 EPSILON_MS = 25
 LONGEST_OVERLAP, SHORTEST_OVERLAP = 24, 2
-_WORD = "struct<index:bigint,start_ms:bigint,end_ms:bigint,word:string,stitch_start_ms:bigint,stitch_end_ms:bigint>"
+BLOCK_MS = 1 << 14
+WINDOWS_PER_SLICE = 64
 
 
 def clamp(rows: DataFrame, stream: str = "stream_id", order: str = "pos") -> DataFrame:
@@ -24,41 +25,81 @@ def clamp(rows: DataFrame, stream: str = "stream_id", order: str = "pos") -> Dat
     return rows.withColumn("start_ms", start).withColumn("end_ms", F.col("_end")).drop("_k", "_i", "_end")
 
 
-def commit(rows: DataFrame, epsilon: int = EPSILON_MS) -> DataFrame:
-    """Committed words of each stream, as a fold over its windows in order.
+def commit(rows: DataFrame, epsilon: int = EPSILON_MS, block_ms: int = BLOCK_MS, windows_per_slice: int = WINDOWS_PER_SLICE) -> DataFrame:
+    """Committed words of each stream, as a fold over its windows in order: stream_id, index, start_ms, end_ms, word and both stitch times.
 
     ``rows``: stream_id, window_seq, pos, word, absolute start_ms, end_ms, stitch_start_ms,
     stitch_end_ms, and ``stable`` (final window, or the word ends within the stride). A word is
     skipped when its stitch end is at most ``epsilon`` past the last emitted one; skipped words
-    leave the cursors alone, so this is a fold and not a running maximum. A stream's words are
-    gathered in one row: its length bounds the state.
+    leave the cursors alone. Blank words and those without stream, window or stitch end are left out.
+
+    No stream is gathered, and one stream spreads over many tasks. An emitted word ends past all
+    words before it, so only such words (``_records``) matter, and their ends grow. They meet in
+    blocks of ``block_ms``, each of at most that many. What a block emits depends on the ones before
+    by the last emitted end alone, of which ``epsilon`` + 1 cases differ, so a block is a table of that many
+    exits. Tables are chained from one word that is emitted in any case (more than ``epsilon`` past
+    all before it) to the next, which is all that one row ever holds. Places and clamped times are
+    sums and maxima over blocks, then within them.
     """
-    usable = rows.filter(F.col("stable") & (F.trim("word") != ""))
-    item = F.struct("window_seq", "pos", "word", "start_ms", "end_ms", "stitch_start_ms", "stitch_end_ms")
-    grouped = usable.groupBy("stream_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-    def step(acc: Column, x: Column) -> Column:
-        first = acc["n"] == 0
-        skip = ~first & (x["stitch_end_ms"] <= acc["stitch"] + epsilon)
-        start = F.when(first, x["start_ms"]).otherwise(F.greatest(x["start_ms"], acc["end"]))
-        end = F.when(first, x["end_ms"]).otherwise(F.greatest(x["end_ms"], start + 1))
-        word = F.struct(acc["n"].alias("index"), start.alias("start_ms"), end.alias("end_ms"), x["word"].alias("word"), x["stitch_start_ms"].alias("stitch_start_ms"), x["stitch_end_ms"].alias("stitch_end_ms"))
-        grown = F.struct(F.concat(acc["out"], F.array(word)).alias("out"), (acc["n"] + 1).alias("n"), x["stitch_end_ms"].alias("stitch"), end.alias("end"))
-        return F.when(skip, acc).otherwise(grown)
-
-    # in blocks of about the root of a stream's length: a fold copies what it holds at each step
-    width = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size("items"))).cast("int"))
-    blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size("items"), F.lit(1)), width), lambda at: F.slice("items", at, width))
-    none, nowhere = F.array().cast(f"array<{_WORD}>"), F.lit(0).cast("long")
-    zero = F.struct(F.array().cast(f"array<array<{_WORD}>>").alias("outs"), nowhere.alias("n"), nowhere.alias("stitch"), nowhere.alias("end"))
-
-    def block(acc: Column, xs: Column) -> Column:
-        done = F.aggregate(xs, F.struct(none.alias("out"), acc["n"].alias("n"), acc["stitch"].alias("stitch"), acc["end"].alias("end")), step)
-        grown = lambda d: F.struct(F.concat(acc["outs"], F.array(d["out"])).alias("outs"), d["n"].alias("n"), d["stitch"].alias("stitch"), d["end"].alias("end"))
-        return F.get(F.transform(F.array(done), grown), F.lit(0))
-
-    done = grouped.select("stream_id", F.explode(F.flatten(F.aggregate(blocks, zero, block)["outs"])).alias("w"))
-    return done.select("stream_id", "w.*")
+    if block_ms <= epsilon:
+        raise ValueError("a block must be longer than epsilon")
+    none = -(epsilon + 1)  # a last end that far before a block skips nothing in it
+    key = ["stream_id", "_block"]
+    end = F.col("stitch_end_ms")
+    at = F.pmod(end, F.lit(block_ms)).cast("int")
+    free = F.coalesce(end > F.col("_last") + epsilon, F.lit(True))
+    item = F.struct(at.alias("at"), free.alias("free"), F.col("_last").isNull().alias("first"), "start_ms", "end_ms", "word", "stitch_start_ms", "stitch_end_ms")
+    usable = rows.filter(F.col("stable") & (F.trim("word") != "")).dropna(subset=["stream_id", "window_seq", "stitch_end_ms"])
+    # keys that cannot be null: else joins add filters to one side, and the shuffle of blocks is not reused
+    block = F.coalesce(F.call_function("div", end - at, F.lit(block_ms)), F.lit(0).cast("long"))
+    blocks = _records(usable, windows_per_slice).withColumn("_block", block).groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+
+    later = lambda last, x: F.when(x["at"] > last + epsilon, x["at"]).otherwise(last)
+    leave = lambda s: F.aggregate("_items", s + none, later)
+    cases = F.sequence(F.lit(0), F.when(F.get("_items", F.lit(0))["free"], 0).otherwise(epsilon))
+    tables = blocks.select(*key, F.transform(cases, leave).alias("_exits"))
+    chain = F.sum((F.size("_exits") == 1).cast("long")).over(Window.partitionBy("stream_id").orderBy("_block"))
+    chains = tables.withColumn("_chain", chain).groupBy("stream_id", "_chain").agg(F.array_sort(F.collect_list(F.struct("_block", "_exits"))).alias("_tables"))
+
+    def follow(acc: Column, t: Column) -> Column:
+        case = F.greatest(acc["last"] - block_ms - none, F.lit(0))
+        out = F.struct(t["_block"].alias("_block"), (case + none).alias("_enter"))
+        return F.struct(F.concat(acc["outs"], F.array(out)).alias("outs"), F.get(t["_exits"], F.least(case, F.size(t["_exits"]) - 1)).alias("last"))
+
+    start = F.struct(F.array().cast("array<struct<_block:bigint,_enter:int>>").alias("outs"), F.lit(0).alias("last"))
+    enters = chains.select("stream_id", F.inline(F.aggregate("_tables", start, follow)["outs"]))
+
+    def emit(acc: Column, x: Column) -> Column:
+        said = F.struct(F.concat(acc["outs"], F.array(x)).alias("outs"), x["at"].alias("last"))
+        return F.when(x["at"] > acc["last"] + epsilon, said).otherwise(acc)
+
+    empty = F.struct(F.slice("_items", F.lit(1), F.lit(0)).alias("outs"), F.col("_enter").alias("last"))
+    emitted = blocks.join(enters, key).select(*key, F.aggregate("_items", empty, emit)["outs"].alias("_out"))
+
+    # the clock of `clamp`: end'_i = i + the running maximum of k_i - i
+    k = lambda x: F.when(x["first"], x["end_ms"]).otherwise(F.greatest(x["end_ms"], x["start_ms"] + 1))
+    earlier = Window.partitionBy("stream_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = emitted.select(*key, F.size("_out").cast("long").alias("_n"), F.array_max(F.transform("_out", lambda x, i: k(x) - i)).alias("_k"))
+    bases = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0).cast("long"))).withColumn("_top", F.max(F.col("_k") - F.col("_base")).over(earlier))
+    rows = emitted.join(bases.select(*key, "_base", "_top"), key).select(*key, "_base", "_top", F.posexplode("_out").alias("_i", "_x"))
+    rows = rows.withColumn("index", F.col("_base") + F.col("_i")).withColumn("_k", k(F.col("_x")) - F.col("index"))
+    here = Window.partitionBy(*key).orderBy("_i")
+    before = F.greatest("_top", F.max("_k").over(here.rowsBetween(Window.unboundedPreceding, -1)))
+    begin = F.greatest(F.col("_x.start_ms"), F.col("index") - 1 + before)
+    until = F.col("index") + F.greatest(before, F.col("_k"))
+    return rows.select("stream_id", "index", begin.alias("start_ms"), until.alias("end_ms"), "_x.word", "_x.stitch_start_ms", "_x.stitch_end_ms")
+
+
+def _records(rows: DataFrame, windows_per_slice: int) -> DataFrame:
+    """Those of ``rows`` that end past all before them in their stream, with the latest end before as ``_last``: maxima of slices, then within."""
+    key = ["stream_id", "_slice"]
+    sliced = rows.withColumn("_slice", F.coalesce(F.call_function("div", F.col("window_seq"), F.lit(windows_per_slice)), F.lit(0).cast("long")))
+    tops = sliced.groupBy(*key).agg(F.max("stitch_end_ms").alias("_top"))
+    earlier = Window.partitionBy("stream_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = tops.select(*key, F.max("_top").over(earlier).alias("_before"))
+    here = Window.partitionBy(*key).orderBy("window_seq", "pos", "word", "start_ms", "end_ms", "stitch_start_ms", "stitch_end_ms").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.greatest("_before", F.max("stitch_end_ms").over(here))
+    return sliced.join(before, key).withColumn("_last", last).filter(F.col("_last").isNull() | (F.col("stitch_end_ms") > F.col("_last"))).drop("_before", "_slice")
 
 
 def preview(pending: DataFrame, ahead: DataFrame, epsilon: int = EPSILON_MS) -> DataFrame:
