@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import frontend
 from cadenza.functions import scalars as S
-from cadenza.operators import align, metrics
+from cadenza.operators import align, metrics, windows
 from cadenza.plans.base import WORDS, query, table, values, words
 from cadenza.sources import sinks, streams
 
@@ -222,6 +222,37 @@ def mth_logmel(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("vec_id", F.posexplode("features").alias("band", "values")).withColumn("values", F.transform("values", lambda v: F.round(v, 4) + 0.0))
 
 
+#: 32 embeddings as the rows of one stream of samples.
+_SAMPLE_ROWS = """r AS (SELECT vec_id // 32 AS stream_id, row_number() OVER (PARTITION BY vec_id // 32 ORDER BY vec_id, j) - 1 AS i, v
+FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS j FROM embeddings)), n AS (SELECT stream_id, count(*) AS n FROM r GROUP BY 1)"""
+
+
+def _sample_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.expr("vec_id div 32").alias("stream_id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("samples"))
+
+
+@query("win_hop_rows", f"""WITH {_SAMPLE_ROWS}, w AS (SELECT stream_id, k, n, CASE WHEN n < 100 THEN 0 ELSE (n - 100) // 80 + 1 END AS f, v
+FROM (SELECT *, unnest([i // 80, i // 80 - 1]) AS k FROM r) JOIN n USING (stream_id) WHERE k >= 0 AND i < k * 80 + 100)
+SELECT stream_id, k AS window_seq, k * 80 AS start_sample, count(*) AS n_samples, k = f AS is_final, sum(CAST(round(v * 1000) AS BIGINT))::BIGINT AS total FROM w WHERE k < f OR (k = f AND n - f * 80 >= 30) GROUP BY ALL""")
+def win_hop_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of streams whose samples come in many rows."""
+    total = F.aggregate("window", F.lit(0).cast("long"), lambda a, x: a + F.round(x.cast("double") * 1000).cast("long"))
+    return windows.hop_windows_of_rows(_sample_rows(spark, d), 100, 20, 30).withColumn("total", total).drop("window")
+
+
+@query("mth_logmel_rows", f"""WITH {_SAMPLE_ROWS}, s AS (SELECT stream_id, i, v - 0.97::DOUBLE * coalesce(lag(v) OVER (PARTITION BY stream_id ORDER BY i), 0) AS x FROM r),
+d AS (SELECT stream_id, f, k, sum(x * wt * cos(2 * pi() * k * t / 16)) AS re, sum(x * wt * sin(2 * pi() * k * t / 16)) AS im
+FROM (SELECT stream_id, f, x, i - f * 8 + 8 AS t, 0.5 - 0.5 * cos(2 * pi() * (i - f * 8 + 8) / 15) AS wt FROM (SELECT *, unnest([i // 8, i // 8 + 1]) AS f FROM s) JOIN n USING (stream_id) WHERE f < n // 8), range(9) b(k) GROUP BY ALL),
+g AS (SELECT i, CASE WHEN m < 15 THEN m * 200 / 3 ELSE 1000 * exp(ln(6.4::DOUBLE) * (m - 15) / 27) END AS hz FROM (SELECT i, i * (15 + 27 * ln(8::DOUBLE) / ln(6.4::DOUBLE)) / 9 AS m FROM range(10) t(i))),
+c AS (SELECT x.i AS band, k, greatest(0, least((k * 1000 - x.hz) / (y.hz - x.hz), (z.hz - k * 1000) / (z.hz - y.hz))) * 2 / (z.hz - x.hz) AS w FROM g x JOIN g y ON y.i = x.i + 1 JOIN g z ON z.i = x.i + 2, range(9) t(k)),
+l AS (SELECT stream_id, band, f, ln(sum(w * (re * re + im * im)) + pow(2::DOUBLE, -24)) AS v FROM d JOIN c USING (k) GROUP BY ALL)
+SELECT stream_id, f AS frame, list(round((v - m) / (dev + 1e-5), 4) + 0.0 ORDER BY band) AS bands FROM (SELECT *, avg(v) OVER p AS m, stddev_samp(v) OVER p AS dev FROM l WINDOW p AS (PARTITION BY stream_id, band)) GROUP BY ALL""")
+def mth_logmel_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Features of streams whose samples come in many rows."""
+    frames = frontend.log_mel_frames(_sample_rows(spark, d), mels=8, n_fft=16, hop=8, win=16)
+    return frames.withColumn("bands", F.transform("bands", lambda v: F.round(v, 4) + 0.0))
+
+
 @query("mth_argmax1", "SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS token FROM embeddings")
 def mth_argmax1(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", S.argmax_first(F.col("embedding")).alias("token"))
