@@ -3,13 +3,14 @@
 Every line that is not blank takes part. Lines are alike when they are equal, or when their edit
 distance is at most ``threshold`` and at most one for each ``PER_EDIT`` code points of the shorter
 line, so a short line is alike only its copies. A line that may have t edits is cut into t + 1
-segments, of which any line alike must hold one unchanged. Lines are indexed by (length, segment
-number, segment) and probed with the substrings that a partner of each admissible length could
-share. Candidates are verified by a banded bit-parallel edit distance.
+segments, of which any line alike must hold one unchanged. Segments are of one size for all lines of a
+class of lengths and are counted from the nearer end of the line, so that few places have to be probed.
+Lines are indexed by (class, segment number, segment) and probed with the substrings that a partner of
+each admissible length could share. Candidates are verified by a banded bit-parallel edit distance.
 
-A segment that more than ``LIST`` lines share would give a square of pairs. At threshold 1 such
-lines are joined by their one-deletion neighbourhoods instead, as stars, which is exact as well and
-linear. At higher thresholds they are paired in cells of two blocks of about ``LIST`` lines.
+A segment that more than ``LIST`` lines share would give a square of pairs. There each line first meets
+one line of each length, and lines alike become classes; then lines of different classes that may be alike
+by their lengths and by the parities of their characters meet. Both together are exact.
 
 Of each class of alike lines the occurrence of smallest (doc_id, hash of the text, line number) stays;
 the others go. A line goes only if one alike stays in some row.
@@ -24,6 +25,8 @@ texts of one id by 64.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +34,10 @@ from cadenza.llm.components import connected_components
 from cadenza.llm.session import broadcast_up_to, cut, free_name, table
 from cadenza.llm.spans import let
 
-THRESHOLD = 1
+THRESHOLD = 4
 PER_EDIT = 20
 LIST = 48
-WINDOW = 64
+BLOCK = 512  # lines of a long list that meet in one cell with as many others
 BROADCAST_ROWS = 1_000_000
 HOT_LINES = 500_000  # most lines whose occurrences are looked up without a shuffle
 _LAST = 2**63 - 1
@@ -50,14 +53,11 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.filter(F.col("line").rlike(r"\S")).select("doc_id", "tag", "pos", "line", F.length("line").alias("n"), F.xxhash64("line").alias("id"), F.hash("line").alias("check"))
 
 
-def _segment(n: Column, threshold: int, i: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment ``i`` of a line of length ``n``: the last ones are the longer."""
-    parts = threshold + 1
-    short = F.floor(n / parts).cast("int")
-    longer = n - short * parts  # that many segments at the end have one more
-    size = F.when(F.lit(i) >= parts - longer, short + 1).otherwise(short)
-    start = short * i + F.greatest(F.lit(i) - (parts - longer), F.lit(0))
-    return start, size
+def _class(n: Column, threshold: int, per_edit: int) -> Column:
+    """Class of a line of length ``n`` in units of ``per_edit``: one class a unit up to the threshold, then 2 and 3 times each power of two."""
+    x = F.floor(n / per_edit)
+    unit = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(x)) - 1, F.lit(0)))
+    return F.when(x <= threshold, x).otherwise(F.greatest(F.lit(threshold), F.floor(x / unit) * unit)).cast("int")
 
 
 def allowed(n: Column, threshold: int, per_edit: int) -> Column:
@@ -66,54 +66,89 @@ def allowed(n: Column, threshold: int, per_edit: int) -> Column:
 
 
 def entries(lines: DataFrame, threshold: int = THRESHOLD, per_edit: int = PER_EDIT) -> DataFrame:
-    """(key, id, n, probe): index entries of each line, and probes for partners of the same or a smaller length."""
-    key = lambda length, i, text: F.xxhash64(length, F.lit(i), text)
-    n, line = F.col("n"), F.col("line")
-    out = []
-    for t in range(1, threshold + 1):
-        own = allowed(n, threshold, per_edit) == t
-        for i in range(t + 1):
-            start, size = _segment(n, t, i)
-            out.append(F.struct(F.when(own, key(n, i, F.substring(line, start + 1, size))).alias("key"), F.lit(False).alias("probe")))
-            for less in range(t + 1):
-                start, size = _segment(n - less, t, i)
-                theirs = allowed(n - less, threshold, per_edit) == t
-                # where the other line's segment can lie here: bounded by the errors left of it and right of it
-                for shift in range(-t, t + 1):
-                    if max(-i, less - (t - i)) <= shift <= min(i, less + (t - i)):
-                        if shift == 0 and less == 0:
-                            continue  # equal to the index entry
-                        at = start + shift
-                        fits = theirs & (at >= 0) & (at + size <= n)
-                        out.append(F.struct(F.when(fits, key(n - less, i, F.substring(line, at + 1, size))).alias("key"), F.lit(True).alias("probe")))
-    rows = lines.filter(n >= per_edit).select("id", "n", F.explode(F.array(*out)).alias("e"))
-    return rows.select("e.key", "id", "n", "e.probe").filter("key is not null")
-
-
-def _pairs_in(lists: DataFrame, threshold: int, more: str = "true") -> DataFrame:
-    """(a, b) of the lines of each list ``x``; ``more`` is a further condition on the members u and v."""
-    fits = lambda u, v: (u["id"] < v["id"]) & (F.abs(u["n"] - v["n"]) <= threshold) & ~(u["probe"] & v["probe"])
-    across = (lambda u, v: u["own"] != v["own"]) if more == "across" else (lambda u, v: F.lit(True))
-    pair = F.explode(F.flatten(F.transform("x", lambda u: F.transform(F.filter("x", lambda v: fits(u, v) & across(u, v)), lambda v: F.struct(u["id"].alias("a"), v["id"].alias("b"))))))
+    """(key, id, n, probe): index entries of each line, and probes for partners of the same or a smaller length.
+
+    Of t + 1 segments one is unchanged with at most as many edits before it as segments, and likewise after
+    it; so segment i lies within i places of where it is counted from the line's begin, or within t - i
+    counted from its end, and is looked for from the nearer side. Classes are wider than the threshold: a
+    partner is of the line's own class or of that of the line less ``threshold`` characters.
+    """
+    if per_edit <= threshold:
+        raise ValueError("per_edit has to be more than threshold")
+    at = lambda c, own: F.struct(c.alias("c"), F.lit(own).alias("own"))
+    own, less = _class(F.col("n"), threshold, per_edit), _class(F.col("n") - threshold, threshold, per_edit)
+    of = F.when((less < own) & (less > 0), F.array(at(own, True), at(less, False))).otherwise(F.array(at(own, True)))
+    places = [(i, t, s) for t in range(1, threshold + 1) for i in range(t + 1) for s in range(-min(i, t - i), min(i, t - i) + 1)]
+    where = F.array(*(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i, t_, s in places if t_ == t)) for t in range(1, threshold + 1)))
+    rows = lines.filter(F.col("n") >= per_edit).select("id", "n", "line", F.explode(of).alias("k"))
+    rows = rows.select("id", "n", "line", "k.c", "k.own", F.least(F.col("k.c"), F.lit(threshold)).alias("t"))
+    rows = rows.select("*", F.floor(F.col("c") * per_edit / (F.col("t") + 1)).cast("int").alias("size"), F.explode(F.get(where, F.col("t") - 1)).alias("p"))
+    i, t, size, s = F.col("p.i"), F.col("t"), F.col("size"), F.col("p.s")
+    start = F.when(i <= t - i, i * size + s).otherwise(F.col("n") - (t + 1 - i) * size - s)
+    rows = rows.withColumn("start", start).filter((F.col("start") >= 0) & (F.col("start") + size <= F.col("n")))
+    return rows.select(F.xxhash64("c", "p.i", F.substring("line", F.col("start") + 1, size)).alias("key"), "id", "n", (~F.col("own") | (s != 0)).alias("probe"))
+
+
+def signature(line: Column) -> Column:
+    """Parities of how often characters of each of 64 classes occur: an edit changes at most two of them."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(bit(c)))
+
+
+def _fits(u: Column, v: Column, threshold: int, per_edit: int) -> Column:
+    """May the indexed line u, not longer than v, be alike it?"""
+    most = allowed(u["n"], threshold, per_edit)
+    lengths = (u["n"] <= v["n"]) & (v["n"] - u["n"] <= most) & ~u["probe"]
+    return (u["id"] != v["id"]) & lengths & (F.bit_count(u["sig"].bitwiseXOR(v["sig"])) <= most * 2)
+
+
+def _pairs_in(lists: DataFrame, threshold: int, per_edit: int, more: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(a, b) of the lines of each list ``x`` that may be alike; ``more`` is a further condition on the members u and v."""
+    fits = lambda u, v: _fits(u, v, threshold, per_edit) & (more(u, v) if more else F.lit(True))
+    ends = lambda u, v: F.struct(F.least(u["id"], v["id"]).alias("a"), F.greatest(u["id"], v["id"]).alias("b"))
+    pair = F.explode(F.flatten(F.transform("x", lambda u: F.transform(F.filter("x", lambda v: fits(u, v)), lambda v: ends(u, v)))))
     return lists.select(pair.alias("p")).select("p.a", "p.b")
 
 
-def candidates(lines: DataFrame, threshold: int = THRESHOLD, longest: int = LIST, per_edit: int = PER_EDIT) -> tuple[DataFrame, DataFrame]:
-    """(a, b) pairs of line ids to be verified, and (id) of lines in long lists."""
-    distinct = entries(lines, threshold, per_edit).groupBy("key", "id", "n").agg(F.min("probe").alias("probe"))
+def shared_entries(lines: DataFrame, threshold: int = THRESHOLD, per_edit: int = PER_EDIT) -> DataFrame:
+    """(key, id, n, probe, held) of the entries whose key several lines hold, one of them in its index."""
+    all_ = entries(lines, threshold, per_edit)
+    keys = all_.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("probe").alias("probes")).filter("lo < hi AND NOT probes").select("key")
+    found = all_.join(broadcast_up_to(cut(keys), BROADCAST_ROWS), "key", "left_semi").groupBy("key", "id", "n").agg(F.min("probe").alias("probe"))
+    found = cut(found)
     # a join, not a window: Spark splits the partition of a key that very many lines share
-    held = distinct.groupBy("key").agg(F.count("*").alias("held"), F.bool_and("probe").alias("probes")).filter("held > 1 AND NOT probes").select("key", "held")
-    shared = cut(distinct.join(held, "key"))
-    lists = shared.filter(F.col("held") <= longest).groupBy("key").agg(F.collect_list(F.struct("id", "n", "probe")).alias("x"))
-    pairs, long_ = _pairs_in(lists, threshold), shared.filter(F.col("held") > longest)
-    if threshold > 1:
-        blocks = F.ceil(F.col("held") / longest).cast("int")
-        own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-        cells = long_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        cells = cells.groupBy("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(F.collect_list(F.struct("id", "n", "probe", "own")).alias("x"))
-        pairs = pairs.unionByName(_pairs_in(cells.filter("lo = hi"), threshold)).unionByName(_pairs_in(cells.filter("lo < hi"), threshold, "across"))
-        long_ = long_.filter("false")
-    return pairs.distinct(), long_.select("id").distinct()
+    return found.join(found.groupBy("key").agg(F.count("*").alias("held")), "key")
+
+
+def candidates(shared: DataFrame, threshold: int = THRESHOLD, longest: int = LIST, per_edit: int = PER_EDIT) -> DataFrame:
+    """(a, b) pairs of line ids to be verified: all of lists of up to ``longest`` lines, stars of the longer ones.
+
+    In a longer list every line meets the smallest indexed line of each length that allows them to be alike.
+    """
+    member = F.struct("id", "n", "probe", "sig")
+    pairs = _pairs_in(shared.filter(F.col("held") <= longest).groupBy("key").agg(F.collect_list(member).alias("x")), threshold, per_edit)
+    long_ = shared.filter(F.col("held") > longest)
+    first = long_.filter("NOT probe").groupBy("key", "n").agg(F.min(member).alias("u"))
+    met = long_.select("key", member.alias("v"), F.explode(F.sequence(F.col("n") - threshold, F.col("n"))).alias("n")).join(first, ["key", "n"])
+    stars = met.filter(_fits(F.col("u"), F.col("v"), threshold, per_edit)).select(F.least("u.id", "v.id").alias("a"), F.greatest("u.id", "v.id").alias("b"))
+    return pairs.unionByName(stars).distinct()
+
+
+def between_classes(long_: DataFrame, root: DataFrame, threshold: int, per_edit: int, block: int = BLOCK) -> DataFrame:
+    """(a, b) pairs of lines of one long list that may be alike and that no path of verified edges connects as yet.
+
+    Blocks of a list meet two by two, in cells. Lines that many others are alike are of one class by then, so
+    few pairs are left whatever a list's length; what grows with its square is the comparison of signatures.
+    """
+    blocks = F.ceil(F.col("held") / block).cast("int")
+    rows = long_.join(root, "id", "left").withColumn("root", F.coalesce("root", "id")).withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = cells.groupBy("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    cells = cells.agg(F.collect_list(F.struct("id", "n", "probe", "sig", "root", "own")).alias("x"))
+    apart = lambda u, v: u["root"] != v["root"]
+    across = lambda u, v: apart(u, v) & (u["own"] != v["own"])
+    pairs = _pairs_in(cells.filter("low = high"), threshold, per_edit, apart).unionByName(_pairs_in(cells.filter("low < high"), threshold, per_edit, across))
+    return pairs.distinct()
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -134,8 +169,8 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
 
     The band of 2 * threshold + 1 diagonals is one word of bits. For each character of ``b`` the
     vertical differences along the band are updated by the bit-parallel recurrence, and the value on
-    the band's last diagonal is followed. What both texts begin and end with is left out beforehand; if
-    more than one character is left of either, one edit cannot be all. ``threshold`` is from 1 to 30.
+    the band's last diagonal is followed. What both texts begin and end with is left out beforehand.
+    ``threshold`` is from 1 to 30.
     """
     width = 2 * threshold + 1
     mask = (1 << width) - 1
@@ -176,8 +211,7 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
 
         start = F.struct(F.lit(mask & ~((1 << threshold) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.least(F.lit(threshold), m).alias("score"))
         far = F.lit(threshold + 1)
-        short = F.lit(threshold > 1) | (F.greatest(m, n) <= 1)
-        return F.when((F.abs(m - n) > threshold) | ~short, far).when((m == 0) | (n == 0), F.greatest(m, n)).otherwise(F.least(far, F.aggregate(F.sequence(F.lit(1), n), start, step)["score"]))
+        return F.when(F.abs(m - n) > threshold, far).when((m == 0) | (n == 0), F.greatest(m, n)).otherwise(F.least(far, F.aggregate(F.sequence(F.lit(1), n), start, step)["score"]))
 
     def trimmed(k: Column) -> Column:
         u, v = k["u"], k["v"]
@@ -194,40 +228,26 @@ def texts_of(lines: DataFrame, ids: DataFrame) -> DataFrame:
     return lines.select("id", "line").join(broadcast_up_to(ids, BROADCAST_ROWS), "id").groupBy("id").agg(F.min("line").alias("line"))
 
 
-def neighbourhood_edges(texts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(a, b): stars that connect exactly those texts at distance 1.
+def verified(pairs: DataFrame, texts: DataFrame, threshold: int, per_edit: int) -> DataFrame:
+    """Those of ``pairs`` whose lines are alike, by their banded edit distance."""
+    left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
+    most = allowed(F.least(F.length("x"), F.length("y")), threshold, per_edit)
+    return pairs.join(left, "a").join(right, "b").filter(banded_distance(F.col("x"), F.col("y"), threshold) <= most).select("a", "b")
+
 
-    Texts that agree but for the character at one place form a star around their smallest id; a text
-    equal to another less one character is tied to it. A place lies in one window of the text, and what
-    is before and after the window enters the keys as a hash, so a place costs no more than a window.
-    """
-    n = F.length("line")
-    starts = lambda top: F.explode(F.sequence(F.lit(0), F.floor(top / window).cast("int"))).alias("j")
-    at = F.col("j") * window
-    before = F.xxhash64(F.substring(F.col("line"), F.lit(1), at)).alias("pre")
-    cut_ = texts.filter(n > 0).select("id", "line", n.alias("m"), starts(n - 1))
-    cut_ = cut_.select("id", "j", (F.col("m") - 1).alias("n"), before, F.substring(F.col("line"), at + 1, F.lit(window)).alias("w"), F.xxhash64(F.substring(F.col("line"), at + window + 1, F.col("m"))).alias("post"))
-    less = cut_.select("*", F.explode(F.sequence(F.lit(0), F.length("w") - 1)).alias("i"))
-    less = less.select("id", "j", "n", "i", F.xxhash64("pre", "post", F.concat(F.expr("left(w, i)"), F.expr("substring(w, i + 2)"))).alias("key"))
-    same = less.groupBy("key", "n", "j", "i").agg(F.min("id").alias("a"), F.count("*").alias("c")).filter("c > 1")
-    swapped = less.join(same, ["key", "n", "j", "i"]).select("a", F.col("id").alias("b"))
-    whole = texts.select("id", "line", n.alias("n"), starts(n))
-    size = F.least(F.lit(window), F.col("n") + 1 - at) - 1  # of the window with the place taken out
-    shorter = whole.select(F.col("id").alias("a"), "n", "j", F.xxhash64(before, F.xxhash64(F.substring(F.col("line"), at + size + 1, F.col("n") + 1)), F.substring(F.col("line"), at + 1, size)).alias("key"))
-    return swapped.unionByName(less.select("id", "key", "n", "j").distinct().join(shorter, ["key", "n", "j"]).select("a", F.col("id").alias("b"))).filter("a <> b").distinct()
-
-
-def alike(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LIST, per_edit: int = PER_EDIT) -> DataFrame:
+def alike(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LIST, per_edit: int = PER_EDIT, block: int = BLOCK) -> DataFrame:
     """(id, root): the class of every line that is alike another, different line."""
     lines = lines_of(docs)
-    pairs, hot = candidates(lines, threshold, longest, per_edit)
-    pairs, hot = cut(pairs), cut(hot)
-    texts = cut(texts_of(lines.filter(F.col("n") >= per_edit), pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(hot).distinct()))
-    left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
-    most = allowed(F.least(F.length("x"), F.length("y")), threshold, per_edit)
-    near = pairs.join(left, "a").join(right, "b").filter(banded_distance(F.col("x"), F.col("y"), threshold) <= most).select("a", "b")
-    edges = near.unionByName(neighbourhood_edges(texts.join(hot, "id", "left_semi"))) if threshold == 1 else near
-    return connected_components(cut(edges)).select(F.col("node").alias("id"), "root")
+    shared = cut(shared_entries(lines, threshold, per_edit))
+    texts = cut(texts_of(lines.filter(F.col("n") >= per_edit), shared.select("id").distinct()).withColumn("sig", signature(F.col("line"))))
+    shared = cut(shared.join(texts.select("id", "sig"), "id"))
+    edges = cut(verified(candidates(shared, threshold, longest, per_edit), texts, threshold, per_edit))
+    root = connected_components(edges).select(F.col("node").alias("id"), "root")
+    long_ = shared.filter(F.col("held") > longest)
+    if long_.isEmpty():
+        return root
+    more = verified(between_classes(long_, cut(root), threshold, per_edit, block), texts, threshold, per_edit)
+    return connected_components(cut(edges.unionByName(more))).select(F.col("node").alias("id"), "root")
 
 
 def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LIST, per_edit: int = PER_EDIT) -> DataFrame:

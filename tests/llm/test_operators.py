@@ -213,11 +213,11 @@ def test_banded_distance(spark):
             b[i : i + rnd.randint(0, 1)] = [rnd.choice("abcé")] * rnd.randint(0, 1)
         rows.append(("".join(a), "".join(b)))
     df = spark.createDataFrame(rows, "a string, b string")
-    for t in (1, 2, 3):
+    for t in (1, 2, 3, 4, 6):
         assert df.filter(line_dedup.banded_distance(F.col("a"), F.col("b"), t) != F.least(F.levenshtein("a", "b"), F.lit(t + 1))).count() == 0
 
 
-def line_classes(rows, threshold=1, per_edit=20):
+def line_classes(rows, threshold=line_dedup.THRESHOLD, per_edit=line_dedup.PER_EDIT):
     """The lines that go, by comparing all pairs."""
     occ = [(i, k, line) for i, t in rows if t is not None for k, line in enumerate(t.split("\n")) if line.strip()]
     kinds = sorted({line for *_, line in occ})
@@ -228,13 +228,24 @@ def line_classes(rows, threshold=1, per_edit=20):
             x = root[x]
         return x
 
+    def slide(a, b, i, d):
+        while i < len(a) and 0 <= i + d < len(b) and a[i] == b[i + d]:
+            i += 1
+        return i
+
     def near(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, old = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y)))
-        return row[-1] <= min(threshold, min(len(a), len(b)) // per_edit)
+        """How far each diagonal comes with 0, 1, ... edits."""
+        reach = {0: slide(a, b, 0, 0)}
+        for _ in range(min(threshold, min(len(a), len(b)) // per_edit)):
+            if reach.get(len(b) - len(a)) == len(a):
+                return True
+            new = {}
+            for d, i in reach.items():
+                for d2, i2 in ((d, i + 1), (d - 1, i + 1), (d + 1, i)):
+                    if i2 <= len(a) and 0 <= i2 + d2 <= len(b):
+                        new[d2] = max(new.get(d2, -1), i2)
+            reach = {d: max(slide(a, b, i, d), reach.get(d, -1)) for d, i in new.items()}
+        return reach.get(len(b) - len(a)) == len(a)
 
     for i, a in enumerate(kinds):
         for b in kinds[:i]:
@@ -261,31 +272,40 @@ def test_line_dedup(spark, longest, threshold, per_edit):
     assert got == line_classes(rows, threshold, per_edit)
 
 
-def test_line_neighbourhoods(spark):
-    rnd, base = random.Random(17), "".join(random.Random(18).choice("abcde") for _ in range(200))
-    kinds = {base, base[:63] + base[64:], base[:64] + base[65:], base[:-1], base[1:], base + "a", base[:127] + "x" + base[128:], "a", "b", "ab", "c" * 64, "c" * 65, "c" * 66}
-    for _ in range(40):
-        x = list(rnd.choice(sorted(kinds)))
-        x[rnd.randrange(len(x))] = rnd.choice(["", "a", "bb"])
-        kinds |= {"".join(x)} - {""}
-    texts_ = dict(enumerate(sorted(kinds)))
-
-    def one_edit(a, b):
-        a, b = sorted((a, b), key=len)
-        k = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
-        return len(b) - len(a) <= 1 and a[k + (len(a) == len(b)) :] == b[k + 1 :]
-
-    edges = [(r.a, r.b) for r in line_dedup.neighbourhood_edges(spark.createDataFrame(list(texts_.items()), "id long, line string"), 64).collect()]
-    assert all(one_edit(texts_[a], texts_[b]) for a, b in edges)
+@pytest.mark.parametrize(("longest", "block"), [(line_dedup.LIST, line_dedup.BLOCK), (2, 4)])
+def test_line_dedup_at_its_defaults(spark, longest, block):
+    """Lines of all lengths around the bounds of classes, at distances to 6 from each other, equal brute force; with short lists too."""
+    rnd, rows = random.Random(17), []
+    words_ = [w * k for w in ("ab", "cde", "fghi", "jé") for k in (1, 2, 3)]
+    for i in range(60):
+        base = " ".join(rnd.choice(words_) for _ in range(60))
+        base = ("so it is said of old and of new: " + base)[: rnd.choice([19, 20, 23, 39, 40, 42, 59, 61, 79, 80, 82, 118, 121, 159, 160, 240, 243])]
+        for k in range(4):
+            x = list(base)
+            for _ in range(rnd.randint(0, 6)):
+                j = rnd.randint(0, len(x) - 1)
+                x[j : j + rnd.randint(0, 1)] = rnd.choice(["", "x", "q", "é"])
+            rows.append((4 * i + k, "".join(x)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    roots = {r.id: r.root for r in line_dedup.alike(df, longest=longest, block=block).collect()}
+    ids = {r.doc_id: roots.get(r.id, r.id) for r in line_dedup.lines_of(df).collect()}
+    first = {}
+    for i in sorted(ids):
+        first.setdefault(ids[i], i)
+    gone = line_classes(rows)
+    assert {(i, 0) for i in ids if first[ids[i]] != i} == gone and len(gone) > 60
 
-    def groups(pairs):
-        root = {k: k for k in texts_}
-        for a, b in pairs:
-            old, new = root[a], root[b]
-            root = {k: new if r == old else r for k, r in root.items()}
-        return sorted(sorted(k for k in root if root[k] == r) for r in set(root.values()))
 
-    assert groups(edges) == groups((a, b) for a in texts_ for b in texts_ if a < b and one_edit(texts_[a], texts_[b]))
+def test_line_dedup_joins_long_lists(spark):
+    """Lines that share a segment with hundreds of others: a family of lines alike, and pairs beside it."""
+    rnd, head = random.Random(5), "All rights are reserved by the holders of this page, "
+    rows = []
+    for i in range(150):
+        own = "".join(rnd.choice("abcdefghij ") for _ in range(60))
+        rows += [(len(rows), head + own), (len(rows) + 1, head + own[: i % 50] + "##" + own[i % 50 + 1 :])]
+    rows += [(len(rows) + k, f"{head}page {k} of the printed edition in two volumes") for k in range(120)]
+    got = {(r.doc_id, r.pos) for r in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == line_classes(rows) and len(got) == 150 + 119
 
 
 def test_line_dedup_removes_short_copies(spark):
