@@ -207,7 +207,8 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
                 score = q["score"] + F.when(reach, row).otherwise(low)
                 return F.struct(vp2.alias("vp"), vn2.alias("vn"), score.alias("score"))
 
-            return let(F.struct(match(j).alias("eq"), acc["vp"].alias("vp"), acc["vn"].alias("vn"), acc["score"].alias("score")), go)
+            on = let(F.struct(match(j).alias("eq"), acc["vp"].alias("vp"), acc["vn"].alias("vn"), acc["score"].alias("score")), go)
+            return F.when(acc["score"] > 3 * threshold, acc).otherwise(on)  # the last row takes off at most 2 * threshold
 
         start = F.struct(F.lit(mask & ~((1 << threshold) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.least(F.lit(threshold), m).alias("score"))
         far = F.lit(threshold + 1)
@@ -232,7 +233,9 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int, per_edit: int)
     """Those of ``pairs`` whose lines are alike, by their banded edit distance."""
     left, right = texts.select(F.col("id").alias("a"), F.col("line").alias("x")), texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
     most = allowed(F.least(F.length("x"), F.length("y")), threshold, per_edit)
-    return pairs.join(left, "a").join(right, "b").filter(banded_distance(F.col("x"), F.col("y"), threshold) <= most).select("a", "b")
+    pairs = cut(pairs)  # few bytes but much work: not to be put together into few tasks
+    spread = pairs.repartition(max(pairs.sparkSession.sparkContext.defaultParallelism * 2, -(-pairs.count() // 10_000)), "a", "b")
+    return spread.join(left, "a").join(right, "b").filter(banded_distance(F.col("x"), F.col("y"), threshold) <= most).select("a", "b")
 
 
 def alike(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LIST, per_edit: int = PER_EDIT, block: int = BLOCK) -> DataFrame:
