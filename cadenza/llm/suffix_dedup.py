@@ -245,7 +245,7 @@ class Block:
 
 
 class Passages:
-    """The different passages that a block sends, by part, and where each of its runs (or single strings) is among them."""
+    """The different passages that a block sends, by part and in an order that does not depend on that of its rows, and where each of its runs (or single strings) is among them."""
 
     def __init__(self, block: Block, ids: np.ndarray, held: np.ndarray, hot: int, parts: int) -> None:
         shared = held > 1
@@ -268,7 +268,9 @@ class Passages:
         part = np.zeros(m, np.int64)
         part[self.at] = part_of
         passages = list(found)
-        order = np.argsort(part, kind="stable")
+        # by part, then by bytes: rows of a block come in another order each time that executors read them
+        order = np.array(sorted(range(m), key=passages.__getitem__), np.int64)
+        order = order[np.argsort(part[order], kind="stable")]
         cuts = np.searchsorted(part[order], np.arange(parts + 1))
         self.rows = []
         self.strings = np.zeros(m, np.int64)  # how many strings each passage holds

@@ -85,6 +85,23 @@ def test_against_brute_force(spark, hot, shard_bytes):
     assert found(suffix_dedup.repeated_bytes(df, length=16, gram=8, hot=hot, shard_bytes=shard_bytes, least_blocks=3)) == brute(short, 16)
 
 
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 3])
+def test_passages_of_a_block_in_any_order_of_its_rows(hot):
+    """What a block sends and what it later makes of the answers are found in two passes, whose rows may come in different orders."""
+    rows = [(LAST if k is None else k, t) for k, t in fixture()]
+
+    def sent(order):
+        block = suffix_dedup.Block(pa.array([rows[i][1] for i in order], pa.string()), 50, 24)
+        keys, n = block.documents_of()
+        held = n[np.searchsorted(keys, block.key)]
+        return suffix_dedup.Passages(block, np.array([rows[i][0] for i in order]), held, hot, 6).rows
+
+    first = sent(range(len(rows)))
+    assert len(first) == 6
+    for seed in range(3):
+        assert sent(random.Random(seed).sample(range(len(rows)), len(rows))) == first
+
+
 def test_query_on_the_table(spark):
     path = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(path + "/documents.parquet").collect()]
