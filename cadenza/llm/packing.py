@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.pieces import PieceTable
-from cadenza.llm.session import cut, small_batches, table
+from cadenza.llm.session import cut, give_back, small_batches, table
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
 ROWS_PER_BUCKET = 20_000
 MOST_BUCKETS = 1 << 18  # of all lengths together, beside one for each
-_CHUNK_CHARS = 1 << 20
+_CHUNK_CHARS = 1 << 18  # tokenising takes about 20 bytes a character, as NumPy counts them
 
 
 @lru_cache(maxsize=2)
@@ -54,6 +54,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = _pieces(tokenizer)
+        give_back()
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -66,6 +67,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int
                         rows.append((ids[a + k], p, s, len(part), zlib.crc32(part.tobytes())))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,13 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def give_back() -> None:
+    """Return to the system what this Python worker has freed: workers live on from stage to stage, and glibc keeps their pages."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows; otherwise unchanged, so Spark shuffles.
 
