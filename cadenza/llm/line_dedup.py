@@ -6,11 +6,11 @@ line, so a short line is alike only its copies. A line that may have t edits is
 segments, of which any line alike must hold one unchanged. Segments are of one size for all lines of a
 class of lengths and are counted from the nearer end of the line, so that few places have to be probed.
 Lines are indexed by (class, segment number, segment) and probed with the substrings that a partner of
-each admissible length could share. Candidates are verified by a banded bit-parallel edit distance.
+each admissible length could share. Candidates are verified by a banded edit distance.
 
 A segment that more than ``LIST`` lines share would give a square of pairs. There each line first meets
 one line of each length, and lines alike become classes; then lines of different classes that may be alike
-by their lengths and by the parities of their characters meet. Both together are exact.
+by their lengths and by the parities of their characters and pairs of characters meet. Both together are exact.
 
 Of each class of alike lines the occurrence of smallest (doc_id, hash of the text, line number) stays;
 the others go. A line goes only if one alike stays in some row.
@@ -25,8 +25,6 @@ texts of one id by 64.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +36,8 @@ THRESHOLD = 4
 PER_EDIT = 20
 LIST = 48
 BLOCK = 512  # lines of a long list that meet in one cell with as many others
+HEAD = 200  # characters by which most texts that are not alike are told apart
+SHORT = 20_000  # longer texts are compared by bits: the time of levenshtein grows with the square, if slowly
 BROADCAST_ROWS = 1_000_000
 HOT_LINES = 500_000  # most lines whose occurrences are looked up without a shuffle
 _LAST = 2**63 - 1
@@ -86,28 +86,39 @@ def entries(lines: DataFrame, threshold: int = THRESHOLD, per_edit: int = PER_ED
     i, t, size, s = F.col("p.i"), F.col("t"), F.col("size"), F.col("p.s")
     start = F.when(i <= t - i, i * size + s).otherwise(F.col("n") - (t + 1 - i) * size - s)
     rows = rows.withColumn("start", start).filter((F.col("start") >= 0) & (F.col("start") + size <= F.col("n")))
-    return rows.select(F.xxhash64("c", "p.i", F.substring("line", F.col("start") + 1, size)).alias("key"), "id", "n", (~F.col("own") | (s != 0)).alias("probe"))
+    # the hash of a text is that of its bytes, and those of ASCII are found without counting characters
+    segment = lambda line: F.xxhash64("c", "p.i", F.substring(line, F.col("start") + 1, size))
+    key = F.when(F.octet_length("line") == F.col("n"), segment(F.col("line").cast("binary"))).otherwise(segment(F.col("line")))
+    return rows.select(key.alias("key"), "id", "n", (~F.col("own") | (s != 0)).alias("probe"))
+
+
+def signatures(texts: DataFrame) -> DataFrame:
+    """(id, sig) of (id, line): parities of how often characters (of 64 classes) and pairs of neighbours (of 128) occur.
+
+    An edit changes at most two of the first and four of the others.
+    """
+    chars = texts.select("id", F.split("line", "").alias("x")).select("id", "x", F.posexplode("x").alias("i", "c"))
+    pair, char = F.hash("c", F.coalesce(F.get("x", F.col("i") + 1), F.lit(""))), F.ascii("c")
+    parity = lambda k, where: F.bit_xor(F.when(where, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))  # noqa: E731 (by the lower six bits)
+    low = pair.bitwiseAND(F.lit(64)) == 0
+    found = chars.groupBy("id").agg(parity(char, F.lit(True)).alias("chars"), parity(pair, low).alias("low"), parity(pair, ~low).alias("high"))
+    return found.select("id", F.struct("chars", "low", "high").alias("sig"))
 
 
-def signature(line: Column) -> Column:
-    """Parities of how often characters of each of 64 classes occur: an edit changes at most two of them."""
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
-    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(bit(c)))
+def _lengths_fit(u: Column, v: Column, threshold: int, per_edit: int) -> Column:
+    """May the indexed line u, not longer than v, be alike it by their lengths?"""
+    return (u["id"] != v["id"]) & (u["n"] <= v["n"]) & (v["n"] - u["n"] <= allowed(u["n"], threshold, per_edit)) & ~u["probe"]
 
 
 def _fits(u: Column, v: Column, threshold: int, per_edit: int) -> Column:
-    """May the indexed line u, not longer than v, be alike it?"""
+    """May the indexed line u, not longer than v, be alike it by lengths and signatures?"""
     most = allowed(u["n"], threshold, per_edit)
-    lengths = (u["n"] <= v["n"]) & (v["n"] - u["n"] <= most) & ~u["probe"]
-    return (u["id"] != v["id"]) & lengths & (F.bit_count(u["sig"].bitwiseXOR(v["sig"])) <= most * 2)
+    changed = lambda c: F.bit_count(u["sig"][c].bitwiseXOR(v["sig"][c]))
+    return _lengths_fit(u, v, threshold, per_edit) & (changed("chars") <= most * 2) & (changed("low") + changed("high") <= most * 4)
 
 
-def _pairs_in(lists: DataFrame, threshold: int, per_edit: int, more: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """(a, b) of the lines of each list ``x`` that may be alike; ``more`` is a further condition on the members u and v."""
-    fits = lambda u, v: _fits(u, v, threshold, per_edit) & (more(u, v) if more else F.lit(True))
-    ends = lambda u, v: F.struct(F.least(u["id"], v["id"]).alias("a"), F.greatest(u["id"], v["id"]).alias("b"))
-    pair = F.explode(F.flatten(F.transform("x", lambda u: F.transform(F.filter("x", lambda v: fits(u, v)), lambda v: ends(u, v)))))
-    return lists.select(pair.alias("p")).select("p.a", "p.b")
+def _ends(u: Column, v: Column) -> list[Column]:
+    return [F.least(u["id"], v["id"]).alias("a"), F.greatest(u["id"], v["id"]).alias("b")]
 
 
 def shared_entries(lines: DataFrame, threshold: int = THRESHOLD, per_edit: int = PER_EDIT) -> DataFrame:
@@ -120,17 +131,21 @@ def shared_entries(lines: DataFrame, threshold: int = THRESHOLD, per_edit: int =
     return found.join(found.groupBy("key").agg(F.count("*").alias("held")), "key")
 
 
-def candidates(shared: DataFrame, threshold: int = THRESHOLD, longest: int = LIST, per_edit: int = PER_EDIT) -> DataFrame:
+def candidates(shared: DataFrame, long_: DataFrame, threshold: int = THRESHOLD, longest: int = LIST, per_edit: int = PER_EDIT) -> DataFrame:
     """(a, b) pairs of line ids to be verified: all of lists of up to ``longest`` lines, stars of the longer ones.
 
-    In a longer list every line meets the smallest indexed line of each length that allows them to be alike.
+    In a longer list (``long_``, with signatures) every line meets the smallest indexed line of each length
+    that allows them to be alike.
     """
+    u, v = F.col("u"), F.col("v")
+    short = shared.filter(F.col("held") <= longest)
+    member = F.struct("id", "n", "probe")
+    met = short.filter("NOT probe").select("key", member.alias("u")).join(short.select("key", member.alias("v")), "key")
+    pairs = met.filter(_lengths_fit(u, v, threshold, per_edit)).select(*_ends(u, v))
     member = F.struct("id", "n", "probe", "sig")
-    pairs = _pairs_in(shared.filter(F.col("held") <= longest).groupBy("key").agg(F.collect_list(member).alias("x")), threshold, per_edit)
-    long_ = shared.filter(F.col("held") > longest)
     first = long_.filter("NOT probe").groupBy("key", "n").agg(F.min(member).alias("u"))
     met = long_.select("key", member.alias("v"), F.explode(F.sequence(F.col("n") - threshold, F.col("n"))).alias("n")).join(first, ["key", "n"])
-    stars = met.filter(_fits(F.col("u"), F.col("v"), threshold, per_edit)).select(F.least("u.id", "v.id").alias("a"), F.greatest("u.id", "v.id").alias("b"))
+    stars = met.filter(_fits(u, v, threshold, per_edit)).select(*_ends(u, v))
     return pairs.unionByName(stars).distinct()
 
 
@@ -142,26 +157,37 @@ def between_classes(long_: DataFrame, root: DataFrame, threshold: int, per_edit:
     """
     blocks = F.ceil(F.col("held") / block).cast("int")
     rows = long_.join(root, "id", "left").withColumn("root", F.coalesce("root", "id")).withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = cells.groupBy("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    cells = cells.agg(F.collect_list(F.struct("id", "n", "probe", "sig", "root", "own")).alias("x"))
-    apart = lambda u, v: u["root"] != v["root"]
-    across = lambda u, v: apart(u, v) & (u["own"] != v["own"])
-    pairs = _pairs_in(cells.filter("low = high"), threshold, per_edit, apart).unionByName(_pairs_in(cells.filter("low < high"), threshold, per_edit, across))
-    return pairs.distinct()
+    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+    member = F.struct("id", "n", "probe", "sig", "root")
+    left = rows.filter("NOT probe").select("key", F.col("own").alias("i"), every.alias("j"), member.alias("u"))
+    right = rows.select("key", every.alias("i"), F.col("own").alias("j"), member.alias("v"))
+    u, v = F.col("u"), F.col("v")
+    return left.join(right, ["key", "i", "j"]).filter((u["root"] != v["root"]) & _fits(u, v, threshold, per_edit)).select(*_ends(u, v)).distinct()
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """Length of the common prefix of two texts, by bisection."""
-    top = F.least(F.length(a), F.length(b))
+    """Length of the common prefix of two texts, by bisection; ASCII is compared as bytes, which need not be counted."""
+
+    def bisected(p: Column) -> Column:
+        top = F.least(F.length(p["a"]), F.length(p["b"]))
 
-    def step(acc: Column, _: Column) -> Column:
-        mid = F.floor((acc["lo"] + acc["hi"] + 1) / 2).cast("int")
-        same = F.substring(a, F.lit(1), mid) == F.substring(b, F.lit(1), mid)
-        return F.struct(F.when(same, mid).otherwise(acc["lo"]).alias("lo"), F.when(same, acc["hi"]).otherwise(mid - 1).alias("hi"))
+        def step(acc: Column, _: Column) -> Column:
+            def halve(q: Column) -> Column:
+                same = F.substring(p["a"], F.lit(1), q["mid"]) == F.substring(p["b"], F.lit(1), q["mid"])
+                return F.when(same, F.struct(q["mid"].alias("lo"), q["hi"].alias("hi"))).otherwise(F.struct(q["lo"].alias("lo"), (q["mid"] - 1).alias("hi")))
 
-    steps = F.sequence(F.lit(0), F.ceil(F.log2(top + 2.0)).cast("int"))
-    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), top.alias("hi")), step)["lo"]
+            mid = F.floor((acc["lo"] + acc["hi"] + 1) / 2).cast("int")
+            return let(F.struct(acc["lo"].alias("lo"), acc["hi"].alias("hi"), mid.alias("mid")), halve)
+
+        steps = F.sequence(F.lit(0), F.ceil(F.log2(top + 2.0)).cast("int"))
+        return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), top.alias("hi")), step)["lo"]
+
+    def of(p: Column) -> Column:
+        ascii_ = (F.octet_length(p["a"]) == F.length(p["a"])) & (F.octet_length(p["b"]) == F.length(p["b"]))
+        as_bytes = F.struct(p["a"].cast("binary").alias("a"), p["b"].cast("binary").alias("b"))
+        return F.when(ascii_, let(as_bytes, bisected)).otherwise(bisected(p))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def banded_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -169,14 +195,23 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
 
     The band of 2 * threshold + 1 diagonals is one word of bits. For each character of ``b`` the
     vertical differences along the band are updated by the bit-parallel recurrence, and the value on
-    the band's last diagonal is followed. What both texts begin and end with is left out beforehand.
-    ``threshold`` is from 1 to 30.
+    the band's last diagonal is followed. What both texts begin and end with is left out beforehand; texts whose
+    next ``HEAD`` characters differ by more than twice the threshold are further apart than it, and for texts of
+    up to ``SHORT`` characters Spark's own function is faster. ``threshold`` is from 1 to 30.
     """
     width = 2 * threshold + 1
     mask = (1 << width) - 1
 
     def of(p: Column) -> Column:
         x, y, m, n = p["x"], p["y"], p["m"], p["n"]
+        far = F.lit(threshold + 1)
+        apart = F.levenshtein(F.substring(x, 1, HEAD), F.substring(y, 1, HEAD), 2 * threshold) < 0
+        short = let(F.levenshtein(x, y, threshold), lambda d: F.when(d < 0, far).otherwise(d))
+        long_ = let(F.struct(F.split(x, "").alias("x"), F.split(y, "").alias("y"), m.alias("m"), n.alias("n")), in_band)
+        return F.when(F.abs(m - n) > threshold, far).when((m == 0) | (n == 0), F.greatest(m, n)).when(apart, far).when(F.greatest(m, n) <= SHORT, short).otherwise(long_)
+
+    def in_band(p: Column) -> Column:
+        x, y, m, n = p["x"], p["y"], p["m"], p["n"]
 
         def match(j: Column) -> Column:
             """Bits of the band's rows (j - threshold ... j + threshold) whose character equals y's at j."""
@@ -211,14 +246,13 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
             return F.when(acc["score"] > 3 * threshold, acc).otherwise(on)  # the last row takes off at most 2 * threshold
 
         start = F.struct(F.lit(mask & ~((1 << threshold) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.least(F.lit(threshold), m).alias("score"))
-        far = F.lit(threshold + 1)
-        return F.when(F.abs(m - n) > threshold, far).when((m == 0) | (n == 0), F.greatest(m, n)).otherwise(F.least(far, F.aggregate(F.sequence(F.lit(1), n), start, step)["score"]))
+        return F.least(F.lit(threshold + 1), F.aggregate(F.sequence(F.lit(1), n), start, step)["score"])
 
     def trimmed(k: Column) -> Column:
         u, v = k["u"], k["v"]
         ru, rv = F.reverse(u), F.reverse(v)
         tail = common_prefix(ru, rv)
-        return let(tail, lambda t: F.struct(F.split(F.substring(u, F.lit(1), F.length(u) - t), "").alias("x"), F.split(F.substring(v, F.lit(1), F.length(v) - t), "").alias("y"), (F.length(u) - t).alias("m"), (F.length(v) - t).alias("n")))
+        return let(tail, lambda t: F.struct(F.substring(u, F.lit(1), F.length(u) - t).alias("x"), F.substring(v, F.lit(1), F.length(v) - t).alias("y"), (F.length(u) - t).alias("m"), (F.length(v) - t).alias("n")))
 
     head = let(common_prefix(a, b), lambda p: F.struct(F.substring(a, p + 1, F.length(a)).alias("u"), F.substring(b, p + 1, F.length(b)).alias("v")))
     return let(let(head, trimmed), of)
@@ -242,11 +276,12 @@ def alike(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LIST, per_
     """(id, root): the class of every line that is alike another, different line."""
     lines = lines_of(docs)
     shared = cut(shared_entries(lines, threshold, per_edit))
-    texts = cut(texts_of(lines.filter(F.col("n") >= per_edit), shared.select("id").distinct()).withColumn("sig", signature(F.col("line"))))
-    shared = cut(shared.join(texts.select("id", "sig"), "id"))
-    edges = cut(verified(candidates(shared, threshold, longest, per_edit), texts, threshold, per_edit))
-    root = connected_components(edges).select(F.col("node").alias("id"), "root")
+    texts = cut(texts_of(lines.filter(F.col("n") >= per_edit), shared.select("id").distinct()))
     long_ = shared.filter(F.col("held") > longest)
+    far = texts.join(broadcast_up_to(long_.select("id").distinct(), BROADCAST_ROWS), "id", "left_semi")
+    long_ = cut(long_.join(signatures(far), "id"))
+    edges = cut(verified(candidates(shared, long_, threshold, longest, per_edit), texts, threshold, per_edit))
+    root = connected_components(edges).select(F.col("node").alias("id"), "root")
     if long_.isEmpty():
         return root
     more = verified(between_classes(long_, cut(root), threshold, per_edit, block), texts, threshold, per_edit)

@@ -217,6 +217,35 @@ def test_banded_distance(spark):
         assert df.filter(line_dedup.banded_distance(F.col("a"), F.col("b"), t) != F.least(F.levenshtein("a", "b"), F.lit(t + 1))).count() == 0
 
 
+def test_banded_distance_of_long_texts(spark, monkeypatch):
+    """Texts beyond ``HEAD`` and ``SHORT`` characters, of one byte a character and of more, with the edits anywhere."""
+    monkeypatch.setattr(line_dedup, "SHORT", 400)
+    rnd, rows = random.Random(8), []
+    for k in range(12):
+        a = [rnd.choice("abcdé" if k % 2 else "abcd") for _ in range(600 if k < 6 else 300)]
+        b = a[:]
+        for _ in range(k % 7):
+            i = rnd.randint(0, len(b))
+            b[i : i + rnd.randint(0, 1)] = ["x"] * rnd.randint(0, 1)
+        rows.append(("x" + "".join(a) + "x", "y" + "".join(b) + "y"))
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = [r.d for r in df.select(line_dedup.banded_distance(F.col("a"), F.col("b"), 6).alias("d")).collect()]
+    assert got == [min(r.d, 7) for r in df.select(F.levenshtein("a", "b").alias("d")).collect()] and len(set(got)) > 3
+
+
+def test_signatures_change_by_bounds(spark):
+    """An edit changes at most two parities of characters and four of pairs, wherever it is; lines with other words in two places change more."""
+    rnd, rows = random.Random(9), []
+    for k in range(200):
+        a = [rnd.choice("abcdefé ") for _ in range(rnd.randint(1, 40))]
+        i, b = rnd.randint(0, len(a)), a[:]
+        b[i : i + rnd.randint(0, 1)] = [rnd.choice("xyé")] * rnd.randint(0, 1)
+        rows += [(2 * k, "".join(a)), (2 * k + 1, "".join(b) or "a")]
+    found = {r.id: r.sig for r in line_dedup.signatures(spark.createDataFrame(rows, "id long, line string")).collect()}
+    flips = [(bin((x.chars ^ y.chars) & (2**64 - 1)).count("1"), sum(bin((p ^ q) & (2**64 - 1)).count("1") for p, q in ((x.low, y.low), (x.high, y.high)))) for x, y in ((found[2 * k], found[2 * k + 1]) for k in range(200))]
+    assert max(c for c, _ in flips) == 2 and max(p for _, p in flips) == 4
+
+
 def line_classes(rows, threshold=line_dedup.THRESHOLD, per_edit=line_dedup.PER_EDIT):
     """The lines that go, by comparing all pairs."""
     occ = [(i, k, line) for i, t in rows if t is not None for k, line in enumerate(t.split("\n")) if line.strip()]
