@@ -4,13 +4,14 @@ Every line that is not blank takes part. Lines are alike when they are equal, or
 distance is at most ``threshold`` and at most one for each ``PER_EDIT`` code points of the shorter
 line, so a short line is alike only its copies. A line that may have t edits is cut into t + 1
 segments, of which any line alike must hold one unchanged. Segments are of one size for all lines of a
-class of lengths and are counted from the nearer end of the line, so that few places have to be probed.
-Lines are indexed by (class, segment number, segment) and probed with the substrings that a partner of
-each admissible length could share. Candidates are verified by a banded edit distance.
+class of lengths and are counted from the nearer end of the line, so that few places come into question.
+Lines meet by (class, segment number, substring of the segment); both give the substrings at so few places that
+some two of them differ by any admissible shift. Candidates are verified by a banded edit distance.
 
 A segment that more than ``LIST`` lines share would give a square of pairs. There each line first meets
 one line of each length, and lines alike become classes; then lines of different classes that may be alike
-by their lengths and by the parities of their characters and pairs of characters meet. Both together are exact.
+by their lengths and by the parities of their characters and pairs of characters, of the whole lines and of what
+they begin and end with, meet. Both together are exact.
 
 Of each class of alike lines the occurrence of smallest (doc_id, hash of the text, line number) stays;
 the others go. A line goes only if one alike stays in some row.
@@ -35,9 +36,12 @@ from cadenza.llm.spans import let
 THRESHOLD = 4
 PER_EDIT = 20
 LIST = 48
-BLOCK = 512  # lines of a long list that meet in one cell with as many others
+BLOCK = 2048  # lines of a long list that meet in one cell with as many others
+PIECES = 10  # pieces of a line, those of which are counted that one alike may hold
 HEAD = 200  # characters by which most texts that are not alike are told apart
 SHORT = 20_000  # longer texts are compared by bits: the time of levenshtein grows with the square, if slowly
+CUTS = 8  # places, at least, up to which parities of a line in a long list are compared
+BLANK = " \t\n\x0b\f\r"
 BROADCAST_ROWS = 1_000_000
 HOT_LINES = 500_000  # most lines whose occurrences are looked up without a shuffle
 _LAST = 2**63 - 1
@@ -50,14 +54,17 @@ def row_id(doc_id: Column) -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, pos, line, n, id, check) for every line of every document that is not blank; ``tag`` tells texts of one id apart."""
     rows = docs.select(row_id(F.col("doc_id")).alias("doc_id"), F.xxhash64("text").alias("tag"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return rows.filter(F.col("line").rlike(r"\S")).select("doc_id", "tag", "pos", "line", F.length("line").alias("n"), F.xxhash64("line").alias("id"), F.hash("line").alias("check"))
+    return rows.filter(F.ltrim("line", F.lit(BLANK)) != "").select("doc_id", "tag", "pos", "line", F.length("line").alias("n"), F.xxhash64("line").alias("id"), F.hash("line").alias("check"))
 
 
 def _class(n: Column, threshold: int, per_edit: int) -> Column:
     """Class of a line of length ``n`` in units of ``per_edit``: one class a unit up to the threshold, then 2 and 3 times each power of two."""
     x = F.floor(n / per_edit)
-    unit = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(x)) - 1, F.lit(0)))
-    return F.when(x <= threshold, x).otherwise(F.greatest(F.lit(threshold), F.floor(x / unit) * unit)).cast("int")
+    unit = F.when(x < 4, 1)
+    for k in range(3, 9):  # most lines are short and their logarithms not worth their time
+        unit = unit.when(x < 2**k, 2 ** (k - 2))
+    unit = unit.otherwise(F.pow(F.lit(2.0), F.floor(F.log2(x)) - 1).cast("int"))
+    return F.when(x <= threshold, x).otherwise(F.greatest(F.lit(threshold), x - x % unit)).cast("int")
 
 
 def allowed(n: Column, threshold: int, per_edit: int) -> Column:
@@ -65,31 +72,57 @@ def allowed(n: Column, threshold: int, per_edit: int) -> Column:
     return F.least(F.lit(threshold), F.floor(n / per_edit).cast("int"))
 
 
+def shifts(most: int) -> list[int]:
+    """Few places from 0 on, some two of which differ by each of 0 ... ``most``."""
+    for few in ([0], [0, 1], [0, 1, 3], [0, 1, 4, 6], [0, 1, 4, 9, 11]):
+        if {b - a for a in few for b in few} >= set(range(most + 1)):
+            return few
+    step = int(most**0.5) + 1
+    return [*range(step), *range(step, most + step, step)]
+
+
 def entries(lines: DataFrame, threshold: int = THRESHOLD, per_edit: int = PER_EDIT) -> DataFrame:
-    """(key, id, n, probe): index entries of each line, and probes for partners of the same or a smaller length.
+    """(key, id, n, c, probe): index entries of each line in its own class c, and probes for partners in the class below.
 
     Of t + 1 segments one is unchanged with at most as many edits before it as segments, and likewise after
     it; so segment i lies within i places of where it is counted from the line's begin, or within t - i
-    counted from its end, and is looked for from the nearer side. Classes are wider than the threshold: a
-    partner is of the line's own class or of that of the line less ``threshold`` characters.
+    counted from its end, and is looked for from the nearer side. Both lines give substrings of it at places
+    of which some two differ by each such shift; a segment is longer by its last place than its substrings, which
+    are of one size. Classes are wider than the threshold: a partner is of the line's own class or of that of the
+    line less ``threshold`` characters.
     """
     if per_edit <= threshold:
         raise ValueError("per_edit has to be more than threshold")
     at = lambda c, own: F.struct(c.alias("c"), F.lit(own).alias("own"))
-    own, less = _class(F.col("n"), threshold, per_edit), _class(F.col("n") - threshold, threshold, per_edit)
+    own, less = F.col("c_own"), F.col("c_less")
     of = F.when((less < own) & (less > 0), F.array(at(own, True), at(less, False))).otherwise(F.array(at(own, True)))
-    places = [(i, t, s) for t in range(1, threshold + 1) for i in range(t + 1) for s in range(-min(i, t - i), min(i, t - i) + 1)]
-    where = F.array(*(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i, t_, s in places if t_ == t)) for t in range(1, threshold + 1)))
-    rows = lines.filter(F.col("n") >= per_edit).select("id", "n", "line", F.explode(of).alias("k"))
+    where, slack = [], []
+    for t in range(1, threshold + 1):
+        places = [shifts(min(i, t - i)) for i in range(t + 1)]
+        slack.append(sum(x[-1] for x in places))
+        # segment i begins after i substrings and the slack of the segments before it, or as far before the end as those from it on take
+        head = [(i, i, sum(x[-1] for x in places[:i]) + s) for i in range(t + 1) if i <= t - i for s in places[i]]
+        tail = [(i, i - t - 1, s - sum(x[-1] for x in places[i:])) for i in range(t + 1) if i > t - i for s in places[i]]
+        where.append(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.lit(s).alias("s")) for i, k, s in head + tail)))
+    rows = lines.filter(F.col("n") >= per_edit).select("id", "n", "line", _class(F.col("n"), threshold, per_edit).alias("c_own"), _class(F.col("n") - threshold, threshold, per_edit).alias("c_less"))
+    rows = rows.select("id", "n", "line", F.explode(of).alias("k"))
     rows = rows.select("id", "n", "line", "k.c", "k.own", F.least(F.col("k.c"), F.lit(threshold)).alias("t"))
-    rows = rows.select("*", F.floor(F.col("c") * per_edit / (F.col("t") + 1)).cast("int").alias("size"), F.explode(F.get(where, F.col("t") - 1)).alias("p"))
-    i, t, size, s = F.col("p.i"), F.col("t"), F.col("size"), F.col("p.s")
-    start = F.when(i <= t - i, i * size + s).otherwise(F.col("n") - (t + 1 - i) * size - s)
-    rows = rows.withColumn("start", start).filter((F.col("start") >= 0) & (F.col("start") + size <= F.col("n")))
+    size = F.floor((F.col("c") * per_edit - F.get(F.array(*map(F.lit, slack)), F.col("t") - 1)) / (F.col("t") + 1)).cast("int")
+    rows = rows.select("*", size.alias("size"), F.explode(F.get(F.array(*where), F.col("t") - 1)).alias("p"))
+    size = F.col("size")
+    rows = rows.withColumn("start", F.when(F.col("p.k") < 0, F.col("n")).otherwise(0) + F.col("p.k") * size + F.col("p.s"))
     # the hash of a text is that of its bytes, and those of ASCII are found without counting characters
     segment = lambda line: F.xxhash64("c", "p.i", F.substring(line, F.col("start") + 1, size))
     key = F.when(F.octet_length("line") == F.col("n"), segment(F.col("line").cast("binary"))).otherwise(segment(F.col("line")))
-    return rows.select(key.alias("key"), "id", "n", (~F.col("own") | (s != 0)).alias("probe"))
+    return rows.select(key.alias("key"), "id", "n", "c", (~F.col("own")).alias("probe"))
+
+
+def _bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k)  # by the lower six bits
+
+
+def _parity(bits: Column) -> Column:
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x))
 
 
 def signatures(texts: DataFrame) -> DataFrame:
@@ -97,12 +130,35 @@ def signatures(texts: DataFrame) -> DataFrame:
 
     An edit changes at most two of the first and four of the others.
     """
-    chars = texts.select("id", F.split("line", "").alias("x")).select("id", "x", F.posexplode("x").alias("i", "c"))
-    pair, char = F.hash("c", F.coalesce(F.get("x", F.col("i") + 1), F.lit(""))), F.ascii("c")
-    parity = lambda k, where: F.bit_xor(F.when(where, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))  # noqa: E731 (by the lower six bits)
-    low = pair.bitwiseAND(F.lit(64)) == 0
-    found = chars.groupBy("id").agg(parity(char, F.lit(True)).alias("chars"), parity(pair, low).alias("low"), parity(pair, ~low).alias("high"))
-    return found.select("id", F.struct("chars", "low", "high").alias("sig"))
+
+    def of(x: Column) -> Column:
+        pairs = F.transform(x, lambda c, i: F.hash(c, F.coalesce(F.get(x, i + 1), F.lit(""))))
+        half = lambda h, bit: _parity(F.transform(F.filter(h, lambda p: p.bitwiseAND(F.lit(64)) == bit), _bit))
+        chars = _parity(F.transform(x, lambda c: _bit(F.ascii(c))))
+        return let(pairs, lambda h: F.struct(chars.alias("chars"), half(h, 0).alias("low"), half(h, 64).alias("high")))
+
+    return texts.select("id", let(F.split("line", ""), of).alias("sig"))
+
+
+def part_signatures(texts: DataFrame, per_edit: int = PER_EDIT) -> DataFrame:
+    """(id, c, heads, tails) of (id, c, line): parities of characters of what the line begins with, and of what it ends with.
+
+    Element k - 1 is of k times as many characters as one of at least ``CUTS`` parts of the shortest line of class c has.
+    Of the first x characters of two lines that b edits in an alignment concern at most 2 b parities differ: one of
+    s substitutions and d other edits shifts the end by at most d places, 2 s + d + d in all. Likewise at the end.
+    """
+    part = F.ceil(F.col("c") * per_edit / CUTS).cast("int")
+
+    def sums(bits: Column) -> Column:
+        n = F.floor(F.size(bits) / F.col("part")).cast("int")
+        ks = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        parts = F.transform(ks, lambda k: _parity(F.slice(bits, (k - 1) * F.col("part") + 1, F.col("part"))))
+        return let(parts, lambda p: F.transform(p, lambda _, i: _parity(F.slice(p, F.lit(1), i + 1))))
+
+    bits = F.transform(F.split("line", ""), lambda c: _bit(F.ascii(c)))
+    rows = texts.withColumn("part", part)
+    both = let(bits, lambda x: F.struct(sums(x).alias("heads"), sums(F.reverse(x)).alias("tails")))
+    return rows.select("id", "c", both.alias("both")).select("id", "c", "both.heads", "both.tails")
 
 
 def _lengths_fit(u: Column, v: Column, threshold: int, per_edit: int) -> Column:
@@ -111,10 +167,17 @@ def _lengths_fit(u: Column, v: Column, threshold: int, per_edit: int) -> Column:
 
 
 def _fits(u: Column, v: Column, threshold: int, per_edit: int) -> Column:
-    """May the indexed line u, not longer than v, be alike it by lengths and signatures?"""
+    """May the indexed line u, not longer than v, be alike it by lengths and signatures?
+
+    What the lines begin with and what they end with are apart from each other, and so are their edits.
+    """
     most = allowed(u["n"], threshold, per_edit)
-    changed = lambda c: F.bit_count(u["sig"][c].bitwiseXOR(v["sig"][c]))
-    return _lengths_fit(u, v, threshold, per_edit) & (changed("chars") <= most * 2) & (changed("low") + changed("high") <= most * 4)
+    flips = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    changed = lambda c: flips(u["sig"][c], v["sig"][c])
+    upto = lambda c, k: F.coalesce(flips(F.get(u[c], k - 1), F.get(v[c], k - 1)), F.lit(0))
+    parts = F.size(u["heads"])
+    cuts = F.forall(F.sequence(F.lit(0), parts), lambda k: upto("heads", k) + upto("tails", parts - k) <= most * 2)
+    return _lengths_fit(u, v, threshold, per_edit) & (changed("chars") <= most * 2) & (changed("low") + changed("high") <= most * 4) & cuts
 
 
 def _ends(u: Column, v: Column) -> list[Column]:
@@ -122,10 +185,10 @@ def _ends(u: Column, v: Column) -> list[Column]:
 
 
 def shared_entries(lines: DataFrame, threshold: int = THRESHOLD, per_edit: int = PER_EDIT) -> DataFrame:
-    """(key, id, n, probe, held) of the entries whose key several lines hold, one of them in its index."""
+    """(key, id, n, c, probe, held) of the entries whose key several lines hold."""
     all_ = entries(lines, threshold, per_edit)
-    keys = all_.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("probe").alias("probes")).filter("lo < hi AND NOT probes").select("key")
-    found = all_.join(broadcast_up_to(cut(keys), BROADCAST_ROWS), "key", "left_semi").groupBy("key", "id", "n").agg(F.min("probe").alias("probe"))
+    keys = all_.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
+    found = all_.join(broadcast_up_to(cut(keys), BROADCAST_ROWS), "key", "left_semi").groupBy("key", "id", "n", "c").agg(F.min("probe").alias("probe"))
     found = cut(found)
     # a join, not a window: Spark splits the partition of a key that very many lines share
     return found.join(found.groupBy("key").agg(F.count("*").alias("held")), "key")
@@ -142,9 +205,10 @@ def candidates(shared: DataFrame, long_: DataFrame, threshold: int = THRESHOLD,
     member = F.struct("id", "n", "probe")
     met = short.filter("NOT probe").select("key", member.alias("u")).join(short.select("key", member.alias("v")), "key")
     pairs = met.filter(_lengths_fit(u, v, threshold, per_edit)).select(*_ends(u, v))
-    member = F.struct("id", "n", "probe", "sig")
+    member = F.struct("id", "n", "probe", "sig", "heads", "tails")
     first = long_.filter("NOT probe").groupBy("key", "n").agg(F.min(member).alias("u"))
-    met = long_.select("key", member.alias("v"), F.explode(F.sequence(F.col("n") - threshold, F.col("n"))).alias("n")).join(first, ["key", "n"])
+    first = first.select("key", "u", F.explode(F.sequence(F.col("n"), F.col("n") + threshold)).alias("n"))  # few rows, unlike those that meet them
+    met = long_.select("key", "n", member.alias("v")).join(first, ["key", "n"])
     stars = met.filter(_fits(u, v, threshold, per_edit)).select(*_ends(u, v))
     return pairs.unionByName(stars).distinct()
 
@@ -153,16 +217,19 @@ def between_classes(long_: DataFrame, root: DataFrame, threshold: int, per_edit:
     """(a, b) pairs of lines of one long list that may be alike and that no path of verified edges connects as yet.
 
     Blocks of a list meet two by two, in cells. Lines that many others are alike are of one class by then, so
-    few pairs are left whatever a list's length; what grows with its square is the comparison of signatures.
+    few pairs are left; what grows with the square of a list's length is the comparison of signatures. Lines
+    that share several lists are a pair in the first of them only.
     """
     blocks = F.ceil(F.col("held") / block).cast("int")
-    rows = long_.join(root, "id", "left").withColumn("root", F.coalesce("root", "id")).withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    lists = long_.groupBy("id").agg(F.collect_set(F.when(~F.col("probe"), F.col("key"))).alias("own_keys"), F.collect_set("key").alias("keys"))
+    rows = long_.join(root, "id", "left").join(lists, "id").withColumn("root", F.coalesce("root", "id")).withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    member = F.struct("id", "n", "probe", "sig", "root")
-    left = rows.filter("NOT probe").select("key", F.col("own").alias("i"), every.alias("j"), member.alias("u"))
-    right = rows.select("key", every.alias("i"), F.col("own").alias("j"), member.alias("v"))
+    member = ["id", "n", "probe", "sig", "heads", "tails", "root"]
+    left = rows.filter("NOT probe").select("key", F.col("own").alias("i"), every.alias("j"), F.struct(*member, "own_keys").alias("u"))
+    right = rows.select("key", every.alias("i"), F.col("own").alias("j"), F.struct(*member, "keys").alias("v"))
     u, v = F.col("u"), F.col("v")
-    return left.join(right, ["key", "i", "j"]).filter((u["root"] != v["root"]) & _fits(u, v, threshold, per_edit)).select(*_ends(u, v)).distinct()
+    once = ((u["n"] < v["n"]) | (u["id"] < v["id"])) & (F.get(F.array_intersect(u["own_keys"], v["keys"]), F.lit(0)) == F.col("key"))
+    return left.join(right, ["key", "i", "j"]).filter((u["root"] != v["root"]) & _fits(u, v, threshold, per_edit) & once).select(*_ends(u, v)).distinct()
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -195,7 +262,7 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
 
     The band of 2 * threshold + 1 diagonals is one word of bits. For each character of ``b`` the
     vertical differences along the band are updated by the bit-parallel recurrence, and the value on
-    the band's last diagonal is followed. What both texts begin and end with is left out beforehand; texts whose
+    the band's last diagonal is followed. What both texts begin and end with is left out beforehand; long texts whose
     next ``HEAD`` characters differ by more than twice the threshold are further apart than it, and for texts of
     up to ``SHORT`` characters Spark's own function is faster. ``threshold`` is from 1 to 30.
     """
@@ -205,7 +272,8 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     def of(p: Column) -> Column:
         x, y, m, n = p["x"], p["y"], p["m"], p["n"]
         far = F.lit(threshold + 1)
-        apart = F.levenshtein(F.substring(x, 1, HEAD), F.substring(y, 1, HEAD), 2 * threshold) < 0
+        # twice the threshold takes a band of twice the width
+        apart = (F.greatest(m, n) > 4 * HEAD) & (F.levenshtein(F.substring(x, 1, HEAD), F.substring(y, 1, HEAD), 2 * threshold) < 0)
         short = let(F.levenshtein(x, y, threshold), lambda d: F.when(d < 0, far).otherwise(d))
         long_ = let(F.struct(F.split(x, "").alias("x"), F.split(y, "").alias("y"), m.alias("m"), n.alias("n")), in_band)
         return F.when(F.abs(m - n) > threshold, far).when((m == 0) | (n == 0), F.greatest(m, n)).when(apart, far).when(F.greatest(m, n) <= SHORT, short).otherwise(long_)
@@ -258,6 +326,12 @@ def banded_distance(a: Column, b: Column, threshold: int) -> Column:
     return let(let(head, trimmed), of)
 
 
+def pieces_shared(a: Column, b: Column) -> Column:
+    """How many of ``PIECES`` pieces of ``a`` occur in ``b``: all but one for each edit, and few in texts that are not alike."""
+    size = F.floor(F.length(a) / PIECES).cast("int")
+    return sum((F.contains(b, F.substring(a, size * k + 1, size)).cast("int") for k in range(1, PIECES)), F.contains(b, F.substring(a, F.lit(1), size)).cast("int"))
+
+
 def texts_of(lines: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, line) for each of ``ids``."""
     return lines.select("id", "line").join(broadcast_up_to(ids, BROADCAST_ROWS), "id").groupBy("id").agg(F.min("line").alias("line"))
@@ -269,7 +343,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int, per_edit: int)
     most = allowed(F.least(F.length("x"), F.length("y")), threshold, per_edit)
     pairs = cut(pairs)  # few bytes but much work: not to be put together into few tasks
     spread = pairs.repartition(max(pairs.sparkSession.sparkContext.defaultParallelism * 2, -(-pairs.count() // 10_000)), "a", "b")
-    return spread.join(left, "a").join(right, "b").filter(banded_distance(F.col("x"), F.col("y"), threshold) <= most).select("a", "b")
+    return spread.join(left, "a").join(right, "b").filter((pieces_shared(F.col("x"), F.col("y")) >= PIECES - most) & (banded_distance(F.col("x"), F.col("y"), threshold) <= most)).select("a", "b")
 
 
 def alike(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LIST, per_edit: int = PER_EDIT, block: int = BLOCK) -> DataFrame:
@@ -278,26 +352,36 @@ def alike(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LIST, per_
     shared = cut(shared_entries(lines, threshold, per_edit))
     texts = cut(texts_of(lines.filter(F.col("n") >= per_edit), shared.select("id").distinct()))
     long_ = shared.filter(F.col("held") > longest)
-    far = texts.join(broadcast_up_to(long_.select("id").distinct(), BROADCAST_ROWS), "id", "left_semi")
-    long_ = cut(long_.join(signatures(far), "id"))
+    far = texts.join(broadcast_up_to(long_.select("id", "c").distinct(), BROADCAST_ROWS), "id")
+    long_ = cut(long_.join(signatures(far.dropDuplicates(["id"])), "id").join(part_signatures(far, per_edit), ["id", "c"]))
     edges = cut(verified(candidates(shared, long_, threshold, longest, per_edit), texts, threshold, per_edit))
     root = connected_components(edges).select(F.col("node").alias("id"), "root")
     if long_.isEmpty():
         return root
-    more = verified(between_classes(long_, cut(root), threshold, per_edit, block), texts, threshold, per_edit)
-    return connected_components(cut(edges.unionByName(more))).select(F.col("node").alias("id"), "root")
+    root = cut(root)
+    more = cut(verified(between_classes(long_, root, threshold, per_edit, block), texts, threshold, per_edit))
+    return root if more.isEmpty() else merged(root, more)
+
+
+def merged(root: DataFrame, more: DataFrame) -> DataFrame:
+    """(id, root): the classes ``root`` and what the edges ``more`` join them with."""
+    of = lambda end: root.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}"))
+    ends = cut(more.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y")))
+    whole = connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+    alone = ends.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(root, "id", "left_anti").select("id", F.col("id").alias("root"))
+    return root.unionByName(alone).join(whole, "root", "left").select("id", F.coalesce("whole", "root").alias("root"))
 
 
 def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, longest: int = LIST, per_edit: int = PER_EDIT) -> DataFrame:
     """(doc_id, tag, pos, exact): the lines that go; ``exact`` where the line that stays is the same."""
     lines = lines_of(docs).select("doc_id", "tag", "pos", "id", "check")
     root = cut(alike(docs, threshold, longest, per_edit))
-    first = lines.groupBy("id", "check").agg(F.min(F.struct("doc_id", "tag", "pos")).alias("own"), F.count("*").alias("times")).join(root, "id", "left")
+    first = lines.groupBy("id", "check").agg(F.min(F.struct("doc_id", "tag", "pos")).alias("own"), F.count("*").alias("times")).join(broadcast_up_to(root, BROADCAST_ROWS), "id", "left")
     # a class is a component of lines alike, or the copies of one line
-    first = first.withColumn("kind", F.when(F.col("root").isNull(), F.col("check"))).withColumn("root", F.coalesce("root", "id"))
-    classes = first.groupBy("root", "kind").agg(F.min("own").alias("first"), F.sum("times").alias("times")).filter("times > 1")
-    classes = classes.select(F.col("root").alias("root_"), F.col("kind").alias("kind_"), "first")
-    stay = cut(first.join(classes, (F.col("root") == F.col("root_")) & F.col("kind").eqNullSafe(F.col("kind_"))).select("id", "check", "own", "first", "times"))
+    first = cut(first.filter("root IS NOT NULL OR times > 1"))
+    classes = first.filter("root IS NOT NULL").groupBy("root").agg(F.min("own").alias("first"))
+    near, copies = first.join(classes, "root"), first.filter("root IS NULL").withColumn("first", F.col("own"))
+    stay = cut(near.unionByName(copies).select("id", "check", "own", "first", "times"))
     total = stay.agg(F.sum("times").alias("n")).first().n or 0
     most = max(256, total // HOT_LINES)  # at most HOT_LINES lines occur more often: they are broadcast, the others meet by a shuffle
     fact = F.struct("own", "first")
