@@ -84,7 +84,8 @@ def connected_components(edges: DataFrame, contract: bool = False) -> DataFrame:
     while n:
         most = max(FEW, 2 * n // HUBS)  # 2n rows have at most HUBS nodes beyond it
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_lowest(both, most).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v").distinct()
+        # cut here as well: with_lowest reads its rows three times, so the driver would plan this part three times in one query
+        large = cut(with_lowest(both, most).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v").distinct())
         small = with_lowest(large, most).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         pairs = cut(small.filter("u <> v").distinct())
         state = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()

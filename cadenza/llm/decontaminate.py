@@ -195,6 +195,17 @@ class _Matcher:
                 yield int(first[k + 1] - first[k]), marks[k] if names else None, names
 
 
+def _found(match: _Matcher, batch: pa.RecordBatch, earlier: str | None) -> Iterator[tuple[int, np.ndarray | None, set[str]]]:
+    """What ``match`` finds in each text of a batch, put together with the hits in ``earlier``."""
+    before = batch.column(earlier).to_pylist() if earlier else None
+    for k, (n, mark, names) in enumerate(match(batch.column("text"))):
+        for old in (before[k] or ()) if before else ():
+            names |= set(old["items"])
+            was = np.unpackbits(np.frombuffer(old["mark"], np.uint8), count=n).astype(bool)
+            mark = was if mark is None else mark | was
+        yield n, mark, names
+
+
 def _scan(docs: DataFrame, shard: tuple[np.ndarray, SuffixAutomaton, int] | None, keep: list[str], name: str, earlier: str | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` and, as ``name``, the hits of one shard put together with those in ``earlier``."""
     shared = docs.sparkSession.sparkContext.broadcast(shard)
@@ -203,14 +214,7 @@ def _scan(docs: DataFrame, shard: tuple[np.ndarray, SuffixAutomaton, int] | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = _Matcher(shared.value)
         for batch in batches:
-            before = batch.column(earlier).to_pylist() if earlier else None
-            out: list[dict] = []
-            for k, (n, mark, names) in enumerate(match(batch.column("text"))):
-                for old in (before[k] or ()) if before else ():
-                    names |= set(old["items"])
-                    was = np.unpackbits(np.frombuffer(old["mark"], np.uint8), count=n).astype(bool)
-                    mark = was if mark is None else mark | was
-                out.append({"n_words": n, "mark": np.packbits(mark).tobytes() if mark is not None else None, "items": sorted(names)})
+            out = [{"n_words": n, "mark": np.packbits(mark).tobytes() if mark is not None else None, "items": sorted(names)} for n, mark, names in _found(match, batch, earlier)]
             kind = pa.struct([("n_words", pa.int64()), ("mark", pa.binary()), ("items", pa.list_(pa.string()))])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, kind)], [*keep, name])
 
@@ -230,14 +234,13 @@ def _hits(docs: DataFrame, shard: tuple[np.ndarray, SuffixAutomaton, int]) -> Da
     return docs.mapInArrow(run, "key string, mark binary, items array<string>")
 
 
-def annotate(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, window: int = WINDOW, shard_words: int = SHARD_WORDS, name: str = "contamination") -> DataFrame:
-    """``docs`` (or its columns ``keep``) with ``name``: n_words, mark (a bit per word, null if none is hit), items found.
+def _but_last(docs: DataFrame, items: DataFrame, window: int, shard_words: int) -> tuple[DataFrame, tuple[np.ndarray, SuffixAutomaton, int] | None, str | None]:
+    """``docs`` with the hits of all shards but the last, that shard, and the name of the column with the hits (None: no such shard).
 
     Each shard but the last passes over the texts for its hits alone, which are kept by the text's
     digest; the last pass puts them together. Texts are neither copied nor, while hits are few, shuffled.
     """
     small_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c.lower() != name.lower()] if keep is None else keep
     digest = F.sha2(F.col("text").cast("binary"), 256)
     hits, waiting = [], None
     for shard in item_shards(items, window, shard_words):
@@ -245,12 +248,19 @@ def annotate(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, w
             hits.append(cut(_hits(docs.select(digest.alias("key"), "text"), waiting)))
         waiting = shard
     if not hits:
-        return _scan(docs, waiting, keep, name)
+        return docs, waiting, None
     found = reduce(DataFrame.unionByName, hits).dropDuplicates(["key", "mark", "items"])
     key, earlier = (free_name(docs.columns, c) for c in ("hit_key", "hit_earlier"))
     found = found.groupBy(F.col("key").alias(key)).agg(F.collect_list(F.struct("mark", "items")).alias(earlier))
     joined = docs.join(broadcast_up_to(cut(found), BROADCAST_ROWS), digest == F.col(key), "left")
-    return _scan(joined.select(*(F.col(f"`{c}`") for c in docs.columns), earlier), waiting, keep, name, earlier)
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), earlier), waiting, earlier
+
+
+def annotate(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, window: int = WINDOW, shard_words: int = SHARD_WORDS, name: str = "contamination") -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``name``: n_words, mark (a bit per word, null if none is hit), items found."""
+    keep = [c for c in docs.columns if c.lower() != name.lower()] if keep is None else keep
+    docs, shard, earlier = _but_last(docs, items, window, shard_words)
+    return _scan(docs, shard, keep, name, earlier)
 
 
 def digests(name: str = "contamination") -> dict[str, F.Column]:
@@ -269,44 +279,57 @@ def hit_counts(annotated: DataFrame) -> DataFrame:
     return annotated.select(*(F.col(f"`{c}`") for c in annotated.columns if c.lower() not in new), *(c.alias(n) for n, c in new.items()))
 
 
+def _without(text: str, mark: np.ndarray) -> str:
+    """``text`` without the words marked and what lies between those that follow one another."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    words = Words(data, np.array([0, len(data)]), ALPHANUMERIC)
+    drop = np.zeros(len(data) + 1, np.int32)
+    starts = mark & ~np.concatenate([[False], mark[:-1]])
+    stops = mark & ~np.concatenate([mark[1:], [False]])
+    np.add.at(drop, words.starts[starts], 1)
+    np.add.at(drop, words.ends[stops], -1)
+    return data[np.cumsum(drop[:-1]) == 0].tobytes().decode()
+
+
 def remove_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``docs`` without contaminated documents, and the other documents without their hit spans.
 
     A hit span goes from the first byte of its first word to the last byte of its last word.
     ``n_chars``, where there is one, follows the text. Documents without a hit stay as they are, and so
-    do all other columns, whatever their names.
+    do all other columns, whatever their names. Both are done where hits are found, in one Python worker for each task.
     """
     columns = docs.columns
     kinds = dict(docs.dtypes)
-    name = free_name(columns, "contamination")
-    hit_mark = free_name(columns, "hit_mark")
-    kept = annotate(docs, items, window=window, shard_words=shard_words, name=name).filter(~digests(name)["contaminated"]).select(*(F.col(f"`{c}`") for c in columns), F.col(f"{name}.mark").alias(hit_mark))
+    docs, shard, earlier = _but_last(docs, items, window, shard_words)
+    shared = docs.sparkSession.sparkContext.broadcast(shard)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = _Matcher(shared.value)
         for batch in batches:
-            texts, marks = batch.column("text").to_pylist(), batch.column(hit_mark).to_pylist()
-            chars = batch.column("n_chars").to_pylist() if "n_chars" in columns else None
-            for k, packed in enumerate(marks):
-                if packed is None:
+            stay, clean = [], {}
+            for k, (n, mark, _) in enumerate(_found(match, batch, earlier)):
+                if mark is not None and COVERAGE * int(mark.sum()) >= n:
                     continue
-                data = np.frombuffer(texts[k].encode(), np.uint8)
-                words = Words(data, np.array([0, len(data)]), ALPHANUMERIC)
-                mark = np.unpackbits(np.frombuffer(packed, np.uint8), count=len(words.starts)).astype(bool)
-                drop = np.zeros(len(data) + 1, np.int32)
-                starts = mark & ~np.concatenate([[False], mark[:-1]])
-                stops = mark & ~np.concatenate([mark[1:], [False]])
-                np.add.at(drop, words.starts[starts], 1)
-                np.add.at(drop, words.ends[stops], -1)
-                texts[k] = data[np.cumsum(drop[:-1]) == 0].tobytes().decode()
-                if chars is not None:
-                    chars[k] = len(texts[k])
-            cols = {c: batch.column(c) for c in columns}
-            cols["text"] = pa.array(texts, batch.column("text").type)
-            if chars is not None:
-                cols["n_chars"] = pa.array(chars, batch.column("n_chars").type)
+                if mark is not None:
+                    clean[len(stay)] = _without(batch.column("text")[k].as_py(), mark)
+                stay.append(k)
+            out = batch.select(columns)
+            if len(stay) < batch.num_rows:
+                out = out.take(pa.array(stay, pa.int64()))
+            cols = {c: out.column(c) for c in columns}
+            if clean:
+                texts = out.column("text").to_pylist()
+                for k, text in clean.items():
+                    texts[k] = text
+                cols["text"] = pa.array(texts, out.column("text").type)
+                if "n_chars" in columns:
+                    chars = out.column("n_chars").to_pylist()
+                    for k, text in clean.items():
+                        chars[k] = len(text)
+                    cols["n_chars"] = pa.array(chars, out.column("n_chars").type)
             yield pa.RecordBatch.from_arrays([cols[c] for c in columns], columns)
 
-    return kept.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
+    return docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

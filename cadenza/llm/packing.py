@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.pieces import PieceTable
-from cadenza.llm.session import cut, give_back, small_batches, table
+from cadenza.llm.session import cut, give_back, local_table, small_batches, table
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4096
@@ -163,7 +163,7 @@ def place(pieces: DataFrame, counts: dict[int, int], plan: list[tuple[list[int],
     """
     spark = pieces.sparkSession
     size = max(rows_per_bucket, sum(counts.values()) // MOST_BUCKETS)
-    parts = spark.createDataFrame([(x, -(-n // size)) for x, n in counts.items()], "of long, buckets long")
+    parts = local_table(spark, of=pa.array(list(counts), pa.int64()), buckets=pa.array([-(-n // size) for n in counts.values()], pa.int64()))
     dealt = pieces.join(F.broadcast(parts), F.col("length") == F.col("of")).withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("buckets"))).drop("of", "buckets")
     found = sorted((r.length, r.bucket, r["count"]) for r in dealt.groupBy("length", "bucket").count().collect())
     lengths, buckets, sizes = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.session import free_name, small_batches, table
+from cadenza.llm.session import free_name, give_back, local_table, small_batches, table
 from cadenza.llm.textkit import BLANK_SEPARATED, Words, text_slices
 
 THRESHOLD = 0.7
@@ -167,6 +167,12 @@ def counts_by_score(docs: DataFrame, model: Model) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
     """A model from a bounded sample of the learning folds; None without a positive label."""
+    model = _trained(docs, labels, positives, unlabelled)
+    give_back()  # the sample came as one object for each row
+    return model
+
+
+def _trained(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> Model | None:
     spark = docs.sparkSession
     small_batches(spark)
     ids = F.col("doc_id").cast("long").alias("doc_id")
@@ -176,7 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     web = {r.doc_id for r in docs.select(ids).filter(learn).orderBy(*spread).limit(unlabelled).collect()}
     if not good or not web:
         return None
-    chosen = spark.createDataFrame([(i, i in good, i in web) for i in sorted(good | web)], "doc_id long, good boolean, web boolean")
+    either = sorted(good | web)
+    chosen = local_table(spark, doc_id=pa.array(either, pa.int64()), good=pa.array([i in good for i in either], pa.bool_()), web=pa.array([i in web for i in either], pa.bool_()))
     rows = docs.select(ids, "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,6 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         return None
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), -1).astype(np.float64)
     positive, web_ = x[got["good"].to_numpy()], x[got["web"].to_numpy()]
+    del got, x
     if len(positive) < 2:
         return fit_pu(positive, web_, 0.5)
     rough = fit_rough(positive, web_)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,12 +34,17 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> No
 
 
 def give_back() -> None:
-    """Return to the system what this Python worker has freed: workers live on from stage to stage, and glibc keeps their pages."""
+    """Return to the system what this process has freed: driver and Python workers live on from stage to stage, and glibc keeps their pages."""
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 
 
+def local_table(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A table of values that the driver holds. They go through Arrow: rows would pass Python workers of a kind of their own, which live on beside those of the operators."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows; otherwise unchanged, so Spark shuffles.
 
