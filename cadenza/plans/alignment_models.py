@@ -10,21 +10,13 @@ from cadenza.functions import frontend
 from cadenza.operators import align, inference, metrics, timing, windows
 from cadenza.plans.base import WORDS, query, table, values, words
 from cadenza.plans.sources_metrics import _SPANS, _TOKENS, _TURNS, _VITERBI, _normal, _timed, _tokens, _turns
-from cadenza.plans.live_requests import live_windows
-from cadenza.streaming import session
+from cadenza.plans.live_requests import windows_only
 
 
 @query("stm_session")
 def stm_session(spark: SparkSession, d: str) -> DataFrame:
     """Words of documents as windows of 10 words every 8, then an end frame, through the session rules."""
-    found = live_windows(spark, d)
-    kinds = F.when(F.col("last"), F.array(F.lit("window"), F.lit("end"))).otherwise(F.array(F.lit("window")))
-    frames = found.select("*", F.posexplode(kinds).alias("at", "kind"))
-    ends = F.col("kind") == "end"
-    nothing = F.array().cast("array<struct<word:string,start_ms:bigint,end_ms:bigint>>")
-    zero = F.lit(0).cast("long")
-    frames = frames.select("stream_id", (F.col("k") + F.col("at")).alias("seq"), "kind", F.when(ends, zero).otherwise(F.col("k") * 38_400).alias("start_sample"), F.when(ends, zero).otherwise(48_000).cast("long").alias("n_samples"), ends.alias("is_final"), F.when(ends, 0.0).otherwise(0.5).alias("rms"), F.when(ends, nothing).otherwise(F.col("words")).alias("words"), F.lit(None).cast("string").alias("text"))
-    return session.run_batch(frames, stride_ms=2400, gap_ms=160)
+    return windows_only(spark, d)
 
 
 @query("inf_dispatch", "SELECT vec_id, k AS window_seq, CASE WHEN k < 5 THEN 1 ELSE 0 END AS n FROM embeddings, range(6) t(k)")
