@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+from cadenza.functions.scalars import ATTACHED
 
 #: Text or list items that are worked on at a time, at least one row.
 CHUNK = 1 << 19
+#: Words of the rows of a batch in order: row, pos, word, start_ms, end_ms.
+RowWords = tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]
+_ATTACHED = np.zeros(256, bool)
+_ATTACHED[[ord(c) for c in ATTACHED]] = True
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True  # what \s is in patterns
 
@@ -57,6 +65,13 @@ def pieces(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data[at]))
 
 
+def items(column: pa.Array, *fields: str) -> tuple[np.ndarray, ...]:
+    """The row of each item of a list of structs, then its ``fields``, whole numbers; null lists have none."""
+    sizes = column.value_lengths().fill_null(0).to_numpy()
+    flat_ = column.flatten()
+    return np.repeat(np.arange(len(column)), sizes), *(flat_.field(f).to_numpy(zero_copy_only=False) for f in fields)
+
+
 def places(group: np.ndarray) -> np.ndarray:
     """The place of each item within its run of equal ``group``."""
     at = np.arange(len(group))
@@ -75,5 +90,31 @@ def running_max(values: np.ndarray, group: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(values + base) - base
 
 
+@dataclass
+class Marks:
+    """What the rules ask of words' texts."""
+
+    bare: np.ndarray  # one character that attaches to the word before
+    quote: np.ndarray  # begins with an apostrophe
+    closes: np.ndarray  # ends a sentence
+    blank: np.ndarray
+    size: np.ndarray
+
+    @classmethod
+    def of(cls, words: pa.Array) -> Marks:
+        offsets, data = text_buffers(words)
+        size = np.diff(offsets)
+        data = np.concatenate([data, np.zeros(3, np.uint8)])  # the last word's bytes may be asked for beyond its end
+        head = [data[offsets[:-1] + k] for k in range(3)]
+        quote = (size > 0) & (head[0] == 0x27) | (size > 2) & (head[0] == 0xE2) & (head[1] == 0x80) & (head[2] == 0x99)
+        closes = (size > 0) & np.isin(data[np.maximum(offsets[1:] - 1, 0)], [0x2E, 0x21, 0x3F])
+        blank = (size == 0) | pc.utf8_is_space(words).fill_null(True).to_numpy(zero_copy_only=False)
+        return cls((size == 1) & _ATTACHED[head[0]], quote, closes, blank, size)
+
+
+def spaces(where: np.ndarray) -> pa.Array:
+    return pc.if_else(pa.array(where), " ", "")
+
+
 def lists(offsets: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.functions import flat
+
 EPSILON_MS = 25
 LONGEST_OVERLAP, SHORTEST_OVERLAP = 24, 2
 BLOCK_MS = 1 << 14
@@ -151,3 +158,35 @@ def side_times(words: DataFrame, side: DataFrame) -> DataFrame:
     ok = F.min(F.coalesce(F.col("word") == F.col("_w"), F.lit(False)).cast("int")).over(Window.partitionBy("stream_id")) == 1
     rows = both.withColumn("applied", ok).filter("word is not null")
     return rows.select("stream_id", "pos", "word", F.when(F.col("applied"), F.col("_s")).otherwise(F.col("start_ms")).alias("start_ms"), F.when(F.col("applied"), F.col("_e")).otherwise(F.col("end_ms")).alias("end_ms"), F.col("start_ms").alias("stitch_start_ms"), F.col("end_ms").alias("stitch_end_ms"), "applied")
+
+
+def side_times_by_row(rows: DataFrame, text: str, both: Callable[[pa.RecordBatch], tuple[flat.RowWords, flat.RowWords]]) -> DataFrame:
+    """``side_times`` of streams whose row (stream_id, ``text``) gives their words and the side model's; equal stream ids keep their rows. No shuffle."""
+    kind = rows.schema["stream_id"].dataType.simpleString()
+    names = ["stream_id", "pos", "word", "start_ms", "end_ms", "stitch_start_ms", "stitch_end_ms", "applied"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in flat.chunks(batch, text):
+                own, side = both(part)
+                applied = _same_words(part.num_rows, own, side)
+                mine, theirs = applied[own[0]], applied[side[0]]
+                times = []
+                for k in (3, 4):
+                    times.append(own[k].copy())
+                    times[-1][mine] = side[k][theirs]
+                columns = [pc.take(part.column("stream_id"), pa.array(own[0])), pa.array(own[1]), own[2].cast(pa.string()), *map(pa.array, (*times, own[3], own[4], mine))]
+                found = pa.RecordBatch.from_arrays(columns, names)
+                yield found.filter(pc.is_valid(own[2])) if own[2].null_count else found
+
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return rows.select("stream_id", text).mapInArrow(run, f"stream_id {kind}, pos long, word string, start_ms long, end_ms long, stitch_start_ms long, stitch_end_ms long, applied boolean")
+
+
+def _same_words(n: int, own: flat.RowWords, side: flat.RowWords) -> np.ndarray:
+    """Whether each row has the same words at the same places on both sides."""
+    same = np.bincount(own[0], minlength=n) == np.bincount(side[0], minlength=n)
+    mine, theirs = np.flatnonzero(same[own[0]]), np.flatnonzero(same[side[0]])
+    equal = pc.equal(own[2].take(pa.array(mine)), side[2].take(pa.array(theirs))).fill_null(False).to_numpy(zero_copy_only=False) & (own[1][mine] == side[1][theirs])
+    same[own[0][mine[~equal]]] = False
+    return same

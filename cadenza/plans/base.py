@@ -6,9 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.functions import flat
+
+FEW = 100_000  # ids that may be broadcast
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -41,12 +46,37 @@ def scratch(spark: SparkSession) -> str:
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(stream_id, pos, word, start_ms, end_ms): the words of ``documents`` with invented, partly overlapping times."""
-    docs = table(spark, sf_dir, "documents")
-    rows = docs.select(F.col("doc_id").alias("stream_id"), F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("pos", "word"))
+    return words_of(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream_id"), "text"))
+
+
+def words_of(docs: DataFrame) -> DataFrame:
+    rows = docs.select("stream_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("pos", "word"))
     start = F.expr("pos * 300L + (stream_id * 7 + pos * 13) % 50")
     return rows.select("stream_id", F.col("pos").cast("long").alias("pos"), "word", start.alias("start_ms"), (start + F.expr("200 + (pos * 31L) % 150")).alias("end_ms"))
 
 
+def word_arrays(batch: pa.RecordBatch) -> flat.RowWords:
+    """``words`` of a batch's rows (stream_id, text) as arrays: row, pos, word, start_ms, end_ms."""
+    of, first, end, _ = flat.split_words(batch.column("text"))
+    pos = flat.places(of)
+    start = pos * 300 + np.fmod(batch.column("stream_id").to_numpy(zero_copy_only=False).astype(np.int64)[of] * 7 + pos * 13, 50)
+    return of, pos, flat.pieces(flat.text_buffers(batch.column("text"))[1], first, end), start, start + 200 + pos * 31 % 150
+
+
+def by_stream(docs: DataFrame, whole: Callable[[DataFrame], DataFrame], dealt: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``whole`` of the rows that hold a stream alone, and ``dealt`` of those whose stream_id other rows have too.
+
+    Ids alone are shuffled to tell, in a job of its own, as ``dealt`` is in the plan only where it has rows.
+    """
+    several = docs.groupBy("stream_id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("stream_id").alias("_id"))
+    n = several.limit(FEW + 1).count()
+    if not n:
+        return whole(docs)
+    ids = F.broadcast(several) if n <= FEW else several
+    meets = docs["stream_id"].eqNullSafe(ids["_id"])
+    return whole(docs.join(ids, meets, "left_anti")).unionByName(dealt(docs.join(ids, meets, "left_semi")))
+
+
 #: The same in DuckDB, as a WITH item named w.
 WORDS = r"""w AS (SELECT stream_id, pos, word, pos * 300 + (stream_id * 7 + pos * 13) % 50 AS start_ms,
   pos * 300 + (stream_id * 7 + pos * 13) % 50 + 200 + (pos * 31) % 150 AS end_ms
