@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.functions import flat
 from cadenza.functions.scalars import ends_sentence, join_words, nonneg, utterance_id
 
 
@@ -53,11 +59,42 @@ def response(words: DataFrame, gap_ms: int, order: str = "pos") -> DataFrame:
     """(stream_id, response): the nested result of each stream as JSON, null fields left out."""
     ws = words.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct(order, "word", "start_ms", "end_ms"))).alias("ws"))
     us = utterances(words, gap_ms, order).groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("utterance", "id", "start_ms", "end_ms", "transcript"))).alias("us"))
+    said = F.transform("ws", lambda x: F.struct(x["word"].alias("word"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms")))
+    parts = F.transform("us", lambda u: F.struct(u["id"].alias("id"), u["start_ms"].alias("start_ms"), u["end_ms"].alias("end_ms"), u["transcript"].alias("transcript")))
+    return ws.join(us, "stream_id").select("stream_id", _document(join_words(F.transform("ws", lambda x: x["word"])), said, parts).alias("response"))
+
+
+def _document(transcript: Column, words: Column, found: Column) -> Column:
     doc = F.struct(
         F.struct(F.col("stream_id").cast("string").alias("request_id"), F.lit(1).alias("channels")).alias("metadata"),
-        F.struct(
-            F.array(F.struct(F.array(F.struct(join_words(F.transform("ws", lambda x: x["word"])).alias("transcript"), F.transform("ws", lambda x: F.struct(x["word"].alias("word"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"))).alias("words"))).alias("alternatives"))).alias("channels"),
-            F.transform("us", lambda u: F.struct(u["id"].alias("id"), u["start_ms"].alias("start_ms"), u["end_ms"].alias("end_ms"), u["transcript"].alias("transcript"))).alias("utterances"),
-        ).alias("results"),
+        F.struct(F.array(F.struct(F.array(F.struct(transcript.alias("transcript"), words.alias("words"))).alias("alternatives"))).alias("channels"), found.alias("utterances")).alias("results"),
     )
-    return ws.join(us, "stream_id").select("stream_id", F.to_json(doc).alias("response"))
+    return F.to_json(doc)
+
+
+def response_by_row(rows: DataFrame, text: str, words: Callable[[pa.RecordBatch], flat.RowWords], gap_ms: int) -> DataFrame:
+    """``response`` of streams whose row (stream_id, ``text``) gives their words; equal stream ids keep their rows. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in flat.chunks(batch, text):
+                of, _, word, start, end = words(part)
+                marks = flat.Marks.of(word)
+                leads = flat.places(of) == 0
+                opens = leads.copy()
+                opens[1:] |= (np.maximum(start[1:] - end[:-1], 0) >= gap_ms) | marks.closes[:-1]
+                first = np.flatnonzero(opens)
+                last = np.concatenate([first[1:], [len(of)]])[: len(first)] - 1
+                held, rows = np.searchsorted(of, np.arange(part.num_rows + 1)), np.searchsorted(of[first], np.arange(part.num_rows + 1))
+                joined = lambda begins, edges: pc.binary_join(flat.lists(edges, pc.binary_join_element_wise(flat.spaces(~(begins | marks.bare | marks.quote)), word.cast(pa.string()), "")), "")  # noqa: B023, E731
+                ids = pc.binary_join_element_wise("utt-", pc.utf8_lpad(pa.array(flat.places(of[first]) + 1).cast(pa.string()), 4, "0"), "")
+                ws = pa.StructArray.from_arrays([word.cast(pa.string()), pa.array(start), pa.array(end)], ["word", "start_ms", "end_ms"])
+                us = pa.StructArray.from_arrays([ids, pa.array(start[first]), pa.array(end[last]), joined(opens, np.append(first, len(of)))], ["id", "start_ms", "end_ms", "transcript"])
+                found = pa.RecordBatch.from_arrays([part.column("stream_id"), joined(leads, held), flat.lists(held, ws), flat.lists(rows, us)], ["stream_id", "transcript", "ws", "us"])
+                yield found.filter(pa.array(np.diff(held) > 0))
+
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    kind = rows.schema["stream_id"].dataType.simpleString()
+    schema = f"stream_id {kind}, transcript string, ws array<struct<word:string,start_ms:long,end_ms:long>>, us array<struct<id:string,start_ms:long,end_ms:long,transcript:string>>"
+    found = rows.select("stream_id", text).mapInArrow(run, schema)
+    return found.select("stream_id", _document(F.col("transcript"), F.col("ws"), F.col("us")).alias("response"))
